@@ -99,3 +99,63 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def digest64(*columns: str):
     """Two 64-bit hashes joined as a 128-bit key for equality of rows."""
     return F.concat(F.lpad(F.hex(F.xxhash64(*columns)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(7), *columns)), 16, "0"))
+
+
+def groups(batches, keys: list[str]):
+    """Record batches, one for each run of equal integer keys in rows that come sorted by them."""
+    import pyarrow as pa
+
+    held, at = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            key = tuple(c[a] for c in columns)
+            if held and key != at:
+                yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            held.append(batch.slice(a, b - a))
+            at = key
+    if held:
+        yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def forest(linked_to, labels: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that join all linked places: linked_to(i) gives the places linked with i; labels are equal for places known to be joined, and are changed."""
+    out = []
+    for i in range(len(labels)):
+        to = linked_to(i)
+        to = to[labels[to] != labels[i]]
+        while len(to):
+            j = int(to[0])
+            out.append((i, j))
+            labels[labels == labels[j]] = labels[i]
+            to = to[labels[to] != labels[i]]
+    return out
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and component (its smallest node) of every node of edges (a, b), by alternating large-star and small-star steps.
+
+    Each step groups and joins by node; a hub's rows are summed before the shuffle and its join can be split.
+    """
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
+    now, last = stored(now, "edges"), None
+    while True:
+        both = now.union(now.select("v", "u"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", "m")).distinct()
+        now = stored(small, "edges")
+        seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+        if seen == last:
+            break
+        last = seen
+    roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, license_scan, wavelet
+from . import bpe, chat, decontaminate, license_scan, near_dedup, wavelet
 from .common import read, stored
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates among all documents."""
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -38,7 +43,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op4_wavelet_tokens, op6_byte_bpe, op8_chat_format, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_decontaminate, op4_wavelet_tokens, op6_byte_bpe, op8_chat_format, op9_license_scan)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
