@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, license_scan, near_dedup, wavelet
+from . import ann, bpe, chat, decontaminate, license_scan, near_dedup, wavelet
 from .common import read, stored
 
 
@@ -43,7 +43,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_decontaminate, op4_wavelet_tokens, op6_byte_bpe, op8_chat_format, op9_license_scan)}
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all."""
+    return ann.neighbours(read(spark, sf_dir, "embeddings"), 20, F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_decontaminate, op4_wavelet_tokens, op6_byte_bpe, op8_chat_format, op9_license_scan, op10_nearest)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
