@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, license_scan, near_dedup, wavelet
+from . import ann, bpe, chat, decontaminate, lang_id, license_scan, near_dedup, wavelet
 from .common import read, stored
 
 
@@ -29,6 +29,20 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, by text and source."""
+    docs = read(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "text", F.col("source").alias("host"))
+    found = lang_id.identify(rows, lang_id.fit(docs), ["doc_id"])
+    return found.select("doc_id", F.col("_language").alias("language"), F.col("_probability").alias("probability"), F.col("_text_language").alias("text_language"), F.col("_rejected").alias("rejected"))
+
+
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all pages, by text, declaration, address and host, with the text model of the documents."""
+    found = lang_id.identify(lang_id.page_rows(read(spark, sf_dir, "pages")), lang_id.fit(read(spark, sf_dir, "documents")), ["page_id"])
+    return found.select("page_id", F.col("_language").alias("language"), F.col("_probability").alias("probability"), F.col("_rejected").alias("rejected"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts are control strings, formatted, stored, and read back as digests."""
     rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -48,7 +62,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(read(spark, sf_dir, "embeddings"), 20, F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_decontaminate, op4_wavelet_tokens, op6_byte_bpe, op8_chat_format, op9_license_scan, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_decontaminate, op4_wavelet_tokens, op6_byte_bpe, op7_language_id, page_language, op8_chat_format, op9_license_scan, op10_nearest)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
