@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, lang_id, license_scan, near_dedup, wavelet
+from . import ann, bpe, chat, decontaminate, lang_id, license_scan, lm_score, near_dedup, wavelet
 from .common import read, stored
 
 
@@ -24,6 +24,12 @@ def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(wavelet.write_shards(read(spark, sf_dir, "documents")))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of all documents, with those labelled good as target."""
+    good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_score.score(read(spark, sf_dir, "documents"), good)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents by public ranks and the bytes decoded from them, as digests."""
     return bpe.round_trip_digests(read(spark, sf_dir, "documents"))
@@ -62,7 +68,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(read(spark, sf_dir, "embeddings"), 20, F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_decontaminate, op4_wavelet_tokens, op6_byte_bpe, op7_language_id, page_language, op8_chat_format, op9_license_scan, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_decontaminate, op4_wavelet_tokens, op5_lm_score, op6_byte_bpe, op7_language_id, page_language, op8_chat_format, op9_license_scan, op10_nearest)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
