@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, lang_id, license_scan, lm_score, near_dedup, wavelet
+from . import ann, bpe, chat, decontaminate, lang_id, license_scan, lm_score, near_dedup, passage_dedup, wavelet
 from .common import read, stored
 
 
@@ -14,6 +14,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op2_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of all documents that an earlier document has too."""
+    return passage_dedup.passages(read(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -68,7 +73,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(read(spark, sf_dir, "embeddings"), 20, F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_decontaminate, op4_wavelet_tokens, op5_lm_score, op6_byte_bpe, op7_language_id, page_language, op8_chat_format, op9_license_scan, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_passage_dedup, op3_decontaminate, op4_wavelet_tokens, op5_lm_score, op6_byte_bpe, op7_language_id, page_language, op8_chat_format, op9_license_scan, op10_nearest)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
