@@ -93,7 +93,7 @@ def round_trip(docs: DataFrame, ranks_path: str | None = None, keep: tuple[str,
                     at, ids, raw = [], [], []
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
-    return docs.select(*keep, text).mapInArrow(run, f"{kinds}, ids binary, decoded binary")
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, f"{kinds}, ids binary, decoded binary")
 
 
 def round_trip_digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:

@@ -113,21 +113,21 @@ def priors(rows: DataFrame, model: Model) -> tuple[DataFrame, np.ndarray]:
     return stored(hosts.select("host", share(F.col("c")).alias("prior")), "priors"), base
 
 
-def identify(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The kept columns with _language, _probability, _text_language and _rejected. Rows need text and host; declared and address (language codes) are used where there are such columns."""
-    prior, base = priors(rows, model)
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((model, base))
-    given = [c for c in ("declared", "address") if c in rows.columns]
+def identify(rows: DataFrame, model: Model, keep: list[str], host: str, declared: str | None = None, address: str | None = None, text: str = "text") -> DataFrame:
+    """The kept columns with _sw_language, _sw_probability, _sw_text_language and _sw_rejected. host, declared and address name columns, the latter two of language codes."""
+    prior, base = priors(rows.select(F.col(host).cast("string").alias("host"), F.col(text).alias("text")), model)
+    shared = rows.sparkSession.sparkContext.broadcast((model, base))
     kinds = dict(rows.dtypes)
+    given = [(c, r) for c, r in ((declared, DECLARED), (address, ADDRESS)) if c]
+    names = ["_sw_language", "_sw_probability", "_sw_text_language", "_sw_rejected"]
 
     def judge(batches):
         m, whole = shared.value
         place = {k: i for i, k in enumerate(m.languages)}
         for b in batches:
             out = []
-            evidence = [(b.column(f"_sw_{c}").to_pylist(), r) for c, r in (("declared", DECLARED), ("address", ADDRESS)) if c in given]
-            for row, (x, p) in enumerate(zip(b.column("_sw_text"), b.column("_sw_prior"), strict=True)):
+            evidence = [(b.column(c).to_pylist(), r) for c, r in given]
+            for row, (x, p) in enumerate(zip(b.column(text), b.column("_sw_prior"), strict=True)):
                 ll, n = m.likelihood(x.as_py())
                 if not n or len(m.languages) < 2:
                     out.append((None, 0.0, None, True))
@@ -144,14 +144,19 @@ def identify(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 out.append((m.languages[best], share, m.languages[int(ll.argmax())], m.languages[best] == UNKNOWN or share < LEAST))
             columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
             types = (pa.string(), pa.float64(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[*keep, "_language", "_probability", "_text_language", "_rejected"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[*keep, *names])
 
-    asked = rows.select(*keep, F.col("host").cast("string").alias("_sw_host"), F.col("text").alias("_sw_text"), *(F.col(c).alias(f"_sw_{c}") for c in given))
+    asked = rows.select(*dict.fromkeys([*keep, text, *(c for c, _ in given)]), F.col(host).cast("string").alias("_sw_host"))
     joined = asked.join(prior.select(F.col("host").alias("_sw_host"), F.col("prior").alias("_sw_prior")), "_sw_host", "left").drop("_sw_host")
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "_language string, _probability double, _text_language string, _rejected boolean"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "_sw_language string, _sw_probability double, _sw_text_language string, _sw_rejected boolean"])
     return joined.mapInArrow(judge, schema)
 
 
+def accepted(docs: DataFrame, identity: str = "doc_id", label: str = "lang", host: str = "source") -> DataFrame:
+    """The rows whose language is found, with all their columns."""
+    return identify(docs, fit(docs, identity, label), docs.columns, host).where("not _sw_rejected").select(*docs.columns)
+
+
 _HTML_LANG = r"""(?is)<html[^>]*?\slang\s*=\s*["']?([a-z]{2,3})"""
 
 

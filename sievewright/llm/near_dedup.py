@@ -239,3 +239,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     out = sketches.select("doc_id", "n", "k1", "k2").join(ids, ["k1", "k2", "n"], "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "cid", "root")
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = 5) -> DataFrame:
+    """docs with one row of each group of near-duplicates, that of the smallest doc_id. Rows without doc_id stay; equal rows count as one."""
+    found = stored(near_duplicates(docs, percent, width).select("doc_id", "kept"), "kept")
+    left = docs.join(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        left = left.dropDuplicates(["doc_id", "text"])
+    return left

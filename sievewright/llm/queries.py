@@ -43,15 +43,15 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents, by text and source."""
     docs = read(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", "text", F.col("source").alias("host"))
-    found = lang_id.identify(rows, lang_id.fit(docs), ["doc_id"])
-    return found.select("doc_id", F.col("_language").alias("language"), F.col("_probability").alias("probability"), F.col("_text_language").alias("text_language"), F.col("_rejected").alias("rejected"))
+    found = lang_id.identify(docs, lang_id.fit(docs), ["doc_id"], "source")
+    return found.select("doc_id", F.col("_sw_language").alias("language"), F.col("_sw_probability").alias("probability"), F.col("_sw_text_language").alias("text_language"), F.col("_sw_rejected").alias("rejected"))
 
 
 def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all pages, by text, declaration, address and host, with the text model of the documents."""
-    found = lang_id.identify(lang_id.page_rows(read(spark, sf_dir, "pages")), lang_id.fit(read(spark, sf_dir, "documents")), ["page_id"])
-    return found.select("page_id", F.col("_language").alias("language"), F.col("_probability").alias("probability"), F.col("_rejected").alias("rejected"))
+    rows = lang_id.page_rows(read(spark, sf_dir, "pages"))
+    found = lang_id.identify(rows, lang_id.fit(read(spark, sf_dir, "documents")), ["page_id"], "host", "declared", "address")
+    return found.select("page_id", F.col("_sw_language").alias("language"), F.col("_sw_probability").alias("probability"), F.col("_sw_rejected").alias("rejected"))
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
