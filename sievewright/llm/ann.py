@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 DIMENSIONS, CONFIDENCE, LEAF = 8, 0.98, 256
-CELL, SAMPLE, QUERY_BLOCK = 131_072, 50_000, 50_000
+#: Rows of a cell: at most about CELL, and no fewer than LEAST_CELL for the sake of more tasks; a cell's best come close to the answer.
+CELL, LEAST_CELL, SAMPLE, QUERY_BLOCK = 131_072, 4096, 50_000, 50_000
 
 
 def chi_square(p: float, m: int) -> float:
@@ -175,7 +176,7 @@ def _searched(norm: float, k: int):
     def answers(index, queries):
         cid, bound = queries.column("cid").to_numpy(), queries.column("bound").to_numpy()
         place, score = index.search(_floats(queries.column("vec")), k, bound)
-        row, column = np.nonzero(place >= 0)
+        row, column = np.nonzero((place >= 0) & (score >= bound[:, None]))
         q, at = _floats(queries.column("vec")), place[row, column]
         exact = np.concatenate([np.cumsum(q[row[a : a + 4096]] * index.x[at[a : a + 4096]], axis=1)[:, -1] for a in range(0, len(row), 4096)]) if len(row) else np.zeros(0)
         return pa.RecordBatch.from_arrays([pa.array(cid[row]), pa.array(index.names[at]), pa.array(index.ids[at]), pa.array(exact)], names=["query", "cid", "first", "score"])
@@ -221,7 +222,7 @@ def neighbours(vectors: DataFrame, k: int, is_query: Column) -> DataFrame:
     norm = square**0.5
     picked = classes.where(F.pmod("cid", F.lit(1 << 20)) < max(1, int(2**20 * min(1.0, 0.9 * SAMPLE / n)))).select("vec").limit(SAMPLE).toPandas()["vec"]
     sample = _projected(np.array([np.frombuffer(v, "<f8") for v in picked]), norm, False) if len(picked) else np.zeros((0, DIMENSIONS))
-    cells = spark.sparkContext.broadcast(Cells(sample, min(max(-(-n // CELL), int(spark.conf.get("spark.sql.shuffle.partitions"))), max(1, len(sample) // 8))))
+    cells = spark.sparkContext.broadcast(Cells(sample, min(max(-(-n // CELL), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // LEAST_CELL)), max(1, len(sample) // 8))))
     salts = max(1, -(-asked // QUERY_BLOCK))
 
     def place(batches):
