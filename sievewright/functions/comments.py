@@ -6,7 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
 
 from .scanner import Unreadable, scan
 
@@ -80,10 +80,11 @@ def only_in_comments(source: str | None, key: str) -> bool | None:
         tokens, _ = scan(source)
     except Unreadable:
         return None
-    return not any(named.search(t.text) for t in tokens)
+    code = "".join(("" if _COMMENT.search(t.gap) is None and not t.gap else " ") + t.text for t in tokens)
+    return not named.search(code)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def comment_only(source: pd.Series, key: pd.Series) -> pd.Series:
     return pd.Series([only_in_comments(s, k) for s, k in zip(source, key, strict=True)], dtype=object)
 

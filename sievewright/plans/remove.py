@@ -65,7 +65,7 @@ def run(rows: DataFrame, files: DataFrame, accessors: Sequence[Accessor], ignore
     left = kept.select("flag", "path", F.when(F.col("reads") > 0, F.col("after")).otherwise(F.col("before")).alias("content"))
     left = left.join(decided.select(F.col("key").alias("flag"), "code_key"), "flag")
     named = F.regexp_like("content", F.concat(F.lit(f"(?<![{tokens.KEY}])\\Q"), F.col("code_key"), F.lit(f"\\E(?![{tokens.KEY}])")))
-    still = left.where(named).withColumn("quiet", comments.comment_only(F.col("content"), F.col("code_key")))
+    still = left.where(named).withColumn("quiet", F.when(checkout.language(F.col("path")).isin(*one.FOLDED), comments.comment_only(F.col("content"), F.col("code_key"))))
     unprocessed = still.where(~F.coalesce("quiet", F.lit(False))).groupBy("flag").agg(F.array_sort(F.collect_set("path")).alias("unprocessed_files"))
     lines = still.where("quiet").select("flag", "path", "code_key", F.posexplode(F.split("content", "\n", -1)).alias("at", "text")).where(F.contains("text", "code_key"))
     kept_comments = lines.groupBy("flag").agg(F.array_sort(F.collect_set(F.struct("path", (F.col("at") + 1).alias("line"), F.trim("text").alias("text")))).alias("kept_comments"))
@@ -74,7 +74,8 @@ def run(rows: DataFrame, files: DataFrame, accessors: Sequence[Accessor], ignore
     key = lambda df: df.withColumnRenamed("flag", "key")
     results = decided.withColumnRenamed("action", "early")
     for part in (diffs, refused, unprocessed, kept_comments):
-        results = results.join(key(part), "key", "left")
+        taken = key(part).withColumn("early", F.lit(None).cast("string"))
+        results = results.join(taken, (results["key"] == taken["key"]) & results["early"].isNull(), "left").drop(taken["key"], taken["early"])
     action = F.coalesce("early", F.when(F.col("refusal_reasons").isNotNull(), "unsafe-rewrite").otherwise("dry-run"))
     results = results.select("key", "treatment", "status", F.when(action == "dry-run", F.coalesce("diff", F.lit(""))).otherwise("").alias("diff"), action.alias("action"), F.lit(None).cast("string").alias("pr_url"), "unprocessed_files", "kept_comments", F.transform("refusal_reasons", lambda r: r["file"]).alias("refused_files"), "refusal_reasons", "blocked_by", "seq")
     findings = done.select("flag", "path", F.explode("findings").alias("f")).select("flag", "path", "f.line", "f.kind", "f.reason", F.lit(None).cast("string").alias("text"))
