@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable
 
 import numpy as np
 import xxhash
@@ -55,11 +56,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_bytes(column) -> Iterable[bytes]:
-    """UTF-8 bytes of each text of an Arrow column; null is empty."""
-    for x in column:
-        v = x.as_py()
-        yield b"" if v is None else v.encode() if isinstance(v, str) else v
+def shielded(docs: DataFrame):
+    """docs with columns of its own that begin with _sw_ under other names, and a function that gives them back."""
+    names = {c: f"_kept_{k}_{c}" for k, c in enumerate(docs.columns) if c.startswith("_sw_")}
+    return docs.withColumnsRenamed(names), lambda df: df.withColumnsRenamed({v: k for k, v in names.items()})
 
 
 def alnum_words(text: bytes) -> list[bytes]:
@@ -72,10 +72,46 @@ def space_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def _lower(session: SparkSession) -> None:
+    """Keep Arrow batches small enough for several Python workers beside an executor's heap; smaller settings stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = "".join(c for c in (session.conf.get(name, None) or "") if c.isdigit())
+        if not now or int(now) > most:
+            session.conf.set(name, str(most))
+
+
+def lean(run):
+    """A function for mapInArrow that gives memory back when its task ends; workers live on and run other operators' tasks."""
+    if session := SparkSession.getActiveSession():
+        _lower(session)
+
+    def go(batches):
+        yield from run(batches)
+        trim()
+
+    return go
+
+
+def trim() -> None:
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordIds(dict):
     """64-bit hashes of words, kept while there are not too many."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
+    _held: WordIds | None = None
+
+    @classmethod
+    def shared(cls) -> WordIds:
+        """One table for all tasks of a worker process."""
+        if cls._held is None:
+            cls._held = cls()
+        return cls._held
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
