@@ -18,6 +18,7 @@ from ..operators import agreement, candidates, mentions, report
 from ..sources import checkout
 from ..sources.config import Accessor
 from . import fold as one
+from . import python_fold
 
 _FOLDED = "flag string, path string, before string, after string, reads int, reason string, findings array<struct<line:int,kind:string,reason:string>>"
 
@@ -44,7 +45,10 @@ def folded(rows: DataFrame, accessors: Sequence[Accessor]) -> DataFrame:
                         done = one.fold(r.before, r.code_key, bool(r.treatment), reads, r.language)
                         after, n, findings = done.after, done.reads, done.findings
                         reason = one.refusal(r.before, after) if n else None
-                except Unreadable:
+                    elif r.language == "python":
+                        done = python_fold.fold(r.before, r.code_key, bool(r.treatment), reads)
+                        after, n = done.after, done.reads
+                except (Unreadable, SyntaxError):
                     findings = [(None, "unreadable", "the file was left: it does not scan")]
                 except (one.Refused, RecursionError) as e:
                     after, reason = r.before, str(e) or "nested too deep"

@@ -90,3 +90,82 @@ def test_undo_check(spark):
     b = spark.createDataFrame([("x", b"1"), ("z", b"2")], "path string, content binary")
     assert sorted(r.path for r in remove.restored(a, b).collect()) == ["y", "z"]
     assert remove.restored(a, a).count() == 0
+
+
+PY = accessors("is_on, !is_off, variant{flag}")[0]
+
+
+@pytest.mark.parametrize(
+    ("before", "on", "off"),
+    [
+        ('if is_on("k"):\n    a()\nelse:\n    b()\nc()\n', "a()\nc()\n", "b()\nc()\n"),
+        ('def f():\n    if client.is_on("k") and x:\n        return 1\n    return 2\n', "def f():\n    if x:\n        return 1\n    return 2\n", "def f():\n    return 2\n"),
+        ('if x:\n    a()\nelif is_on("k"):\n    b()\nelse:\n    c()\n', "if x:\n    a()\nelse:\n    b()\n", "if x:\n    a()\nelse:\n    c()\n"),
+        ('if is_on("k"):\n    a()\nelif x:\n    b()\n', "a()\n", "if x:\n    b()\n"),
+        ('y = 1 if not is_on("k") else 2\n', "y = 2\n", "y = 1\n"),
+        ('f(is_off("k"), variant(flag="k"), is_on("k2"))\n', 'f(False, True, is_on("k2"))\n', 'f(True, False, is_on("k2"))\n'),
+        ('if is_on("k"):\n    s = """\n    kept\n"""\n', 's = """\n    kept\n"""\n', ""),
+        ('z = x or is_on("k") or y\n', None, "z = x or y\n"),
+    ],
+)
+def test_python_folds(before, on, off):
+    from sievewright.plans.python_fold import fold as python
+
+    for value, want in ((True, on), (False, off)):
+        if want is not None:
+            assert python(before, "k", value, PY).after == want
+
+
+def test_python_refusals():
+    from sievewright.plans.python_fold import fold as python
+
+    with pytest.raises(Refused):
+        python('x = is_on("k").value\n', "k", True, PY)
+    with pytest.raises(SyntaxError):
+        python("if (", "k", True, PY)
+
+
+def test_wrappers_and_gates(spark):
+    from sievewright.plans import wrappers
+    from sievewright.sources.config import Gate
+
+    src = 'class A { isNew(): boolean { return !this.c.isEnabled("k"); } other() { return isEnabled("k") && x; } }\nfunction on() { return isEnabled("k"); }\n'
+    assert wrappers.discover(src, "k", READS) == [("isNew", True), ("on", False)]
+    df = spark.createDataFrame([("a.ts", src), ("b.ts", None)], "path string, content string")
+    assert wrappers.wrappers(df, "k", READS).count() == 2
+    gates = [Gate("Gate", "flag")]
+    page = '<p><Gate flag="k"><b>x</b></Gate><Gate flag="z"><i/></Gate><Gate flag={"k"}/></p>'
+    assert wrappers.unwrap_gates(page, "k", True, gates) == ('<p><b>x</b><Gate flag="z"><i/></Gate></p>', 2)
+    assert wrappers.unwrap_gates(page, "k", False, gates) == ('<p><Gate flag="z"><i/></Gate></p>', 2)
+    assert wrappers.without_calls("log(1);\nx(log(2));\nlog(f());\n", ["log"]) == ("\nx(log(2));\nlog(f());\n", ["log"])
+    calls = spark.createDataFrame([("a", "f", 10)], "path string, name string, line int")
+    notes = spark.createDataFrame([("a", 9, "near"), ("a", 7, "far"), ("b", 10, "other")], "path string, line int, text string")
+    assert [r.text for r in wrappers.comments_at_calls(calls, notes).collect()] == ["near"]
+
+
+def test_sinks(spark, tmp_path):
+    import subprocess
+
+    from sievewright.operators import sinks
+
+    subprocess.run(["git", "init", "-q", "-b", "main", str(tmp_path)], check=True)
+    for k in ("user.name", "user.email"):
+        subprocess.run(["git", "-C", str(tmp_path), "config", k, "x"], check=True)
+    (tmp_path / "a.ts").write_text("1")
+    (tmp_path / "b.ts").write_text("2")
+    rows = spark.createDataFrame([("a.ts", "1", "3"), ("b.ts", "2", None)], "path string, before string, after string")
+    subprocess.run(["git", "-C", str(tmp_path), "add", "."], check=True)
+    subprocess.run(["git", "-C", str(tmp_path), "commit", "-qm", "x"], check=True)
+    paths = sinks.apply(rows, str(tmp_path))
+    assert (tmp_path / "a.ts").read_text() == "3" and not (tmp_path / "b.ts").exists()
+    assert len(sinks.commit(str(tmp_path), paths, "remove", "gone")) == 40
+    remote = tmp_path / "remote.git"
+    subprocess.run(["git", "init", "-q", "--bare", str(remote)], check=True)
+    assert sinks.push(str(tmp_path), str(remote), "gone")
+    subprocess.run(["git", "-C", str(tmp_path), "commit", "-q", "--amend", "-m", "again"], check=True)
+    assert not sinks.push(str(tmp_path), str(remote), "gone", "1" * 40) and not sinks.push(str(tmp_path), str(remote), "gone")
+    with pytest.raises((RuntimeError, FileNotFoundError)):
+        sinks.apply(rows, str(tmp_path))
+    sent = []
+    r = sinks.Reporter(lambda k, u: sent.append(k) or ("forbidden" if k == "b" else "linked"))
+    assert [r.report("a", "u"), r.report("x", None), r.report("b", "u"), r.report("c", "u")] == ["linked", "nothing", "forbidden", "stopped"]
