@@ -7,8 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# The prefix of removal branches, the longest escaped key, and the patterns of keys.
-BRANCH_PREFIX = "featureflip/remove-flag/"
+# The prefix of removal branches (a parameter of the functions below), the longest escaped key, and the patterns of keys.
+BRANCH_PREFIX = "cleanup/remove-flag/"
 LONGEST = 240
 PLATFORM_KEY = r"^[a-z0-9]+([-_][a-z0-9]+)*$"
 CODE_KEY = r"^[A-Za-z0-9_](?:[A-Za-z0-9_.:-]*[A-Za-z0-9_])?$"
@@ -52,15 +52,15 @@ def _unescape(segments: pd.Series) -> pd.Series:
     return segments.map(unescape)
 
 
-def removal_branch(key: Column) -> Column:
+def removal_branch(key: Column, prefix: str = BRANCH_PREFIX) -> Column:
     """The branch of a key, null where it has none. Keys of the safe alphabet stay in the JVM."""
     plain = key.rlike("^[A-Za-z0-9_-]+$") & (F.length(key) <= LONGEST)
-    return F.concat(F.lit(BRANCH_PREFIX), F.when(plain, key).otherwise(_escape(key)))
+    return F.concat(F.lit(prefix), F.when(plain, key).otherwise(_escape(key)))
 
 
-def key_of_branch(branch: Column) -> Column:
+def key_of_branch(branch: Column, prefix: str = BRANCH_PREFIX) -> Column:
     """The inverse of removal_branch: null for any branch that it could not have made."""
-    return F.when(branch.startswith(BRANCH_PREFIX), _unescape(F.substring(branch, len(BRANCH_PREFIX) + 1, 1 << 20)))
+    return F.when(branch.startswith(prefix), _unescape(F.substring(branch, len(prefix) + 1, 1 << 20)))
 
 
 def is_code_key(key: Column) -> Column:

@@ -70,7 +70,7 @@ def archive_each(rows: DataFrame, send: Callable[[str], str], stop_on: tuple[str
 # Markers in comments, and the commands that a comment can give.
 HOLD_MARKER = r"<!-- flag-hold draft=(true|false) -->"
 RELEASE_MARKER = "<!-- flag-release -->"
-COMMAND_PREFIX = "@featureflip-cleanup"
+COMMAND_PREFIX = "@flag-cleanup"
 COMMANDS = ("rerun", "recreate")
 
 
@@ -82,9 +82,9 @@ def active_holds(comments: DataFrame) -> DataFrame:
     return last.where("draft != ''").select("pull", (F.col("draft") == "true").alias("was_draft"))
 
 
-def command(body: Column) -> Column:
+def command(body: Column, mention: str = COMMAND_PREFIX) -> Column:
     """The command of a comment: a whole line of the mention and a known verb, in any case, outside fenced and indented code and HTML comments; null without one."""
     shown = F.regexp_replace(body, r"(?s)<!--.*?(-->|$)", "")
     shown = F.regexp_replace(shown, r"(?ms)^[ ]{0,3}(`{3,}|~{3,})[^\n]*\n.*?(^[ ]{0,3}\1[`~]*[ \t]*$|\z)", "")
-    found = F.regexp_extract(shown, rf"(?im)^[ ]{{0,3}}{COMMAND_PREFIX}[ \t]+({'|'.join(COMMANDS)})[ \t]*\r?$", 1)
+    found = F.regexp_extract(shown, rf"(?im)^[ ]{{0,3}}{mention}[ \t]+({'|'.join(COMMANDS)})[ \t]*\r?$", 1)
     return F.when(found != "", F.lower(found))

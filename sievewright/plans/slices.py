@@ -198,7 +198,7 @@ def token_set_diff(read):
     return read("documents").select("doc_id", F.size(tokens.fused(F.col("text"), F.replace("text", F.lit(" th"), F.lit("th")))).cast("long").alias("n"))
 
 
-@slice_of("SELECT p_partkey, 'featureflip/remove-flag/' || replace(replace(replace(p_name || '/' || p_brand, '#', '=23'), ' ', '=20'), '/', '=2F') AS branch, p_name || '/' || p_brand AS key FROM part")
+@slice_of("SELECT p_partkey, 'cleanup/remove-flag/' || replace(replace(replace(p_name || '/' || p_brand, '#', '=23'), ' ', '=20'), '/', '=2F') AS branch, p_name || '/' || p_brand AS key FROM part")
 def branch_round_trip(read):
     """Keys as branches, and back."""
     rows = read("part").select("p_partkey", F.concat_ws("/", "p_name", "p_brand").alias("k")).select("p_partkey", keys.removal_branch(F.col("k")).alias("branch"))
