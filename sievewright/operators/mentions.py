@@ -1,7 +1,7 @@
 """Which files name which keys, and what kind of mention it is.
 
 The join is on tokens: each text is cut into its distinct tokens of a character class, and names are met by equality. A
-name that isn't one token of the class is searched for as text, with all such names in one pattern.
+name that isn't one token of the class is searched for as text, with all such names in one pattern; so are up to FEW names.
 A file whose content is null can't be read, so it may name anything: it comes back with a null name.
 """
 
@@ -13,21 +13,26 @@ from pyspark.sql import functions as F
 from ..functions import tokens
 from .relational import closure, first_by
 
+#: So many names are searched for in each text, which is cheaper than cutting the text into tokens.
+FEW = 32
+
 
 def mention_files(files: DataFrame, names: DataFrame, inside: str = tokens.IDENTIFIER, path: str = "path", content: str = "content") -> DataFrame:
     """path and name for each file and each name (a table of name) that it mentions as a token; name is null for an unreadable file."""
-    whole = names.select("name").where(F.col("name").rlike(f"^[{inside}]+$")).distinct()
-    parts = [r.name for r in names.select("name").where(~F.col("name").rlike(f"^[{inside}]+$")).distinct().limit(10_001).collect()]
+    distinct = names.select("name").where(F.col("name").isNotNull()).distinct()
+    parts = [r.name for r in distinct.limit(FEW + 1).collect()]
+    many = len(parts) > FEW
+    if many:
+        parts = [r.name for r in distinct.where(~F.col("name").rlike(f"^[{inside}]+$")).limit(10_001).collect()]
     if len(parts) > 10_000:
         raise ValueError("over 10,000 names that aren't single tokens; split them")
     text = files.select(path, content).where(F.col(content).isNotNull())
-    found = text.select(path, F.explode(tokens.tokens(F.col(content), inside)).alias("name")).join(whole, "name", "left_semi").select(path, "name")
-    if parts:
-        some = text.where(tokens.mentions_any(F.col(content), parts))
-        hits = F.filter(F.array(*map(F.lit, parts)), lambda n: F.contains(F.col(content), n))
-        odd = some.select(path, content, F.explode(hits).alias("name"))
-        quoted = F.concat(F.lit(f"(?<![{inside}])\\Q"), F.col("name"), F.lit(f"\\E(?![{inside}])"))
-        found = found.union(odd.where(F.regexp_like(content, quoted)).select(path, "name"))
+    hits = F.filter(F.array(*map(F.lit, parts)).cast("array<string>"), lambda n: F.contains(F.col(content), n))
+    quoted = F.concat(F.lit(f"(?<![{inside}])\\Q"), F.col("name"), F.lit(f"\\E(?![{inside}])"))
+    found = text.select(path, content, F.explode(hits).alias("name")).where(F.regexp_like(content, quoted)).select(path, "name")
+    if many:
+        whole = distinct.where(F.col("name").rlike(f"^[{inside}]+$"))
+        found = found.union(text.select(path, F.explode(tokens.tokens(F.col(content), inside)).alias("name")).join(whole, "name", "left_semi").select(path, "name"))
     unread = files.where(F.col(content).isNull()).select(path, F.lit(None).cast("string").alias("name"))
     return found.union(unread)
 

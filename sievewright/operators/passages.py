@@ -5,27 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ANCHOR = 5
-
 
 def containing(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str = "text") -> DataFrame:
     """item and document of each item whose text stands in the document's, character for character.
 
-    If it does, the item's second to sixth words stand there as whole words: they are met by a hash, and what they meet
-    is verified. Items of fewer than ANCHOR + 2 words, whose words may be parts of others, are tried on every document.
+    If it does, the item's words but the first and the last stand there as whole words. The longest of them is met by an
+    equality join with the documents' distinct words, and what it meets is verified. Items of one or two words, which may
+    be parts of others, are tried on every document.
     """
     words = lambda c: F.split(c, r"\s+")
     asked = items.where(F.col(text).isNotNull()).select(F.col(item_id).alias("_item"), F.col(text).alias("_part")).withColumn("_words", words("_part"))
-    long = asked.where(F.size("_words") >= ANCHOR + 2)
-    anchors = long.select("_item", "_part", F.xxhash64(F.slice("_words", 2, ANCHOR)).alias("_anchor"))
-    split = docs.select(doc_id, text).withColumn("_words", words(text))
-    places = F.sequence(F.lit(1), F.size("_words") - (ANCHOR - 1))
-    hashes = F.array_distinct(F.transform(places, lambda k: F.xxhash64(F.slice("_words", k, ANCHOR))))
-    met = split.where(F.size("_words") >= ANCHOR).select(doc_id, F.explode(hashes).alias("_anchor")).join(anchors, "_anchor").select(doc_id, "_item", "_part").distinct()
+    inner = F.slice("_words", F.lit(2), F.size("_words") - 2)
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    anchors = asked.where(F.size("_words") > 2).select("_item", "_part", longest.alias("_anchor"))
+    split = docs.where(F.col(text).isNotNull()).select(doc_id, F.explode(F.array_distinct(words(text))).alias("_anchor"))
+    met = split.join(anchors, "_anchor").select(doc_id, "_item", "_part")
     found = met.join(docs.select(doc_id, text), doc_id).where(F.contains(text, "_part")).select(F.col("_item").alias(item_id), doc_id)
-    short = [(r._item, r._part) for r in asked.where(F.size("_words") < ANCHOR + 2).select("_item", "_part").limit(1001).collect()]
+    short = [(r._item, r._part) for r in asked.where(F.size("_words") <= 2).select("_item", "_part").limit(1001).collect()]
     if len(short) > 1000:
-        raise ValueError("over 1,000 items of a few words; split them")
+        raise ValueError("over 1,000 items of one or two words; split them")
     for item, part in short:
         found = found.union(docs.where(F.contains(text, F.lit(part))).select(F.lit(item).alias(item_id), doc_id))
     return found

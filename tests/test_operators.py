@@ -80,7 +80,9 @@ def test_spans_and_prefixes(spark):
     assert {r.path: r.module for r in resolve.modules_of(files, modules).collect()} == {"a/b/c.ts": "AB", "a/x.ts": "A", "z.ts": None}
 
 
-def test_mentions_by_token_join(spark):
+@pytest.mark.parametrize("few", [0, 32])
+def test_mentions_by_token_join(spark, monkeypatch, few):
+    monkeypatch.setattr(mentions, "FEW", few)
     files = spark.createDataFrame([("1", "f(NAME)"), ("2", "NAMES"), ("3", None), ("4", "a.b c")], "path string, content string")
     names = spark.createDataFrame([("NAME",), ("a.b",), ("zz",)], "name string")
     assert rows(mentions.mention_files(files, names).where("name is not null")) == [("1", "NAME"), ("4", "a.b")]
@@ -163,7 +165,7 @@ def test_holds(spark):
 def test_passages(spark):
     d = spark.createDataFrame([(1, "xx one two three four five six seven yy"), (2, "one two"), (3, None)], "doc_id int, text string")
     i = spark.createDataFrame([(1, "one two three four five six seven"), (2, "x one two three four five six sev"), (3, "o t"), (4, "ne two"), (5, None)], "item_id int, text string")
-    assert rows(passages.containing(d, i, "doc_id", "item_id"), "item_id", "doc_id") == [(1, 1), (3, 1), (4, 1), (4, 2)]
+    assert rows(passages.containing(d, i, "doc_id", "item_id"), "item_id", "doc_id") == [(1, 1), (2, 1), (3, 1), (4, 1), (4, 2)]
 
 
 def test_report(spark):
