@@ -20,11 +20,15 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 #: Texts of more characters are encoded piece by piece.
 LONG_TEXT = 20_000
 
 #: Characters that some engines take for white space, besides blank, tab and line breaks.
 _ODD_SPACE = "\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: The same characters, as a class of any regex engine.
+ODD_RE2 = f"[{_ODD_SPACE}]"
 _SAFE = re.compile(f"(?<=[^ \t\n\r{_ODD_SPACE}])(?=[ \t\n\r])")
 SPACE = re.compile(f"[ \t\n\r{_ODD_SPACE}]")
 _HAS_ODD = re.compile(f"[{_ODD_SPACE}]")
@@ -63,6 +67,15 @@ class Ranks:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
 
+    _held: dict[str | None, Ranks] = {}
+
+    @classmethod
+    def shared(cls, path: str | None = None) -> Ranks:
+        """One for all tasks of a worker process."""
+        if path not in cls._held:
+            cls._held[path] = cls(path)
+        return cls._held[path]
+
     def encode(self, text: str) -> np.ndarray:
         if len(text) <= LONG_TEXT:
             return np.array(self.encoder.encode_ordinary(text), "<u4")
@@ -79,7 +92,7 @@ def round_trip(docs: DataFrame, ranks_path: str | None = None, keep: tuple[str,
     """
 
     def run(batches):
-        ranks = Ranks(ranks_path)
+        ranks = Ranks.shared(ranks_path)
         for batch in batches:
             kept = [batch.column(c) for c in keep]
             at, ids, raw = [], [], []
@@ -93,14 +106,14 @@ def round_trip(docs: DataFrame, ranks_path: str | None = None, keep: tuple[str,
                     at, ids, raw = [], [], []
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, f"{kinds}, ids binary, decoded binary")
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(lean(run), f"{kinds}, ids binary, decoded binary")
 
 
 def round_trip_digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of `round_trip`, without moving ids or bytes out of the workers."""
 
     def run(batches):
-        ranks = Ranks(ranks_path)
+        ranks = Ranks.shared(ranks_path)
         for batch in batches:
             n, a, b = [], [], []
             for x in batch.column("text"):
@@ -111,4 +124,4 @@ def round_trip_digests(docs: DataFrame, ranks_path: str | None = None) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

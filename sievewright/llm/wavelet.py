@@ -12,19 +12,21 @@ plane from the highest bit its bits (packed, first bit highest). Ranks are summe
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import stored
+from .common import lean, stored
 
 MAGIC = b"WVM1"
 #: A shard is closed by the document that brings it to this many tokens.
@@ -45,10 +47,9 @@ def build(tokens: np.ndarray, lengths: np.ndarray) -> bytes:
     for k in range(planes):
         one = (now & now.dtype.type(1 << (planes - 1 - k))) != 0
         bits.append(np.packbits(one).tobytes())
-        zero = ~one
-        low = now[zero]
+        low = np.compress(~one, now)
         zeros[k] = len(low)
-        now = np.concatenate((low, now[one]))
+        now = np.concatenate((low, np.compress(one, now)))
     pack = zstandard.ZstdCompressor(level=1).compress
     parts = [alphabet.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), zeros.tobytes(), *bits]
     out = [_HEAD.pack(MAGIC, 1, len(tokens), len(lengths), len(alphabet), planes)]
@@ -144,16 +145,36 @@ class Shard:
         for k in reversed(range(self.planes)):
             one = np.unpackbits(self._packed[k], count=self.n_tokens).view(bool)
             z, up = int(self.zeros[k]), np.empty_like(now)
-            up[~one] = now[:z]
-            up[one] = now[z:] | now.dtype.type(1 << (self.planes - 1 - k))
+            up[np.flatnonzero(~one)] = now[:z]
+            up[np.flatnonzero(one)] = now[z:] | now.dtype.type(1 << (self.planes - 1 - k))
             now = up
         return self.alphabet[now] if self.sigma else now.astype("<u4")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character for each byte in a byte-level vocabulary: printable ones of Latin-1 stand for themselves, the others for characters from 256 on, in order."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
+
+
+_BYTES = _byte_letters()
+
+
 class Encoder:
-    """Ids by the tokenizers library. Texts are cut at safe boundaries and each distinct cut is encoded by the library once while it is remembered."""
+    """Ids by the tokenizers library. Texts are cut at safe boundaries, and each distinct cut is encoded by the library once while it is remembered.
 
-    LIMIT, LONGEST = 500_000, 64
+    Boundaries are before a blank that follows no white space, and between a Latin letter and a sign of ASCII other than
+    the apostrophe or a line break: no alternative of the split pattern has both.
+    """
+
+    LIMIT, LONGEST = 700_000, 64
+    MARK = "\x01"
+    #: Texts in which a blank follows white space, or with characters that may be white space, or with the mark, are cut elsewhere.
+    IRREGULAR = f"[ \t\n\r] |{bpe.ODD_RE2}|\x01"
+    LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+    BEFORE_SIGN = rf"([{LETTERS}])([!-&(-/:-@\[-`{{-~\n])"
+    _WORD = re.compile(f" ?[{LETTERS}]+")
+    _held: dict[str | None, Encoder] = {}
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -161,45 +182,83 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
         self.tokenizer.encode_special_tokens = True
-        #: Bytes of each id: a byte-level vocabulary writes each byte as one character.
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.size[i] = len(token)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _learn(self, unknown: list[str]) -> None:
-        """Encode cuts that aren't remembered. Those that begin with white space and end without share calls of the library, and its ids are dealt to them by length in bytes."""
-        joint, alone = [], []
-        for x in unknown:
-            (joint if x[0] in " \t\n\r" and not bpe.SPACE.match(x[-1]) else alone).append(x)
-        for x, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self.new[x] = np.array(e.ids, "<u4").tobytes()
-        for start in range(0, len(joint), 2000):
-            part = joint[start : start + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(x.encode()) for x in part])) + 1
-            raw, at = ids.tobytes(), [0, *(cuts * 4).tolist()]
-            self.new.update(zip(part, map(raw.__getitem__, map(slice, at, at[1:])), strict=True))
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut = [bpe.chunks(x) for x in texts]
-        new, old = self.new, self.old
-        held = [list(map(new.get, x)) for x in cut]
-        unknown = {x for chunk, got in zip(cut, held, strict=True) if None in got for x, v in zip(chunk, got, strict=True) if v is None}
-        found = {x: v for x in unknown if (v := old.get(x)) is not None}
-        new.update(found)
-        self._learn([x for x in unknown if x not in found])
-        out = [b"".join([new[x] if v is None else v for x, v in zip(chunk, got, strict=True)] if None in got else got) for chunk, got in zip(cut, held, strict=True)]
-        for x in unknown:
-            if len(x) > self.LONGEST:
-                del new[x]
-        if len(new) > self.LIMIT:
-            self.old, self.new = new, {}
+    @classmethod
+    def shared(cls, path: str | None = None) -> Encoder:
+        """One encoder for all tasks of a worker process, which keeps what it has learnt."""
+        if path not in cls._held:
+            cls._held[path] = cls(path)
+        return cls._held[path]
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, by the library alone."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def irregular(self, text: str) -> bytes:
+        """Ids of one text, cut into pieces that keep the library's memory small."""
+        return b"".join(self.plain(list(bpe.pieces(text))))
+
+    def _learn(self, unknown: list[str]) -> dict[str, bytes]:
+        """Ids of cuts. Those of letters are one piece of the split pattern each, so the library's merges are asked directly."""
+        whole = self._WORD.fullmatch
+        words = [x for x in unknown if whole(x)]
+        rest = [x for x in unknown if not whole(x)]
+        out = dict(zip(rest, self.plain(rest), strict=True))
+        merge, table = self.tokenizer.model.tokenize, _BYTES
+        for x in words:
+            ids = [t.id for t in merge(x.encode().decode("latin1").translate(table))]
+            out[x] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
+    def _known(self, cuts: list[str]) -> list[bytes]:
+        """Ids of each cut."""
+        got = list(map(self.new.get, cuts))
+        if None in got:
+            unknown = [x for x, v in zip(cuts, got, strict=True) if v is None]
+            learnt = {x: v for x in unknown if (v := self.old.get(x)) is not None}
+            learnt |= self._learn([x for x in unknown if x not in learnt])
+            got = [learnt[x] if v is None else v for x, v in zip(cuts, got, strict=True)]
+            self.new.update((x, v) for x, v in learnt.items() if len(x) <= self.LONGEST)
+            if len(self.new) > self.LIMIT:
+                self.old, self.new = self.new, {}
+        return got
+
+    def _regular(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        marked = pc.replace_substring(pc.replace_substring_regex(texts, self.BEFORE_SIGN, rf"\1{self.MARK}\2"), " ", self.MARK + " ")
+        cuts = pc.split_pattern(marked, self.MARK)
+        offsets = cuts.offsets.to_numpy().astype(np.int64)
+        values = cuts.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0]))
+        offsets -= offsets[0]
+        coded = values.dictionary_encode()
+        known = [*self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), np.array([end], "<u4").tobytes()]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        start = np.cumsum(size) - size
+        code = np.insert(coded.indices.to_numpy(), offsets[1:], len(known) - 1)
+        many = size[code]
+        place = np.repeat(start[code] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        return np.frombuffer(b"".join(known), "<u4")[place], np.add.reduceat(many, offsets[:-1] + np.arange(len(texts)))
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts (null: empty), each with the end id after it, one after the other, and how many each has."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, self.IRREGULAR)
+        places = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        even = texts.filter(pc.invert(odd))
+        tokens, lengths = self._regular(even, end) if len(even) else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        if not len(places):
+            return tokens, lengths
+        parts, at = np.split(tokens, np.cumsum(lengths)[:-1]) if len(lengths) else [], 0
+        irregular, out = set(places.tolist()), []
+        for row in range(len(texts)):
+            if row in irregular:
+                out.append(np.append(np.frombuffer(self.irregular(texts[row].as_py()), "<u4"), np.uint32(end)))
+            else:
+                out.append(parts[at])
+                at += 1
+        return np.concatenate(out), np.array(list(map(len, out)), np.int64)
+
 
 def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, shard_tokens: int = SHARD_TOKENS, partitions: int | None = None) -> DataFrame:
     """Encode whole texts, end each document with `end_id`, and write shards in ascending doc_id order; the stored table is returned.
@@ -214,22 +273,27 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
     def run(batches):
         from pyspark import TaskContext
 
-        part, encoder, end = TaskContext.get().partitionId(), Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        part, encoder = TaskContext.get().partitionId(), Encoder.shared(tokenizer)
         ids, lengths, held, shard, before, size = [], [], [], 0, 0, 0
 
         def close():
-            tokens = np.frombuffer(b"".join(held), "<u4")
+            tokens = np.concatenate(held)
             arrays = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([len(tokens)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([build(tokens, np.array(lengths, "<u4"))], pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, names=["part", "shard", "before", "n_tokens", "doc_ids", "data"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                for i, x in zip(some.column("doc_id").to_pylist(), encoder.encode_many([x or "" for x in some.column("text").to_pylist()]), strict=True):
-                    held.append(x + end)
-                    ids.append(i)
-                    lengths.append(len(x) // 4 + 1)
-                    size += lengths[-1]
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                names, row, spot = some.column("doc_id").to_pylist(), 0, 0
+                tokens, counts = encoder.encode(some.column("text"), end_id)
+                while row < len(names):
+                    take = int(np.searchsorted(np.cumsum(counts[row:]), max(1, shard_tokens - size))) + 1  # the document that fills the shard is its last
+                    take = min(take, len(names) - row)
+                    n = int(counts[row : row + take].sum())
+                    held.append(tokens[spot : spot + n])
+                    ids += names[row : row + take]
+                    lengths += counts[row : row + take].tolist()
+                    row, spot, size = row + take, spot + n, size + n
                     if size >= shard_tokens:
                         yield close()
                         ids, lengths, held, shard, before, size = [], [], [], shard + 1, before + size, 0
@@ -237,7 +301,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
             yield close()
 
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(ranged.mapInArrow(run, "part int, shard int, before long, n_tokens long, doc_ids array<long>, data binary"), "wavelet")
+    return stored(ranged.mapInArrow(lean(run), "part int, shard int, before long, n_tokens long, doc_ids array<long>, data binary"), "wavelet")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -258,4 +322,4 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 first = one.column("base")[0].as_py() + one.column("before")[0].as_py()
                 yield pa.RecordBatch.from_arrays([one.column("doc_ids").flatten(), pa.array(starts + first, pa.int64()), pa.array(shard.lengths, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.join(F.broadcast(bases), "part").select("base", "before", "doc_ids", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.join(F.broadcast(bases), "part").select("base", "before", "doc_ids", "data").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
