@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, text, tokens
+from ..model import CANDIDATES
 from ..operators import agreement, archive, candidates, mentions, passages, relational, report, resolve
+from ..sources import events
+from ..sources.config import Accessor
+from . import remove
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -275,3 +279,55 @@ def alias_closure(read):
     c = read("customer").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     renames = n.select(F.col("r_name").alias("original"), F.col("n_name").alias("alias")).union(c.select("n_name", "c_name"))
     return mentions.with_aliases(read("region").where("r_regionkey in (0, 2)").select(F.col("r_name").alias("name")), renames)
+
+
+def _sources(read):
+    """Orders as files, each with one read of one of seven flags."""
+    flag = F.concat(F.lit("flag-"), (F.col("o_custkey") % 7).cast("string"))
+    content = F.concat(F.lit("const v = client.isEnabled('"), flag, F.lit("') ? a("), F.col("o_orderkey").cast("string"), F.lit(") : b;\n"))
+    return read("orders").select(F.col("o_orderkey").cast("string").alias("path"), content.alias("content"))
+
+
+def _flags(spark):
+    return spark.createDataFrame([(f"flag-{k}", "", k % 2 == 0, "Dead", [], k) for k in range(7)], CANDIDATES)
+
+
+_ON = "o_custkey % 7 % 2 = 0"
+_BEFORE = "'const v = client.isEnabled(''flag-' || (o_custkey % 7) || ''') ? a(' || o_orderkey || ') : b;'"
+_AFTER = f"CASE WHEN {_ON} THEN 'const v = a(' || o_orderkey || ');' ELSE 'const v = b;' END"
+
+
+@slice_of(f"SELECT o_orderkey, 'flag-' || (o_custkey % 7) AS flag, {_AFTER} || chr(10) AS after FROM orders")
+def fold_reads(read):
+    """Every read folded to the value served: the mention join, then one fold for each pair of flag and file."""
+    files = _sources(read)
+    open_flags = candidates.decide(_flags(files.sparkSession)).where("action is null")
+    met = remove.pairs(open_flags, files).withColumn("language", F.lit("ts"))
+    return remove.folded(met, [Accessor("isEnabled")]).select(F.col("path").cast("long").alias("o_orderkey"), "flag", "after")
+
+
+@slice_of(f"""SELECT o_orderkey, '--- a/' || o_orderkey || chr(10) || '+++ b/' || o_orderkey || chr(10) || '@@ -1 +1 @@' || chr(10)
+|| '-' || {_BEFORE} || chr(10) || '+' || {_AFTER} || chr(10) AS diff FROM orders WHERE o_custkey % 7 < 2""")
+def file_diffs(read):
+    """Unified diffs of the folds of two flags."""
+    files = _sources(read)
+    two = candidates.decide(_flags(files.sparkSession), allow=["flag-0", "flag-1"]).where("action is null")
+    done = remove.folded(remove.pairs(two, files).withColumn("language", F.lit("ts")), [Accessor("isEnabled")])
+    return done.select(F.col("path").cast("long").alias("o_orderkey"), text.diff("path", "before", "after").alias("diff"))
+
+
+@slice_of("SELECT o_orderkey, '{\"id\": ' || o_orderkey || ', \"s\": {\"kept\": 1}}' AS text FROM orders")
+def json_edit(read):
+    """A key cut out of a section of JSON with comments, byte for byte otherwise."""
+    source = F.concat(F.lit('{"id": '), F.col("o_orderkey").cast("string"), F.lit(', "s": {"kept": 1, /* gone */ "flag": {"x": [1, "}"]}}}'))
+    done = text.without_keys(source, F.lit("s"), F.array(F.lit("flag")))
+    return read("orders").select("o_orderkey", done["text"].alias("text"))
+
+
+@slice_of("SELECT CAST(o_orderkey AS INT) AS pull_request, 'key/' || o_custkey AS key FROM orders WHERE o_orderstatus = 'F'")
+def merged_events(read):
+    """Orders as events of requests: those merged, with the key that their branch stands for."""
+    head = F.struct(F.concat(F.lit(keys.BRANCH_PREFIX), F.lit("key=2F"), F.col("o_custkey").cast("string")).alias("ref"))
+    request = F.struct((F.col("o_orderstatus") == "F").alias("merged"), F.col("o_orderkey").cast("int").alias("number"), F.lit("u").alias("html_url"), F.lit("s").alias("merge_commit_sha"), head.alias("head"), F.struct(F.lit("main").alias("ref")).alias("base"))
+    raw = read("orders").select(F.to_json(F.struct(F.lit("closed").alias("action"), request.alias("pull_request"))).alias("value"))
+    return events.merged_requests(raw).select("pull_request", "key")
