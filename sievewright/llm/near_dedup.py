@@ -13,7 +13,9 @@ nothing. Documents are linked if 100 * |intersection| >= PERCENT * |union|.
    its pairs. The forests' components are candidate groups.
 4. Within a candidate group, full sets are compared, and links give spanning forests again; their components are the answer.
 
-Groups over a block's size are dealt out as pairs of blocks, so no task holds a whole group.
+Groups over a block's size are dealt out as pairs of blocks, so no task holds a whole group. Of full sets, each block first
+meets itself and one other; then only rows outside a group's largest component meet the rest, so a group of copies costs
+as many block pairs as it has blocks.
 Nulls and empty texts: no words. Equal texts, repeated rows and repeated doc_ids: linked like any others. Other columns
 are left out. Classes of different sets share their 64-bit id with a probability of n * n / 2 ** 65.
 """
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, components, forest, groups, mix64, space_words, stored
+from .common import components, forest, groups, lean, mix64, space_words, stored, WordIds
 
 SHINGLE, PERCENT = 2, 80
 SLOTS, CHUNKS, WIDTH, ERRORS = 128, 10, 4, 1
@@ -72,7 +74,7 @@ def sketch(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
-        ids = WordIds()
+        ids = WordIds.shared()
         for batch in batches:
             n, k1, k2, sig = [], [], [], []
             for x in batch.column("text"):
@@ -84,7 +86,7 @@ def sketch(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                 sig.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "k1", "k2", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n long, k1 long, k2 long, sig binary")
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ def _keys(classes: DataFrame) -> DataFrame:
                     made.append(key.astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made)), pa.array(np.tile(cid, len(made)))], names=["key", "cid"])
 
-    return classes.select("cid", "sig").mapInArrow(run, "key long, cid long")
+    return classes.select("cid", "sig").mapInArrow(lean(run), "key long, cid long")
 
 
 def _units(rows: DataFrame, group: str, size: str, block: int) -> DataFrame:
@@ -117,6 +119,29 @@ def _units(rows: DataFrame, group: str, size: str, block: int) -> DataFrame:
     return dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "cid")
 
 
+def _first_units(rows: DataFrame, block: int) -> DataFrame:
+    """Rows of groups (g) dealt into units of a block with itself and with block 0: as many units as twice the blocks."""
+    dealt = rows.withColumn("nb", F.ceil(F.col("size") / block).cast("int")).withColumn("b", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
+    meets = F.when(F.col("b") == 0, F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array(F.lit(0), F.col("b")))
+    dealt = dealt.withColumn("o", F.explode(meets)).withColumn("i", F.when(F.col("o") == F.col("b"), F.col("b")).otherwise(0)).withColumn("j", F.greatest("b", "o")).drop("o", "nb", "size")
+    return dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "cid")
+
+
+def _last_units(rows: DataFrame, joined: DataFrame, block: int) -> DataFrame:
+    """Rows of large groups that aren't one component yet, dealt so that each two rows meet of which at least one is outside the group's largest component."""
+    parts = rows.where(F.col("size") > block).select("g", "cid").join(joined.select(F.col("node").alias("cid"), F.col("component").alias("part")), "cid", "left").withColumn("part", F.coalesce("part", "cid"))
+    sizes = parts.groupBy("g", "part").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("g").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all")).where("all > top.n")
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    split = split.select("g", F.col("top.part").alias("main"), blocks(F.col("all") - F.col("top.n")).alias("nr"), blocks(F.col("top.n")).alias("nm"))
+    placed = parts.join(split, "g").withColumn("rest", F.col("part") != F.col("main"))
+    b = F.when(F.col("rest"), F.pmod(F.xxhash64("cid"), F.col("nr"))).otherwise(F.col("nr") + F.pmod(F.xxhash64("cid"), F.col("nm"))).cast("int")
+    meets = F.sequence(F.lit(0), F.when(F.col("rest"), F.col("nr") + F.col("nm")).otherwise(F.col("nr")) - 1)
+    dealt = placed.withColumn("b", b).withColumn("o", F.explode(meets)).select("g", "cid", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    met = dealt.join(rows.select("g", "cid", "set"), ["g", "cid"])
+    return met.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "cid")
+
+
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.int64())], names=["a", "b"])
 
@@ -198,7 +223,7 @@ def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """g, cid, size and the full set of each member, whose text is that of its class's first document."""
 
     def run(batches):
-        ids = WordIds()
+        ids = WordIds.shared()
         for batch in batches:
             keep, sets = [], []
             for row, (x, k1, k2) in enumerate(zip(batch.column("text"), batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True)):
@@ -210,7 +235,7 @@ def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("g").take(at), batch.column("cid").take(at), batch.column("size").take(at), pa.array(sets, pa.binary())], names=["g", "cid", "size", "set"])
 
     found = docs.select(F.col("doc_id").alias("rep"), "text").join(members, "rep")
-    return found.select("g", "cid", "size", "k1", "k2", "text").mapInArrow(run, "g long, cid long, size long, set binary")
+    return found.select("g", "cid", "size", "k1", "k2", "text").mapInArrow(lean(run), "g long, cid long, size long, set binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
@@ -224,14 +249,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     keys = _keys(classes)
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = keys.join(shared, "key").join(classes.select("cid", "n", "sig"), "cid")
-    near = _units(met, "key", "size", KEY_BLOCK).select("g", "i", "j", "b", "cid", "n", "sig").mapInArrow(_near, "a long, b long")
+    near = _units(met, "key", "size", KEY_BLOCK).select("g", "i", "j", "b", "cid", "n", "sig").mapInArrow(lean(_near), "a long, b long")
     loose = stored(components(near), "loose")
 
     sizes = loose.groupBy("component").agg(F.count("*").alias("size"))
     members = loose.join(sizes, "component").select(F.col("component").alias("g"), F.col("node").alias("cid"), "size").join(classes.select("cid", "rep", "k1", "k2"), "cid")
-    sets = _units(_sets(docs, members, width), "g", "size", SET_BLOCK)
-    links = sets.select("g", "i", "j", "b", "cid", "set").mapInArrow(_linked(percent), "a long, b long")
-    joined = components(links)
+    sets = stored(_sets(docs, members, width), "sets")
+    link = lambda units: units.select("g", "i", "j", "b", "cid", "set").mapInArrow(lean(_linked(percent)), "a long, b long")
+    links = stored(link(_first_units(sets, SET_BLOCK)), "links")
+    joined = stored(components(links), "joined")
+    if not sets.where(F.col("size") > SET_BLOCK).isEmpty():
+        joined = components(links.union(link(_last_units(sets, joined, SET_BLOCK))))
 
     ids = classes.select("cid", "k1", "k2", "n", "rep").join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("component", "cid"))
     least = ids.where(F.col("component").isNotNull()).groupBy("root").agg(F.min("rep").alias("least"))
