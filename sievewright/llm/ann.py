@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean, stored
 
 DIMENSIONS, CONFIDENCE, LEAF = 8, 0.98, 256
 #: Rows of a cell: at most about CELL, and no fewer than LEAST_CELL for the sake of more tasks; a cell's best come close to the answer.
@@ -167,7 +167,7 @@ def _classes(vectors: DataFrame, k: int, is_query: Column) -> DataFrame:
             vec = [np.array(v, "<f8").tobytes() for v in b.column("embedding").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(vec, pa.binary()), b.column("first"), b.column("ids"), b.column("asked")], names=["cid", "vec", "first", "ids", "asked"])
 
-    return found.select("cid", "embedding", "first", "ids", "asked").mapInArrow(pack, "cid long, vec binary, first long, ids array<long>, asked boolean")
+    return found.select("cid", "embedding", "first", "ids", "asked").mapInArrow(lean(pack), "cid long, vec binary, first long, ids array<long>, asked boolean")
 
 
 def _searched(norm: float, k: int):
@@ -216,7 +216,7 @@ def neighbours(vectors: DataFrame, k: int, is_query: Column) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array((_floats(b.column("vec")) ** 2).sum(1) if b.num_rows else [], pa.float64()), b.column("asked")], names=["square", "asked"])
 
-    n, asked, square = classes.select("vec", "asked").mapInArrow(norms, "square double, asked boolean").agg(F.count("*"), F.count_if("asked"), F.max("square")).first()
+    n, asked, square = classes.select("vec", "asked").mapInArrow(lean(norms), "square double, asked boolean").agg(F.count("*"), F.count_if("asked"), F.max("square")).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     norm = square**0.5
@@ -230,7 +230,7 @@ def neighbours(vectors: DataFrame, k: int, is_query: Column) -> DataFrame:
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(cells.value.of(_projected(_floats(b.column("vec")), norm, False))), *(b.column(c) for c in ("cid", "vec", "first", "asked"))], names=["cell", "cid", "vec", "first", "asked"])
 
-    placed = stored(classes.select("cid", "vec", "first", "asked").mapInArrow(place, "cell int, cid long, vec binary, first long, asked boolean"), "cells")
+    placed = stored(classes.select("cid", "vec", "first", "asked").mapInArrow(lean(place), "cell int, cid long, vec binary, first long, asked boolean"), "cells")
     salt = F.pmod("cid", F.lit(salts)).cast("int")
     stock = placed.select("cell", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), "cid", "vec", "first", F.lit(0.0).alias("bound"))
     queries = placed.where("asked")
@@ -238,7 +238,7 @@ def neighbours(vectors: DataFrame, k: int, is_query: Column) -> DataFrame:
     def search(asking):
         rows = stock.union(asking.select("cell", salt.alias("salt"), F.lit(1).alias("kind"), "cid", "vec", "first", "bound"))
         dealt = rows.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "kind")
-        return dealt.mapInArrow(_searched(norm, k + 1), schema)
+        return dealt.mapInArrow(lean(_searched(norm, k + 1)), schema)
 
     home = stored(search(queries.withColumn("bound", F.lit(float("-inf")))), "home")
     known = home.groupBy("query").agg(F.when(F.count("*") > k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("bound"))
@@ -257,7 +257,7 @@ def neighbours(vectors: DataFrame, k: int, is_query: Column) -> DataFrame:
                 at = pa.array(row + s)
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *(b.column(c).take(at) for c in ("cid", "vec", "first", "bound"))], names=["cell", "cid", "vec", "first", "bound"])
 
-    far = search(bounded.select("cell", "cid", "vec", "first", "bound").mapInArrow(reach, "cell int, cid long, vec binary, first long, bound double"))
+    far = search(bounded.select("cell", "cid", "vec", "first", "bound").mapInArrow(lean(reach), "cell int, cid long, vec binary, first long, bound double"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "first")
     top = home.union(far).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
     rows = top.join(classes.select("cid", "ids"), "cid").select("query", "score", F.explode("ids").alias("vec_id"))

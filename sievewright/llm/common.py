@@ -74,7 +74,7 @@ def space_words(text: bytes) -> list[bytes]:
 
 def _lower(session: SparkSession) -> None:
     """Keep Arrow batches small enough for several Python workers beside an executor's heap; smaller settings stay."""
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 500), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
         now = "".join(c for c in (session.conf.get(name, None) or "") if c.isdigit())
         if not now or int(now) > most:
             session.conf.set(name, str(most))
@@ -103,7 +103,7 @@ def trim() -> None:
 class WordIds(dict):
     """64-bit hashes of words, kept while there are not too many."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
     _held: WordIds | None = None
 
     @classmethod

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, stored
+from .common import alnum_words, lean, shielded, stored
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
@@ -181,8 +181,11 @@ def _join(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int,
 _HITS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
-    """The rows of docs (all columns, the text only if asked) with _n_words, _hits (stretches of words, [start, end)) and _items (ids, sorted)."""
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep_text: bool = False, finish=None) -> DataFrame:
+    """The rows of docs (all columns, the text only if asked) with _sw_n_words, _sw_hits (stretches of words, [start, end)) and _sw_items (ids, sorted).
+
+    finish, given a text, its number of words and its hits, gives the text to keep, or False to drop the row; the columns are then those of docs alone.
+    """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c != "text" and not c.startswith("_sw_")]
     kinds = dict(docs.dtypes)
@@ -200,6 +203,12 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep_text:
                     found = list(map(model.scan, split))
                     hits = [_join(a, b) if a and b else a or b for a, (b, _) in zip(hits, found, strict=True)]
                     items = [a | b if b else a for a, (_, b) in zip(items, found, strict=True)]
+                if last and finish:
+                    texts = [finish(x.as_py(), len(w), h) if h else x.as_py() for x, w, h in zip(batch.column("text"), split, hits, strict=True)]
+                    rows = [row for row, x in enumerate(texts) if x is not False]
+                    at = pa.array(rows, pa.int32())
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), pa.array([texts[row] for row in rows], pa.string())], names=[*names, "text"])
+                    continue
                 arrays = [batch.column(c) for c in names]
                 if not last or keep_text:
                     arrays.append(batch.column("text"))
@@ -211,9 +220,11 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep_text:
     now, group, first = docs.select(*names, "text"), [], True
 
     def apply(last):
+        if last and finish:
+            return now.mapInArrow(lean(run(group, first, last)), ", ".join(f"`{c}` {kinds[c]}" for c in [*names, "text"]))
         kept = [*names, *(["text"] if not last or keep_text else [])]
         schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "_sw_n_words long, _sw_hits array<struct<start:long,end:long>>, _sw_items array<string>"])
-        return now.mapInArrow(run(group, first, last), schema)
+        return now.mapInArrow(lean(run(group, first, last)), schema)
 
     for packed in _blocks(benchmark, window):
         if len(group) == GROUP:
@@ -237,30 +248,21 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cover
 
     Rows without a hit stay as they are, null and empty texts included. n_chars, where there is such a column, follows the text.
     """
-    found = find(docs, benchmark, window, keep_text=True)
-    hit = F.aggregate("_sw_hits", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    kept = found.where(hit <= F.col("_sw_n_words") * max_coverage)
-
-    def cut(batches):
-        for batch in batches:
-            out = []
-            for x, spans in zip(batch.column("text"), batch.column("_sw_hits"), strict=True):
-                if not len(spans):
-                    out.append(x.as_py())
-                    continue
-                raw = x.as_py().encode()
-                places = [m.span() for m in _WORD.finditer(raw.lower())]
-                parts, at = [], 0
-                for s in spans.as_py():
-                    parts.append(raw[at : places[s["start"]][0]])
-                    at = places[s["end"] - 1][1]
-                out.append(b"".join([*parts, raw[at:]]).decode())
-            names = [c for c in batch.schema.names if not c.startswith("_sw_")]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
-
-    order = [c for c in docs.columns if c != "text"]
+    docs, restore = shielded(docs)
+
+    def cut(text, n_words, spans):
+        if sum(b - a for a, b in spans) > n_words * max_coverage:
+            return False
+        raw = text.encode()
+        places = [m.span() for m in _WORD.finditer(raw.lower())]
+        parts, at = [], 0
+        for a, b in spans:
+            parts.append(raw[at : places[a][0]])
+            at = places[b - 1][1]
+        return b"".join([*parts, raw[at:]]).decode()
+
     kinds = dict(docs.dtypes)
-    done = kept.select(*order, "text", "_sw_hits").mapInArrow(cut, ", ".join(f"`{c}` {kinds[c]}" for c in [*order, "text"]))
+    done = find(docs, benchmark, window, finish=cut)
     if "n_chars" in kinds:
         done = done.withColumn("n_chars", F.length("text").cast(kinds["n_chars"]))
-    return done.select(*docs.columns)
+    return restore(done.select(*docs.columns))

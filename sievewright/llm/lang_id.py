@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean, shielded, stored
 
 TRAIN_ROWS, LANGUAGES, BUCKETS = 1500, 64, 1 << 16
 TEMPER, LEAST, STRENGTH = 1 / 3, 0.5, 20.0
@@ -73,7 +73,7 @@ def fit(rows: DataFrame, identity: str = "doc_id", label: str = "lang", text: st
 
     counts = np.zeros((len(languages), BUCKETS))
     place = {k: i for i, k in enumerate(languages)}
-    for r in picked.select("label", "text").mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect():
+    for r in picked.select("label", "text").mapInArrow(lean(count), "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect():
         counts[place[r.label], r.bucket] = r.n
     return Model(languages, counts)
 
@@ -97,7 +97,7 @@ def priors(rows: DataFrame, model: Model) -> tuple[DataFrame, np.ndarray]:
                 out.append(int(ll.argmax()) if n else None)
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(out, pa.int32())], names=["host", "vote"])
 
-    votes = rows.select(F.col("host").cast("string").alias("host"), "text").mapInArrow(vote, "host string, vote int").where("vote is not null")
+    votes = rows.select(F.col("host").cast("string").alias("host"), "text").mapInArrow(lean(vote), "host string, vote int").where("vote is not null")
     counts = stored(votes.groupBy("host", "vote").agg(F.count("*").alias("n")), "votes")
     base = np.ones(size)
     for r in counts.groupBy("vote").agg(F.sum("n").alias("n")).collect():
@@ -149,12 +149,13 @@ def identify(rows: DataFrame, model: Model, keep: list[str], host: str, declared
     asked = rows.select(*dict.fromkeys([*keep, text, *(c for c, _ in given)]), F.col(host).cast("string").alias("_sw_host"))
     joined = asked.join(prior.select(F.col("host").alias("_sw_host"), F.col("prior").alias("_sw_prior")), "_sw_host", "left").drop("_sw_host")
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "_sw_language string, _sw_probability double, _sw_text_language string, _sw_rejected boolean"])
-    return joined.mapInArrow(judge, schema)
+    return joined.mapInArrow(lean(judge), schema)
 
 
 def accepted(docs: DataFrame, identity: str = "doc_id", label: str = "lang", host: str = "source") -> DataFrame:
     """The rows whose language is found, with all their columns."""
-    return identify(docs, fit(docs, identity, label), docs.columns, host).where("not _sw_rejected").select(*docs.columns)
+    docs, restore = shielded(docs)
+    return restore(identify(docs, fit(docs, identity, label), docs.columns, host).where("not _sw_rejected").select(*docs.columns))
 
 
 _HTML_LANG = r"""(?is)<html[^>]*?\slang\s*=\s*["']?([a-z]{2,3})"""

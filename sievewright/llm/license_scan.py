@@ -12,7 +12,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import alnum_words
+from .common import alnum_words, lean
 
 # Base phrases and their labels.
 BASE = {
@@ -162,4 +162,4 @@ def scan(docs: DataFrame) -> DataFrame:
             rows = [scanner.scan(x.as_py() or "") for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[n] for r in rows], t) for n, t in zip(names, fields, strict=True))], names=["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {_COLUMNS}")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, {_COLUMNS}")
