@@ -138,7 +138,7 @@ def _last_units(rows: DataFrame, joined: DataFrame, block: int) -> DataFrame:
     b = F.when(F.col("rest"), F.pmod(F.xxhash64("cid"), F.col("nr"))).otherwise(F.col("nr") + F.pmod(F.xxhash64("cid"), F.col("nm"))).cast("int")
     meets = F.sequence(F.lit(0), F.when(F.col("rest"), F.col("nr") + F.col("nm")).otherwise(F.col("nr")) - 1)
     dealt = placed.withColumn("b", b).withColumn("o", F.explode(meets)).select("g", "cid", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-    met = dealt.join(rows.select("g", "cid", "set"), ["g", "cid"])
+    met = dealt.join(rows.where(F.col("size") > block).select("g", "cid", "set"), ["g", "cid"])
     return met.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "cid")
 
 
