@@ -47,6 +47,32 @@ def test_scores_by_brute_force(spark, monkeypatch, rare, common, broadcast):
         assert a[2] is None or (abs(a[2] - b[2]) < 1e-5 and abs(a[3] - b[3]) < 1e-5)
 
 
+@pytest.mark.parametrize("head", [2e-5, 0.01, 1.0])
+def test_scores_tell_all_words_apart(spark, monkeypatch, head):
+    monkeypatch.setattr(lm_score, "HEAD", head, raising=False)
+    monkeypatch.setattr(lm_score, "COMMON", 0.03)
+    monkeypatch.setattr(lm_score, "BATCH", 7)
+    rnd = random.Random(3)
+    # One word so frequent that words of three occurrences are under 2e-5 of all.
+    rows = [(i, " ".join(f"w{rnd.randrange(300)}" if rnd.random() < 0.7 else "the" for _ in range(rnd.randrange(1, 30)))) for i in range(60)]
+    rows += [(100 + i, "the " * 6000) for i in range(30)] + [(200, "w1 w2 w3"), (201, "once the w1"), (202, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    words = [alnum_words(t.encode()) for _, t in rows]
+    target = set(range(0, 60, 3)) | {200}
+    held = {w for x in words for w in x}
+
+    def model(of):
+        one, two = Counter(w for x in of for w in x), Counter(p for x in of for p in zip(x, x[1:], strict=False))
+        p = lambda w: (one[w] + 1) / (sum(one.values()) + len(held) + 1)
+        return lambda x: sum(-math.log(p(w) if not k else (two[x[k - 1], w] + lm_score.MASS * p(w)) / (one[x[k - 1]] + lm_score.MASS)) for k, w in enumerate(x)) / len(x)
+
+    t, b = model([x for x, (i, _) in zip(words, rows, strict=True) if i in target]), model(words)
+    got = {r.doc_id: r for r in lm_score.score(docs, spark.createDataFrame([(i,) for i in target], "doc_id long")).collect()}
+    assert len(got) == len(rows)
+    for x, (i, _) in zip(words, rows, strict=True):
+        assert got[i].n_words == len(x) and (not x or (abs(got[i].target_loss - t(x)) < 1e-5 and abs(got[i].background_loss - b(x)) < 1e-5))
+
+
 def test_scores_of_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert lm_score.score(nasty.empty(spark), none).count() == 0
