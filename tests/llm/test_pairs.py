@@ -156,6 +156,62 @@ def test_planted_passages(spark):
     assert left[1] == texts[1][:40] + texts[1][95:] and left[0] == texts[0] and left[5] == texts[5] and left[8] == texts[8][:60]
 
 
+def test_passages_whose_parts_stand_earlier(spark):
+    rnd = random.Random(21)
+    fresh = lambda n: [f"{rnd.choice('abcdefgh')}{rnd.randrange(50000)}" for _ in range(n)]
+    texts, want = [], {}
+    for _ in range(40):
+        whole = fresh(90)
+        for s in (0, 30, 60):
+            texts.append(fresh(60) + whole[s : s + 30] + fresh(60))
+        # One edit beside each junction, so that no ungapped run leads over it.
+        edited = [*whole[:32], "extra", *whole[32:61], *whole[62:]]
+        texts += [fresh(40) + whole + fresh(40), fresh(50) + edited + fresh(50)]
+        want[len(texts) - 1] = len(texts) - 2
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.ref_doc_id): r for r in passage_dedup.passages(docs).collect()}
+    assert set(got) == set(want.items())
+    assert all(r.start <= 52 and r.end >= 138 and r.matched >= 86 for r in got.values())
+
+
+@pytest.mark.parametrize(("size", "every"), [(60, 10), (80, 8), (100, 7)])
+@pytest.mark.parametrize("kind", ["insert", "delete", "both", "replace"])
+def test_passages_with_edits(spark, size, every, kind):
+    rnd = random.Random(size)
+    fresh = lambda n: [f"{rnd.choice('abcdefgh')}{rnd.randrange(50000)}" for _ in range(n)]
+    texts = []
+    for _ in range(40):
+        whole = fresh(size)
+        edited = []
+        for k, w in enumerate(whole):
+            hit = k % every == every - 1
+            turn = k // every % 2
+            if hit and (kind == "replace" or kind == "both" and turn):
+                edited.append("other")
+            elif not hit or kind == "insert":
+                edited += [w, "extra"] if hit else [w]
+            elif kind == "both":
+                edited += [w, "extra"]
+        texts += [fresh(60) + whole + fresh(60), fresh(30) + edited + fresh(90)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id for r in passage_dedup.passages(docs).collect()}
+    assert len(got) >= 38
+
+
+def test_longest_common_run_among_earlier():
+    rnd = random.Random(3)
+    for _ in range(200):
+        follow = sorted(sum(rnd.randrange(3) << 16 * k for k in range(4)) for _ in range(rnd.randrange(1, 12)))
+        docs = [rnd.randrange(6) for _ in follow]
+        got = passage_dedup.nearest(docs, follow)
+        alike = lambda i, j: next((k for k in range(4) if follow[i] >> 48 - 16 * k != follow[j] >> 48 - 16 * k), 4)  # noqa: B023, E731
+        for i, d in enumerate(docs):
+            refs = [j for k, j in got if k == i]
+            earlier = [j for j in range(len(docs)) if docs[j] < d]
+            assert all(docs[j] < d for j in refs) and (docs.index(min(docs)) in refs) == bool(earlier)
+            assert max([alike(i, j) for j in refs], default=-1) == max([alike(i, j) for j in earlier], default=-1)
+
+
 def test_passages_of_nasty_documents(spark):
     docs = nasty.documents(spark)
     for r in passage_dedup.passages(docs).collect():
