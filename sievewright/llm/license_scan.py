@@ -43,8 +43,9 @@ NOTICES = {
 # Beginnings of identifiers whose licences allow reuse without copyleft.
 PERMISSIVE = ("mit", "apache", "bsd", "isc", "cc0", "cc-by-1", "cc-by-2", "cc-by-3", "cc-by-4", "unlicense", "zlib")
 TAG_WORDS = "spdx license identifier"
-_TAG = re.compile(r"SPDX-License-Identifier\s*:[ \t]*([A-Za-z0-9.+:() \t-]+)", re.IGNORECASE)
+_TAG = re.compile(r"SPDX-License-Identifier\s*:[ \t]*((?:(?!SPDX-License-Identifier)[A-Za-z0-9.+:() \t-])+)", re.IGNORECASE)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
+_NAME = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9.+:-]*[A-Za-z0-9+])?")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -88,6 +89,32 @@ def parse(expression: str) -> list[str]:
     return out
 
 
+def leading(captured: str) -> str:
+    """The expression that captured text begins with: it ends before a second operand, a closing bracket too many, or the end of a comment or sentence."""
+    operand, depth, end = False, 0, 0
+    for m in _TOKEN.finditer(captured):
+        token, stop = m[0], False
+        if token.lower() in _RANK:
+            operand = False
+        elif token == "(":
+            if operand and not depth:
+                return captured[:end]
+            depth += 1
+        elif token == ")":
+            if operand and not depth:
+                return captured[:end]
+            depth -= 1
+        else:
+            name = _NAME.match(token)
+            if not depth and (operand or not name):
+                return captured[:end]
+            operand = True
+            if not depth and name.end() < len(token):
+                return captured[: m.start() + name.end()]
+        end = m.end()
+    return captured
+
+
 def evaluate(postfix: list[str]) -> tuple[frozenset[str], bool]:
     """The licences named (exceptions after `with` are not) and whether permissive ones suffice: or needs one side, and both, with its left."""
     stack: list[tuple[frozenset[str], bool]] = []
@@ -132,10 +159,11 @@ class Scanner:
         expressions, permissive = [], None
         for m in _TAG.finditer(text) if tagged else ():
             try:
-                names, free = evaluate(parse(m[1]))
+                expression = leading(m[1])
+                names, free = evaluate(parse(expression))
             except ValueError:
                 continue
-            expressions.append(" ".join(m[1].split()))
+            expressions.append(" ".join(expression.split()))
             labels |= names
             permissive = free if permissive is None else permissive and free
         doubt = 0.4 ** min(len(places), 8) * 0.5 ** min(notices, 8) * 0.05 ** min(len(expressions), 4)

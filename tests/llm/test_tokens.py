@@ -118,6 +118,19 @@ def test_scan_by_brute_force(spark):
     assert license_scan.scan(nasty.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "expression"),
+    [
+        ("<!-- SPDX-License-Identifier: MIT -->", "MIT"), ("<!--SPDX-License-Identifier: MIT-->", "MIT"), ("/* SPDX-License-Identifier: BSD-3-Clause */ int x;", "BSD-3-Clause"),
+        ("SPDX-License-Identifier: Apache-2.0 See LICENSE for details.", "Apache-2.0"), ("It says SPDX-License-Identifier: GPL-2.0+ OR MIT. More text here", "GPL-2.0+ OR MIT"),
+        ("(SPDX-License-Identifier: ISC)", "ISC"), ("[//]: # SPDX-License-Identifier: (MIT OR Zlib) AND ISC -- note", "(MIT OR Zlib) AND ISC"), ("SPDX-License-Identifier: MIT SPDX-License-Identifier: ISC", "MIT;ISC"),
+        ("SPDX-License-Identifier: -->", ""), ("SPDX-License-Identifier: (MIT x", ""), ("SPDX-License-Identifier: MIT OR", ""), ("SPDX-License-Identifier: MIT OR -->", ""),
+    ],
+)
+def test_tags_amid_other_text(text, expression):
+    assert license_scan.Scanner().scan(text)["expressions"] == expression
+
+
 def events(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, message long, seq long, kind string, role string, text string, segment string, last int")
 
