@@ -1,7 +1,7 @@
 """Language identification by fusing evidence: text, declared markup language, address, and the host's habits.
 
 Text: naive Bayes over hashed trigrams of bytes, of words of letters. It is fitted on labelled rows, about TRAIN_ROWS of
-each language at most (picked by a hash of the row's id); a hypothesis "und" holds uniform text. Everything else covers
+each language at most (picked by a hash of the row's id), for every label there is: a label costs 256 KB of the model; a hypothesis "und" holds uniform text. Everything else covers
 all rows: each host's prior is smoothed towards its parent domain's, and that towards the corpus's, from grouped counts of
 the languages that texts alone point to. The posterior is proportional to prior * text ** TEMPER * declared * address.
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import lean, shielded, stored
 
-TRAIN_ROWS, LANGUAGES, BUCKETS = 1500, 64, 1 << 16
+TRAIN_ROWS, BUCKETS = 1500, 1 << 16
 TEMPER, LEAST, STRENGTH = 1 / 3, 0.5, 20.0
 #: Probability that a declared language, or one in an address, is the text's.
 DECLARED, ADDRESS = 0.9, 0.7
@@ -54,7 +54,7 @@ class Model:
 
 def fit(rows: DataFrame, identity: str = "doc_id", label: str = "lang", text: str = "text") -> Model:
     """The text model, from a bounded sample of labelled rows."""
-    sizes = {r[0]: r[1] for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(LANGUAGES).collect()}
+    sizes = {r[0]: r[1] for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
     if not sizes:
         return Model([], np.zeros((0, BUCKETS)))
     languages = sorted(sizes)
@@ -71,10 +71,10 @@ def fit(rows: DataFrame, identity: str = "doc_id", label: str = "lang", text: st
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(at)), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["label", "bucket", "n"])
 
-    counts = np.zeros((len(languages), BUCKETS))
+    counts = np.zeros((len(languages), BUCKETS), np.float32)
     place = {k: i for i, k in enumerate(languages)}
-    for r in picked.select("label", "text").mapInArrow(lean(count), "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect():
-        counts[place[r.label], r.bucket] = r.n
+    got = picked.select("label", "text").mapInArrow(lean(count), "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts[[place[k] for k in got.column("label").to_pylist()], got.column("bucket").to_numpy()] = got.column("n").to_numpy()
     return Model(languages, counts)
 
 

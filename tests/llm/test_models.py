@@ -88,6 +88,20 @@ def test_language_on_held_out_rows(spark):
     assert len(found) == rest.count() and right / len(found) >= 0.98
 
 
+def test_every_label_is_a_language(spark):
+    rnd = random.Random(7)
+    names = [f"l{k}" for k in range(80)]
+    words = {n: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for n in names}
+    # The later a label, the rarer.
+    rows = [(k * 1000 + i, " ".join(rnd.choice(words[n]) for _ in range(40)), n, "h") for k, n in enumerate(names) for i in range(10 - k // 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = lang_id.fit(docs)
+    assert set(model.languages) == {*names, "und"}
+    found = lang_id.identify(docs, model, ["doc_id", "lang"], "source").collect()
+    assert len(found) == len(rows) and all(r.lang == r._sw_language and not r._sw_rejected for r in found)
+    assert lang_id.accepted(docs).count() == len(rows)
+
+
 def test_language_of_nasty_documents(spark):
     docs = nasty.documents(spark)
     found = lang_id.identify(docs, lang_id.fit(docs), docs.columns, "source")
