@@ -24,7 +24,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, as in tests, a temporary one, but on a local master alone."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if found:
@@ -32,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="sievewright-")
     sc.setCheckpointDir(made)
     return made
@@ -45,15 +47,55 @@ def _delete(sc, path: str) -> None:
         pass
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it again, which cuts its lineage and survives lost executors."""
+    """Write a table into the shared folder and read it again, which cuts its lineage and survives lost executors. Shuffle files of the write go when it has ended."""
     spark = df.sparkSession
     sc = spark.sparkContext
     top = f"{shared_dir(spark).rstrip('/')}/sievewright-{sc.applicationId}"
     path = f"{top}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     atexit.register(_delete, sc, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sw_path = path
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Delete stored tables of which nothing that is still to run reads."""
+    for t in tables:
+        _delete(t.sparkSession.sparkContext, t._sw_path)
+
+
+#: Rows of a key below which a join does not deal it out.
+HOT = 1000
+
+
+def salted(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join in which the left rows of a frequent key are dealt out over several tasks, and its right rows copied to each.
+
+    Frequent is a key with more than HOT rows that holds more than 1 / (4 * partitions) of left's: at most 4 * partitions
+    keys, so the table of them can be broadcast. left should be a stored table, as it is read twice. how: inner or left.
+    """
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = left.groupBy(*on).agg(F.count("*").alias("_sw_n")).where(F.col("_sw_n") > HOT)
+    if counts.limit(1).isEmpty():
+        return left.join(right, on, how)
+    most = max(HOT, left.count() // (4 * n))
+    hot = F.broadcast(stored(counts.where(F.col("_sw_n") > most).select(*on, F.ceil(F.col("_sw_n") / most).cast("int").alias("_sw_salts")), "hot"))
+    own = [c for c in left.columns if c not in on]
+    salt = F.coalesce(F.pmod(F.xxhash64(*own), F.col("_sw_salts")).cast("int"), F.lit(0))
+    mine = left.join(hot, on, "left").withColumn("_sw_salt", salt).drop("_sw_salts")
+    copies = F.sequence(F.lit(0), F.coalesce("_sw_salts", F.lit(1)) - 1)
+    theirs = right.join(hot, on, "left").withColumn("_sw_salt", F.explode(copies)).drop("_sw_salts")
+    return mine.join(theirs, [*on, "_sw_salt"], how).drop("_sw_salt")
 
 
 def shielded(docs: DataFrame):
@@ -132,11 +174,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def digest64(*columns: str):
-    """Two 64-bit hashes joined as a 128-bit key for equality of rows."""
-    return F.concat(F.lpad(F.hex(F.xxhash64(*columns)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(7), *columns)), 16, "0"))
-
-
 def groups(batches, keys: list[str]):
     """Record batches, one for each run of equal integer keys in rows that come sorted by them."""
     import pyarrow as pa

@@ -198,18 +198,135 @@ def test_passages_with_edits(spark, size, every, kind):
     assert len(got) >= 38
 
 
-def test_longest_common_run_among_earlier():
-    rnd = random.Random(3)
-    for _ in range(200):
-        follow = sorted(sum(rnd.randrange(3) << 16 * k for k in range(4)) for _ in range(rnd.randrange(1, 12)))
-        docs = [rnd.randrange(6) for _ in follow]
-        got = passage_dedup.nearest(docs, follow)
-        alike = lambda i, j: next((k for k in range(4) if follow[i] >> 48 - 16 * k != follow[j] >> 48 - 16 * k), 4)  # noqa: B023, E731
-        for i, d in enumerate(docs):
-            refs = [j for k, j in got if k == i]
-            earlier = [j for j in range(len(docs)) if docs[j] < d]
-            assert all(docs[j] < d for j in refs) and (docs.index(min(docs)) in refs) == bool(earlier)
-            assert max([alike(i, j) for j in refs], default=-1) == max([alike(i, j) for j in earlier], default=-1)
+def fresh_words(rnd, n):
+    return [f"{rnd.choice('abcdefgh')}{rnd.randrange(50000)}" for _ in range(n)]
+
+
+def test_fragments_of_a_passage_do_not_hide_it(spark):
+    """Many earlier documents hold a part of a passage, which two later ones hold whole."""
+    rnd = random.Random(31)
+    whole = fresh_words(rnd, 300)
+    few = [fresh_words(rnd, 40) + whole[s : s + 30] + fresh_words(rnd, 60) for s in range(0, 290, 24)]
+    many = [fresh_words(rnd, 40) + whole[s : s + 30] + fresh_words(rnd, 60) for _ in range(30) for s in range(0, 271, 15)]
+    for parts in (few, many):
+        texts = [*parts, fresh_words(rnd, 90) + whole + fresh_words(rnd, 20), fresh_words(rnd, 70) + whole + fresh_words(rnd, 50)]
+        docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+        got = [tuple(r) for r in passage_dedup.passages(docs).collect()]
+        last = len(texts) - 1
+        assert got == [(last, 70, 370, last - 1, 90, 390, 300)]
+        left = {r.doc_id: r.text.split() for r in passage_dedup.clean(docs).collect()}
+        assert left[last] == texts[last][:70] + texts[last][370:] and left[last - 1] == texts[last - 1]
+
+
+def corpus_with_repeats(rnd, n):
+    """Texts as word lists that share runs, sentences in other order, copies, near copies and frequent lines."""
+    lines = [fresh_words(rnd, rnd.randrange(6, 30)) for _ in range(12)]
+    runs = [fresh_words(rnd, rnd.randrange(40, 200)) for _ in range(25)]
+    texts = []
+    for _ in range(n):
+        words = fresh_words(rnd, rnd.randrange(0, 80))
+        for _ in range(rnd.randrange(1, 5)):
+            run = rnd.choice(runs)
+            a = rnd.randrange(0, len(run) // 2)
+            words += rnd.choice([run, run, run[a:], run[:-a or None], rnd.choice(lines), rnd.choice(lines)]) + fresh_words(rnd, rnd.randrange(0, 40))
+        if texts and rnd.random() < 0.15:
+            words = list(rnd.choice(texts))
+            for _ in range(rnd.randrange(0, 4)):
+                words[rnd.randrange(len(words))] = "changed"
+        texts.append(words)
+    return texts
+
+
+@pytest.mark.parametrize("pairs", [2, 16])
+def test_words_of_repeated_runs_by_brute_force(spark, monkeypatch, pairs):
+    """Of all words in runs of 50 that an earlier document has, 98 % are in passages; passages hold what they claim."""
+    monkeypatch.setattr(passage_dedup, "PAIRS", pairs)
+    rnd = random.Random(77)
+    texts = corpus_with_repeats(rnd, 300)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = passage_dedup.passages(docs).collect()
+    inside = [set() for _ in texts]
+    for r in got:
+        a, b = texts[r.doc_id][r.start : r.end], texts[r.ref_doc_id][r.ref_start : r.ref_end]
+        assert r.ref_doc_id < r.doc_id and r.matched >= 50 and r.matched >= 0.8 * max(len(a), len(b))
+        row = [0] * (len(b) + 1)
+        for w in a:
+            up = row[:]
+            for j, v in enumerate(b):
+                row[j + 1] = up[j] + 1 if v == w else max(up[j + 1], row[j])
+        assert row[-1] >= r.matched
+        inside[r.doc_id].update(range(r.start, r.end))
+    seen, wanted, found = set(), 0, 0
+    for k, words in enumerate(texts):
+        windows = [tuple(words[i : i + 50]) for i in range(len(words) - 49)]
+        repeated = {i + j for i, w in enumerate(windows) if w in seen for j in range(50)}
+        seen.update(windows)
+        wanted += len(repeated)
+        found += len(repeated & inside[k])
+    assert wanted > 10_000 and found >= 0.98 * wanted
+
+
+def test_recall_of_fuzzy_passages(spark):
+    """Passages with a tenth or a fifth of their words edited at random, by brute force over planted pairs."""
+    for rate, least in ((0.1, 0.97), (0.18, 0.9)):
+        rnd = random.Random(int(rate * 100))
+        texts, want = [], 0
+        for _ in range(120):
+            whole = fresh_words(rnd, 90)
+            edited = []
+            for w in whole:
+                kind = rnd.choice(["insert", "delete", "replace"]) if rnd.random() < rate else "keep"
+                edited += {"insert": [w, "extra"], "delete": [], "replace": ["other"], "keep": [w]}[kind]
+            texts += [fresh_words(rnd, 60) + whole + fresh_words(rnd, 60), fresh_words(rnd, 30) + edited + fresh_words(rnd, 90)]
+            want += 1
+        docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+        got = {r.doc_id for r in passage_dedup.passages(docs).collect()}
+        assert len(got) >= least * want and all(k % 2 for k in got)
+
+
+def test_pairs_of_classes():
+    """Small groups are joined whole; of large ones each class with the first of every part that it is in."""
+    rnd = np.random.default_rng(6)
+    for n in (2, 5, 16, 17, 60):
+        doc, at = rnd.permutation(1000)[:n].astype(np.int64), rnd.integers(0, 90, n).astype(np.int32)
+        ahead = np.sort(sum(rnd.integers(0, 3, n).astype(np.uint64) << np.uint64(16 * k) for k in range(4)))
+        a, b = passage_dedup.joined(ahead, doc, at, np.array([0, n]))
+        got = set(zip(doc[a].tolist(), doc[b].tolist(), strict=True))
+        assert all(x > y for x, y in got)
+        if n <= passage_dedup.PAIRS:
+            assert len(got) == n * (n - 1) // 2
+        else:
+            assert {(d, doc.min()) for d in doc.tolist() if d != doc.min()} <= got
+            for shift in (48, 32, 16, 0):
+                part = ahead >> np.uint64(shift)
+                for p in set(part.tolist()):
+                    group = doc[part == p]
+                    assert {(d, group.min()) for d in group.tolist() if d != group.min()} <= got
+
+
+def test_a_seed_that_fills_the_rows(spark, monkeypatch):
+    """A frequent line beside a passage: blocks of rows are smaller than the seed's occurrences."""
+    monkeypatch.setattr(passage_dedup, "ROWS", 300)
+    rnd = random.Random(12)
+    line, whole = fresh_words(rnd, 30), fresh_words(rnd, 80)
+    texts = [fresh_words(rnd, 30) + line + fresh_words(rnd, 40) for _ in range(1500)]
+    for k in (200, 700, 1400):
+        texts[k] = fresh_words(rnd, 30) + line + whole
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.ref_doc_id, r.start, r.end) for r in passage_dedup.passages(docs).collect()}
+    assert got == {(700, 200, 30, 140), (1400, 200, 30, 140)}
+
+
+def test_repeated_doc_ids_have_the_least_text(spark):
+    rnd = random.Random(14)
+    whole = fresh_words(rnd, 70)
+    texts = [(1, ["zz", *whole]), (1, ["aa", *fresh_words(rnd, 60)]), (2, ["b", *whole]), (3, ["c", *whole]), (3, ["c", *whole]), (4, [*whole, "d"])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    assert {(r.doc_id, r.ref_doc_id) for r in passage_dedup.passages(docs).collect()} == {(3, 2), (4, 2)}
+    left = sorted((r.doc_id, r.text) for r in passage_dedup.clean(docs).collect())
+    assert left == sorted([*((i, " ".join(t)) for i, t in texts[:3]), (3, "c "), (3, "c "), (4, " d")])
+    with pytest.raises(ValueError):
+        passage_dedup.passages(docs.withColumn("doc_id", docs.doc_id.cast("string")))
 
 
 def test_passages_of_nasty_documents(spark):
