@@ -5,18 +5,19 @@ words (64-bit hashes), or the whole sequence as one if it has fewer words; witho
 nothing. Documents are linked if 100 * |intersection| >= PERCENT * |union|.
 
 1. A signature has SLOTS minima of hashed shingles, b bits each. Equal sets are one class (by a 128-bit sum over the set).
-2. The first 40 slots are CHUNKS chunks of WIDTH. By pigeonhole, signatures that differ in at most
-   CHUNKS * (ERRORS + 1) - 1 = 19 of them differ in at most ERRORS = 1 slot of some chunk, so they share one of the keys
-   that leave one slot of a chunk out: those are the allowed errors, enumerated. At the least similarity, 0.8, all
-   chunks have more errors with probability 0.1808 ** 10 < 4e-8; more similar pairs are missed less often.
-3. Within a key, signatures with at most DISTANCE of SLOTS slots apart are joined: each group gives a spanning forest, not
-   its pairs. The forests' components are candidate groups.
+2. The slots are CHUNKS chunks of WIDTH. By pigeonhole, signatures that differ in at most DISTANCE slots, which is less than
+   CHUNKS * (ERRORS + 1) = 32, differ in at most ERRORS = 1 slot of some chunk, so they share one of the keys that leave
+   one slot of a chunk out: those are the allowed errors, enumerated. So every pair within DISTANCE meets.
+3. Within a key, signatures with at most DISTANCE slots apart are joined: each group gives a spanning forest, not its
+   pairs. The forests' components are candidate groups. Sets of the least similarity, 0.8, are more than DISTANCE = 31
+   slots apart with a probability under 1e-7, and more similar ones more rarely.
 4. Within a candidate group, full sets are compared, and links give spanning forests again; their components are the answer.
 
 Groups over a block's size are dealt out as pairs of blocks, so no task holds a whole group. Of full sets, each block first
 meets itself and one other; then only rows outside a group's largest component meet the rest, so a group of copies costs
 as many block pairs as it has blocks.
-Nulls and empty texts: no words. Equal texts, repeated rows and repeated doc_ids: linked like any others. Other columns
+Nulls and empty texts: no words. Equal texts, repeated rows and repeated doc_ids: linked like any others. Texts of any
+length are read whole; a task holds the sets of one block of a candidate group. An empty table gives no rows. Other columns
 are left out. Classes of different sets share their 64-bit id with a probability of n * n / 2 ** 65.
 """
 
@@ -29,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, groups, lean, mix64, space_words, stored, WordIds
+from .common import components, forest, groups, lean, mix64, salted, shielded, space_words, stored, WordIds
 
 SHINGLE, PERCENT = 2, 80
-SLOTS, CHUNKS, WIDTH, ERRORS = 128, 10, 4, 1
-#: At similarity 0.8 a slot differs with probability 0.2 at most: 52 of 128 is 5.8 standard deviations above the mean.
-DISTANCE = 52
+CHUNKS, WIDTH, ERRORS = 16, 4, 1
+SLOTS = CHUNKS * WIDTH
+#: The most that the pigeonhole principle covers.
+DISTANCE = CHUNKS * (ERRORS + 1) - 1
 KEY_BLOCK, SET_BLOCK = 2048, 256
-_INDEXED = CHUNKS * WIDTH
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 31, SLOTS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, SLOTS, dtype=np.uint32)
@@ -70,7 +71,7 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, n (size of the set), k1, k2 (the set's key) and sig of each row."""
+    """doc_id, t (a hash of the text), n (size of the set), k1, k2 (the set's key) and sig of each row."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
@@ -84,9 +85,9 @@ def sketch(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                 k1.append(a)
                 k2.append(b)
                 sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "k1", "k2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "t", "n", "k1", "k2", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n long, k1 long, k2 long, sig binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(lean(run), f"doc_id {kind}, t long, n long, k1 long, k2 long, sig binary")
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def _keys(classes: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(batch.num_rows, SLOTS)[:, :_INDEXED].astype(np.uint64)
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(batch.num_rows, SLOTS).astype(np.uint64)
             cid = batch.column("cid").to_numpy()
             made = []
             for chunk in range(CHUNKS):
@@ -239,7 +240,7 @@ def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept, and cid (the class of equal sets; null for empty sets), root (the same for linked classes)."""
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept, and cid (the class of equal sets; null for empty sets), root (the same for linked classes), t (a hash of the text)."""
     if percent < PERCENT:
         raise ValueError(f"signatures are made for similarities of at least {PERCENT} %")
     sketches = stored(sketch(docs, width), "sketch")
@@ -253,7 +254,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     loose = stored(components(near), "loose")
 
     sizes = loose.groupBy("component").agg(F.count("*").alias("size"))
-    members = loose.join(sizes, "component").select(F.col("component").alias("g"), F.col("node").alias("cid"), "size").join(classes.select("cid", "rep", "k1", "k2"), "cid")
+    members = salted(loose, sizes, ["component"]).select(F.col("component").alias("g"), F.col("node").alias("cid"), "size").join(classes.select("cid", "rep", "k1", "k2"), "cid")
     sets = stored(_sets(docs, members, width), "sets")
     link = lambda units: units.select("g", "i", "j", "b", "cid", "set").mapInArrow(lean(_linked(percent)), "a long, b long")
     links = stored(link(_first_units(sets, SET_BLOCK)), "links")
@@ -264,15 +265,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     ids = classes.select("cid", "k1", "k2", "n", "rep").join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("component", "cid"))
     least = ids.where(F.col("component").isNotNull()).groupBy("root").agg(F.min("rep").alias("least"))
     ids = ids.join(least, "root", "left").select("k1", "k2", "n", "cid", "root", F.coalesce("least", "rep").alias("component_id"))
-    out = sketches.select("doc_id", "n", "k1", "k2").join(ids, ["k1", "k2", "n"], "left")
+    out = salted(sketches.select("doc_id", "t", "n", "k1", "k2"), ids, ["k1", "k2", "n"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "cid", "root")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "cid", "root", "t")
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = 5) -> DataFrame:
-    """docs with one row of each group of near-duplicates, that of the smallest doc_id. Rows without doc_id stay; equal rows count as one."""
-    found = stored(near_duplicates(docs, percent, width).select("doc_id", "kept"), "kept")
-    left = docs.join(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        left = left.dropDuplicates(["doc_id", "text"])
-    return left
+    """docs with one row of each group of near-duplicates: that of the smallest doc_id and, among its rows, of the smallest hash of the text.
+
+    Rows are told apart by doc_id and text, so a row whose doc_id stands in a group's row too goes only with its own group.
+    Rows without words or without doc_id stay, but of rows with equal doc_id and text one does.
+    """
+    docs, restore = shielded(docs)
+    found = stored(near_duplicates(docs, percent, width).where("doc_id is not null").select("doc_id", "t", "root"), "kept")
+    first = found.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "t")).alias("least"))
+    gone = salted(found.where("root is not null"), first, ["root"]).where("doc_id <> least.doc_id or t <> least.t").select("doc_id", F.col("t").alias("_sw_t")).distinct()
+    told = docs.withColumn("_sw_t", F.xxhash64("text"))
+    left = told.join(gone, ["doc_id", "_sw_t"], "left_anti")
+    if not found.groupBy("doc_id", "t").count().where("count > 1").limit(1).isEmpty():
+        left = left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id", "_sw_t"]))
+    return restore(left.select(*docs.columns))

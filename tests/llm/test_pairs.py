@@ -69,13 +69,14 @@ def test_blocks_of_large_groups(spark, monkeypatch):
 
 
 def test_signature_distance_guarantee():
-    """Every pair of signatures at most 19 slots apart, of 40, shares a key."""
+    """Every pair of signatures within DISTANCE shares a chunk with at most ERRORS errors, so a key."""
     rnd = np.random.default_rng(1)
-    for _ in range(200):
-        a = rnd.integers(0, 1 << 16, 40)
+    for _ in range(300):
+        a = rnd.integers(0, 1 << 16, near_dedup.SLOTS)
         b = a.copy()
-        b[rnd.choice(40, 19, replace=False)] += 1
-        assert any((a[c * 4 : c * 4 + 4] != b[c * 4 : c * 4 + 4]).sum() <= 1 for c in range(10))
+        b[rnd.choice(near_dedup.SLOTS, near_dedup.DISTANCE, replace=False)] += 1
+        chunks = (a != b).reshape(near_dedup.CHUNKS, near_dedup.WIDTH).sum(1)
+        assert chunks.min() <= near_dedup.ERRORS
 
 
 def test_one_of_each(spark):
@@ -87,6 +88,32 @@ def test_one_of_each(spark):
     assert len(ids) == len(set(ids)) and sum(r.doc_id is None for r in rows) == 2
     want = {i for i, _, c in brute_components([(r.doc_id, r.text) for r in docs.collect()]) if i is not None and (i == c or c is None)}
     assert set(ids) == want | {r.doc_id for r in docs.collect() if r.doc_id is not None and not (r.text or "").split()}
+    assert near_dedup.one_of_each(nasty.empty(spark)).count() == 0
+
+
+def test_one_of_each_where_doc_ids_repeat(spark):
+    words = [f"w{k}" for k in range(60)]
+    a, b = " ".join(words), " ".join(reversed(words))
+
+    def kept(rows):
+        return sorted((r.doc_id, r.text) for r in near_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+    assert kept([(3, b), (5, a), (5, b)]) == [(3, b), (5, a)]
+    assert len(kept([(5, a), (5, a + " tail")])) == 1
+    assert kept([(7, a), (7, a), (8, b), (8, b)]) == [(7, a), (8, b)]
+
+
+def test_joins_of_frequent_keys(spark, monkeypatch):
+    """Dealt out, a frequent key's rows meet the same rows as in a plain join."""
+    from sievewright.llm import common
+
+    monkeypatch.setattr(common, "HOT", 20)
+    left = spark.createDataFrame([(None if k % 50 == 0 else k % 7 if k % 2 else 0, k) for k in range(1000)], "g long, x long")
+    right = spark.createDataFrame([(g, -g, g * 2) for g in range(6)] + [(0, 5, 5), (None, 1, 1)], "g long, y long, z long")
+    for how in ("inner", "left"):
+        plain = left.join(right, ["g"], how)
+        got = common.salted(left, right, ["g"], how)
+        assert got.columns == plain.columns and sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
 
 
 def test_components(spark):
