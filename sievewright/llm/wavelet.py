@@ -1,12 +1,15 @@
 """Token ids of a corpus in wavelet-matrix shards.
 
 A shard is one self-contained byte string (layout below) that answers access, count and occurrence lookups without
-unpacking the text. Shards are rows of a Parquet table in the shared folder, so any file system that Spark writes to
+unpacking the shard. Shards are rows of a Parquet table in the shared folder, so any file system that Spark writes to
 holds them, and a task that is run again writes the same shard.
 
-Layout, all little-endian: magic "WVM1", version u32, n_tokens u64, n_docs u64, sigma u32, planes u32, then zstd frames,
-each after its length u32: alphabet (u32 ids, most frequent first), document lengths (u32), zeros of each plane (u64), and for each
-plane from the highest bit its bits (packed, first bit highest). Ranks are summed over blocks of 512 bits on loading.
+Layout, all little-endian: magic "WVM1", version u32, n_tokens u64, n_docs u64, sigma u32, planes u32; two zstd frames,
+each after its length u32: alphabet (u32 ids, most frequent first) and document lengths (u32). Each plane, from the highest
+bit, is cut into blocks of SPAN bits (first bit lowest): then come, for each plane and block, the ones before it in its plane
+(u32) and at the end of each plane its ones in all; for each plane and block the place of its bytes (u64) and the end; and
+the blocks, each a zstd frame or, where that is no shorter, its bytes alone. The ones before blocks serve rank and, searched,
+select; a lookup unpacks one block of each plane, and blocks stay unpacked once met.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from .common import lean, stored
 MAGIC = b"WVM1"
 #: A shard is closed by the document that brings it to this many tokens.
 SHARD_TOKENS = 1 << 19
-_BLOCK = 512
+SPAN = 1 << 16
 _HEAD = struct.Struct("<4sIQQII")
 
 
@@ -43,77 +46,121 @@ def build(tokens: np.ndarray, lengths: np.ndarray) -> bytes:
     code[alphabet] = np.arange(len(alphabet))
     now = code[tokens]
     planes = max(1, int(len(alphabet) - 1).bit_length()) if len(alphabet) else 0
-    bits, zeros = [], np.zeros(planes, "<u8")
+    pack = zstandard.ZstdCompressor(level=1).compress
+    before, blocks = [], []
     for k in range(planes):
         one = (now & now.dtype.type(1 << (planes - 1 - k))) != 0
-        bits.append(np.packbits(one).tobytes())
-        low = np.compress(~one, now)
-        zeros[k] = len(low)
-        now = np.concatenate((low, np.compress(one, now)))
-    pack = zstandard.ZstdCompressor(level=1).compress
-    parts = [alphabet.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), zeros.tobytes(), *bits]
+        bits = np.packbits(one, bitorder="little")
+        ones = 0
+        for start in range(0, len(bits), SPAN // 8):
+            raw = bits[start : start + SPAN // 8]
+            before.append(ones)
+            ones += int(np.bitwise_count(raw).sum())
+            packed = pack(raw.tobytes())
+            blocks.append(packed if len(packed) < len(raw) else raw.tobytes())
+        before.append(ones)
+        now = np.concatenate((np.compress(~one, now), np.compress(one, now)))
     out = [_HEAD.pack(MAGIC, 1, len(tokens), len(lengths), len(alphabet), planes)]
-    for p in map(pack, parts):
+    for p in map(pack, (alphabet.astype("<u4").tobytes(), lengths.astype("<u4").tobytes())):
         out += [struct.pack("<I", len(p)), p]
-    return b"".join(out)
+    places = np.cumsum([0, *map(len, blocks)])
+    return b"".join([*out, np.array(before, "<u4").tobytes(), places.astype("<u8").tobytes(), *blocks])
 
 
 class Shard:
-    """A shard read back: token access, counts, occurrences, and whole documents."""
+    """A shard read back: token access, counts and occurrences, by rank and select on bit planes."""
 
     def __init__(self, data: bytes):
         magic, version, self.n_tokens, self.n_docs, self.sigma, self.planes = _HEAD.unpack_from(data)
         if magic != MAGIC or version != 1:
             raise ValueError("not a wavelet-matrix shard")
-        at, parts, unpack = _HEAD.size, [], zstandard.ZstdDecompressor().decompress
-        for _ in range(3 + self.planes):
+        at, parts, self._unpack = _HEAD.size, [], zstandard.ZstdDecompressor().decompress
+        for _ in range(2):
             (n,) = struct.unpack_from("<I", data, at)
-            parts.append(unpack(data[at + 4 : at + 4 + n]))
+            parts.append(self._unpack(data[at + 4 : at + 4 + n]))
             at += 4 + n
-        self.alphabet = np.frombuffer(parts[0], "<u4")
-        self.lengths = np.frombuffer(parts[1], "<u4")
-        self.zeros = np.frombuffer(parts[2], "<u8").astype(np.int64)
-        self._packed = [np.frombuffer(p, np.uint8) for p in parts[3:]]
+        self.alphabet, self.lengths = (np.frombuffer(p, "<u4") for p in parts)
+        self._blocks = -(-self.n_tokens // SPAN)
+        n = self.planes * (self._blocks + 1)
+        #: Ones before each block of each plane, and of the whole plane.
+        self.before = np.frombuffer(data, "<u4", n, at).reshape(self.planes, -1).astype(np.int64)
+        self._places = np.frombuffer(data, "<u8", self.planes * self._blocks + 1, at + 4 * n).astype(np.int64)
+        self._data, self._start = data, at + 4 * n + 8 * len(self._places)
+        self.zeros = self.n_tokens - self.before[:, -1] if self.planes else np.zeros(0, np.int64)
+        self._held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
     @cached_property
     def _codes(self) -> dict[int, int]:
         return {int(x): i for i, x in enumerate(self.alphabet)}
 
-    @cached_property
-    def _ranks(self) -> list[np.ndarray]:
-        out = []
-        for p in self._packed:
-            padded = np.zeros(-(-len(p) // (_BLOCK // 8)) * (_BLOCK // 8), np.uint8)
-            padded[: len(p)] = p
-            out.append(np.concatenate(([0], np.cumsum(np.bitwise_count(padded).reshape(-1, _BLOCK // 8).sum(1, dtype=np.int64)))))
-        return out
+    def _block(self, plane: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """The 64-bit words of a block, and the ones before each and in all."""
+        if (held := self._held.get((plane, block))) is None:
+            a, b = self._places[plane * self._blocks + block : plane * self._blocks + block + 2] + self._start
+            size = -(-min(SPAN, self.n_tokens - block * SPAN) // 8)
+            raw = self._data[a:b] if b - a == size else self._unpack(self._data[a:b])
+            words = np.frombuffer(raw + bytes(-size % 8), "<u8")
+            held = self._held[plane, block] = words, np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64)))
+        return held
 
     def rank1(self, plane: int, i: int) -> int:
         """Ones before place i of a plane."""
-        block, rest = divmod(i, _BLOCK)
-        start = block * _BLOCK // 8
-        n = int(self._ranks[plane][block]) + int(np.bitwise_count(self._packed[plane][start : start + rest // 8]).sum())
-        return n + (int(self._packed[plane][start + rest // 8]) >> (8 - rest % 8)).bit_count() if rest % 8 else n
+        block, rest = divmod(i, SPAN)
+        n = int(self.before[plane, block])
+        if rest:
+            words, ones = self._block(plane, block)
+            n += int(ones[rest >> 6])
+            if rest & 63:
+                n += (int(words[rest >> 6]) & ((1 << (rest & 63)) - 1)).bit_count()
+        return n
 
     def select(self, plane: int, bit: int, j: int) -> int:
         """Place of the j-th (from 0) such bit of a plane."""
-        lo, hi = 0, self.n_tokens
-        while lo < hi:
-            mid = (lo + hi) // 2
-            ones = self.rank1(plane, mid + 1)
-            lo, hi = (lo, mid) if (ones if bit else mid + 1 - ones) > j else (mid + 1, hi)
-        return lo
+        before = self.before[plane]
+        if not bit:
+            before = np.minimum(np.arange(len(before)) * SPAN, self.n_tokens) - before
+        block = int(np.searchsorted(before, j, "right")) - 1
+        words, ones = self._block(plane, block)
+        if not bit:
+            ones = np.arange(len(ones)) * 64 - ones
+        word = int(np.searchsorted(ones, j - before[block], "right")) - 1
+        left, value = int(j - before[block] - ones[word]), int(words[word])
+        bits = value if bit else ~value & (1 << 64) - 1
+        for _ in range(left):
+            bits &= bits - 1
+        return block * SPAN + word * 64 + (bits & -bits).bit_length() - 1
 
     def access(self, i: int) -> int:
         """The id at place i."""
         code = 0
         for k in range(self.planes):
-            bit = int(self._packed[k][i // 8]) >> (7 - i % 8) & 1
+            words, _ = self._block(k, i // SPAN)
+            bit = int(words[i % SPAN >> 6]) >> (i & 63) & 1
             ones = self.rank1(k, i)
             i = int(self.zeros[k]) + ones if bit else i - ones
             code = code << 1 | bit
         return int(self.alphabet[code])
 
+    def _plane(self, plane: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words of a whole plane, and the ones before each."""
+        parts = [self._block(plane, b) for b in range(self._blocks)]
+        return np.concatenate([w for w, _ in parts]), np.concatenate([ones[:-1] + n for (_, ones), n in zip(parts, self.before[plane].tolist(), strict=False)])
+
+    def tokens(self, start: int = 0, end: int | None = None) -> np.ndarray:
+        """The ids at places [start, end): access to many places at once, by ranks on one plane after the other."""
+        at = np.arange(start, self.n_tokens if end is None else end)
+        code = np.zeros(len(at), np.uint32)
+        for k in range(self.planes if len(at) else 0):
+            words, before = self._plane(k)
+            place = at >> 6
+            shift = (at & 63).astype(np.uint64)
+            word = words[place]
+            one = (word >> shift) & np.uint64(1)
+            ones = before[place] + np.bitwise_count(word & ((np.uint64(1) << shift) - np.uint64(1)))
+            at = np.where(one.view(np.int64), self.zeros[k] + ones, at - ones)
+            code = code << np.uint32(1) | one.astype(np.uint32)
+        return self.alphabet[code] if self.sigma else code
+
     def _range(self, token: int, start: int, end: int) -> tuple[int, int, int]:
         code = self._codes.get(token, -1)
         if code < 0:
@@ -139,17 +186,6 @@ class Shard:
             out.append(at)
         return out
 
-    def tokens(self) -> np.ndarray:
-        """All ids: the planes' stable partitions undone from the lowest plane up."""
-        now = np.zeros(self.n_tokens, np.uint16 if self.sigma <= 1 << 16 else np.uint32)
-        for k in reversed(range(self.planes)):
-            one = np.unpackbits(self._packed[k], count=self.n_tokens).view(bool)
-            z, up = int(self.zeros[k]), np.empty_like(now)
-            up[np.flatnonzero(~one)] = now[:z]
-            up[np.flatnonzero(one)] = now[z:] | now.dtype.type(1 << (self.planes - 1 - k))
-            now = up
-        return self.alphabet[now] if self.sigma else now.astype("<u4")
-
 
 def _byte_letters() -> dict[int, str]:
     """The character for each byte in a byte-level vocabulary: printable ones of Latin-1 stand for themselves, the others for characters from 256 on, in order."""
@@ -163,6 +199,7 @@ _BYTES = _byte_letters()
 class Encoder:
     """Ids by the tokenizers library. Texts are cut at safe boundaries, and each distinct cut is encoded by the library once while it is remembered.
 
+    Strings of added tokens, such as end-of-text marks, give those tokens' ids, as in the library; texts with one are left to it.
     Boundaries are before a blank that follows no white space, and between a Latin letter and a sign of ASCII other than
     the apostrophe or a line break: no alternative of the split pattern has both.
     """
@@ -181,7 +218,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
-        self.tokenizer.encode_special_tokens = True
+        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        #: The library takes these strings out of a text before its split pattern sees the rest.
+        self.added = re.compile("|".join(map(re.escape, sorted(added)))) if added else None
+        self.irregular_re2 = "|".join([self.IRREGULAR, *(re.sub(r"([^0-9A-Za-z_ ])", r"\\\1", x) for x in sorted(added))])
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -197,7 +237,9 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def irregular(self, text: str) -> bytes:
-        """Ids of one text, cut into pieces that keep the library's memory small."""
+        """Ids of one text: whole if it holds a string of an added token, else cut into pieces that keep the library's memory small."""
+        if self.added and self.added.search(text):
+            return self.plain([text])[0]
         return b"".join(self.plain(list(bpe.pieces(text))))
 
     def _learn(self, unknown: list[str]) -> dict[str, bytes]:
@@ -243,7 +285,7 @@ class Encoder:
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts (null: empty), each with the end id after it, one after the other, and how many each has."""
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, self.IRREGULAR)
+        odd = pc.match_substring_regex(texts, self.irregular_re2)
         places = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         even = texts.filter(pc.invert(odd))
         tokens, lengths = self._regular(even, end) if len(even) else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
@@ -264,10 +306,13 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
     """Encode whole texts, end each document with `end_id`, and write shards in ascending doc_id order; the stored table is returned.
 
     Rows: part, shard (order of shards), before (ids before the shard within its part), n_tokens, doc_ids, data (the file).
-    A null text is empty, so its document is the end id alone. Rows with equal doc_id all stay, ordered by text; null
+    A null text is empty, so its document is the end id alone; texts of any length are encoded whole. doc_id has to be of an
+    integer type. Rows with equal doc_id all stay, ordered by text; null
     doc_ids come first. A document is never split between shards. An empty table gives no shards.
     """
     spark = docs.sparkSession
+    if dict(docs.dtypes)["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError("doc_id has to be of an integer type")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
@@ -316,7 +361,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
                 shard = Shard(one.column("data")[0].as_py())
-                raw, ends = shard.tokens().astype("<u4").tobytes(), np.cumsum(shard.lengths, dtype=np.int64)
+                raw, ends = shard.tokens(0, shard.n_tokens).astype("<u4").tobytes(), np.cumsum(shard.lengths, dtype=np.int64)
                 starts = ends - shard.lengths
                 crc = [zlib.crc32(raw[a * 4 : b * 4]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 first = one.column("base")[0].as_py() + one.column("before")[0].as_py()

@@ -39,18 +39,30 @@ def test_round_trip(spark, ranks):
     assert bpe.round_trip_digests(nasty.empty(spark)).count() == 0
 
 
+def library():
+    """The tokenizer as it comes from its file."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+MARKS = ["<|endoftext|>", "a<|endoftext|>b", "x <|endoftext|><|endoftext|> y\n", "<|endoftext|", "|endoftext|>", "it's <|endoftext|>'s", " <|endoftext|>  z"]
+
+
 def test_encoder_agrees_with_the_library():
     e = wavelet.Encoder()
     rnd = random.Random(3)
-    texts = [*ODD, None, *(nasty.prose(rnd, rnd.randrange(0, 80)) for _ in range(200))]
+    texts = [*ODD, *MARKS, "word, " * 9000 + "<|endoftext|> end", None, *(nasty.prose(rnd, rnd.randrange(0, 80)) for _ in range(200))]
     e.LIMIT = 50  # forgets all the time
+    assert library().encode("<|endoftext|> a", add_special_tokens=False).ids == [50256, 257]
     for _ in range(2):
         tokens, n = e.encode(pa.array(texts), 0)
-        want = [x.ids + [0] for x in e.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        want = [x.ids + [0] for x in library().encode_batch([t or "" for t in texts], add_special_tokens=False)]
         assert tokens.tolist() == [i for x in want for i in x] and n.tolist() == list(map(len, want))
 
 
-@pytest.mark.parametrize(("n", "sigma"), [(1, 1), (2, 2), (777, 3), (5000, 900), (3000, 70000)])
+@pytest.mark.parametrize(("n", "sigma"), [(1, 1), (2, 2), (64, 2), (777, 3), (5000, 900), (3000, 70000), (1 << 16, 5), (140_001, 300)])
 def test_wavelet_matrix(n, sigma):
     rnd = np.random.default_rng(n)
     x = (rnd.zipf(1.3, n) % sigma).astype("<u4")
@@ -61,8 +73,10 @@ def test_wavelet_matrix(n, sigma):
     for t in {*x[rnd.integers(0, n, 5)].tolist(), sigma + 5}:
         a, b = sorted(rnd.integers(0, n + 1, 2).tolist())
         assert s.count(t, a, b) == (x[a:b] == t).sum() and s.occurrences(t) == np.flatnonzero(x == t).tolist()
+    a, b = sorted(rnd.integers(0, n + 1, 2).tolist())
+    assert s.tokens(a, b).tolist() == x[a:b].tolist()
     for k in range(s.planes):
-        bits = np.unpackbits(s._packed[k], count=n)
+        bits = np.unpackbits(s._plane(k)[0].view(np.uint8), bitorder="little", count=n)
         for i in rnd.integers(0, n + 1, 9):
             assert s.rank1(k, int(i)) == bits[:i].sum()
         for bit in (0, 1):
@@ -80,11 +94,11 @@ def test_shards_hold_the_corpus(spark):
     docs = nasty.documents(spark)
     shards = wavelet.write_shards(docs, shard_tokens=500, partitions=3)
     got = wavelet.read_documents(shards).collect()
-    e = wavelet.Encoder()
+    plain = library()
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     start, want = 0, []
     for i, t in rows:
-        ids = [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 0]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == want
