@@ -7,7 +7,9 @@ the languages that texts alone point to. The posterior is proportional to prior
 
 A row is rejected if it has no letters, or "und" is likeliest, or the best posterior is below LEAST.
 Null and empty texts have no letters: language null, probability 0. Null hosts, declarations and addresses say nothing.
-Rows are judged one by one, so repeated rows get equal answers. With no labelled row at all every row is rejected.
+Texts of any length are read whole. Of equally likely languages the first in sorted order is named, "und" last. Rows are
+judged one by one, so repeated rows get equal answers. With no labelled row at all every row is rejected; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, shielded, stored
+from .common import lean, salted, shielded, stored
 
 TRAIN_ROWS, BUCKETS = 1500, 1 << 16
 TEMPER, LEAST, STRENGTH = 1 / 3, 0.5, 20.0
@@ -83,73 +85,85 @@ def parent(host: Column) -> Column:
     return F.when(F.instr(host, ".") > 0, F.substring_index(host, ".", -2))
 
 
-def priors(rows: DataFrame, model: Model) -> tuple[DataFrame, np.ndarray]:
-    """host and prior (over the model's languages) from all rows (host, text), and the corpus's prior."""
-    size = len(model.languages)
+def scored(rows: DataFrame, model: Model, text: str) -> DataFrame:
+    """rows with _sw_ll (tempered log-likelihood of the text under each language of the model; null without letters)."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
+    names, kinds = rows.columns, dict(rows.dtypes)
 
-    def vote(batches):
+    def run(batches):
         m = shared.value
         for b in batches:
             out = []
-            for x in b.column("text"):
+            for x in b.column(text):
                 ll, n = m.likelihood(x.as_py())
-                out.append(int(ll.argmax()) if n else None)
-            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(out, pa.int32())], names=["host", "vote"])
-
-    votes = rows.select(F.col("host").cast("string").alias("host"), "text").mapInArrow(lean(vote), "host string, vote int").where("vote is not null")
-    counts = stored(votes.groupBy("host", "vote").agg(F.count("*").alias("n")), "votes")
-    base = np.ones(size)
-    for r in counts.groupBy("vote").agg(F.sum("n").alias("n")).collect():
-        base[r.vote] += r.n
-    base /= base.sum()
-    array = lambda prefix: F.array(*(F.coalesce(F.sum(F.when(F.col("vote") == k, F.col("n"))), F.lit(0)).cast("double") for k in range(size))).alias(prefix)
-    smooth = lambda c, towards: F.zip_with(F.col(c), towards, lambda n, p: n + p * STRENGTH)
-    share = lambda c: F.transform(c, lambda x: x / F.aggregate(c, F.lit(0.0), lambda s, y: s + y))
-    whole = F.array(*(F.lit(float(p)) for p in base))
-    above = counts.where("host is not null").withColumn("parent", parent(F.col("host"))).where("parent is not null").groupBy("parent").agg(array("c")).select("parent", smooth("c", whole).alias("c")).select("parent", share(F.col("c")).alias("above"))
-    hosts = counts.where("host is not null").groupBy("host").agg(array("c")).withColumn("parent", parent(F.col("host")))
-    hosts = hosts.join(above, "parent", "left").select("host", smooth("c", F.coalesce("above", whole)).alias("c"))
-    return stored(hosts.select("host", share(F.col("c")).alias("prior")), "priors"), base
+                out.append(ll if n else None)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.list_(pa.float64()))], names=[*names, "_sw_ll"])
+
+    return rows.mapInArrow(lean(run), ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "_sw_ll array<double>"]))
+
+
+def _best(c: Column | str) -> Column:
+    """Place, from 0, of the greatest of an array; of equal ones the first."""
+    return (F.array_position(c, F.array_max(c)) - 1).cast("int")
+
+
+def _share(c: Column | str) -> Column:
+    return F.transform(c, lambda x: x / F.aggregate(c, F.lit(0.0), lambda s, y: s + y))
+
+
+def priors(votes: DataFrame, size: int) -> tuple[DataFrame, list[float]]:
+    """host and prior (over size languages) from all rows (host, vote: the language that the text alone points to), and the corpus's prior."""
+    counts = stored(votes.where("vote is not null").groupBy("host", "vote").agg(F.count("*").alias("n")), "votes")
+    times = {r.vote: r.n for r in counts.groupBy("vote").agg(F.sum("n").alias("n")).collect()}
+    all_ = sum(times.values()) + size
+    base = [(times.get(k, 0) + 1) / all_ for k in range(size)]
+    whole = F.array(*(F.lit(p) for p in base))
+    known = counts.where("host is not null").withColumn("parent", parent(F.col("host")))
+
+    def smooth(rows: DataFrame, key: str) -> DataFrame:
+        """key, and its number of rows for each language."""
+        summed = rows.groupBy(key, "vote").agg(F.sum("n").alias("n")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("vote", "n"))).alias("m"))
+        return summed.withColumn("c", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0)).cast("double"))).drop("m")
+
+    towards = lambda above: F.zip_with("c", above, lambda n, p: n + p * STRENGTH)
+    above = smooth(known.where("parent is not null"), "parent").select("parent", _share(towards(whole)).alias("above"))
+    hosts = smooth(known, "host").withColumn("parent", parent(F.col("host"))).join(above, "parent", "left")
+    return stored(hosts.select("host", _share(towards(F.coalesce("above", whole))).alias("prior")), "priors"), base
+
+
+def _with_evidence(total: Column, place: Column, right: float, size: int) -> Column:
+    """Log posteriors after evidence for the language at this place, from 1; null and 0 say nothing."""
+    yes, no = float(np.log(right)), float(np.log((1 - right) / (size - 1)))
+    return F.when(F.coalesce(place, F.lit(0)) > 0, F.transform(total, lambda x, k: x + F.when(k + 1 == place, yes).otherwise(no))).otherwise(total)
 
 
 def identify(rows: DataFrame, model: Model, keep: list[str], host: str, declared: str | None = None, address: str | None = None, text: str = "text") -> DataFrame:
-    """The kept columns with _sw_language, _sw_probability, _sw_text_language and _sw_rejected. host, declared and address name columns, the latter two of language codes."""
-    prior, base = priors(rows.select(F.col(host).cast("string").alias("host"), F.col(text).alias("text")), model)
-    shared = rows.sparkSession.sparkContext.broadcast((model, base))
-    kinds = dict(rows.dtypes)
-    given = [(c, r) for c, r in ((declared, DECLARED), (address, ADDRESS)) if c]
-    names = ["_sw_language", "_sw_probability", "_sw_text_language", "_sw_rejected"]
-
-    def judge(batches):
-        m, whole = shared.value
-        place = {k: i for i, k in enumerate(m.languages)}
-        for b in batches:
-            out = []
-            evidence = [(b.column(c).to_pylist(), r) for c, r in given]
-            for row, (x, p) in enumerate(zip(b.column(text), b.column("_sw_prior"), strict=True)):
-                ll, n = m.likelihood(x.as_py())
-                if not n or len(m.languages) < 2:
-                    out.append((None, 0.0, None, True))
-                    continue
-                total = ll + np.log(np.array(p.as_py()) if p.is_valid else whole)
-                for values, right in evidence:
-                    if (at := place.get((values[row] or "").lower().split("-")[0])) is not None:
-                        fit = np.full(len(total), (1 - right) / (len(total) - 1))
-                        fit[at] = right
-                        total = total + np.log(fit)
-                e = np.exp(total - total.max())
-                best = int(total.argmax())
-                share = float(e[best] / e.sum())
-                out.append((m.languages[best], share, m.languages[int(ll.argmax())], m.languages[best] == UNKNOWN or share < LEAST))
-            columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-            types = (pa.string(), pa.float64(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[*keep, *names])
-
-    asked = rows.select(*dict.fromkeys([*keep, text, *(c for c, _ in given)]), F.col(host).cast("string").alias("_sw_host"))
-    joined = asked.join(prior.select(F.col("host").alias("_sw_host"), F.col("prior").alias("_sw_prior")), "_sw_host", "left").drop("_sw_host")
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "_sw_language string, _sw_probability double, _sw_text_language string, _sw_rejected boolean"])
-    return joined.mapInArrow(lean(judge), schema)
+    """The kept columns with _sw_language, _sw_probability, _sw_text_language and _sw_rejected. host, declared and address name columns, the latter two of language codes.
+
+    Texts are scored once; the scores are stored with the kept columns, and all evidence is fused by SQL functions.
+    """
+    size = len(model.languages)
+    given = [(c, r, f"_sw_given_{k}") for k, (c, r) in enumerate(((declared, DECLARED), (address, ADDRESS))) if c]
+    asked = rows.select(*dict.fromkeys([*keep, text]), *(F.col(c).cast("string").alias(as_) for c, _, as_ in given), F.col(host).cast("string").alias("_sw_host"))
+    table = stored(scored(asked, model, text).select(*keep, *(as_ for _, _, as_ in given), "_sw_host", "_sw_ll"), "scored")
+    prior, base = priors(table.select(F.col("_sw_host").alias("host"), _best("_sw_ll").alias("vote")), size)
+    joined = salted(table, prior.select(F.col("host").alias("_sw_host"), F.col("prior").alias("_sw_prior")), ["_sw_host"], "left")
+    whole = F.array(*(F.lit(p) for p in base))
+    total = F.zip_with("_sw_ll", F.coalesce("_sw_prior", whole), lambda x, p: x + F.log(p))
+    names = F.array(*(F.lit(x) for x in model.languages))
+    for _, right, as_ in given if size > 1 else ():
+        total = _with_evidence(total, F.array_position(names, F.substring_index(F.lower(F.col(as_)), "-", 1)), right, size)
+    out = joined.withColumn("_sw_total", total).withColumn("_sw_at", _best("_sw_total"))
+    out = out.withColumn("_sw_probability", F.lit(1.0) / F.aggregate("_sw_total", F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max("_sw_total"))))
+    found = F.col("_sw_ll").isNotNull() & F.lit(size > 1)
+    when = lambda c: F.when(found, c)
+    return out.select(
+        *keep,
+        when(F.get(names, F.col("_sw_at"))).alias("_sw_language"),
+        F.coalesce(when(F.col("_sw_probability")), F.lit(0.0)).alias("_sw_probability"),
+        when(F.get(names, _best("_sw_ll"))).alias("_sw_text_language"),
+        F.coalesce(when((F.col("_sw_at") == size - 1) | (F.col("_sw_probability") < LEAST)), F.lit(True)).alias("_sw_rejected"),
+    )
 
 
 def accepted(docs: DataFrame, identity: str = "doc_id", label: str = "lang", host: str = "source") -> DataFrame:
@@ -158,6 +172,17 @@ def accepted(docs: DataFrame, identity: str = "doc_id", label: str = "lang", hos
     return restore(identify(docs, fit(docs, identity, label), docs.columns, host).where("not _sw_rejected").select(*docs.columns))
 
 
+# Endings of addresses, and the language of most pages there.
+ENDINGS = {
+    "ar": "es", "at": "de", "au": "en", "bg": "bg", "br": "pt", "by": "ru", "ca": "en", "cl": "es", "cn": "zh", "co": "es",
+    "cz": "cs", "de": "de", "dk": "da", "ee": "et", "es": "es", "fi": "fi", "fr": "fr", "gr": "el", "hk": "zh", "hr": "hr",
+    "hu": "hu", "id": "id", "ie": "en", "il": "he", "ir": "fa", "is": "is", "it": "it", "jp": "ja", "kr": "ko", "lt": "lt",
+    "lv": "lv", "mx": "es", "nl": "nl", "no": "no", "nz": "en", "pe": "es", "pl": "pl", "pt": "pt", "ro": "ro", "rs": "sr",
+    "ru": "ru", "se": "sv", "si": "sl", "sk": "sk", "th": "th", "tr": "tr", "tw": "zh", "ua": "uk", "uk": "en", "us": "en",
+    "uy": "es", "ve": "es", "vn": "vi", "za": "en",
+}
+
+
 _HTML_LANG = r"""(?is)<html[^>]*?\slang\s*=\s*["']?([a-z]{2,3})"""
 
 
@@ -165,7 +190,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
     """page_id, host, text without markup, declared language, and the language that the address names: a path part of two letters, else a country ending."""
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
     path = F.lower(F.regexp_extract("url", r"^[^:]+://[^/?#]+/([a-zA-Z]{2})(?:[/?#]|$)", 1))
-    ending = F.regexp_extract(host, r"\.(de|fr|es|it|nl|pt|pl|en)$", 1)
+    ending = F.element_at(F.create_map(*(F.lit(x) for pair in ENDINGS.items() for x in pair)), F.substring_index(host, ".", -1))
     blank = lambda c: F.when(c != "", c)
     text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), "(?s)<[^>]*>", " ")
-    return pages.select("page_id", blank(host).alias("host"), text.alias("text"), blank(F.lower(F.regexp_extract("html", _HTML_LANG, 1))).alias("declared"), F.coalesce(blank(path), blank(ending)).alias("address"))
+    return pages.select("page_id", blank(host).alias("host"), text.alias("text"), blank(F.lower(F.regexp_extract("html", _HTML_LANG, 1))).alias("declared"), F.coalesce(blank(path), F.when(F.instr(host, ".") > 0, ending)).alias("address"))

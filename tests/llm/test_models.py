@@ -127,9 +127,60 @@ def test_evidence_moves_the_answer(spark):
     assert (out[1].host, out[1].address, out[1].declared) == ("www.site.de", "de", None)
     assert (out[2].address, out[2].declared, out[2].text.split()) == ("fr", "en", ["hi", "you"])
     assert out[3].text is None
-    priors, base = lang_id.priors(docs.select(F.concat(F.lit("a."), "source", F.lit(".net")).alias("host"), "text"), model)
-    assert priors.count() == docs.select("source").distinct().count() and abs(base.sum() - 1) < 1e-9
-    assert all(abs(sum(r.prior) - 1) < 1e-9 for r in priors.collect())
+    assert [r.address for r in lang_id.page_rows(spark.createDataFrame([(1, "http://x.co.uk/a", "a"), (2, "http://x.mx", "a"), (3, "http://at/x", "a"), (4, "http://x.zz/de/", "a")], "page_id int, url string, html string")).orderBy("page_id").collect()] == ["en", "es", None, "de"]
+
+
+def test_posteriors_by_brute_force(spark):
+    """Priors smoothed from corpus to parent domain to host, and the product of all evidence, in plain Python."""
+    rnd = random.Random(9)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = lang_id.fit(docs)
+    texts = [r.text for r in docs.where("length(text) < 60 or doc_id % 20 = 0").limit(120).collect()] + ["de", "la", "the", "123", "", None]
+    hosts = ["a.site.org", "b.site.org", "x.other.net", "plain", None]
+    rows = [(i, t, rnd.choice(hosts), rnd.choice([None, "fr", "EN-gb", "xx"]), rnd.choice([None, "de", "es"])) for i, t in enumerate(texts * 2)]
+    df = spark.createDataFrame(rows, "id int, text string, host string, declared string, address string").repartition(3)
+    got = {r.id: r for r in lang_id.identify(df, model, ["id"], "host", "declared", "address").collect()}
+    size, ll = len(model.languages), {}
+    for i, t, *_ in rows:
+        v, n = model.likelihood(t)
+        ll[i] = v if n else None
+    votes = [(h, int(ll[i].argmax())) for i, _, h, _, _ in rows if ll[i] is not None]
+    base = np.ones(size)
+    for _, v in votes:
+        base[v] += 1
+    base /= base.sum()
+    above = lambda h: ".".join(h.split(".")[-2:]) if "." in h else None
+
+    def counted(of):
+        c = np.zeros(size)
+        for h, v in votes:
+            c[v] += h is not None and of(h)
+        return c
+
+    def prior(h):
+        if h is None or not any(x == h for x, _ in votes):
+            return base
+        up = base
+        if above(h):
+            up = counted(lambda x: above(x) == above(h)) + base * lang_id.STRENGTH
+            up /= up.sum()
+        own = counted(lambda x: x == h) + up * lang_id.STRENGTH
+        return own / own.sum()
+
+    for i, _, h, declared, address in rows:
+        r = got[i]
+        if ll[i] is None:
+            assert (r._sw_language, r._sw_probability, r._sw_rejected) == (None, 0, True)
+            continue
+        total = ll[i] + np.log(prior(h))
+        for code, right in ((declared, lang_id.DECLARED), (address, lang_id.ADDRESS)):
+            code = (code or "").lower().split("-")[0]
+            if code in model.languages:
+                total = total + np.log([right if x == code else (1 - right) / (size - 1) for x in model.languages])
+        e = np.exp(total - total.max())
+        assert abs(r._sw_probability - e.max() / e.sum()) < 1e-9
+        assert r._sw_language == model.languages[int(total.argmax())] and r._sw_text_language == model.languages[int(ll[i].argmax())]
+        assert r._sw_rejected == (r._sw_language == "und" or r._sw_probability < lang_id.LEAST)
 
 
 def exact(rows, k, asked):
