@@ -11,7 +11,7 @@ A kd-tree over a sample of at most SAMPLE projected vectors cuts space into cell
 searched in its own cell first, and the distance found there rules out cells by the same test. Many queries share a
 vector's work: equal vectors are one class, of which the k + 1 smallest ids are kept, more than which no query can return.
 
-Null vectors, zero vectors, vectors holding null or non-finite components, vectors of another length than most, and rows
+An empty table gives no rows. Null vectors, zero vectors, vectors holding null or non-finite components, vectors of another length than most, and rows
 without an id take no part. Ties go to the smaller id. Rows that repeat an id are that id's own rows to a query.
 """
 
@@ -214,16 +214,15 @@ def neighbours(vectors: DataFrame, k: int, is_query: Column) -> DataFrame:
 
     def norms(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array((_floats(b.column("vec")) ** 2).sum(1) if b.num_rows else [], pa.float64()), b.column("asked")], names=["square", "asked"])
+            yield pa.RecordBatch.from_arrays([pa.array((_floats(b.column("vec")) ** 2).sum(1) if b.num_rows else [], pa.float64())], names=["square"])
 
-    n, asked, square = classes.select("vec", "asked").mapInArrow(lean(norms), "square double, asked boolean").agg(F.count("*"), F.count_if("asked"), F.max("square")).first()
+    n, square = classes.select("vec").mapInArrow(lean(norms), "square double").agg(F.count("*"), F.max("square")).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     norm = square**0.5
     picked = classes.where(F.pmod("cid", F.lit(1 << 20)) < max(1, int(2**20 * min(1.0, 0.9 * SAMPLE / n)))).select("vec").limit(SAMPLE).toPandas()["vec"]
     sample = _projected(np.array([np.frombuffer(v, "<f8") for v in picked]), norm, False) if len(picked) else np.zeros((0, DIMENSIONS))
     cells = spark.sparkContext.broadcast(Cells(sample, min(max(-(-n // CELL), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // LEAST_CELL)), max(1, len(sample) // 8))))
-    salts = max(1, -(-asked // QUERY_BLOCK))
 
     def place(batches):
         for b in batches:
@@ -231,16 +230,17 @@ def neighbours(vectors: DataFrame, k: int, is_query: Column) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(cells.value.of(_projected(_floats(b.column("vec")), norm, False))), *(b.column(c) for c in ("cid", "vec", "first", "asked"))], names=["cell", "cid", "vec", "first", "asked"])
 
     placed = stored(classes.select("cid", "vec", "first", "asked").mapInArrow(lean(place), "cell int, cid long, vec binary, first long, asked boolean"), "cells")
-    salt = F.pmod("cid", F.lit(salts)).cast("int")
-    stock = placed.select("cell", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), "cid", "vec", "first", F.lit(0.0).alias("bound"))
     queries = placed.where("asked")
 
     def search(asking):
-        rows = stock.union(asking.select("cell", salt.alias("salt"), F.lit(1).alias("kind"), "cid", "vec", "first", "bound"))
+        """asking: cell, cid, vec, first, bound. A cell's queries are dealt out by QUERY_BLOCK, and its vectors are copied to each part; cells that no query asks are left out."""
+        salts = F.broadcast(asking.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("salts")))
+        stock = placed.join(salts, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "cid", "vec", "first", F.lit(0.0).alias("bound"))
+        rows = stock.union(asking.join(salts, "cell").select("cell", F.pmod("cid", F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "cid", "vec", "first", "bound"))
         dealt = rows.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "kind")
         return dealt.mapInArrow(lean(_searched(norm, k + 1)), schema)
 
-    home = stored(search(queries.withColumn("bound", F.lit(float("-inf")))), "home")
+    home = stored(search(queries.select("cell", "cid", "vec", "first", F.lit(float("-inf")).alias("bound"))), "home")
     known = home.groupBy("query").agg(F.when(F.count("*") > k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("bound"))
     bounded = queries.join(known.withColumnRenamed("query", "cid"), "cid", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
 
@@ -257,7 +257,8 @@ def neighbours(vectors: DataFrame, k: int, is_query: Column) -> DataFrame:
                 at = pa.array(row + s)
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *(b.column(c).take(at) for c in ("cid", "vec", "first", "bound"))], names=["cell", "cid", "vec", "first", "bound"])
 
-    far = search(bounded.select("cell", "cid", "vec", "first", "bound").mapInArrow(lean(reach), "cell int, cid long, vec binary, first long, bound double"))
+    asks = stored(bounded.select("cell", "cid", "vec", "first", "bound").mapInArrow(lean(reach), "cell int, cid long, vec binary, first long, bound double"), "asks")
+    far = search(asks)
     best = Window.partitionBy("query").orderBy(F.desc("score"), "first")
     top = home.union(far).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
     rows = top.join(classes.select("cid", "ids"), "cid").select("query", "score", F.explode("ids").alias("vec_id"))
