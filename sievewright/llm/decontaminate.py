@@ -6,7 +6,9 @@ Null and empty texts have no words; null items and items without words have no w
 so repeated rows and other columns do no harm. Items with one id count as one item. An item's null id reads "null".
 
 Items are collected in blocks of at most BLOCK_WORDS words (or one item), and an automaton of a block is all that the
-driver or a worker holds unpacked at once. A pass over the texts carries GROUP packed blocks; with more blocks there are more passes.
+driver or a worker holds unpacked at once. A pass over the texts carries GROUP packed blocks; with more blocks there are more
+passes. With one block its automaton is unpacked once for a task, with several each once for HELD bytes of texts. Texts of
+any length are read whole. An empty table of documents gives no rows, one of items no hits.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .common import alnum_words, lean, shielded, stored
 WINDOW = 10
 BLOCK_WORDS = 100_000
 GROUP = 16
+#: Bytes of texts that a task reads before it unpacks the next of several automata.
+HELD = 64 << 20
 _PAIRS = 1 << 22
 
 
@@ -182,27 +186,51 @@ _HITS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep_text: bool = False, finish=None) -> DataFrame:
-    """The rows of docs (all columns, the text only if asked) with _sw_n_words, _sw_hits (stretches of words, [start, end)) and _sw_items (ids, sorted).
+    """The rows of docs (all columns, the text only if asked) with _sw_n_words, _sw_hits (stretches of words, [start, end)) and _sw_items (ids, sorted), which docs must not have itself.
 
     finish, given a text, its number of words and its hits, gives the text to keep, or False to drop the row; the columns are then those of docs alone.
     """
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c != "text" and not c.startswith("_sw_")]
+    if taken := [c for c in docs.columns if c in ("_sw_n_words", "_sw_hits", "_sw_items")]:
+        raise ValueError(f"columns that find adds itself: {', '.join(taken)}")
+    names = [c for c in docs.columns if c != "text"]
     kinds = dict(docs.dtypes)
 
     def run(models, first, last):
+        def words(batch):
+            return [alnum_words((x.as_py() or "").encode()) for x in batch.column("text")]
+
+        def looked(batches, loaded):
+            """Batches with their words and what each model finds in them."""
+            if loaded:
+                for batch in batches:
+                    split = words(batch)
+                    yield batch, split, [list(map(loaded.scan, split))]
+                return
+            held, size, ended = [], 0, False
+            while not ended:
+                batch = next(batches, None)
+                ended = batch is None
+                if batch is not None:
+                    held.append(batch)
+                    size += batch.column("text").nbytes
+                if held and (ended or size >= HELD):
+                    found = [[] for _ in held]
+                    for m in models:
+                        model = pickle.loads(zlib.decompress(m.value))
+                        for b, out in zip(held, found, strict=True):
+                            out.append(list(map(model.scan, words(b))))
+                    yield from ((b, words(b), out) for b, out in zip(held, found, strict=True))
+                    held, size = [], 0
+
         def go(batches):
             loaded = pickle.loads(zlib.decompress(models[0].value)) if len(models) == 1 else None
-            for batch in batches:
-                texts = [(x.as_py() or "").encode() for x in batch.column("text")]
-                split = list(map(alnum_words, texts))
+            for batch, split, found in looked(batches, loaded):
                 hits = [[(h["start"], h["end"]) for h in x] for x in batch.column("_sw_hits").to_pylist()] if not first else [[]] * len(split)
                 items = [set(x) for x in batch.column("_sw_items").to_pylist()] if not first else [set()] * len(split)
-                for m in models:
-                    model = loaded or pickle.loads(zlib.decompress(m.value))
-                    found = list(map(model.scan, split))
-                    hits = [_join(a, b) if a and b else a or b for a, (b, _) in zip(hits, found, strict=True)]
-                    items = [a | b if b else a for a, (_, b) in zip(items, found, strict=True)]
+                for of_model in found:
+                    hits = [_join(a, b) if a and b else a or b for a, (b, _) in zip(hits, of_model, strict=True)]
+                    items = [a | b if b else a for a, (_, b) in zip(items, of_model, strict=True)]
                 if last and finish:
                     texts = [finish(x.as_py(), len(w), h) if h else x.as_py() for x, w, h in zip(batch.column("text"), split, hits, strict=True)]
                     rows = [row for row, x in enumerate(texts) if x is not False]
