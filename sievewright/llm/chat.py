@@ -8,7 +8,8 @@ A log has conv_id, message (orders the messages of a conversation), seq (orders
 - regenerate: empties its text, and drops every later message of the conversation as far as it was logged before
 
 Null text is empty, a null role is empty, a null kind is a message. Events with equal seq go by kind, role and text, so
-repeated rows have a defined result. A null conv_id is a conversation of its own. An empty log gives no rows.
+repeated rows have a defined result. A null conv_id is a conversation of its own. An empty log gives no rows. Texts of any
+length are folded whole. A conversation is one row of the result, so one task folds it; its events are sorted with spilling.
 
 Template: `<|im_start|>role<|im_sep|>text<|im_end|>` and a line break for each message. In roles and texts a backslash is
 doubled and `<|` becomes `<\\|`, so no control string can stand in them, and undoing it is exact.
@@ -71,6 +72,17 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """A table with one row for each turn as a log. Rows of the same turn are messages of their own, by role and text."""
+    """A table with one row for each turn as the log of a live conversation. Rows of the same turn are messages of their own, by role and text.
+
+    A trained turn is streamed: an opened message, a delta of a first attempt, a regeneration, and its text in three
+    deltas. Any other turn is sent with the first half of its text and then edited to the whole.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return conversations.select("conv_id", F.row_number().over(order).alias("message"), F.lit("message").alias("kind"), "role", "text").withColumn("seq", F.col("message"))
+    turns = conversations.select("conv_id", F.row_number().over(order).alias("message"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    third = F.ceil(F.char_length("text") / 3).cast("int")
+    part = lambda k: F.substring(F.col("text"), third * k + 1, third)
+    event = lambda kind, text, role=F.lit(None).cast("string"): F.struct(F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    streamed = F.array(event("message", F.lit(""), F.col("role")), event("delta", F.concat(part(0), F.lit("..."))), event("regenerate", F.lit("")), *(event("delta", part(k)) for k in range(3)))
+    edited = F.array(event("message", F.substring(F.col("text"), F.lit(1), (F.char_length("text") / 2).cast("int")), F.col("role")), event("edit", F.col("text")))
+    told = turns.select("conv_id", "message", F.posexplode(F.when(F.col("role") == TRAINED, streamed).otherwise(edited)).alias("k", "e"))
+    return told.select("conv_id", "message", (F.col("message").cast("long") * 8 + F.col("k")).alias("seq"), "e.kind", "e.role", "e.text")
