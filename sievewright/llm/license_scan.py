@@ -1,7 +1,7 @@
 """Licence scans: an Aho-Corasick automaton finds notice phrases and identifier tags, a shunting-yard parser reads the tags' expressions.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z were lower-cased; a phrase matches where its words stand
-consecutively, overlaps included. A null or empty text has no words, no labels and score 0. Rows are looked at one by
+consecutively, overlaps included. An empty table gives no rows. A null or empty text has no words, no labels and score 0. Rows are looked at one by
 one, so ties and repeated rows keep their rows, and other columns are left out. Texts of any length are read whole.
 """
 
@@ -40,8 +40,14 @@ NOTICES = {
     "eclipse public license": "epl",
     "all rights reserved": "all-rights-reserved",
 }
-# Beginnings of identifiers whose licences allow reuse without copyleft.
-PERMISSIVE = ("mit", "apache", "bsd", "isc", "cc0", "cc-by-1", "cc-by-2", "cc-by-3", "cc-by-4", "unlicense", "zlib")
+# Identifiers, in lower case, of licences that allow reuse without copyleft.
+PERMISSIVE = frozenset({
+    "0bsd", "afl-3.0", "apache-1.0", "apache-1.1", "apache-2.0", "artistic-2.0", "blueoak-1.0.0", "bsd-1-clause",
+    "bsd-2-clause", "bsd-2-clause-patent", "bsd-3-clause", "bsd-3-clause-clear", "bsd-4-clause", "bsl-1.0", "cc-by-1.0",
+    "cc-by-2.0", "cc-by-2.5", "cc-by-3.0", "cc-by-4.0", "cc0-1.0", "curl", "ecl-2.0", "fsfap", "ftl", "icu", "isc", "libpng",
+    "libpng-2.0", "mit", "mit-0", "ms-pl", "ncsa", "openssl", "php-3.01", "postgresql", "psf-2.0", "python-2.0", "tcl",
+    "unicode-3.0", "unicode-dfs-2016", "unlicense", "upl-1.0", "w3c", "wtfpl", "x11", "zlib", "zpl-2.1",
+})
 TAG_WORDS = "spdx license identifier"
 _TAG = re.compile(r"SPDX-License-Identifier\s*:[ \t]*((?:(?!SPDX-License-Identifier)[A-Za-z0-9.+:() \t-])+)", re.IGNORECASE)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
@@ -123,7 +129,7 @@ def evaluate(postfix: list[str]) -> tuple[frozenset[str], bool]:
             (right, y), (left, x) = stack.pop(), stack.pop()
             stack.append((left, x) if token == "with" else (left | right, x or y if token == "or" else x and y))
         else:
-            stack.append((frozenset([token]), token.startswith(PERMISSIVE)))
+            stack.append((frozenset([token]), token.removesuffix("+") in PERMISSIVE))
     return stack.pop()
 
 

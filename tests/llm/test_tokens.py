@@ -109,6 +109,7 @@ def test_expressions():
     ev = lambda x: license_scan.evaluate(license_scan.parse(x))
     assert ev("MIT") == (frozenset({"mit"}), True)
     assert ev("GPL-2.0-only WITH Classpath-exception-2.0 OR Apache-2.0") == (frozenset({"gpl-2.0-only", "apache-2.0"}), True)
+    assert ev("MITRE")[1] is False and ev("apache-2.0+")[1] is True and ev("BSD-Protection")[1] is False
     assert ev("(MIT OR GPL-3.0+) AND BSD-3-Clause")[1] is True and ev("MIT AND GPL-3.0")[1] is False
     assert license_scan.parse("a or b and c with d") == ["a", "b", "c", "d", "with", "and", "or"]
     for bad in ("", "(MIT", "MIT)", "MIT MIT", "AND MIT", "MIT OR", "()", "MIT (GPL)"):
@@ -182,6 +183,30 @@ def test_formatting_is_reversible(spark):
     assert chat.render(chat.reconstruct(chat.as_events(df.where("false")))).count() == 0
 
 
+def test_conversations_as_logs(spark):
+    rows = [(1, 0, "user", "hello there"), (1, 1, "assistant", "ab"), (1, 2, "assistant", "é漢x🙂 and more"), (1, 3, None, None), (2, 0, "assistant", None), (2, 0, "assistant", "x")]
+    log = chat.as_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    kinds = [r.kind for r in log.where("conv_id = 1").orderBy("seq").collect()]
+    assert kinds == [*["message", "edit"], *["message", "delta", "regenerate", *["delta"] * 3] * 2, *["message", "edit"]]
+    got = sorted((r.conv_id, r.message, r.role, r.text) for r in chat.reconstruct(log.repartition(3)).collect())
+    assert got == [(1, 1, "user", "hello there"), (1, 2, "assistant", "ab"), (1, 3, "assistant", "é漢x🙂 and more"), (1, 4, "", ""), (2, 1, "assistant", ""), (2, 2, "assistant", "x")]
+
+
+def test_base_phrases_by_sql(spark):
+    """n_words, n_base, first_word, last_word and base_labels as DuckDB has them."""
+    import duckdb
+
+    data = "/root/testdata/sf0.01/documents.parquet"
+    phrases = ", ".join(f"('{p}', '{x}', {len(p.split())})" for p, x in license_scan.BASE.items())
+    want = duckdb.sql(rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM '{data}'),
+        p(phrase, label, n) AS (VALUES {phrases}),
+        hit AS (SELECT doc_id, label, i FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d), p WHERE array_to_string(list_slice(w, i + 1, i + n), ' ') = phrase)
+        SELECT d.doc_id, len(w), count(i), min(i), max(i), coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') FROM d LEFT JOIN hit USING (doc_id) GROUP BY d.doc_id, w""").fetchall()
+    got = license_scan.scan(spark.read.parquet(data)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and sum(r[2] for r in want) > 0
+
+
 def test_chat_plan_is_native(spark):
     df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = chat.read_back(chat.render(chat.reconstruct(chat.as_events(df))).withColumn("formatted", F.encode("formatted", "UTF-8")))._jdf.queryExecution().toString()
