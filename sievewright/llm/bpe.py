@@ -5,7 +5,7 @@ No alternative of the split pattern matches across such a place, and its one loo
 so the pieces' ids, one after the other, are the ids of the whole text. A cut after a character that some regex
 engines count as white space and others don't is never made.
 
-Nulls and empty texts have no ids. Special tokens' strings are ordinary text. Extra columns are left out.
+Nulls and empty texts have no ids, and an empty table gives no rows. Special tokens' strings are ordinary text. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -31,15 +31,6 @@ _ODD_SPACE = "\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u20
 ODD_RE2 = f"[{_ODD_SPACE}]"
 _SAFE = re.compile(f"(?<=[^ \t\n\r{_ODD_SPACE}])(?=[ \t\n\r])")
 SPACE = re.compile(f"[ \t\n\r{_ODD_SPACE}]")
-_HAS_ODD = re.compile(f"[{_ODD_SPACE}]")
-_CHUNK = re.compile("[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-
-
-def chunks(text: str) -> list[str]:
-    """The text cut at every safe boundary."""
-    if _HAS_ODD.search(text):
-        return _SAFE.split(text)
-    return _CHUNK.findall(text)
 
 
 def pieces(text: str, size: int = LONG_TEXT) -> Iterator[str]:

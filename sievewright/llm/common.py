@@ -104,6 +104,12 @@ def shielded(docs: DataFrame):
     return docs.withColumnsRenamed(names), lambda df: df.withColumnsRenamed({v: k for k, v in names.items()})
 
 
+def integer_ids(docs: DataFrame) -> None:
+    """ValueError unless doc_id is of an integer type, as results carry it as a long."""
+    if dict(docs.dtypes)["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError("doc_id has to be of an integer type")
+
+
 def alnum_words(text: bytes) -> list[bytes]:
     """Words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of a text with A-Z lower-cased."""
     return text.translate(_ALNUM).split()

@@ -12,7 +12,8 @@ occurrences of such a pair of broadcast words meet in one task, and all occurren
 neighbours, in one task too. It counts them, then scores them, and sends back sums for each document. A partition is made
 for each PART words, so none grows with the corpus.
 
-Null and empty texts: no words, null losses and score. Repeated rows are documents of their own. Labels of one document are
+Null and empty texts: no words, null losses and score. Texts of any length are read whole, and an empty table gives no
+rows. doc_id has to be of an integer type. Repeated rows are documents of their own. Labels of one document are
 merged by their largest value; documents without a label, or with a null one, aren't target documents. Without target words the target model is p(w) = 1 / vocabulary.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, groups, lean, mix64, stored, WordIds
+from .common import alnum_words, groups, integer_ids, lean, mix64, stored, WordIds
 
 RARE, HEAD, COMMON, MASS, PART, BATCH, COUNTED = 0.0, 2e-5, 1 / 400, 50.0, 6_000_000, 2000, 1_500_000
 #: Labels of more bytes than this aren't broadcast.
@@ -285,6 +286,7 @@ def _gather(batches):
 
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss and score of each row; target: a table of the doc_ids of target documents."""
+    integer_ids(docs)
     spark = docs.sparkSession
     rows = _flagged(docs, target.where("doc_id is not null").select("doc_id").distinct())
     v = vocabulary(rows)

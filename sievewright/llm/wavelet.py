@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import lean, stored
+from .common import integer_ids, lean, stored
 
 MAGIC = b"WVM1"
 #: A shard is closed by the document that brings it to this many tokens.
@@ -311,8 +311,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
     doc_ids come first. A document is never split between shards. An empty table gives no shards.
     """
     spark = docs.sparkSession
-    if dict(docs.dtypes)["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):
-        raise ValueError("doc_id has to be of an integer type")
+    integer_ids(docs)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
