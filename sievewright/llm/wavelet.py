@@ -35,6 +35,8 @@ MAGIC = b"WVM1"
 #: A shard is closed by the document that brings it to this many tokens.
 SHARD_TOKENS = 1 << 19
 SPAN = 1 << 16
+#: A block whose share of ones is this near to a half is stored as it is: there is next to nothing to gain.
+EVEN = 0.15
 _HEAD = struct.Struct("<4sIQQII")
 
 
@@ -56,7 +58,8 @@ def build(tokens: np.ndarray, lengths: np.ndarray) -> bytes:
             raw = bits[start : start + SPAN // 8]
             before.append(ones)
             ones += int(np.bitwise_count(raw).sum())
-            packed = pack(raw.tobytes())
+            share = (ones - before[-1]) / (8 * len(raw))
+            packed = pack(raw.tobytes()) if abs(share - 0.5) > EVEN else raw.tobytes()
             blocks.append(packed if len(packed) < len(raw) else raw.tobytes())
         before.append(ones)
         now = np.concatenate((np.compress(~one, now), np.compress(one, now)))
@@ -141,26 +144,36 @@ class Shard:
             code = code << 1 | bit
         return int(self.alphabet[code])
 
-    def _plane(self, plane: int) -> tuple[np.ndarray, np.ndarray]:
-        """The words of a whole plane, and the ones before each."""
-        parts = [self._block(plane, b) for b in range(self._blocks)]
-        return np.concatenate([w for w, _ in parts]), np.concatenate([ones[:-1] + n for (_, ones), n in zip(parts, self.before[plane].tolist(), strict=False)])
+    def _words(self, plane: int) -> np.ndarray:
+        """All words of a plane."""
+        parts = [self._block(plane, b)[0] for b in range(self._blocks)]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
-    def tokens(self, start: int = 0, end: int | None = None) -> np.ndarray:
-        """The ids at places [start, end): access to many places at once, by ranks on one plane after the other."""
-        at = np.arange(start, self.n_tokens if end is None else end)
-        code = np.zeros(len(at), np.uint32)
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The ids at many places: access to all of them at once, by their ranks on one plane after the other."""
+        at, code = np.asarray(places, np.int64), np.zeros(len(places), np.uint32)
         for k in range(self.planes if len(at) else 0):
-            words, before = self._plane(k)
-            place = at >> 6
-            shift = (at & 63).astype(np.uint64)
+            words = self._words(k)
+            before = np.cumsum(np.bitwise_count(words), dtype=np.int64)
+            place, shift = at >> 6, (at & 63).astype(np.uint64)
             word = words[place]
             one = (word >> shift) & np.uint64(1)
-            ones = before[place] + np.bitwise_count(word & ((np.uint64(1) << shift) - np.uint64(1)))
+            ones = before[place] - np.bitwise_count(word >> shift)
             at = np.where(one.view(np.int64), self.zeros[k] + ones, at - ones)
             code = code << np.uint32(1) | one.astype(np.uint32)
         return self.alphabet[code] if self.sigma else code
 
+    def tokens(self) -> np.ndarray:
+        """All ids: select of every zero and one of a plane at once, from the lowest plane up."""
+        now = np.zeros(self.n_tokens, np.uint16 if self.sigma <= 1 << 16 else np.uint32)
+        for k in reversed(range(self.planes)):
+            one = np.unpackbits(self._words(k).view(np.uint8), count=self.n_tokens, bitorder="little").view(bool)
+            z, up = int(self.zeros[k]), np.empty_like(now)
+            up[np.flatnonzero(~one)] = now[:z]
+            up[np.flatnonzero(one)] = now[z:] | now.dtype.type(1 << (self.planes - 1 - k))
+            now = up
+        return self.alphabet[now] if self.sigma else now.astype("<u4")
+
     def _range(self, token: int, start: int, end: int) -> tuple[int, int, int]:
         code = self._codes.get(token, -1)
         if code < 0:
@@ -349,7 +362,10 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document, read from the shards."""
+    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document, read from the shards.
+
+    Ids come from select over whole planes; the first and last of each document are also accessed by rank, and have to agree.
+    """
     from pyspark.sql import Window
 
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
@@ -360,8 +376,12 @@ def read_documents(shards: DataFrame) -> DataFrame:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
                 shard = Shard(one.column("data")[0].as_py())
-                raw, ends = shard.tokens(0, shard.n_tokens).astype("<u4").tobytes(), np.cumsum(shard.lengths, dtype=np.int64)
+                ids, ends = shard.tokens(), np.cumsum(shard.lengths, dtype=np.int64)
                 starts = ends - shard.lengths
+                for places in (starts, ends - 1):
+                    if (shard.at(places) != ids[places]).any():
+                        raise ValueError("a shard's ranks and its bits disagree")
+                raw = ids.astype("<u4").tobytes()
                 crc = [zlib.crc32(raw[a * 4 : b * 4]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 first = one.column("base")[0].as_py() + one.column("before")[0].as_py()
                 yield pa.RecordBatch.from_arrays([one.column("doc_ids").flatten(), pa.array(starts + first, pa.int64()), pa.array(shard.lengths, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])

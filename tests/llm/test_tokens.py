@@ -74,9 +74,9 @@ def test_wavelet_matrix(n, sigma):
         a, b = sorted(rnd.integers(0, n + 1, 2).tolist())
         assert s.count(t, a, b) == (x[a:b] == t).sum() and s.occurrences(t) == np.flatnonzero(x == t).tolist()
     a, b = sorted(rnd.integers(0, n + 1, 2).tolist())
-    assert s.tokens(a, b).tolist() == x[a:b].tolist()
+    assert s.at(np.arange(a, b)).tolist() == x[a:b].tolist()
     for k in range(s.planes):
-        bits = np.unpackbits(s._plane(k)[0].view(np.uint8), bitorder="little", count=n)
+        bits = np.unpackbits(s._words(k).view(np.uint8), bitorder="little", count=n)
         for i in rnd.integers(0, n + 1, 9):
             assert s.rank1(k, int(i)) == bits[:i].sum()
         for bit in (0, 1):
