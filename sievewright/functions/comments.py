@@ -6,7 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import BooleanType
 
 from .scanner import Unreadable, scan
 
@@ -52,15 +52,33 @@ def without_clause(text: str, key: str) -> str:
     return "".join(parts[: hit[0] - 1] + parts[hit[0] + 1 :])
 
 
-def delete_only(source: str, key: str) -> str:
-    """A source without line comments that are about the key alone: each of their sentences names it."""
-    named, out = _token(key), []
-    for line in source.split("\n"):
-        m = re.match(r"^\s*//+\s?(.*)$", line)
-        if m and named.search(m[1]) and not without_sentence(m[1], key):
-            continue
-        out.append(line)
-    return "\n".join(out)
+def delete_only(source: str, key: str, jsx: bool = False) -> str:
+    """A source without line comments that are about the key alone: each of their sentences names it. Only text between tokens is looked at; a source that doesn't scan is left."""
+    named = _token(key)
+    try:
+        tokens, tail = scan(source, jsx)
+    except Unreadable:
+        return source
+
+    def lean(gap: str, own_line: bool) -> str:
+        """The gap without comment lines about the key; own_line: whether it begins a line."""
+        lines = gap.split("\n")
+        kept = []
+        for k, line in enumerate(lines):
+            m = re.match(r"^\s*//+\s?(.*)$", line)
+            if m and (k or own_line) and k + 1 < len(lines) and named.search(m[1]) and not without_sentence(m[1], key):
+                continue
+            kept.append(line)
+        return "\n".join(kept)
+
+    for k, t in enumerate(tokens):
+        if "//" in t.gap:
+            t.gap = lean(t.gap, not k)
+    if "//" in tail:
+        ended = tail.endswith("\n")
+        tail = lean(tail if ended else tail + "\n", not tokens)
+        tail = tail if ended else tail.removesuffix("\n")
+    return "".join(t.gap + t.text for t in tokens) + tail
 
 
 def titles(source: str, key: str) -> str:
@@ -89,10 +107,9 @@ def comment_only(source: pd.Series, key: pd.Series) -> pd.Series:
     return pd.Series([only_in_comments(s, k) for s, k in zip(source, key, strict=True)], dtype=object)
 
 
-@F.pandas_udf(StringType())
-def tidied(source: pd.Series, key: pd.Series) -> pd.Series:
-    """Sources without comments and title conditions that are about the key alone."""
-    return pd.Series([None if s is None else titles(delete_only(s, k), k) for s, k in zip(source, key, strict=True)], dtype=object)
+def tidy(source: str, key: str, jsx: bool = False) -> str:
+    """A source without comments and title conditions that are about the key alone."""
+    return titles(delete_only(source, key, jsx), key)
 
 
 def is_generated(source, path):

@@ -16,6 +16,8 @@ _TOKEN = re.compile(
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")": "(", "]": "[", "}": "{"}
 #: After these a slash begins a regular expression.
 _BEFORE_REGEX = frozenset({"(", ",", "=", ":", "[", "!", "&&", "||", "?", "{", "}", ";", "=>", "return", "typeof", "case", "+", "==", "===", "!=", "!=="})
+#: After these markup may begin.
+_BEFORE_MARKUP = _BEFORE_REGEX | {"default", "??", "else", "yield"}
 
 
 class Unreadable(ValueError):
@@ -31,37 +33,148 @@ class Token:
     value: bool | None = None
 
 
-def scan(source: str) -> tuple[list[Token], str]:
-    """Tokens, each with the text before it, and the text after the last."""
-    out: list[Token] = []
-    gap, at, stack = "", 0, []
-    while at < len(source):
-        last = out[-1].text if out else ";"
-        if source[at] == "`":
-            end = _template(source, at)
-            token = Token("tpl", source[at:end], gap)
-        elif source[at] == "/" and source[at + 1 : at + 2] not in ("/", "*") and (last in _BEFORE_REGEX) and (m := re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*").match(source, at)):
-            token = Token("re", m[0], gap)
+_REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
+_RAW = re.compile(r"""r(?:'''.*?'''|\"\"\".*?\"\"\"|'[^'\n]*'|"[^"\n]*")|@"(?:[^"]|"")*\"""", re.S)
+_TRIPLE = re.compile(r"""\"\"\"(?:\\.|.)*?\"\"\"(?!")|'''(?:\\.|.)*?'''(?!')""", re.S)
+_HOLED = re.compile(r'(?:\$@|@\$|\$)"')
+_TAG = re.compile(r"<(?=[A-Za-z_$>])")
+_NAME = re.compile(r"[A-Za-z_$][\w$.:-]*")
+_SPACE = re.compile(r"(?:\s+|//[^\n]*|/\*.*?\*/)*", re.S)
+
+
+class _Scanner:
+    """Reads a source from left to right; markup in expressions (jsx) is read as tokens of kinds tag and markup."""
+
+    def __init__(self, source: str, jsx: bool):
+        self.source, self.jsx = source, jsx
+        self.out: list[Token] = []
+        self.at = 0
+
+    def add(self, kind: str, end: int, gap: str = "") -> None:
+        self.out.append(Token(kind, self.source[self.at : end], gap))
+        self.at = end
+
+    def code(self, until_brace: bool = False) -> str:
+        """Tokens to the end, or to the brace that closes what was opened before; the text after the last token."""
+        s, gap, stack = self.source, "", []
+        while self.at < len(s):
+            at, last = self.at, self.out[-1].text if self.out else ";"
+            if s[at] == "`":
+                self.add("tpl", _template(s, at), gap)
+            elif m := _RAW.match(s, at):
+                self.add("str", m.end(), gap)
+            elif m := _TRIPLE.match(s, at):
+                self.add("str", m.end(), gap)
+            elif m := _HOLED.match(s, at):
+                self.add("tpl", _holed(s, m.end(), "@" in m[0]), gap)
+            elif s[at] == "/" and s[at + 1 : at + 2] not in ("/", "*") and last in _BEFORE_REGEX and (m := _REGEX.match(s, at)):
+                self.add("re", m.end(), gap)
+            elif self.jsx and last in _BEFORE_MARKUP and _TAG.match(s, at):
+                self.markup(gap)
+            else:
+                m = _TOKEN.match(s, at)
+                if not m:
+                    raise Unreadable(f"character {at} begins no token")
+                if m.lastgroup == "gap":
+                    gap += m[0]
+                    self.at = m.end()
+                    continue
+                if until_brace and not stack and m[0] == "}":
+                    return gap
+                self.add(m.lastgroup, m.end(), gap)
+                if m.lastgroup == "sign":
+                    if m[0] in _OPEN:
+                        stack.append(m[0])
+                    elif m[0] in _CLOSE and (not stack or stack.pop() != _CLOSE[m[0]]):
+                        raise Unreadable(f"{m[0]} closes nothing")
+            gap = ""
+        if stack or until_brace:
+            raise Unreadable(f"{(stack or ['{'])[-1]} does not close")
+        return gap
+
+    def braces(self, gap: str = "") -> None:
+        """A hole of markup: braces around code."""
+        self.add("sign", self.at + 1, gap)
+        gap = self.code(until_brace=True)
+        self.add("sign", self.at + 1, gap)
+
+    def space(self) -> str:
+        m = _SPACE.match(self.source, self.at)
+        self.at = m.end()
+        return m[0]
+
+    def markup(self, gap: str) -> None:
+        """An element with its attributes and children."""
+        s = self.source
+        self.add("tag", self.at + 1, gap)
+        name = _NAME.match(s, self.at)
+        if name:
+            self.add("id", name.end())
+        while True:
+            gap = self.space()
+            if s.startswith("/>", self.at):
+                return self.add("tag", self.at + 2, gap)
+            if s.startswith(">", self.at):
+                self.add("tag", self.at + 1, gap)
+                break
+            if s.startswith("{", self.at):
+                self.braces(gap)
+            elif s[self.at : self.at + 1] in ('"', "'"):
+                end = s.find(s[self.at], self.at + 1)
+                if end < 0:
+                    raise Unreadable("an attribute does not end")
+                self.add("str", end + 1, gap)
+            elif s.startswith("=", self.at):
+                self.add("tag", self.at + 1, gap)
+            elif m := _NAME.match(s, self.at):
+                self.add("id", m.end(), gap)
+            else:
+                raise Unreadable(f"character {self.at} begins no attribute")
+        while self.at < len(s):
+            if m := re.compile(r"</\s*([\w$.:-]*)\s*>").match(s, self.at):
+                if m[1] != (name[0] if name else ""):
+                    raise Unreadable(f"{m[0]} closes another element")
+                return self.add("tag", m.end())
+            if s[self.at] == "{":
+                self.braces()
+            elif s[self.at] == "<":
+                self.markup("")
+            else:
+                self.add("markup", re.compile(r"[^<{]+").match(s, self.at).end())
+        raise Unreadable("an element does not end")
+
+
+def scan(source: str, jsx: bool = False) -> tuple[list[Token], str]:
+    """Tokens, each with the text before it, and the text after the last. jsx: expressions may hold markup."""
+    scanner = _Scanner(source, jsx)
+    tail = scanner.code()
+    return scanner.out, tail
+
+
+def _holed(source: str, at: int, verbatim: bool) -> int:
+    """The place after an interpolated string whose text starts at `at`; quotes may stand in its holes."""
+    i = at
+    while i < len(source):
+        if source.startswith(("{{", "}}"), i) or (verbatim and source.startswith('""', i)) or (not verbatim and source[i] == "\\"):
+            i += 2
+        elif source[i] == '"':
+            return i + 1
+        elif source[i] == "{":
+            depth, i = 1, i + 1
+            while i < len(source) and depth:
+                if m := _QUOTED.match(source, i):
+                    i = m.end()
+                    continue
+                depth += (source[i] == "{") - (source[i] == "}")
+                i += 1
+        elif source[i] == "\n" and not verbatim:
+            break
         else:
-            m = _TOKEN.match(source, at)
-            if not m:
-                raise Unreadable(f"character {at} begins no token")
-            if m.lastgroup == "gap":
-                gap += m[0]
-                at = m.end()
-                continue
-            token = Token(m.lastgroup, m[0], gap)
-        at += len(token.text)
-        gap = ""
-        out.append(token)
-        if token.kind == "sign":
-            if token.text in _OPEN:
-                stack.append(token.text)
-            elif token.text in _CLOSE and (not stack or stack.pop() != _CLOSE[token.text]):
-                raise Unreadable(f"{token.text} closes nothing")
-    if stack:
-        raise Unreadable(f"{stack[-1]} does not close")
-    return out, gap
+            i += 1
+    raise Unreadable("an interpolated string does not end")
+
+
+_QUOTED = re.compile(r"""\"(?:\\.|[^"\\\n])*\"|'(?:\\.|[^'\\\n])*'""")
 
 
 def _template(source: str, at: int) -> int:
@@ -79,6 +192,9 @@ def _template(source: str, at: int) -> int:
                 if c == "`":
                     i = _template(source, i)
                     continue
+                if m := _QUOTED.match(source, i):
+                    i = m.end()
+                    continue
                 depth += (c == "{") - (c == "}")
                 i += 1
         else:

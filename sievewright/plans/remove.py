@@ -44,7 +44,9 @@ def folded(rows: DataFrame, accessors: Sequence[Accessor]) -> DataFrame:
                     if r.language in one.FOLDED:
                         done = one.fold(r.before, r.code_key, bool(r.treatment), reads, r.language)
                         after, n, findings = done.after, done.reads, done.findings
-                        reason = one.refusal(r.before, after) if n else None
+                        if n:
+                            after = comments.tidy(after, r.code_key, r.language in one.MARKUP)
+                            reason = one.refusal(r.before, after, r.language)
                     elif r.language == "python":
                         done = python_fold.fold(r.before, r.code_key, bool(r.treatment), reads)
                         after, n = done.after, done.reads
@@ -63,7 +65,7 @@ def run(rows: DataFrame, files: DataFrame, accessors: Sequence[Accessor], ignore
     decided = candidates.decide(rows, list(ignore), list(allow), aliases, known, handled)
     met = pairs(decided.where("action is null"), files)
     done = folded(met, accessors).persist()
-    kept = agreement.all_or_nothing(done).withColumn("after", comments.tidied(F.col("after"), F.col("flag")))
+    kept = agreement.all_or_nothing(done)
     rewrites = kept.where("after != before and reads > 0").select("flag", "path", "before", "after")
     # A file that still names the flag outside comments, or that can't be judged, is reported.
     left = kept.select("flag", "path", F.when(F.col("reads") > 0, F.col("after")).otherwise(F.col("before")).alias("content"))
