@@ -128,30 +128,58 @@ def _members(s: str, i: int) -> list[tuple[str, int, int, int]]:
     return out
 
 
+def _target(s: str, path: list[str]) -> list[int]:
+    """Places of the objects from the root down a path, names in any case; fewer than the path is long if a part is missing."""
+    at = [_skip(s, 0)]
+    for name in path if s[at[0] : at[0] + 1] == "{" else ():
+        place = next((v for n, _, v, _ in _members(s, at[-1]) if n.lower() == name.lower() and s[v] == "{"), -1)
+        if place < 0:
+            break
+        at.append(place)
+    return at
+
+
+def _without_member(s: str, holder: int, name: str) -> str:
+    """The text without a member of the object at holder, and without the comma that it no longer needs."""
+    members = _members(s, holder)
+    k = next(k for k, m in enumerate(members) if m[0].lower() == name)
+    start, end = members[k][1], members[k][3]
+    if k + 1 < len(members):
+        end = members[k + 1][1]
+    elif k:
+        start = members[k - 1][3]
+    elif s[_skip(s, end) : _skip(s, end) + 1] == ",":
+        end = _skip(s, end) + 1
+    return s[:start] + s[end:]
+
+
+def _plain(s: str, at: int) -> object:
+    """What an object says: its members by name in lower case; any other value as it is written."""
+    return [(n.lower(), _plain(s, v)) for n, _, v, _ in _members(s, at)] if s[at] == "{" else s[at : _value(s, at)]
+
+
 def remove_keys(text: str, section: str, keys: list[str]) -> tuple[str, list[str]]:
-    """Cut members out of a section. A text that can't be read is left as it is."""
-    removed = []
+    """Cut members out of a section (dotted), names in any case; a section that this would empty goes itself. A text is left as it is if it can't be read, names one of the keys twice, or would then say anything else."""
+    path, wanted = [p for p in section.split(".") if p], {k.lower() for k in keys}
     try:
-        for key in keys:
-            at = _skip(text, 0)
-            for name in filter(None, section.split(".")):
-                at = next((v for n, _, v, _ in _members(text, at) if n == name and text[v] == "{"), -1)
-                if at < 0:
-                    break
-            members = _members(text, at) if at >= 0 and text[at : at + 1] == "{" else []
-            place = next((k for k, m in enumerate(members) if m[0] == key), -1)
-            if place < 0:
-                continue
-            start, end = members[place][1], members[place][3]
-            if place + 1 < len(members):
-                end = members[place + 1][1]
-            elif place:
-                start = members[place - 1][3]
-            else:
-                after = _skip(text, end)
-                end = after + 1 if text[after : after + 1] == "," else end
-            text = text[:start] + text[end:]
-            removed.append(key)
+        at = _target(text, path)
+        if len(at) <= len(path) or text[at[-1] : at[-1] + 1] != "{":
+            return text, []
+        names = [m[0] for m in _members(text, at[-1])]
+        gone = [n for n in names if n.lower() in wanted]
+        if not gone or len({n.lower() for n in gone}) < len(gone):
+            return text, []
+        whole = path and len(gone) == len(names)
+        after, cuts = text, [path[-1].lower()] if whole else [n.lower() for n in gone]
+        for name in cuts:
+            after = _without_member(after, _target(after, path[:-1] if whole else path)[-1], name)
+
+        def left(members, depth):
+            if depth == len(path) - bool(whole):
+                return [m for m in members if m[0] not in cuts]
+            return [(n, left(v, depth + 1) if n == path[depth].lower() and isinstance(v, list) else v) for n, v in members]
+
+        same = _plain(after, _skip(after, 0)) == left(_plain(text, at[0]), 0)
     except (ValueError, IndexError):
-        return text, removed
-    return text, removed
+        return text, []
+    return (after, gone) if same else (text, [])

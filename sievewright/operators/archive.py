@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys
+from .relational import _cut
 
 
 def outstanding(live: DataFrame, merged: DataFrame, base: str) -> DataFrame:
@@ -32,18 +33,17 @@ def by_containment(rows: DataFrame, refs: DataFrame, ancestry: DataFrame) -> tup
     return judged.where("missing is null").drop("missing"), judged.where("missing is not null")
 
 
-def ancestry(commits: DataFrame, tips: DataFrame, most: int = 40) -> DataFrame:
-    """sha and ancestor for each tip (sha), over commits (sha, parent); reach doubles each round."""
-    from .relational import _cut
-
-    reach = commits.select("sha", F.col("parent").alias("ancestor")).where("ancestor is not null").distinct()
-    for _ in range(most):
-        wider = reach.union(reach.alias("a").join(reach.alias("b"), F.col("a.ancestor") == F.col("b.sha")).select("a.sha", "b.ancestor")).distinct()
-        wider = _cut(reach.sparkSession, wider)
-        if wider.count() == reach.count():
-            break
-        reach = wider
-    return reach.join(tips.select("sha").distinct(), "sha", "left_semi")
+def ancestry(commits: DataFrame, tips: DataFrame) -> DataFrame:
+    """sha and ancestor for each tip (sha), over commits (sha, parent). Walks from the tips alone, and each round only from commits that are new to a tip."""
+    up = commits.select(F.col("sha").alias("_at"), F.col("parent").alias("_up")).where("_up is not null").distinct()
+    new = tips.select("sha", F.col("sha").alias("ancestor")).distinct()
+    found = new.where("false")
+    while True:
+        new = new.join(up, F.col("ancestor") == F.col("_at")).select("sha", F.col("_up").alias("ancestor")).distinct().join(found, ["sha", "ancestor"], "left_anti")
+        new = _cut(commits.sparkSession, new)
+        if new.isEmpty():
+            return found
+        found = _cut(commits.sparkSession, found.union(new))
 
 
 def deployed(events: DataFrame, environment: str) -> DataFrame:
@@ -70,7 +70,7 @@ def archive_each(rows: DataFrame, send: Callable[[str], str], stop_on: tuple[str
 # Markers in comments, and the commands that a comment can give.
 HOLD_MARKER = r"<!-- flag-hold draft=(true|false) -->"
 RELEASE_MARKER = "<!-- flag-release -->"
-COMMAND_PREFIX = "@flag-cleanup"
+COMMAND_PREFIX = "@sievewright"
 COMMANDS = ("rerun", "recreate")
 
 

@@ -9,12 +9,21 @@ from ..functions import keys
 from .relational import first_by, limited
 
 
+def _listed(key: Column, names: list[str]) -> Column:
+    """Whether a list has the key, itself or by a beginning."""
+    found = key.isin(*(n for n in names if not n.endswith("*"))) if any(not n.endswith("*") for n in names) else F.lit(False)
+    for n in names:
+        if n.endswith("*"):
+            found = found | key.startswith(n[:-1])
+    return found
+
+
 def decide(candidates: DataFrame, ignore: list[str] = (), allow: list[str] = (), aliases: dict[str, str] | None = None, known: DataFrame | None = None, handled: DataFrame | None = None) -> DataFrame:
     """candidates with branch, code_key and action: the first of ignored (deny wins over allow), not-selected, unsafe-key, duplicate, blocked, already-handled that holds, else null.
 
     A key is unsafe if it has no branch, if its code spelling can't be searched for, or if that is another flag's key
     (known: a table of key). Of rows with one branch, the one of least seq that got so far claims it.
-    handled: a table of branches that had a removal.
+    handled: a table of branches that had a removal. ignore and allow: keys, or beginnings of keys before a `*`.
     """
     key = F.col("key")
     spelled = F.lit(None).cast("string")
@@ -26,9 +35,9 @@ def decide(candidates: DataFrame, ignore: list[str] = (), allow: list[str] = (),
         rows = rows.join(taken, "code_key", "left").withColumn("_taken", F.col("_taken") & (F.col("code_key") != key))
     else:
         rows = rows.withColumn("_taken", F.lit(False))
-    first = F.when(key.isin(*ignore), "ignored") if ignore else F.when(F.lit(False), "ignored")
+    first = F.when(_listed(key, ignore), "ignored")
     if allow:
-        first = first.when(~key.isin(*allow), "not-selected")
+        first = first.when(~_listed(key, allow), "not-selected")
     first = first.when(F.col("branch").isNull() | ~keys.is_code_key(F.col("code_key")) | F.coalesce("_taken", F.lit(False)), "unsafe-key")
     rows = rows.withColumn("_first", first)
     claims = first_by(rows.where("_first is null").select("branch", "seq"), ["branch"], ["seq"]).withColumnRenamed("seq", "_claim")

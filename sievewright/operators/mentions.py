@@ -1,12 +1,16 @@
 """Which files name which keys, and what kind of mention it is.
 
 The join is on tokens: each text is cut into its distinct tokens of a character class, and names are met by equality. A
-name that isn't one token of the class is searched for as text, with all such names in one pattern; so are up to FEW names.
+name of several tokens is met by its longest one and then searched for in the texts that hold that. Names without any
+token, and up to FEW names of any kind, are searched for in each text, BLOCK names in a pass.
 A file whose content is null can't be read, so it may name anything: it comes back with a null name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,26 +19,41 @@ from .relational import closure, first_by
 
 #: So many names are searched for in each text, which is cheaper than cutting the text into tokens.
 FEW = 32
+#: Names searched for in one pass.
+BLOCK = 1000
 
 
 def mention_files(files: DataFrame, names: DataFrame, inside: str = tokens.IDENTIFIER, path: str = "path", content: str = "content") -> DataFrame:
     """path and name for each file and each name (a table of name) that it mentions as a token; name is null for an unreadable file."""
     distinct = names.select("name").where(F.col("name").isNotNull()).distinct()
-    parts = [r.name for r in distinct.limit(FEW + 1).collect()]
-    many = len(parts) > FEW
-    if many:
-        parts = [r.name for r in distinct.where(~F.col("name").rlike(f"^[{inside}]+$")).limit(10_001).collect()]
-    if len(parts) > 10_000:
-        raise ValueError("over 10,000 names that aren't single tokens; split them")
     text = files.select(path, content).where(F.col(content).isNotNull())
-    hits = F.filter(F.array(*map(F.lit, parts)).cast("array<string>"), lambda n: F.contains(F.col(content), n))
     quoted = F.concat(F.lit(f"(?<![{inside}])\\Q"), F.col("name"), F.lit(f"\\E(?![{inside}])"))
-    found = text.select(path, content, F.explode(hits).alias("name")).where(F.regexp_like(content, quoted)).select(path, "name")
-    if many:
-        whole = distinct.where(F.col("name").rlike(f"^[{inside}]+$"))
-        found = found.union(text.select(path, F.explode(tokens.tokens(F.col(content), inside)).alias("name")).join(whole, "name", "left_semi").select(path, "name"))
-    unread = files.where(F.col(content).isNull()).select(path, F.lit(None).cast("string").alias("name"))
-    return found.union(unread)
+    first = [r.name for r in distinct.limit(FEW + 1).collect()]
+    if len(first) <= FEW:
+        return _searched(text, [first], quoted, path, content).union(_unread(files, path, content))
+    parts = F.regexp_extract_all("name", F.lit(f"([{inside}]+)"), F.lit(1))
+    longest = F.array_max(F.transform(parts, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = distinct.withColumn("token", longest)
+    cut = text.select(path, F.explode(tokens.tokens(F.col(content), inside)).alias("token"))
+    found = cut.join(keyed.where("token = name"), "token").select(path, "name")
+    met = cut.join(keyed.where("token != name"), "token").select(path, "name").join(text, path)
+    found = found.union(met.where(F.regexp_like(content, quoted)).select(path, "name"))
+    bare = keyed.where("token is null").select("name").toLocalIterator()
+    blocks = iter(lambda: [r.name for r in islice(bare, BLOCK)], [])
+    return found.union(_searched(text, blocks, quoted, path, content)).union(_unread(files, path, content))
+
+
+def _searched(text: DataFrame, blocks: Iterable[list[str]], quoted: Column, path: str, content: str) -> DataFrame:
+    """path and name of each name of the blocks in each text."""
+    out = text.select(path, F.lit(None).cast("string").alias("name")).where("false")
+    for names in blocks:
+        hits = F.filter(F.array(*map(F.lit, names)).cast("array<string>"), lambda n: F.contains(F.col(content), n))
+        out = out.union(text.select(path, content, F.explode(hits).alias("name")).where(F.regexp_like(content, quoted)).select(path, "name"))
+    return out
+
+
+def _unread(files: DataFrame, path: str, content: str) -> DataFrame:
+    return files.where(F.col(content).isNull()).select(path, F.lit(None).cast("string").alias("name"))
 
 
 def mention_count(files: DataFrame, names: DataFrame, inside: str = tokens.KEY, path: str = "path", content: str = "content") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +22,12 @@ def tally(df: DataFrame, key: str, count: str = "n") -> DataFrame:
 
 def unique(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key no other row has. The groups are counted before the shuffle; rows then meet counts of one only."""
-    single = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n = 1").drop("_n")
-    return df.join(single, keys, "left_semi")
+    single = df.groupBy(*(F.col(k).alias(f"_key_{k}") for k in keys)).agg(F.count("*").alias("_n")).where("_n = 1").drop("_n")
+    same = None
+    for k in keys:  # a null key is a key like any other
+        one = F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+        same = one if same is None else same & one
+    return df.join(single, same, "left_semi")
 
 
 def proven(df: DataFrame, keys: list[str], ok: Column) -> DataFrame:
@@ -43,13 +49,18 @@ def classify(df: DataFrame, rules: list[tuple[str, Column]], column: str = "clas
     return df.withColumn(column, chain.otherwise(F.lit(otherwise)) if otherwise is not None else chain)
 
 
-def running_total(df: DataFrame, order: Column, value: Column, column: str, ties: list[str], blocks: int = 64) -> DataFrame:
+#: Rows of a range of a running total.
+RANGE = 500_000
+
+
+def running_total(df: DataFrame, order: Column, value: Column, column: str, ties: list[str], blocks: int | None = None) -> DataFrame:
     """The sum of value over this row and all before it, without putting all rows in one task.
 
-    Rows fall into ranges between approximate quantiles of a numeric order; totals of the ranges before are added to a window within each range. Ties of the order stay in one range.
+    blocks: so many ranges; by default 64, and more where a range would have over RANGE rows. Rows fall into ranges between approximate quantiles of a numeric order; totals of the ranges before are added to a window within each range. Ties of the order stay in one range.
     """
     keyed = df.withColumn("_order", order.cast("double"))
-    cuts = sorted(set(keyed.stat.approxQuantile("_order", [k / blocks for k in range(1, blocks)], 0.005))) if blocks > 1 else []
+    blocks = blocks or max(64, -(-keyed.count() // RANGE))
+    cuts = sorted(set(keyed.stat.approxQuantile("_order", [k / blocks for k in range(1, blocks)], min(0.005, 0.3 / blocks)))) if blocks > 1 else []
     bounds = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
     keyed = keyed.withColumn("_range", F.when(F.col("_order").isNull(), -1).otherwise(F.size(F.filter(bounds, lambda b: b < F.col("_order"))))).withColumn("_value", value)
     totals = keyed.groupBy("_range").agg(F.sum("_value").alias("_sum"))
@@ -68,26 +79,26 @@ def limited(df: DataFrame, order: Column, counts: Column, most: int, ties: list[
     return total.where(F.col("_total") - F.col("_cost") < most).drop("_cost", "_total")
 
 
-def closure(edges: DataFrame, start: DataFrame, most: int = 100) -> DataFrame:
-    """All nodes that start's (node) reach over edges (src, dst). Each round looks only from nodes that are new; written between rounds by checkpoint."""
+def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """All nodes that start's (node) reach over edges (src, dst). Each round looks only from nodes that are new, so it ends on cycles too; written between rounds by checkpoint."""
     spark = start.sparkSession
     found = new = start.select("node").distinct()
-    for _ in range(most):
+    while True:
         new = new.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(found, "node", "left_anti")
         new = _cut(spark, new)
         if new.isEmpty():
             return found
         found = _cut(spark, found.union(new))
-    raise RecursionError(f"not closed after {most} rounds")
 
 
 def _cut(spark, df: DataFrame) -> DataFrame:
     """df with its lineage cut by checkpoint(), in the folder that spark.checkpoint.dir names; a temporary one where it is unset, as in tests."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievewright-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sievewright-"))
     return df.checkpoint()
 
 
@@ -118,11 +129,6 @@ def outside(points: DataFrame, spans: DataFrame, key: str, at: str, start: str,
     return points.join(held, [key, at], "left_anti")
 
 
-def same_rows(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two tables hold the same rows as often."""
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
-
-
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of either table that the other lacks, as often as they are over, with `side`."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .mentions import mention_files
-from .relational import nearest, unique
+from .relational import _cut, nearest, unique
 
 NAME = ["module", "owner", "name"]
 
@@ -66,19 +66,20 @@ def candidate_files(mentions: DataFrame, readers: DataFrame, callers: DataFrame,
     return every.join(claims.select("path").distinct(), "path", "left_anti")
 
 
-def provider(imports: DataFrame, exports: DataFrame, most: int = 20) -> DataFrame:
-    """reader, name and the module that declares it, over chains of re-exports (exports: module, name, source; source null where it declares). Null for a chain that ends nowhere; no rename is followed."""
-    from .relational import _cut
+def provider(imports: DataFrame, exports: DataFrame) -> DataFrame:
+    """reader, name and the module that declares it, over chains of re-exports (exports: module, name, source; source null where it declares). Null for a chain that ends nowhere or goes round; no rename is followed.
 
-    at = imports.select("reader", "name", F.col("module").alias("at"), F.lit(None).cast("string").alias("declared"))
-    step = exports.groupBy("module", "name").agg(F.min("source").alias("source"), F.bool_or(F.col("source").isNull()).alias("here")).select(F.col("module").alias("at"), "name", "source", "here")
-    for _ in range(most):
-        met = at.join(step, ["at", "name"], "left")
-        declared = F.coalesce("declared", F.when(F.coalesce("here", F.lit(False)), F.col("at")))
-        at = _cut(at.sparkSession, met.select("reader", "name", F.when(declared.isNull(), F.col("source")).alias("at"), declared.alias("declared")))
-        if at.where("at is not null").isEmpty():
+    Each round doubles the reach of every re-export, so a chain of n takes log2(n) rounds.
+    """
+    one = exports.groupBy("module", "name").agg(F.min("source").alias("source"), F.bool_or(F.col("source").isNull()).alias("here"))
+    hop = _cut(exports.sparkSession, one.select("module", "name", F.when(~F.col("here"), F.col("source")).alias("to"), F.when(F.col("here"), F.col("module")).alias("declared")))
+    rounds = max(1, hop.count()).bit_length()
+    for _ in range(rounds):  # what still has a way to go after as many goes round
+        if hop.where("to is not null").isEmpty():
             break
-    return at.select("reader", "name", F.col("declared").alias("module"))
+        ahead = hop.select(F.col("module").alias("to"), "name", F.col("to").alias("_to"), F.col("declared").alias("_declared"))
+        hop = _cut(hop.sparkSession, hop.join(ahead, ["to", "name"], "left").select("module", "name", F.col("_to").alias("to"), F.coalesce("declared", "_declared").alias("declared")))
+    return imports.select("reader", "name", "module").join(hop.select("module", "name", "declared"), ["module", "name"], "left").select("reader", "name", F.col("declared").alias("module"))
 
 
 def workspace_source(imports: DataFrame, packages: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ..model import CANDIDATES
 from ..operators import agreement, archive, candidates, mentions, passages, relational, report, resolve
 from ..sources import events
 from ..sources.config import Accessor
+from ..streaming import archive as streamed
 from . import remove
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,7 +34,11 @@ def slice_of(sql: str):
     return register
 
 
-NAMES = ("the", "of", "license", "de", "Apache", "licensed", "version", "no-such-key")
+#: More names than are searched for one by one, some of several tokens, one that no text has and one that is part of a word.
+NAMES = (
+    "the", "of", "license", "de", "Apache", "licensed", "version", "no-such-key", "and", "in", "to", "on", "un", "une", "le", "la", "les", "et", "der", "die", "das", "und", "ist",
+    "el", "los", "con", "por", "que", "this", "that", "with", "from", "MIT", "BY", "Apache License", "MIT License", "CC BY", "h", "http", "the of",
+)
 
 
 def _word(name: str, inside: str) -> str:
@@ -84,10 +89,8 @@ def candidate_actions(read):
     part = read("part").withColumn("code", F.regexp_replace(F.concat_ws("_", "p_brand", "p_name"), "[^A-Za-z0-9_]", "_"))
     rows = part.select(F.col("code").alias("key"), F.lit("stale").alias("reason"), F.lit(True).alias("treatment"), F.lit("Stale").alias("status"), F.when(F.col("p_size") % 5 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("blocked_by"), F.col("p_partkey").alias("seq"))
     brand = lambda b: b.replace("#", "_")
-    # Keys begin with the brand; the lists of the run are those of the keys that do.
-    listed = rows.select("key").distinct().collect()
-    deny = [r.key for r in listed if r.key.startswith(brand("Brand#2") + "_")]
-    allow = [r.key for r in listed if any(r.key.startswith(brand(b) + "_") for b in _ALLOW)]
+    # Keys begin with the brand, so the lists are patterns.
+    deny, allow = [brand("Brand#2") + "_*"], [brand(b) + "_*" for b in _ALLOW]
     done = candidates.decide(rows, deny, allow).withColumn("handled", F.lit(None).cast("string"))
     seven = part.where("p_size % 7 = 0").select(F.col("p_partkey").alias("seq"), F.lit("already-handled").alias("late"))
     return done.join(seven, "seq", "left").select("seq", F.coalesce("action", "late", F.lit("open")).alias("action"))
@@ -123,18 +126,6 @@ def forall_proven(read):
     return relational.proven(read("lineitem"), ["l_orderkey"], F.col("l_quantity") >= 10)
 
 
-@slice_of("SELECT o_orderkey FROM orders ANTI JOIN (SELECT l_orderkey AS o_orderkey FROM lineitem WHERE l_quantity > 25) USING (o_orderkey)")
-def survivors(read):
-    lines = read("lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"))
-    return read("orders").select("o_orderkey").join(lines, "o_orderkey", "left_anti")
-
-
-@slice_of("SELECT c_custkey, c_name FROM customer SEMI JOIN (SELECT o_custkey AS c_custkey FROM orders WHERE o_orderstatus = 'O') USING (c_custkey)")
-def live_only(read):
-    open_orders = read("orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey"))
-    return read("customer").select("c_custkey", "c_name").join(open_orders, "c_custkey", "left_semi")
-
-
 @slice_of("""SELECT c_custkey AS key, max(o_orderkey) AS pull_request FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 JOIN orders ON o_custkey = c_custkey WHERE r_name = 'ASIA' AND o_orderstatus = 'F' GROUP BY c_custkey""")
 def outstanding(read):
@@ -144,13 +135,6 @@ def outstanding(read):
     return archive.outstanding(live, merged, "F").select(F.col("key").cast("long").alias("key"), "pull_request")
 
 
-@slice_of("SELECT o_orderkey, bool_and(l_shipdate > o_orderdate) AS contained FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
-def contained_all(read):
-    """Orders and whether all of their lines were shipped later."""
-    met = read("orders").select("o_orderkey", "o_orderdate").join(read("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate"), "o_orderkey")
-    return met.groupBy("o_orderkey").agg(F.bool_and(F.col("l_shipdate") > F.col("o_orderdate")).alias("contained"))
-
-
 @slice_of("""SELECT doc_id, CASE WHEN contains(text, 'License') THEN 'licence' WHEN contains(text, '!!') THEN 'shout' WHEN contains(text, ' | ') THEN 'table'
 WHEN n_chars < 400 THEN 'short' ELSE 'other' END AS class FROM documents""")
 def residue_class(read):
@@ -168,30 +152,6 @@ def line_lookup(read):
     return found.where("f is not null").select("doc_id", "f.line", "f.text")
 
 
-@slice_of("SELECT conv_id, arg_max(role, turn) AS role FROM conversations GROUP BY conv_id")
-def latest_marker(read):
-    return read("conversations").groupBy("conv_id").agg(F.max_by("role", "turn").alias("role"))
-
-
-@slice_of("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def json_props(read):
-    return read("events").select("event_id", F.from_json("props", "k bigint", {"mode": "FAILFAST"})["k"].alias("k"))
-
-
-@slice_of("""SELECT text, 'left' AS side FROM (SELECT text FROM documents WHERE doc_id % 2 = 0 EXCEPT ALL SELECT text FROM documents WHERE doc_id % 3 = 0)
-UNION ALL SELECT text, 'right' FROM (SELECT text FROM documents WHERE doc_id % 3 = 0 EXCEPT ALL SELECT text FROM documents WHERE doc_id % 2 = 0)""")
-def symdiff(read):
-    """Two tables' rows that the other lacks, as often as they are over."""
-    docs = read("documents")
-    return relational.difference(docs.where("doc_id % 2 = 0").select("text"), docs.where("doc_id % 3 = 0").select("text"))
-
-
-@slice_of("SELECT page_id, length(html) - length(replace(html, '<li>', '')) AS depth FROM pages ORDER BY depth DESC, page_id LIMIT 20")
-def depth_top(read):
-    """The 20 pages with most list items, as a stand-in for depth; a top-k report."""
-    return read("pages").select("page_id", (F.length("html") - F.length(F.replace("html", F.lit("<li>"), F.lit("")))).cast("long").alias("depth")).orderBy(F.desc("depth"), "page_id").limit(20)
-
-
 _TOKENS = "regexp_extract_all({0}, '[A-Za-z_$][A-Za-z0-9_$]*')"
 _FUSED, _OWN = _TOKENS.format("replace(text, ' th', 'th')"), _TOKENS.format("text")
 
@@ -307,12 +267,12 @@ def fold_reads(read):
 
 
 @slice_of(f"""SELECT o_orderkey, '--- a/' || o_orderkey || chr(10) || '+++ b/' || o_orderkey || chr(10) || '@@ -1 +1 @@' || chr(10)
-|| '-' || {_BEFORE} || chr(10) || '+' || {_AFTER} || chr(10) AS diff FROM orders WHERE o_custkey % 7 < 2""")
+|| '-' || {_BEFORE} || chr(10) || '+' || {_AFTER} || chr(10) AS diff FROM orders""")
 def file_diffs(read):
-    """Unified diffs of the folds of two flags."""
+    """Unified diffs of the folds of all flags."""
     files = _sources(read)
-    two = candidates.decide(_flags(files.sparkSession), allow=["flag-0", "flag-1"]).where("action is null")
-    done = remove.folded(remove.pairs(two, files).withColumn("language", F.lit("ts")), [Accessor("isEnabled")])
+    open_flags = candidates.decide(_flags(files.sparkSession)).where("action is null")
+    done = remove.folded(remove.pairs(open_flags, files).withColumn("language", F.lit("ts")), [Accessor("isEnabled")])
     return done.select(F.col("path").cast("long").alias("o_orderkey"), text.diff("path", "before", "after").alias("diff"))
 
 
@@ -331,3 +291,378 @@ def merged_events(read):
     request = F.struct((F.col("o_orderstatus") == "F").alias("merged"), F.col("o_orderkey").cast("int").alias("number"), F.lit("u").alias("html_url"), F.lit("s").alias("merge_commit_sha"), head.alias("head"), F.struct(F.lit("main").alias("ref")).alias("base"))
     raw = read("orders").select(F.to_json(F.struct(F.lit("closed").alias("action"), request.alias("pull_request"))).alias("value"))
     return events.merged_requests(raw).select("pull_request", "key")
+
+
+@slice_of("""SELECT n_name AS name, 'left' AS side FROM (SELECT n_name FROM nation EXCEPT ALL SELECT r_name FROM region) UNION ALL SELECT r_name, 'right' FROM (SELECT r_name FROM region EXCEPT ALL SELECT n_name FROM nation)
+UNION ALL SELECT text, 'left' FROM (SELECT text FROM benchmark EXCEPT ALL SELECT text FROM documents) UNION ALL SELECT text, 'right' FROM (SELECT text FROM documents EXCEPT ALL SELECT text FROM benchmark)""")
+def symdiff(read):
+    """Rows that one of two tables lacks, as often as they are over."""
+    names = relational.difference(read("nation").select(F.col("n_name").alias("name")), read("region").select(F.col("r_name").alias("name")))
+    return names.unionByName(relational.difference(read("benchmark").select(F.col("text").alias("name")), read("documents").select(F.col("text").alias("name"))))
+
+
+@slice_of(f"SELECT doc_id AS path, n.name FROM documents d JOIN (VALUES {', '.join(f"('{n}')" for n in NAMES)}) n(name) ON regexp_matches(d.text, '(^|[^A-Za-z0-9_])' || n.name || '([^A-Za-z0-9_]|$)')")
+def residual_mentions(read):
+    """Files after a rewrite that still name something deleted."""
+    names = read("documents").sparkSession.createDataFrame([(n,) for n in NAMES], "name string")
+    return resolve.survivors(read("documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content")), names)
+
+
+@slice_of(f"SELECT doc_id FROM documents WHERE NOT ({_word('License', 'A-Za-z0-9_-')} AND source = 'src0') AND {_word('License', 'A-Za-z0-9_-')}")
+def live_references(read):
+    """Documents with a live mention of a key; those of one source are inert."""
+    docs = read("documents").select("doc_id", F.col("text").alias("content"), "source")
+    live = mentions.live_references(docs, "License", F.col("source") == "src0")
+    return live.where(tokens.mentions_key(F.col("content"), "License", True)).select("doc_id")
+
+
+_TREE = "(SELECT c_custkey AS sha, c_custkey // 2 AS parent FROM customer WHERE c_custkey > 1)"
+_UP = f"up AS (SELECT c_custkey AS sha, c_custkey AS ancestor FROM customer UNION ALL SELECT up.sha, t.parent FROM up JOIN {_TREE} t ON up.ancestor = t.sha)"
+
+
+def _commits(read):
+    """Customers as commits: each has half its number as parent."""
+    sha = F.col("c_custkey").cast("string")
+    return read("customer").select(sha.alias("sha"), F.when(F.col("c_custkey") > 1, F.floor(F.col("c_custkey") / 2).cast("string")).alias("parent"))
+
+
+@slice_of(f"""WITH RECURSIVE {_UP}, refs AS (SELECT s_suppkey AS seq, 's' || s_suppkey AS ref, (SELECT max(c_custkey) FROM customer) - s_suppkey AS sha FROM supplier WHERE s_suppkey <= 3)
+SELECT o_orderkey, (SELECT arg_min(r.ref, r.seq) FROM refs r WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.sha = r.sha AND up.ancestor = o_custkey)) AS missing FROM orders""")
+def containment(read):
+    """Orders as removals, merged at their customer's commit, and the first of three refs that lacks it."""
+    commits = _commits(read)
+    last = commits.agg(F.max(F.col("sha").cast("long")).alias("n"))
+    refs = read("supplier").where("s_suppkey <= 3").crossJoin(F.broadcast(last)).select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("ref"), (F.col("n") - F.col("s_suppkey")).cast("string").alias("sha"), F.col("s_suppkey").alias("seq"))
+    rows = read("orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("merge_commit_sha"))
+    held, waits = archive.by_containment(rows, refs, archive.ancestry(commits, refs))
+    return held.select("o_orderkey", F.lit(None).cast("string").alias("missing")).union(waits.select("o_orderkey", "missing"))
+
+
+@slice_of(f"""WITH RECURSIVE {_UP}, e AS (SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND value > 10)
+SELECT DISTINCT e.event_id, 'k' || o_orderkey AS key FROM e JOIN up ON up.sha = e.user_id JOIN orders ON o_custkey = up.ancestor AND o_orderstatus = 'F'""")
+def deploy_archives(read):
+    """Events as deployments of their user's commit, and the finished orders that those contain."""
+    text_ = lambda c: F.col(c).cast("string")
+    status = F.struct(F.col("event_id").alias("id"), F.when(F.col("value") > 10, "Success").otherwise("failure").alias("state"), F.lit("Production").alias("environment"))
+    raw = read("events").where("event_type = 'purchase'").select(F.to_json(F.struct(F.struct(F.lit("staging").alias("environment"), text_("user_id").alias("sha")).alias("deployment"), status.alias("deployment_status"))).alias("value"))
+    waiting = read("orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("k"), text_("o_orderkey")).alias("key"), text_("o_custkey").alias("merge_commit_sha"))
+    seen = events.deployments(raw)
+    return streamed.archived_on_deploy(seen, "production", waiting, archive.ancestry(_commits(read), seen.select("sha").distinct()))
+
+
+@slice_of("""SELECT 'c' || o_custkey AS key, CAST(o_orderkey AS INT) AS pull_request, CASE WHEN o_orderpriority <> '1-URGENT' THEN 'ignore' WHEN c.c_acctbal > 0 THEN 'archive' ELSE 'skip' END AS outcome
+FROM orders LEFT JOIN customer c ON c_custkey = o_custkey WHERE o_orderstatus = 'F'""")
+def merge_archives(read):
+    """Finished orders as merged removals: archived if the customer's flag lives and the base is the main one."""
+    head = F.struct(F.concat(F.lit(keys.BRANCH_PREFIX), F.lit("c"), F.col("o_custkey").cast("string")).alias("ref"))
+    request = F.struct((F.col("o_orderstatus") == "F").alias("merged"), F.col("o_orderkey").cast("int").alias("number"), F.lit("u").alias("html_url"), F.lit("s").alias("merge_commit_sha"), head.alias("head"), F.struct(F.col("o_orderpriority").alias("ref")).alias("base"))
+    raw = read("orders").select(F.to_json(F.struct(F.lit("closed").alias("action"), request.alias("pull_request"))).alias("value"))
+    return streamed.archived_on_merge(raw, read("customer").where("c_acctbal > 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("key")), "1-URGENT")
+
+
+@slice_of("SELECT conv_id, turn, CASE role WHEN 'user' THEN 'rerun' WHEN 'system' THEN 'recreate' END AS command FROM conversations")
+def comment_commands(read):
+    """Turns as comments that give commands: users rerun, systems recreate, what others say stands in code or prose."""
+    say = lambda verb: F.concat(F.lit(f"please\n{archive.COMMAND_PREFIX}  {verb}  \n"), F.lit("thanks"))
+    body = F.when(F.col("role") == "user", say("Rerun")).when(F.col("role") == "system", say("recreate")).otherwise(f"```\n{archive.COMMAND_PREFIX} rerun\n```\nor {archive.COMMAND_PREFIX} rerun")
+    return read("conversations").select("conv_id", "turn", archive.command(body).alias("command"))
+
+
+_NEST = "'f(' || repeat('[{', CAST(p_size AS INT)) || repeat('}]', CAST(p_size AS INT)) || ')]'"
+
+
+@slice_of("SELECT p_partkey AS path, CAST(2 * p_size + 1 AS INT) AS depth FROM part WHERE 2 * p_size + 1 >= 40")
+def deep_files(read):
+    """Parts as files that are nested as deep as their size says."""
+    content = F.concat(F.lit("f("), F.repeat(F.lit("[{"), F.col("p_size")), F.repeat(F.lit("}]"), F.col("p_size")), F.lit(")]"))
+    return agreement.deep_files(read("part").select(F.col("p_partkey").alias("path"), content.alias("content")), 40).select("path", "depth")
+
+
+_FIRST = "regexp_extract(text, '[A-Za-z0-9_]+')"
+
+
+@slice_of(f"""WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS w FROM documents), c AS (SELECT doc_id AS path, {_FIRST} AS name FROM documents)
+SELECT path, name, EXISTS (SELECT 1 FROM t WHERE w = c.name AND t.doc_id <> c.path) AS elsewhere FROM c""")
+def named_elsewhere(read):
+    """The first word of each document as its constant, and whether another document names it."""
+    files = read("documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    constants = files.select("path", F.regexp_extract("content", "[A-Za-z0-9_]+", 0).alias("name"))
+    yes = mentions.referenced_elsewhere(constants, files).withColumn("elsewhere", F.lit(True))
+    return yes.union(mentions.unnamed_elsewhere(constants, files).withColumn("elsewhere", F.lit(False)))
+
+
+@slice_of(f"""WITH t AS (SELECT doc_id AS other, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS w FROM documents),
+d AS (SELECT DISTINCT doc_id AS path, lang AS module, source AS owner, {_FIRST} AS name FROM documents),
+r AS (SELECT doc_id AS path, lang AS module, source AS owner, regexp_extract_all(text, '[A-Za-z0-9_]+')[2] AS name, n_chars % 2 = 0 AS removable FROM documents UNION ALL SELECT path, module, owner, name, true FROM d),
+q AS (SELECT *, count(*) OVER (PARTITION BY module, owner, name) AS k FROM d),
+ok AS (SELECT path AS other, module, owner, name, bool_and(removable) AS ok FROM r GROUP BY ALL),
+far AS (SELECT q.path, q.module, q.owner, q.name, bool_and(coalesce(ok.ok, false)) AS free FROM q JOIN t ON w = q.name AND t.other <> q.path LEFT JOIN ok ON ok.other = t.other AND ok.module = q.module AND ok.owner = q.owner AND ok.name = q.name WHERE k = 1 GROUP BY ALL)
+SELECT q.path, q.name, CASE WHEN k > 1 THEN 'declared more than once' WHEN NOT coalesce(far.free, true) THEN 'a mention isn''t proven' WHEN NOT coalesce(own.ok, true) THEN 'a use in its own file stays' END AS reason
+FROM q LEFT JOIN far USING (path, module, owner, name) LEFT JOIN ok own ON own.other = q.path AND own.module = q.module AND own.owner = q.owner AND own.name = q.name""")
+def declarations_proven(read):
+    """The first word of each document as a declaration, first and second words as references: what can go, and why the rest stays."""
+    docs = read("documents")
+    word = lambda k: F.get(F.regexp_extract_all("text", F.lit("([A-Za-z0-9_]+)"), F.lit(1)), F.lit(k)).alias("name")
+    named = [F.col("doc_id").alias("path"), F.col("lang").alias("module"), F.col("source").alias("owner")]
+    declared = docs.select(*named, word(0)).withColumn("key", F.lit("k")).withColumn("name", F.coalesce("name", F.lit("")))
+    used = docs.select(*named, word(1), (F.col("n_chars") % 2 == 0).alias("removable")).union(declared.select("path", "module", "owner", "name", F.lit(True)))
+    out = resolve.resolve(declared, used, docs.select(F.col("doc_id").alias("path"), F.col("text").alias("content")))
+    return out["deletable"].select("path", "name", F.lit(None).cast("string").alias("reason")).union(out["blocked"].select("path", "name", "reason"))
+
+
+@slice_of("SELECT l_orderkey AS path, l_partkey AS name FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING min(l_orderkey) < max(l_orderkey))")
+def competing_names(read):
+    """Parts as names and orders as files: declarations whose name another file declares too."""
+    return resolve.competing(read("lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_partkey").alias("name")))
+
+
+def _lines(read, *more):
+    return read("lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_returnflag").alias("module"), F.col("l_linestatus").alias("owner"), F.col("l_partkey").alias("name"), *more)
+
+
+@slice_of("""SELECT l_orderkey AS path, l_partkey AS name FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_quantity > 49 AND b.l_returnflag = l.l_returnflag AND b.l_linestatus = l.l_linestatus AND b.l_partkey = l.l_partkey)""")
+def readers_of_what_goes(read):
+    """Readers without those of declarations that stay."""
+    rows = _lines(read, "l_quantity")
+    return resolve.void_readers(rows, rows.where("l_quantity > 49")).select("path", "name")
+
+
+@slice_of("""SELECT o_orderkey AS path FROM (SELECT l_orderkey AS o_orderkey FROM lineitem WHERE l_quantity > 45 UNION SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' UNION SELECT o_orderkey FROM orders WHERE o_totalprice > 300000)
+WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
+def writable_files(read):
+    """Files that a run may write: mentions, readers and callers, without what others claim."""
+    o = read("orders").withColumnRenamed("o_orderkey", "path")
+    return resolve.candidate_files(read("lineitem").where("l_quantity > 45").withColumnRenamed("l_orderkey", "path"), o.where("o_orderstatus = 'P'"), o.where("o_totalprice > 300000"), o.where("o_orderpriority = '1-URGENT'"))
+
+
+@slice_of("SELECT l_orderkey AS path, l_linenumber FROM lineitem ANTI JOIN (SELECT o_orderkey AS l_orderkey FROM orders WHERE o_orderstatus = 'F') USING (l_orderkey)")
+def uncovered_uses(read):
+    """Uses in files that no parser covers."""
+    uses = read("lineitem").select(F.col("l_orderkey").alias("path"), "l_linenumber")
+    return resolve.uncovered(uses, read("orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("path")))
+
+
+@slice_of("""WITH RECURSIVE e AS (SELECT c_custkey AS m, CASE WHEN c_custkey % 10 <> 0 AND c_custkey + 1 <= (SELECT max(c_custkey) FROM customer) THEN c_custkey + 1 END AS src, c_nationkey = 3 AS lost FROM customer),
+w AS (SELECT m AS reader, m FROM e UNION ALL SELECT w.reader, e.src FROM w JOIN e ON e.m = w.m WHERE e.src IS NOT NULL AND NOT e.lost)
+SELECT CAST(reader AS VARCHAR) AS reader, max(CASE WHEN e.src IS NULL AND NOT e.lost THEN CAST(e.m AS VARCHAR) END) AS module FROM w LEFT JOIN e ON e.m = w.m GROUP BY reader""")
+def reexport_chains(read):
+    """Customers as modules that export a name again from the next one; a tenth declare it, and some lack it."""
+    last = read("customer").agg(F.max("c_custkey").alias("n"))
+    c = read("customer").crossJoin(F.broadcast(last))
+    again = (F.col("c_custkey") % 10 != 0) & (F.col("c_custkey") < F.col("n"))
+    id_ = lambda x: F.col(x).cast("string")
+    exports = c.where("c_nationkey <> 3").select(id_("c_custkey").alias("module"), F.lit("x").alias("name"), F.when(again, (F.col("c_custkey") + 1).cast("string")).alias("source"))
+    return resolve.provider(read("customer").select(id_("c_custkey").alias("reader"), F.lit("x").alias("name"), id_("c_custkey").alias("module")), exports).select("reader", "module")
+
+
+@slice_of("""WITH i AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS specifier FROM pages), p AS (SELECT DISTINCT regexp_extract(specifier, '^[^/]+', 0) AS package FROM i UNION SELECT DISTINCT regexp_extract(specifier, '^[^/]+/[^/]+', 0) FROM i WHERE specifier LIKE '%/%')
+SELECT page_id, arg_max(package || '/index.ts', length(package)) AS source FROM i LEFT JOIN p ON package <> '' AND (specifier = package OR starts_with(specifier, package || '/')) GROUP BY page_id""")
+def workspace_sources(read):
+    """Pages' addresses as bare specifiers, hosts and their first folders as packages."""
+    i = read("pages").select(F.col("page_id").alias("reader"), F.regexp_replace("url", "^[a-z]+://", "").alias("specifier"))
+    part = lambda p: i.select(F.regexp_extract("specifier", p, 0).alias("package"))
+    packages = part("^[^/]+").union(part("^[^/]+/[^/]+")).where("package <> ''").distinct().withColumn("source", F.concat("package", F.lit("/index.ts")))
+    return resolve.workspace_source(i, packages).select(F.col("reader").alias("page_id"), "source")
+
+
+@slice_of("""SELECT c_custkey AS path, c_name AS name FROM customer WHERE c_name IN (SELECT c_name FROM customer GROUP BY c_name HAVING count(DISTINCT c_custkey) = 1)
+AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0) AND c_name NOT IN (SELECT c_name FROM customer WHERE c_mktsegment = 'BUILDING')""")
+def qualified_wrappers(read):
+    """Customers as wrappers: a name declared once, an owner without a subclass, nothing published."""
+    c = read("customer").select(F.col("c_custkey").alias("path"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("owner"), "c_mktsegment")
+    return resolve.qualified(c, c, read("supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("owner")), c.where("c_mktsegment = 'BUILDING'")).select("path", "name")
+
+
+@slice_of("""WITH t AS (SELECT o_custkey, CASE WHEN min(o_orderstatus) = max(o_orderstatus) THEN min(o_orderstatus) END AS type FROM orders GROUP BY o_custkey)
+SELECT o_orderkey, coalesce(t.type = o.o_orderstatus, false) AS proven FROM orders o LEFT JOIN t USING (o_custkey)""")
+def bound_calls(read):
+    """Orders as calls on their customer, whose one type is the status of all the customer's orders."""
+    o = read("orders").select("o_orderkey", F.col("o_custkey").alias("path"), F.lit("r").alias("receiver"), F.col("o_orderstatus").alias("type"))
+    calls = o.select("o_orderkey", "path", "receiver", F.col("type").alias("name"))
+    return resolve.bound_calls(calls, o, o.select(F.col("type").alias("name"), F.col("type").alias("owner"))).select("o_orderkey", "proven")
+
+
+@slice_of("SELECT c_custkey AS name, (SELECT count(DISTINCT o_orderkey) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') AS n FROM customer")
+def closed_out(read):
+    """Customers as wrappers, and how many open orders still reference each."""
+    gone, kept = resolve.close_out(read("customer").select(F.col("c_custkey").alias("name")), read("orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("name")))
+    return gone.select("name", F.lit(0).cast("long").alias("n")).union(kept.select("name", F.size("paths").cast("long")))
+
+
+@slice_of("SELECT DISTINCT l_returnflag AS module, l_partkey AS name FROM lineitem WHERE l_quantity < 2")
+def held_tables(read):
+    """Parts as exported tables that some line reads by anything but a literal key."""
+    return resolve.held_tables(_lines(read, (F.col("l_quantity") >= 2).alias("literal"))).select("module", "name")
+
+
+@slice_of("SELECT s_suppkey AS seq FROM supplier JOIN nation ON 'n' || s_nationkey = 'n' || n_nationkey WHERE s_suppkey <> n_nationkey")
+def alias_conflicts(read):
+    """Suppliers spelt like a nation's key."""
+    c = read("supplier").select(F.col("s_suppkey").alias("seq"), F.concat(F.lit("n"), F.col("s_suppkey").cast("string")).alias("key"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("code_key"))
+    return candidates.alias_conflicts(c, read("nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("key"))).select("seq")
+
+
+@slice_of("""SELECT arg_min(path, (source, seq, path)) AS path, resolved FROM (SELECT l_orderkey AS path, l_partkey AS resolved, l_linenumber AS seq, 0 AS source FROM lineitem WHERE l_quantity > 40
+UNION ALL SELECT l_orderkey, l_partkey, l_linenumber, 1 FROM lineitem WHERE l_quantity <= 40) GROUP BY resolved""")
+def unprocessed_files(read):
+    """What mentions a flag, then what was skipped: one row for each resolved path under its first spelling."""
+    rows = read("lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_partkey").alias("resolved"), F.col("l_linenumber").alias("seq"), "l_quantity")
+    return mentions.unprocessed(rows.where("l_quantity > 40"), rows.where("l_quantity <= 40"))
+
+
+@slice_of("SELECT l_partkey AS path, arg_min(l_suppkey, (l_orderkey, l_linenumber)) AS owner FROM lineitem GROUP BY l_partkey")
+def first_owners(read):
+    """The supplier of each part's first line."""
+    return agreement.first_owner(read("lineitem").select(F.col("l_partkey").alias("path"), F.struct("l_orderkey", "l_linenumber").alias("seq"), F.col("l_suppkey").alias("owner"))).select("path", "owner")
+
+
+@slice_of("SELECT l_partkey AS constructor, l_linenumber AS parameter FROM lineitem GROUP BY ALL HAVING bool_and(l_quantity > 5)")
+def removable_parameters(read):
+    """Parameters that all sites agree to lose."""
+    return agreement.removable_parameters(read("lineitem").select(F.col("l_partkey").alias("constructor"), F.col("l_linenumber").alias("parameter"), (F.col("l_quantity") > 5).alias("ok")))
+
+
+@slice_of("SELECT event_id, value FROM events WHERE starts_with(event_type, 'p')")
+def rewrite_rows(read):
+    """Rows of a log whose rule begins so."""
+    return agreement.rule_rows(read("events").withColumnRenamed("event_type", "rule"), "p").select("event_id", "value")
+
+
+@slice_of("SELECT o_orderkey, n_name AS kind FROM orders JOIN nation ON n_nationkey = o_custkey % 30")
+def rule_bindings(read):
+    """Rows of a log with the kind of binding that their rule writes."""
+    log = read("orders").select("o_orderkey", (F.col("o_custkey") % 30).cast("int").alias("rule"))
+    return agreement.bindings(log, read("nation").select(F.col("n_nationkey").alias("rule"), F.col("n_name").alias("kind"))).select("o_orderkey", "kind")
+
+
+_USES = "SELECT l_orderkey AS path, l_returnflag AS name, l_linenumber = 1 AS binds, l_quantity > 3 AS removable FROM lineitem"
+
+
+def _uses(read):
+    return read("lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_returnflag").alias("name"), (F.col("l_linenumber") == 1).alias("binds"), (F.col("l_quantity") > 3).alias("removable"))
+
+
+@slice_of(f"SELECT path, name FROM ({_USES}) GROUP BY ALL HAVING count(*) FILTER (WHERE binds) = 1 AND bool_and(removable OR binds)")
+def safe_bindings(read):
+    """Constants bound once all of whose other uses can go."""
+    return agreement.binding_safe(_uses(read))
+
+
+@slice_of(f"""SELECT * FROM (SELECT path, name, CASE WHEN count(*) FILTER (WHERE binds) = 0 THEN 'never bound' WHEN count(*) FILTER (WHERE binds) > 1 THEN 'bound more than once'
+WHEN NOT bool_and(removable OR binds) THEN 'used where it can''t be removed' END AS reason FROM ({_USES}) GROUP BY path, name) WHERE reason IS NOT NULL""")
+def withheld_bindings(read):
+    """Why other constants are withheld."""
+    return agreement.withheld(_uses(read))
+
+
+@slice_of(f"SELECT doc_id AS path FROM documents WHERE {_word('License', 'A-Za-z0-9_-')} AND {_word('the', 'A-Za-z0-9_')}")
+def co_mentions(read):
+    """Documents that name both an accessor and a key."""
+    return agreement.co_mentions(read("documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content")), "License", "the").select("path")
+
+
+@slice_of("SELECT l_orderkey AS path, l_linenumber AS entry FROM lineitem WHERE l_linestatus = 'O'")
+def contradicting_entries(read):
+    """Entries whose value is the literal that goes."""
+    return agreement.contradicting(read("lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("entry"), F.col("l_linestatus").alias("value")), "O").select("path", "entry")
+
+
+@slice_of("SELECT c_custkey AS path, c_nationkey AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def stranded_bindings(read):
+    """Customers as bindings without any use left: large orders are uses."""
+    used = read("orders").where("o_totalprice > 300000").join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_custkey").alias("path"), F.col("c_nationkey").alias("name"))
+    return agreement.stranded(read("customer").select(F.col("c_custkey").alias("path"), F.col("c_nationkey").alias("name")), used)
+
+
+@slice_of("""SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN l_linestatus = 'O' WHEN 'R' THEN l_linestatus <> 'O' END AS holds FROM lineitem""")
+def judged_assertions(read):
+    """What an assertion on a literal says: true, false or unknown."""
+    expect = F.when(F.col("l_returnflag") == "A", "toBe(true)").when(F.col("l_returnflag") == "R", "toBeFalsy").otherwise("toResemble")
+    return read("lineitem").select("l_orderkey", "l_linenumber", agreement.judge(expect, F.col("l_linestatus") == "O").alias("holds"))
+
+
+@slice_of("""SELECT l_orderkey AS flag, string_agg(DISTINCT l_linenumber || ':' || l_shipmode_, ',' ORDER BY l_linenumber || ':' || l_shipmode_) AS reasons FROM (SELECT *, l_returnflag AS l_shipmode_ FROM lineitem) WHERE l_discount > 0.09 GROUP BY l_orderkey""")
+def refused_flags(read):
+    """Orders any of whose lines was refused, with lines and reasons."""
+    rows = read("lineitem").select(F.col("l_orderkey").alias("flag"), F.col("l_linenumber").cast("string").alias("path"), F.when(F.col("l_discount") > 0.09, F.col("l_returnflag")).alias("reason"))
+    return agreement.refused_flags(rows).select("flag", F.array_join(F.transform("refusal_reasons", lambda r: F.concat(r["file"], F.lit(":"), r["reason"])), ",").alias("reasons"))
+
+
+@slice_of("SELECT o_orderkey AS path FROM orders WHERE o_orderstatus = 'P' OR o_orderpriority = '5-LOW'")
+def changed_files(read):
+    """Files whose bytes differ between two snapshots, or that only one has."""
+    before = read("orders").select(F.col("o_orderkey").alias("path"), F.concat("o_orderstatus", "o_orderpriority").alias("content"), "o_orderstatus", "o_orderpriority")
+    after = before.where("o_orderpriority <> '5-LOW'").withColumn("content", F.when(F.col("o_orderstatus") == "P", "new").otherwise(F.col("content")))
+    return remove.restored(before, after)
+
+
+@slice_of("""SELECT p_partkey, regexp_full_match(k, '[a-z0-9]+([-_][a-z0-9]+)*') AS platform, regexp_full_match(k, '[A-Za-z0-9_]([A-Za-z0-9_.:-]*[A-Za-z0-9_])?') AS code, p_type = 'PROMO' OR p_type = 'promo' AS dead,
+'Remove flag ' || k || ' (always ' || CASE WHEN p_size % 2 = 0 THEN 'on' ELSE 'off' END || ')' AS title FROM (SELECT *, replace(p_name, ' ', CASE p_size % 3 WHEN 0 THEN '-' WHEN 1 THEN '.' ELSE ' ' END) AS k FROM part)""")
+def key_kinds(read):
+    """Names of parts as keys: which a platform or a code search can have, and the titles of their removals."""
+    k = F.replace("p_name", F.lit(" "), F.when(F.col("p_size") % 3 == 0, "-").when(F.col("p_size") % 3 == 1, ".").otherwise(" "))
+    status = F.when(F.col("p_type") == "PROMO", "Dead").otherwise(F.col("p_type"))
+    return read("part").select("p_partkey", keys.is_platform_key(k).alias("platform"), keys.is_code_key(k).alias("code"), tokens.is_dead(status).alias("dead"), keys.title(k, F.col("p_size") % 2 == 0).alias("title"))
+
+
+@slice_of(r"""SELECT doc_id, regexp_matches(text, '(^|[^\pL\pN_.-])license([^\pL\pN_.-]|$)') AS dotted, regexp_matches(text, '(^|[^A-Za-z0-9_])(Apache|MIT)([^A-Za-z0-9_]|$)') AS any FROM documents""")
+def key_tokens(read):
+    """Keys bounded by anything but word characters, dots and dashes, and any of several identifiers."""
+    t = F.col("text")
+    return read("documents").select("doc_id", tokens.key_token(t, "license").alias("dotted"), tokens.mentions_any(t, ["Apache", "MIT"]).alias("any"))
+
+
+@slice_of("SELECT event_id FROM (SELECT event_id, CAST(event_type = 'purchase' AND value > 20 OR event_type = 'error' AS INT) AS c, sum(CAST(event_type = 'purchase' AND value > 20 OR event_type = 'error' AS INT)) OVER (ORDER BY event_id) AS s FROM events) WHERE s - c < 300")
+def proposals(read):
+    """Results of a run that stops after 300 proposals: opened requests, and dry runs with a diff."""
+    rows = read("events").select(F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("key"), F.when(F.col("event_type") == "error", "pr-opened").when(F.col("event_type") == "purchase", "dry-run").otherwise("blocked").alias("action"), F.when(F.col("value") > 20, "d").otherwise("").alias("diff"))
+    return candidates.up_to(rows, 300).select(F.col("seq").alias("event_id"))
+
+
+@slice_of("""SELECT doc_id AS path, n.name, CAST(min(i) AS INT) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), (VALUES ('Apache'), (' the ')) n(name) WHERE contains(t, n.name) GROUP BY ALL""")
+def first_lines(read):
+    """The first line of each document that holds each of two needles."""
+    files = read("documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    needles = files.select("path", F.explode(F.array(F.lit("Apache"), F.lit(" the "))).alias("name"))
+    return mentions.first_lines(files, needles).select("path", "name", "line")
+
+
+@slice_of("""SELECT event_id FROM events e WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM events o WHERE o.event_type = 'error' AND epoch_us(e.ts) // 1000000 >= epoch_us(o.ts) // 1000000 AND epoch_us(e.ts) // 1000000 < epoch_us(o.ts) // 1000000 + 120)""")
+def point_outside_spans(read):
+    """Purchases that no error precedes by two minutes."""
+    e = read("events").withColumn("at", F.unix_seconds(F.col("ts").cast("timestamp"))).withColumn("all", F.lit(1))
+    spans = e.where("event_type = 'error'").select("all", F.col("at").alias("s"), (F.col("at") + 120).alias("t"))
+    return relational.outside(e.where("event_type = 'purchase'").select("all", "at", "event_id"), spans, "all", "at", "s", "t").select("event_id")
+
+
+#: Shapes of reads, each with what is left where the flag served true and false; # stands for a number.
+SHAPES = (
+    ("if (isEnabled('k')) { a(#); } else { b(#); }", "a(#);", "b(#);"),
+    ("for (const x of xs) if (isEnabled('k')) a(#); next();", "for (const x of xs) a(#); next();", "for (const x of xs) {} next();"),
+    ("if (q) if (isEnabled('k')) { a(#); b(#); }", "if (q) { a(#); b(#); }", "if (q) {}"),
+    ("while (q) if (!isEnabled('k')) a(#); next();", "while (q) {} next();", "while (q) a(#); next();"),
+    ("if (c) { a(); } else if (isEnabled('k')) { b(#); } else { d(); }", "if (c) { a(); } else { b(#); }", "if (c) { a(); } else { d(); }"),
+    ("const v = x ?? isEnabled('k') ? # : b;", "const v = x ?? true ? # : b;", "const v = x ?? false ? # : b;"),
+    ("const v = isEnabled('k') ? a(#, 2) : b;", "const v = a(#, 2);", "const v = b;"),
+    ("f(isEnabled('k') && y(#));", "f(y(#));", "f(false);"),
+    ("f(isEnabled('k') || y(#));", "f(true);", "f(y(#));"),
+    ("if (y && isEnabled('k') || z) { a(#); }", "if (y || z) { a(#); }", "if (z) { a(#); }"),
+    ("function a() { const on = isEnabled('k'); return on; } function b() { return on; }", "function a() { return true; } function b() { return on; }", "function a() { return false; } function b() { return on; }"),
+    ("const on = isEnabled('k'); f(on, #, { on: 1 });", "const on = true; f(on, #, { on: 1 });", "const on = false; f(on, #, { on: 1 });"),
+    ("f(client?.isEnabled('k'), #);", "f(client?.isEnabled('k'), #);", "f(client?.isEnabled('k'), #);"),
+    ("const isEnabled = (k) => false; f(isEnabled('k'), #);", "const isEnabled = (k) => false; f(isEnabled('k'), #);", "const isEnabled = (k) => false; f(isEnabled('k'), #);"),
+    ("const t = `${f('}')} // k is on.`; f(isEnabled('k'), #);", "const t = `${f('}')} // k is on.`; f(true, #);", "const t = `${f('}')} // k is on.`; f(false, #);"),
+    ("f(await flags.isEnabled('k') === false, #);", "f(false, #);", "f(true, #);"),
+)
+
+
+def _case(column: int) -> str:
+    return "CASE o_orderkey % " + str(len(SHAPES)) + "".join(f" WHEN {k} THEN '" + x[column].replace("'", "''") + "'" for k, x in enumerate(SHAPES)) + " END"
+
+
+@slice_of(f"SELECT o_orderkey, replace(CASE WHEN o_orderstatus = 'F' THEN {_case(1)} ELSE {_case(2)} END, '#', CAST(o_custkey AS VARCHAR)) AS after FROM orders")
+def fold_shapes(read):
+    """Every order as a file with one of the shapes, folded to what it served."""
+    chosen = F.element_at(F.array(*(F.lit(x[0]) for x in SHAPES)), (F.col("o_orderkey") % len(SHAPES) + 1).cast("int"))
+    rows = read("orders").select(F.lit("k").alias("flag"), F.lit("k").alias("code_key"), (F.col("o_orderstatus") == "F").alias("treatment"), F.col("o_orderkey").cast("string").alias("path"), F.lit("ts").alias("language"), F.replace(chosen, F.lit("#"), F.col("o_custkey").cast("string")).alias("before"))
+    return remove.folded(rows, [Accessor("isEnabled")]).select(F.col("path").cast("long").alias("o_orderkey"), "after")

@@ -20,7 +20,7 @@ def archived_on_merge(raw: DataFrame, live: DataFrame, base: str) -> DataFrame:
     """key, pull_request and outcome for each merged removal: archive, skip (the flag doesn't live) or ignore (another base). Works on a batch or a stream of JSON texts."""
     merged = events.merged_requests(raw)
     flags = live.select("key", F.lit(True).alias("lives")).distinct()
-    met = merged.join(F.broadcast(flags) if not raw.isStreaming else flags, "key", "left")
+    met = merged.join(flags, "key", "left")
     outcome = F.when(F.col("base") != base, "ignore").when(F.col("lives"), "archive").otherwise("skip")
     return met.select("key", "pull_request", outcome.alias("outcome"))
 

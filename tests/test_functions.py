@@ -97,8 +97,8 @@ def test_comments():
 
 
 def test_commands(spark):
-    bodies = [("@flag-cleanup rerun", "rerun"), ("we should @flag-cleanup rerun", None), ("hi\n  @Flag-Cleanup   Recreate  \nbye", "recreate"), ("@flag-cleanuprerun", None),
-              ("@flag-cleanup rerun please", None), ("```\n@flag-cleanup rerun\n```", None), ("    @flag-cleanup rerun", None), ("<!-- \n@flag-cleanup rerun\n-->", None), (None, None)]
+    bodies = [("@sievewright rerun", "rerun"), ("we should @sievewright rerun", None), ("hi\n  @Sievewright   Recreate  \nbye", "recreate"), ("@sievewrightrerun", None),
+              ("@sievewright rerun please", None), ("```\n@sievewright rerun\n```", None), ("    @sievewright rerun", None), ("<!-- \n@sievewright rerun\n-->", None), (None, None)]
     df = spark.createDataFrame(bodies, "b string, want string")
     assert [r[0] for r in df.select(archive.command(F.col("b"))).collect()] == [w for _, w in bodies]
 

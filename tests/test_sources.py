@@ -105,7 +105,7 @@ def merged(key, base="main", number=1, done=True):
 def test_events(spark):
     raw = spark.createDataFrame([(merged("a"),), (merged("b", done=False),), (merged("=6F"),), ("no json",)], "value string")
     assert [(r.key, r.pull_request) for r in events.merged_requests(raw).collect()] == [("a", 1)]
-    said = spark.createDataFrame([(json.dumps({"action": "created", "issue": {"number": 4, "pull_request": {"url": "u"}}, "comment": {"id": 9, "body": "@flag-cleanup rerun"}}),), (json.dumps({"action": "created", "issue": {"number": 5}, "comment": {"id": 1, "body": "@flag-cleanup rerun"}}),)], "value string")
+    said = spark.createDataFrame([(json.dumps({"action": "created", "issue": {"number": 4, "pull_request": {"url": "u"}}, "comment": {"id": 9, "body": "@sievewright rerun"}}),), (json.dumps({"action": "created", "issue": {"number": 5}, "comment": {"id": 1, "body": "@sievewright rerun"}}),)], "value string")
     assert [(r.pull_request, r.command) for r in events.commands(said).collect()] == [(4, "rerun")]
     shipped = events.deployments(spark.createDataFrame([(json.dumps({"deployment": {"environment": "Production", "sha": "t"}, "deployment_status": {"id": 7, "state": "SUCCESS"}}),)], "value string"))
     due = spark.createDataFrame([("a", "s"), ("b", "z")], "key string, merge_commit_sha string")
