@@ -52,11 +52,11 @@ def without_clause(text: str, key: str) -> str:
     return "".join(parts[: hit[0] - 1] + parts[hit[0] + 1 :])
 
 
-def delete_only(source: str, key: str, jsx: bool = False) -> str:
+def delete_only(source: str, key: str, jsx: bool = False, language: str = "") -> str:
     """A source without line comments that are about the key alone: each of their sentences names it. Only text between tokens is looked at; a source that doesn't scan is left."""
     named = _token(key)
     try:
-        tokens, tail = scan(source, jsx)
+        tokens, tail = scan(source, jsx, language)
     except Unreadable:
         return source
 
@@ -87,7 +87,7 @@ def titles(source: str, key: str) -> str:
     return re.sub(rf"(\b(?:it|test|describe)(?:\.\w+)?\(\s*)(['\"`])((?:(?!\2).)*?)[ ,]*(?:\b(?:when|if|with)\s+(?:the\s+)?(?:flag\s+)?{flag}(?:\s+flag)?\s+(?:is\s+)?(?:on|off|enabled|disabled))", r"\1\2\3", source)
 
 
-def only_in_comments(source: str | None, key: str) -> bool | None:
+def only_in_comments(source: str | None, key: str, language: str = "") -> bool | None:
     """Whether every mention of the key stands in a comment; null for a source that can't be read."""
     if source is None:
         return None
@@ -95,7 +95,7 @@ def only_in_comments(source: str | None, key: str) -> bool | None:
     if not named.search(source):
         return False
     try:
-        tokens, _ = scan(source)
+        tokens, _ = scan(source, language=language)
     except Unreadable:
         return None
     code = "".join(("" if _COMMENT.search(t.gap) is None and not t.gap else " ") + t.text for t in tokens)
@@ -103,13 +103,13 @@ def only_in_comments(source: str | None, key: str) -> bool | None:
 
 
 @F.pandas_udf(BooleanType())
-def comment_only(source: pd.Series, key: pd.Series) -> pd.Series:
-    return pd.Series([only_in_comments(s, k) for s, k in zip(source, key, strict=True)], dtype=object)
+def comment_only(source: pd.Series, key: pd.Series, language: pd.Series) -> pd.Series:
+    return pd.Series([only_in_comments(s, k, x or "") for s, k, x in zip(source, key, language, strict=True)], dtype=object)
 
 
-def tidy(source: str, key: str, jsx: bool = False) -> str:
+def tidy(source: str, key: str, jsx: bool = False, language: str = "") -> str:
     """A source without comments and title conditions that are about the key alone."""
-    return titles(delete_only(source, key, jsx), key)
+    return titles(delete_only(source, key, jsx, language), key)
 
 
 def is_generated(source, path):

@@ -10,7 +10,7 @@ _TOKEN = re.compile(
 |(?P<str>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')
 |(?P<num>\d[\w.]*)
 |(?P<id>[A-Za-z_$@][\w$]*)
-|(?P<sign>===|!==|\?\.(?!\d)|\?\?=?|=>|&&=?|\|\|=?|==|!=|<=|>=|\+\+|--|[+\-*/%&|^]=|\.\.\.|[{}()\[\];,.<>+\-*/%&|^!~?:=\#\\])""",
+|(?P<sign>===|:=|!==|\?\.(?!\d)|\?\?=?|=>|&&=?|\|\|=?|==|!=|<=|>=|\+\+|--|[+\-*/%&|^]=|\.\.\.|[{}()\[\];,.<>+\-*/%&|^!~?:=\#\\])""",
     re.S | re.X,
 )
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")": "(", "]": "[", "}": "{"}
@@ -20,6 +20,13 @@ _BEFORE_REGEX = frozenset({"(", ",", "=", ":", "[", "!", "&&", "||", "?", "{", "
 _BEFORE_MARKUP = _BEFORE_REGEX | {"default", "??", "else", "yield"}
 
 
+#: Go, Kotlin and Swift: statements end with lines, and strings differ from those of the other languages.
+DIALECTS = ("go", "kt", "swift")
+_ARROWS = re.compile(r"->|\?:")
+_HASHED = re.compile(r'(#+)(?:""".*?"""|"[^\n]*?")\1', re.S)
+_RUNE = re.compile(r"'(?:\\[^\n]|[^'\\\n])[0-9A-Fa-f]{0,8}'")
+
+
 class Unreadable(ValueError):
     """Text that doesn't scan or whose brackets don't match."""
 
@@ -42,12 +49,19 @@ _NAME = re.compile(r"[A-Za-z_$][\w$.:-]*")
 _SPACE = re.compile(r"(?:\s+|//[^\n]*|/\*.*?\*/)*", re.S)
 
 
+class Tokens(list):
+    """Tokens of a source, and the dialect they were read in ("" for languages with semicolons)."""
+
+    dialect = ""
+
+
 class _Scanner:
     """Reads a source from left to right; markup in expressions (jsx) is read as tokens of kinds tag and markup."""
 
-    def __init__(self, source: str, jsx: bool):
-        self.source, self.jsx = source, jsx
-        self.out: list[Token] = []
+    def __init__(self, source: str, jsx: bool, dialect: str = ""):
+        self.source, self.jsx, self.dialect = source, jsx, dialect
+        self.out = Tokens()
+        self.out.dialect = dialect
         self.at = 0
 
     def add(self, kind: str, end: int, gap: str = "") -> None:
@@ -59,7 +73,9 @@ class _Scanner:
         s, gap, stack = self.source, "", []
         while self.at < len(s):
             at, last = self.at, self.out[-1].text if self.out else ";"
-            if s[at] == "`":
+            if self.dialect and self.foreign(gap):
+                pass
+            elif s[at] == "`":
                 self.add("tpl", _template(s, at), gap)
             elif m := _RAW.match(s, at):
                 self.add("str", m.end(), gap)
@@ -76,6 +92,8 @@ class _Scanner:
                 if not m:
                     raise Unreadable(f"character {at} begins no token")
                 if m.lastgroup == "gap":
+                    if self.dialect in ("kt", "swift") and any(c.startswith("/*") and "/*" in c[2:] for c in _BLOCK.findall(m[0])):
+                        raise Unreadable("comments within comments")
                     gap += m[0]
                     self.at = m.end()
                     continue
@@ -92,6 +110,27 @@ class _Scanner:
             raise Unreadable(f"{(stack or ['{'])[-1]} does not close")
         return gap
 
+    def foreign(self, gap: str) -> bool:
+        """Read a token that only this dialect has, if one begins here."""
+        s, at = self.source, self.at
+        if s[at] == "`":
+            end = s.find("`", at + 1)
+            if end < 0:
+                raise Unreadable("a quote does not end")
+            self.add("str" if self.dialect == "go" else "id", end + 1, gap)
+        elif s[at] == '"' and self.dialect != "go":
+            end, holes = _quoted(s, at, self.dialect)
+            self.add("tpl" if holes else "str", end, gap)
+        elif s[at] == "#" and self.dialect == "swift" and (m := _HASHED.match(s, at)):
+            self.add("tpl" if "(" in m[0] else "str", m.end(), gap)
+        elif s[at] == "'" and (m := _RUNE.match(s, at)):
+            self.add("str", m.end(), gap)
+        elif self.dialect != "go" and (m := _ARROWS.match(s, at)) and (m[0] == "->" or self.dialect == "kt"):
+            self.add("sign", m.end(), gap)
+        else:
+            return False
+        return True
+
     def braces(self, gap: str = "") -> None:
         """A hole of markup: braces around code."""
         self.add("sign", self.at + 1, gap)
@@ -144,9 +183,9 @@ class _Scanner:
         raise Unreadable("an element does not end")
 
 
-def scan(source: str, jsx: bool = False) -> tuple[list[Token], str]:
+def scan(source: str, jsx: bool = False, language: str = "") -> tuple[Tokens, str]:
     """Tokens, each with the text before it, and the text after the last. jsx: expressions may hold markup."""
-    scanner = _Scanner(source, jsx)
+    scanner = _Scanner(source, jsx, language if language in DIALECTS else "")
     tail = scanner.code()
     return scanner.out, tail
 
@@ -174,6 +213,36 @@ def _holed(source: str, at: int, verbatim: bool) -> int:
     raise Unreadable("an interpolated string does not end")
 
 
+def _quoted(source: str, at: int, dialect: str) -> tuple[int, bool]:
+    """The place after a string of Kotlin or Swift that starts at `at`, and whether it has holes, in which quotes may stand."""
+    quote = '"""' if source.startswith('"""', at) else '"'
+    raw, hole = dialect == "kt" and len(quote) == 3, "${" if dialect == "kt" else "\\("
+    close, holes, i = {"${": "}", "\\(": ")"}[hole], False, at + len(quote)
+    while i < len(source):
+        if source.startswith(quote, i):
+            i += len(quote)
+            while len(quote) == 3 and source.startswith('"', i):
+                i += 1
+            return i, holes
+        if source.startswith(hole, i):
+            depth, holes, i = 1, True, i + 2
+            while i < len(source) and depth:
+                if source[i] == '"':
+                    i = _quoted(source, i, dialect)[0]
+                    continue
+                depth += (source[i] == hole[1]) - (source[i] == close)
+                i += 1
+        elif source[i] == "\\" and not raw:
+            i += 2
+        elif source[i] == "\n" and len(quote) == 1:
+            break
+        else:
+            holes |= dialect == "kt" and source[i] == "$"
+            i += 1
+    raise Unreadable("a string does not end")
+
+
+_BLOCK = re.compile(r"//[^\n]*|/\*.*?\*/", re.S)
 _QUOTED = re.compile(r"""\"(?:\\.|[^"\\\n])*\"|'(?:\\.|[^'\\\n])*'""")
 
 

@@ -45,7 +45,7 @@ def folded(rows: DataFrame, accessors: Sequence[Accessor]) -> DataFrame:
                         done = one.fold(r.before, r.code_key, bool(r.treatment), reads, r.language)
                         after, n, findings = done.after, done.reads, done.findings
                         if n:
-                            after = comments.tidy(after, r.code_key, r.language in one.MARKUP)
+                            after = comments.tidy(after, r.code_key, r.language in one.MARKUP, r.language)
                             reason = one.refusal(r.before, after, r.language)
                     elif r.language == "python":
                         done = python_fold.fold(r.before, r.code_key, bool(r.treatment), reads)
@@ -71,7 +71,7 @@ def run(rows: DataFrame, files: DataFrame, accessors: Sequence[Accessor], ignore
     left = kept.select("flag", "path", F.when(F.col("reads") > 0, F.col("after")).otherwise(F.col("before")).alias("content"))
     left = left.join(decided.select(F.col("key").alias("flag"), "code_key"), "flag")
     named = F.regexp_like("content", F.concat(F.lit(f"(?<![{tokens.KEY}])\\Q"), F.col("code_key"), F.lit(f"\\E(?![{tokens.KEY}])")))
-    still = left.where(named).withColumn("quiet", F.when(checkout.language(F.col("path")).isin(*one.FOLDED), comments.comment_only(F.col("content"), F.col("code_key"))))
+    still = left.where(named).withColumn("quiet", F.when(checkout.language(F.col("path")).isin(*one.FOLDED), comments.comment_only(F.col("content"), F.col("code_key"), checkout.language(F.col("path")))))
     unprocessed = still.where(~F.coalesce("quiet", F.lit(False))).groupBy("flag").agg(F.array_sort(F.collect_set("path")).alias("unprocessed_files"))
     lines = still.where("quiet").select("flag", "path", "code_key", F.posexplode(F.split("content", "\n", -1)).alias("at", "text")).where(F.contains("text", "code_key"))
     kept_comments = lines.groupBy("flag").agg(F.array_sort(F.collect_set(F.struct("path", (F.col("at") + 1).alias("line"), F.trim("text").alias("text")))).alias("kept_comments"))

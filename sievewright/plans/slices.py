@@ -666,3 +666,31 @@ def fold_shapes(read):
     chosen = F.element_at(F.array(*(F.lit(x[0]) for x in SHAPES)), (F.col("o_orderkey") % len(SHAPES) + 1).cast("int"))
     rows = read("orders").select(F.lit("k").alias("flag"), F.lit("k").alias("code_key"), (F.col("o_orderstatus") == "F").alias("treatment"), F.col("o_orderkey").cast("string").alias("path"), F.lit("ts").alias("language"), F.replace(chosen, F.lit("#"), F.col("o_custkey").cast("string")).alias("before"))
     return remove.folded(rows, [Accessor("isEnabled")]).select(F.col("path").cast("long").alias("o_orderkey"), "after")
+
+
+#: The same for languages whose statements end with lines: language, shape, and what is left; / stands for a line's end.
+DIALECT_SHAPES = (
+    ("go", "func f() int {/if isEnabled('k') && y(#) {/return 1/}/return 2/}", "func f() int {/if y(#) {/return 1/}/return 2/}", "func f() int {/return 2/}"),
+    ("go", "func f() {/on := isEnabled('k')/g(on, #)/}", "func f() {/g(true, #)/}", "func f() {/g(false, #)/}"),
+    ("go", "func f() {/if x(#) {/a()/} else if isEnabled('k') {/b()/} else {/c()/}/}", "func f() {/if x(#) {/a()/} else {/b()/}/}", "func f() {/if x(#) {/a()/} else {/c()/}/}"),
+    ("kt", "val s = if (isEnabled('k')) # else g(#)", "val s = #", "val s = g(#)"),
+    ("kt", "fun f() {/val on = flags.isEnabled('k')/if (!on) {/a(#)/}/b()/}", "fun f() {/b()/}", "fun f() {/a(#)/b()/}"),
+    ("kt", "fun f() = g(isEnabled('k') ?: x, client?.isEnabled('k') ?: #)", "fun f() = g(true, client?.isEnabled('k') ?: #)", "fun f() = g(false, client?.isEnabled('k') ?: #)"),
+    ("swift", "func f() -> Int {/guard isEnabled('k') else {/return #/}/return 2/}", "func f() -> Int {/return 2/}", "func f() -> Int {/return #/}"),
+    ("swift", "if isEnabled('k'), y(#) {/a()/} else {/b()/}", "if y(#) {/a()/} else {/b()/}", "b()"),
+    ("swift", "let x = try flags.isEnabled('k') ? # : b", "let x = #", "let x = b"),
+)
+
+
+def _dialect_case(column: int) -> str:
+    return "CASE o_orderkey % " + str(len(DIALECT_SHAPES)) + "".join(f" WHEN {k} THEN '" + x[column].replace("'", "''") + "'" for k, x in enumerate(DIALECT_SHAPES)) + " END"
+
+
+@slice_of(f"SELECT o_orderkey, replace(replace(replace(CASE WHEN o_orderstatus = 'F' THEN {_dialect_case(2)} ELSE {_dialect_case(3)} END, '#', CAST(o_custkey AS VARCHAR)), '/', chr(10)), chr(39), chr(34)) AS after FROM orders")
+def fold_dialects(read):
+    """Every order as a file of Go, Kotlin or Swift, folded to what it served."""
+    at = (F.col("o_orderkey") % len(DIALECT_SHAPES) + 1).cast("int")
+    languages, shapes = (F.element_at(F.array(*(F.lit(x[k]) for x in DIALECT_SHAPES)), at) for k in (0, 1))
+    before = F.translate(F.replace(shapes, F.lit("#"), F.col("o_custkey").cast("string")), "/'", '\n"')
+    rows = read("orders").select(F.lit("k").alias("flag"), F.lit("k").alias("code_key"), (F.col("o_orderstatus") == "F").alias("treatment"), F.col("o_orderkey").cast("string").alias("path"), languages.alias("language"), before.alias("before"))
+    return remove.folded(rows, [Accessor("isEnabled")]).select(F.col("path").cast("long").alias("o_orderkey"), "after")
