@@ -16,9 +16,9 @@ from ..functions import comments, tokens
 from ..functions.scanner import Unreadable
 from ..operators import agreement, candidates, mentions, report
 from ..sources import checkout
-from ..sources.config import Accessor
+from ..sources.config import Accessor, Gate
 from . import fold as one
-from . import python_fold
+from . import python_fold, wrappers
 
 _FOLDED = "flag string, path string, before string, after string, reads int, reason string, findings array<struct<line:int,kind:string,reason:string>>"
 
@@ -31,9 +31,27 @@ def pairs(open_candidates: DataFrame, files: DataFrame) -> DataFrame:
     return met.select("flag", F.col("name").alias("code_key"), "treatment", "path", checkout.language(F.col("path")).alias("language"), "before")
 
 
-def folded(rows: DataFrame, accessors: Sequence[Accessor]) -> DataFrame:
-    """The fold of each pair: after (before where nothing changed), reads, reason (why it is refused) and findings."""
-    reads = list(accessors)
+def _one(source: str, key: str, value: bool, language: str, reads: list[Accessor], gates: list[Gate], inert: list[str]) -> tuple[str, int, str | None, list]:
+    """after, reads, reason and findings of one file in a language with braces."""
+    after, unwrapped, lost = source, 0, []
+    if gates and language in one.MARKUP:
+        after, unwrapped = wrappers.unwrap_gates(source, key, value, gates)
+    done = one.fold(after, key, value, reads, language)
+    after, n = done.after, done.reads + unwrapped
+    if not n:
+        return source, 0, None, done.findings
+    if inert:
+        after, lost = wrappers.without_calls(after, inert, language, before=source)
+    after = comments.tidy(after, key, language in one.MARKUP, language)
+    return after, n, one.refusal(source, after, language), [*done.findings, *((None, "call-removed", x) for x in lost)]
+
+
+def folded(rows: DataFrame, accessors: Sequence[Accessor], gates: Sequence[Gate] = (), inert: Sequence[str] = ()) -> DataFrame:
+    """The fold of each pair: after (before where nothing changed), reads (gates among them), reason (why it is refused) and findings.
+
+    gates: components of markup that show their children by a flag. inert: functions without effects, whose calls go where the fold made them constant.
+    """
+    reads, shown, idle = list(accessors), list(gates), list(inert)
 
     def run(parts):
         for part in parts:
@@ -42,11 +60,7 @@ def folded(rows: DataFrame, accessors: Sequence[Accessor]) -> DataFrame:
                 after, n, reason, findings = r.before, 0, None, []
                 try:
                     if r.language in one.FOLDED:
-                        done = one.fold(r.before, r.code_key, bool(r.treatment), reads, r.language)
-                        after, n, findings = done.after, done.reads, done.findings
-                        if n:
-                            after = comments.tidy(after, r.code_key, r.language in one.MARKUP, r.language)
-                            reason = one.refusal(r.before, after, r.language)
+                        after, n, reason, findings = _one(r.before, r.code_key, bool(r.treatment), r.language, reads, shown, idle)
                     elif r.language == "python":
                         done = python_fold.fold(r.before, r.code_key, bool(r.treatment), reads)
                         after, n = done.after, done.reads
@@ -60,11 +74,11 @@ def folded(rows: DataFrame, accessors: Sequence[Accessor]) -> DataFrame:
     return rows.mapInPandas(run, _FOLDED)
 
 
-def run(rows: DataFrame, files: DataFrame, accessors: Sequence[Accessor], ignore: Sequence[str] = (), allow: Sequence[str] = (), aliases: dict[str, str] | None = None, known: DataFrame | None = None, handled: DataFrame | None = None, max_prs: int = 0) -> dict[str, DataFrame]:
+def run(rows: DataFrame, files: DataFrame, accessors: Sequence[Accessor], ignore: Sequence[str] = (), allow: Sequence[str] = (), aliases: dict[str, str] | None = None, known: DataFrame | None = None, handled: DataFrame | None = None, max_prs: int = 0, gates: Sequence[Gate] = (), inert: Sequence[str] = ()) -> dict[str, DataFrame]:
     """A dry run over candidates and files (path, content as text): tables results, rewrites and findings."""
     decided = candidates.decide(rows, list(ignore), list(allow), aliases, known, handled)
     met = pairs(decided.where("action is null"), files)
-    done = folded(met, accessors).persist()
+    done = folded(met, accessors, gates, inert).persist()
     kept = agreement.all_or_nothing(done)
     rewrites = kept.where("after != before and reads > 0").select("flag", "path", "before", "after")
     # A file that still names the flag outside comments, or that can't be judged, is reported.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scanner import Token, Unreadable, closing, content, scan, text
 from ..sources.config import Accessor, Gate
+from .fold import MARKUP, _alone, _ends_line
 
 
 def discover(source: str, key: str, accessors: list[Accessor]) -> list[tuple[str, bool]]:
@@ -78,28 +80,45 @@ def unwrap_gates(source: str, key: str, value: bool, gates: list[Gate]) -> tuple
                 continue
             inner = source[m.end() : end.start()] if value else ""
             several = len(re.findall(r"(?s)^\s*<|\}\s*<|>\s*\{|/>\s*<|</\w+>\s*<", inner.strip())) > 1
-            if inner and (several or not inner.strip().startswith("<")):
+            ahead = source[: m.start()].rstrip()
+            if not inner.strip() and (ahead.endswith("=>") or re.search(r"(?:[(=?:,\[]|&&|\|\||\breturn)$", ahead)):
+                inner = "null"
+            elif inner and (several or not inner.strip().startswith("<")):
                 inner = f"<>{inner}</>"
             source = source[: m.start()] + inner.strip() + source[end.end() :]
             done += 1
     return source, done
 
 
-def without_calls(source: str, names: list[str]) -> tuple[str, list[str]]:
-    """A source without statements that only call functions declared to have no effects, and the names whose calls went."""
-    tokens, tail = scan(source)
-    gone, i = [], 0
-    while i + 2 < len(tokens):
-        starts = not i or tokens[i - 1].text in (";", "{", "}")
-        if starts and tokens[i].text in names and tokens[i + 1].text == "(":
-            end = closing(tokens, i + 1)
-            inner: list[Token] = tokens[i + 2 : end]
-            if end + 1 < len(tokens) and tokens[end + 1].text == ";" and not any(t.text in ("(", "++", "--", "=", "await", "yield") for t in inner):
-                gone.append(tokens[i].text)
-                del tokens[i : end + 2]
-                continue
-        i += 1
-    return text(tokens, tail), gone
+def _calls(tokens: list[Token], names: list[str]) -> list[tuple[int, int]]:
+    """Stretches of the statements that only call one of the names, with arguments that have no effects."""
+    out = []
+    for i in range(len(tokens) - 2):
+        if tokens[i].text not in names or tokens[i + 1].text != "(" or not (not i or tokens[i - 1].text in (";", "{", "}") or _ends_line(tokens, i)) or _alone(tokens, i):
+            continue
+        end = closing(tokens, i + 1)
+        ended = end + 1 < len(tokens) and tokens[end + 1].text == ";"
+        alone = ended or end + 1 == len(tokens) or tokens[end + 1].text == "}" or _ends_line(tokens, end + 1)
+        if alone and not any(t.text in ("(", "++", "--", "=", "await", "yield") for t in tokens[i + 2 : end]):
+            out.append((i, end + 1 + ended))
+    return out
+
+
+def without_calls(source: str, names: list[str], language: str = "", before: str | None = None) -> tuple[str, list[str]]:
+    """A source without statements that only call functions declared to have no effects, and the names whose calls went. before: calls that this text has too stay."""
+    tokens, tail = scan(source, language in MARKUP, language)
+    plain = lambda ts, a, b: " ".join(t.text for t in ts[a:b])
+    kept = Counter()
+    if before is not None:
+        old, _ = scan(before, language in MARKUP, language)
+        kept.update(plain(old, a, b) for a, b in _calls(old, names))
+    gone = []
+    for a, b in reversed(_calls(tokens, names)):
+        if kept[plain(tokens, a, b)]:
+            continue
+        gone.append(tokens[a].text)
+        del tokens[a:b]
+    return text(tokens, tail), gone[::-1]
 
 
 def comments_at_calls(calls: DataFrame, comments: DataFrame, near: int = 2) -> DataFrame:

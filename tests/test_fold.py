@@ -169,3 +169,18 @@ def test_sinks(spark, tmp_path):
     sent = []
     r = sinks.Reporter(lambda k, u: sent.append(k) or ("forbidden" if k == "b" else "linked"))
     assert [r.report("a", "u"), r.report("x", None), r.report("b", "u"), r.report("c", "u")] == ["linked", "nothing", "forbidden", "stopped"]
+
+
+def test_a_run_with_gates_and_calls_without_effects(spark):
+    from sievewright.sources.config import Gate
+
+    c = spark.createDataFrame([("k", "r", True, "Dead", [], 0), ("z", "r", False, "Dead", [], 1)], model.CANDIDATES)
+    files = spark.createDataFrame(
+        [("a.tsx", 'const A = () => <p><Gate flag="k"><b>x</b></Gate></p>;\n'), ("b.tsx", 'const B = () => <Gate flag="z"><i>y</i></Gate>;\n'), ("c.ts", 'track("old");\nif (isEnabled("k")) {\n  a();\n}\nlog(isEnabled("k"));\nif (q)\n  log(isEnabled("k"));\n')],
+        "path string, content string",
+    )
+    out = remove.run(c, files, READS, gates=[Gate("Gate", "flag")], inert=["log", "track"])
+    got = {r.path: r.after for r in out["rewrites"].collect()}
+    assert got["a.tsx"] == "const A = () => <p><b>x</b></p>;\n" and got["b.tsx"] == "const B = () => null;\n"
+    assert got["c.ts"] == 'track("old");\na();\nif (q)\n  log(true);\n'
+    assert [(r.path, r.kind, r.reason) for r in out["findings"].collect()] == [("c.ts", "call-removed", "log")]

@@ -175,3 +175,42 @@ def test_report(spark):
     f = spark.createDataFrame([("k", "p", 3, "kept", "why", None)], model.FINDINGS)
     body = report.bodies(spark.createDataFrame([("k", True)], "key string, treatment boolean"), f).first().body
     assert "### kept" in body and "- `p:3` why" in body
+
+
+def test_holds_of_requests(spark):
+    from sievewright.operators import requests
+
+    t = lambda n: datetime(2024, 1, n)
+    pulls = spark.createDataFrame(
+        [(1, "a", False, ["x", "y"], True), (2, "b", True, ["x"], True), (3, "c", True, [], True), (4, "d", True, [], True), (5, "e", False, ["x"], True), (6, "f", False, ["x"], False), (7, "g", None, None, None), (8, "h", True, ["x"], True)],
+        "pull long, key string, draft boolean, blocked_by array<string>, comments_read boolean",
+    )
+    said = spark.createDataFrame(
+        [(3, "bot", True, t(1), "<!-- flag-hold draft=false -->"), (4, "bot", True, t(1), "<!-- flag-hold draft=true -->"), (5, "bot", True, t(1), "<!-- flag-hold draft=false -->"), (8, "bot", True, t(1), "<!-- flag-hold draft=false -->"), (8, "bot", True, t(2), archive.RELEASE_MARKER)],
+        model.COMMENTS,
+    )
+    actions = requests.hold_actions(pulls, said)
+    got = {r.pull: (r.action, r.set_draft) for r in actions.collect()}
+    assert got == {1: ("hold", True), 2: ("hold", None), 3: ("release", False), 4: ("release", None), 5: ("ready-by-hand", None), 6: ("unread", None), 8: ("hold", None)}
+    bodies = {r.pull: r.body for r in actions.collect()}
+    assert "`x`, `y`" in bodies[1] and bodies[5] is None
+    written = spark.createDataFrame([(p, "bot", True, t(3), b) for p, b in bodies.items() if b], model.COMMENTS)
+    assert rows(archive.active_holds(written)) == [(1, False), (2, True), (8, True)]
+    log = []
+    done = requests.apply_holds(actions, lambda p, d: log.append((p, d)) or p != 3, lambda p, b: p != 1)
+    assert done == [(1, "no-comment"), (2, "hold"), (3, "refused"), (4, "release"), (8, "hold")] and log == [(1, True), (1, False), (3, False)]
+    assert requests.hold_actions(pulls.limit(0), said).count() == 0
+
+
+def test_commands_on_requests(spark):
+    from sievewright.functions import keys
+    from sievewright.operators import requests
+
+    pulls = spark.createDataFrame([(1, "a"), (2, "b/c")], "pull long, key string").select("pull", keys.removal_branch(F.col("key")).alias("branch")).union(spark.createDataFrame([(3, "main")], "pull long, branch string"))
+    said = spark.createDataFrame(
+        [(1, 1, "write", f"{archive.COMMAND_PREFIX} rerun"), (2, 2, "admin", f"{archive.COMMAND_PREFIX} Recreate"), (3, 1, "read", f"{archive.COMMAND_PREFIX} rerun"), (4, 1, None, f"{archive.COMMAND_PREFIX} rerun"), (5, 1, "write", "thanks"), (6, 3, "write", f"{archive.COMMAND_PREFIX} rerun"), (7, 9, "write", None)],
+        "comment_id long, pull long, permission string, body string",
+    )
+    found = requests.commanded(said, pulls)
+    assert [(r.comment_id, r.action) for r in found.orderBy("comment_id").collect()] == [(1, "rerun"), (2, "recreate"), (3, "not-permitted"), (4, "not-permitted"), (5, "not-a-command"), (6, "not-a-removal"), (7, "not-a-pull-request")]
+    assert rows(requests.asked(spark.createDataFrame([("a",), ("b/c",), ("z",)], "key string"), found)) == [("a",), ("b/c",)]
