@@ -17,6 +17,9 @@ CASES = [
     ("go", 'func f() {\n\tfor isEnabled("k") {\n\t\tx(`\\`, \'\\\'\')\n\t}\n}\n', "func f() {\n\tfor {\n\t\tx(`\\`, '\\'')\n\t}\n}\n", "func f() {\n}\n"),
     ("go", 'func f() {\n\tv := isEnabled("k") && eq(x, T{A: 1})\n\tg(v)\n}\n', "func f() {\n\tv := eq(x, T{A: 1})\n\tg(v)\n}\n", "func f() {\n\tg(false)\n}\n"),
     ("go", 'func f() {\n\tif isEnabled("k") {\n\t\tx := 1\n\t\tg(x)\n\t}\n\tx := 2\n\tg(x)\n}\n', "func f() {\n\t{\n\t\tx := 1\n\t\tg(x)\n\t}\n\tx := 2\n\tg(x)\n}\n", "func f() {\n\tx := 2\n\tg(x)\n}\n"),
+    ("go", 'func f() {\n\tif on := c.IsOn("k"); on && x {\n\t\ta(on)\n\t} else {\n\t\tb()\n\t}\n}\n', "func f() {\n\tif x {\n\t\ta(true)\n\t} else {\n\t\tb()\n\t}\n}\n", "func f() {\n\tb()\n}\n"),
+    ("go", 'func f() {\n\tif on := IsOn("k"); x {\n\t\ton = y\n\t\ta(on)\n\t}\n}\n', "func f() {\n\tif on := true; x {\n\t\ton = y\n\t\ta(on)\n\t}\n}\n", None),
+    ("kt", 'val r = q.let { if (isEnabled("k")) a() else b() }\n', "val r = q.let { a() }\n", "val r = q.let { b() }\n"),
     ("kt", 'fun f(): Int {\n    val on = flags.isEnabled("k")\n    if (on) {\n        return 1\n    }\n    return 2\n}\n', "fun f(): Int {\n    return 1\n}\n", "fun f(): Int {\n    return 2\n}\n"),
     ("kt", 'val s = if (isEnabled("k")) "a ${g("x")}" else "b"\nfun g() = if (isEnabled("k")) { 1 } else 2\n', 'val s = "a ${g("x")}"\nfun g() = 1\n', 'val s = "b"\nfun g() = 2\n'),
     ("kt", 'class A {\n    val on = isEnabled("k")\n    fun x() = f(c?.isEnabled("k") ?: false, isEnabled("k") ?: true)\n}\n', 'class A {\n    val on = true\n    fun x() = f(c?.isEnabled("k") ?: false, true)\n}\n', None),
