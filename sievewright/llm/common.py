@@ -50,19 +50,24 @@ def _delete(sc, path: str) -> None:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def kept_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which goes when this process ends."""
+    sc = spark.sparkContext
+    path = f"{shared_dir(spark).rstrip('/')}/sievewright-{sc.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_delete, sc, path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it again, which cuts its lineage and survives lost executors. Shuffle files of the write go when it has ended."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    top = f"{shared_dir(spark).rstrip('/')}/sievewright-{sc.applicationId}"
-    path = f"{top}/{name}-{uuid.uuid4().hex[:12]}"
+    path = kept_path(spark, name)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    atexit.register(_delete, sc, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sw_path = path
     return out

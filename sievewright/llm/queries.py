@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, lang_id, license_scan, lm_score, near_dedup, passage_dedup, wavelet
+from . import align, ann, bpe, centroids, chat, decontaminate, lang_id, license_scan, lm_score, near_dedup, passage_dedup, warc, wavelet
 from .common import read, stored
 
 
@@ -73,13 +73,58 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(read(spark, sf_dir, "embeddings"), 20, F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_passage_dedup, op3_decontaminate, op4_wavelet_tokens, op5_lm_score, op6_byte_bpe, op7_language_id, page_language, op8_chat_format, op9_license_scan, op10_nearest)}
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, looked up in the capture index and read back by ranges."""
+    return warc.report(read(spark, sf_dir, "pages"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in all documents, links scored by how many documents hold them."""
+    return align.score(read(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors after three rounds from 16 of them."""
+    return centroids.report(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_passage_dedup, op3_decontaminate, op4_wavelet_tokens, op5_lm_score, op6_byte_bpe, op7_language_id, page_language, op8_chat_format, op9_license_scan, op10_nearest, op11_warc, op12_token_alignment, op13_centroids)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _ESCAPED = "replace(replace(coalesce({0}, ''), '\\', '\\\\'), '<|', '<\\|')".replace("\\\\", "\\")
 
+#: Five hexadecimal digits are four letters of base32.
+_BASE32 = "array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(x, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1, 1) for i in range(0, 32)], '')"
+
+
+def _rounds(n: int) -> str:
+    """CTEs c1 ... cn: centroids after each round, from c0 and the vectors v."""
+    out = []
+    for k in range(n):
+        out.append(f"""
+a{k} AS (SELECT r, min(16 * {_DISTANCE} + c.c) AS m FROM v, c{k} c GROUP BY r),
+s{k} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT m % 16 AS c, unnest(range(1, 65)) AS i, unnest(q) AS x FROM v JOIN a{k} USING (r)) GROUP BY c, i),
+n{k} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS q FROM s{k} GROUP BY c),
+c{k + 1} AS (SELECT c.c, coalesce(n.q, c.q) AS q FROM c{k} c LEFT JOIN n{k} n ON n.c = c.c),""")
+    return "".join(out)
+
+
+_DISTANCE = "CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(v.q, c.q)]) AS BIGINT)"
+
 ORACLE: dict[str, str] = {
+    "op11_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM p JOIN f USING (h)""",
+    "op13_centroids": f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS q FROM embeddings
+  WHERE len(embedding) = 64 AND list_bool_and([x IS NOT NULL AND isfinite(x) for x in embedding])),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS c, q FROM v ORDER BY sha256('1:' || vec_id), q LIMIT 16),{_rounds(3)}
+last AS (SELECT r, min(16 * {_DISTANCE} + c.c) AS m FROM v, c3 c GROUP BY r),
+d AS (SELECT vec_id, m % 16 AS c, m // 16 AS distance FROM v JOIN last USING (r))
+SELECT vec_id, CAST(c AS INT) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c3.q, ',')) AS centroid_sha256 FROM d JOIN c3 USING (c)""",
     "op3_decontaminate": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
