@@ -50,9 +50,10 @@ _SPACE = re.compile(r"(?:\s+|//[^\n]*|/\*.*?\*/)*", re.S)
 
 
 class Tokens(list):
-    """Tokens of a source, and the dialect they were read in ("" for languages with semicolons)."""
+    """Tokens of a source, the dialect they were read in ("" for languages with semicolons), and the language, where it is told."""
 
     dialect = ""
+    language = ""
 
 
 class _Scanner:
@@ -271,6 +272,33 @@ def _template(source: str, at: int) -> int:
     raise Unreadable("a template does not end")
 
 
+def holes(literal: str, language: str) -> list[tuple[int, int]]:
+    """Stretches of code in a string literal with holes."""
+    mark = {"kt": "${", "swift": "\\(", "csharp": "{"}.get(language, "${")
+    close, out, i = ")" if mark[-1] == "(" else "}", [], literal.find(literal[-1]) + 1
+    while i < len(literal):
+        if language == "csharp" and literal.startswith(("{{", "}}"), i):
+            i += 2
+        elif literal.startswith(mark, i):
+            start = i = i + len(mark)
+            depth = 1
+            while i < len(literal):
+                if literal[i] == "`" and language not in ("kt", "swift", "csharp"):
+                    i = _template(literal, i)
+                    continue
+                if m := _QUOTED.match(literal, i):
+                    i = m.end()
+                    continue
+                depth += (literal[i] == mark[-1]) - (literal[i] == close)
+                if not depth:
+                    break
+                i += 1
+            out.append((start, i))
+        else:
+            i += 2 if literal[i] == "\\" else 1
+    return out
+
+
 def text(tokens: list[Token], tail: str) -> str:
     return "".join(t.gap + t.text for t in tokens) + tail
 

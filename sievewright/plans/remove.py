@@ -6,6 +6,7 @@ A flag any of whose files is refused loses all of its rewrites.
 
 from __future__ import annotations
 
+import ast
 from collections.abc import Sequence
 
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import comments, tokens
-from ..functions.scanner import Unreadable
+from ..functions.scanner import Unreadable, scan
 from ..operators import agreement, candidates, mentions, report
 from ..sources import checkout
 from ..sources.config import Accessor, Gate
@@ -46,6 +47,15 @@ def _one(source: str, key: str, value: bool, language: str, reads: list[Accessor
     return after, n, one.refusal(source, after, language), [*done.findings, *((None, "call-removed", x) for x in lost)]
 
 
+def _readable(source: str, language: str) -> bool:
+    """Whether a source scans, or parses, itself: then what doesn't is a rewrite of it."""
+    try:
+        ast.parse(source) if language == "python" else scan(source, language in one.MARKUP, language)
+    except (Unreadable, SyntaxError):
+        return False
+    return True
+
+
 def folded(rows: DataFrame, accessors: Sequence[Accessor], gates: Sequence[Gate] = (), inert: Sequence[str] = ()) -> DataFrame:
     """The fold of each pair: after (before where nothing changed), reads (gates among them), reason (why it is refused) and findings.
 
@@ -64,8 +74,11 @@ def folded(rows: DataFrame, accessors: Sequence[Accessor], gates: Sequence[Gate]
                     elif r.language == "python":
                         done = python_fold.fold(r.before, r.code_key, bool(r.treatment), reads)
                         after, n = done.after, done.reads
-                except (Unreadable, SyntaxError):
-                    findings = [(None, "unreadable", "the file was left: it does not scan")]
+                except (Unreadable, SyntaxError) as e:
+                    if _readable(r.before, r.language):
+                        after, reason = r.before, f"the rewrite does not scan: {e}"
+                    else:
+                        findings = [(None, "unreadable", "the file was left: it does not scan")]
                 except (one.Refused, RecursionError) as e:
                     after, reason = r.before, str(e) or "nested too deep"
                 out.append((r.flag, r.path, r.before, after, n, reason, [{"line": a, "kind": b, "reason": c} for a, b, c in findings]))

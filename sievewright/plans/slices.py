@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, text, tokens
 from ..model import CANDIDATES
-from ..operators import agreement, archive, candidates, mentions, passages, relational, report, resolve
+from ..operators import agreement, archive, candidates, mentions, passages, relational, report, resolve, syntax
 from ..sources import events
 from ..sources.config import Accessor
 from ..streaming import archive as streamed
@@ -694,3 +694,80 @@ def fold_dialects(read):
     before = F.translate(F.replace(shapes, F.lit("#"), F.col("o_custkey").cast("string")), "/'", '\n"')
     rows = read("orders").select(F.lit("k").alias("flag"), F.lit("k").alias("code_key"), (F.col("o_orderstatus") == "F").alias("treatment"), F.col("o_orderkey").cast("string").alias("path"), languages.alias("language"), before.alias("before"))
     return remove.folded(rows, [Accessor("isEnabled")]).select(F.col("path").cast("long").alias("o_orderkey"), "after")
+
+
+#: Conditionals, blocks and loops: language, shape, and what is left where the flag served true and false (null: refused, so the file stays); ~ stands for a line's end.
+CONDITIONALS = (
+    *((x, f'{head}x = isEnabled("k") ? a(#) : b ? c : d;', f"{head}x = a(#);", f"{head}x = b ? c : d;") for x, head in (("ts", "const "), ("js", "const "), ("java", "int "), ("csharp", "var "), ("dart", "final "))),
+    ("swift", 'let x = isEnabled("k") ? a(#) : b ? c : d~', "let x = a(#)~", "let x = b ? c : d~"),
+    ("tsx", 'const p = <p>{isEnabled("k") ? a(#) : b ? c : d}</p>;', "const p = <p>{a(#)}</p>;", "const p = <p>{b ? c : d}</p>;"),
+    ("ts", 'f(q ? isEnabled("k") ? a : b ? c : d : #);', "f(q ? a : #);", "f(q ? b ? c : d : #);"),
+    ("ts", 'const f = () => isEnabled("k") ? { a: # } : null;', "const f = () => ({ a: # });", "const f = () => null;"),
+    ("ts", 'const f = () => isEnabled("k") && { a: # };', "const f = () => ({ a: # });", "const f = () => false;"),
+    ("ts", 'label: if (isEnabled("k")) { break label; } x(#);', "label: { break label; } x(#);", "label: {} x(#);"),
+    ("ts", 'let x~if (isEnabled("k")) { x = # }~(function () {})()', "let x~x = #;~(function () {})()", "let x;~(function () {})()"),
+    ("java", 'int f() { while (!isEnabled("k")) { a(#); } return 1; }', "int f() { return 1; }", "int f() { while (true) { a(#); } }"),
+    ("java", 'int f() { while (isEnabled("k")) { for (;;) { break; } a(#); } return 1; }', "int f() { while (true) { for (;;) { break; } a(#); } }", "int f() { return 1; }"),
+    ("csharp", 'int f() { while (isEnabled("k")) { if (q) break; a(#); } return 1; }', "int f() { while (true) { if (q) break; a(#); } return 1; }", "int f() { return 1; }"),
+    ("csharp", 'var x = isEnabled("k") ? null : y(#);', None, "var x = y(#);"),
+    ("dart", 'final a = [if (isEnabled("k")) a(#), b];', "final a = [a(#), b];", "final a = [b];"),
+    ("dart", 'final a = [c, if (isEnabled("k")) a else d(#)];', "final a = [c, a];", "final a = [c, d(#)];"),
+    ("python", 'def f():~    if isEnabled("k"):~        x = #~    else:~        yield 2~', None, "def f():~    yield 2~"),
+    ("python", 'def f():~    if not isEnabled("k"):~        global G~    G = #~', None, "def f():~    global G~    G = #~"),
+    ("python", 'if isEnabled("k"): pass~else: a(#)~', "pass~", "a(#)~"),
+    ("python", 'x = [a for a in b(#) if isEnabled("k")]~', "x = [a for a in b(#)]~", "x = [a for a in b(#) if False]~"),
+    ("ts", 'const s = `x${isEnabled("k") ? # : 2}y`;', "const s = `x${#}y`;", "const s = `x${2}y`;"),
+    ("csharp", 'var s = $"a{f(isEnabled("k"), #)}b{{c}}";', 'var s = $"a{f(true, #)}b{{c}}";', 'var s = $"a{f(false, #)}b{{c}}";'),
+    ("kt", 'val s = "a${if (isEnabled("k")) # else 2}b"~', 'val s = "a${#}b"~', 'val s = "a${2}b"~'),
+)
+
+
+def _shape_case(rows: tuple, column: int, at: str = "o_orderkey") -> str:
+    said = lambda x: "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
+    return f"CASE {at} % {len(rows)}" + "".join(f" WHEN {k} THEN {said(x[column])}" for k, x in enumerate(rows)) + " END"
+
+
+def _shape(rows: tuple, column: int, at: str = "o_orderkey"):
+    return F.element_at(F.array(*(F.lit(x[column]) for x in rows)), (F.col(at) % len(rows) + 1).cast("int"))
+
+
+@slice_of(f"""SELECT o_orderkey, replace(replace(coalesce(CASE WHEN o_orderstatus = 'F' THEN {_shape_case(CONDITIONALS, 2)} ELSE {_shape_case(CONDITIONALS, 3)} END, {_shape_case(CONDITIONALS, 1)}), '#', CAST(o_custkey AS VARCHAR)), '~', chr(10)) AS after,
+o_orderstatus = 'F' AND {_shape_case(CONDITIONALS, 2)} IS NULL AS refused FROM orders""")
+def fold_conditionals(read):
+    """Every order as a file with a conditional, a block or a loop around a read, in nine languages, folded or refused."""
+    before = F.translate(F.replace(_shape(CONDITIONALS, 1), F.lit("#"), F.col("o_custkey").cast("string")), "~", "\n")
+    rows = read("orders").select(F.lit("k").alias("flag"), F.lit("k").alias("code_key"), (F.col("o_orderstatus") == "F").alias("treatment"), F.col("o_orderkey").cast("string").alias("path"), _shape(CONDITIONALS, 0).alias("language"), before.alias("before"))
+    return remove.folded(rows, [Accessor("isEnabled")]).select(F.col("path").cast("long").alias("o_orderkey"), "after", F.col("reason").isNotNull().alias("refused"))
+
+
+#: Sources with the number of their syntax errors; -1: brackets don't match.
+ERRONEOUS = (
+    ("ts", "const x = a ? b : c ? d : #;", 0), ("ts", "const x = a : #;", 1), ("ts", "return a : #;", 1), ("ts", "f(a : #);", 1), ("ts", "const x = ;", 1), ("ts", "const x = a && ; f(#);", 1),
+    ("ts", "if () { a(#); }", 1), ("ts", "if (a)", 1), ("ts", "else { b(#); }", 1), ("ts", "const f = (x: number, y?: string): Foo<Bar> => ({ a: #, b, ...c });", 0), ("ts", "const x = 1 2; a : b; const y = true false;", 2),
+    ("ts", "do { a(#); }", 1), ("ts", "try { a(#); }", 1), ("ts", "const x = [a ? b];", 1), ("ts", "const o = { a: b : # };", 1), ("ts", "f(a, (b)", -1), ("tsx", "return <p a={b ? c : d}>{e ? <q/> : null} x {...f}</p>;", 0), ("tsx", "return <p>{a : b}</p>;", 1),
+    ("java", "int f() { return a : #; }", 1), ("java", "Runnable r = () -> { a(#); }; Function<A, B> g = x -> x.y(); h(A::b);", 0), ("csharp", "var x = a : #;", 1), ("csharp", "var q = new Foo { A = 1, B = # }; var z = a?.b?[0] ?? c;", 0),
+    ("dart", "final x = a : #;", 1), ("dart", "Widget f() { return Foo(a: 1, b: [if (x) y, for (var z in q) z, ...w], c: () => #); }", 0), ("go", "func f() {~if {~a()~}~}", 1), ("go", "func f() (int, error) {~if x, err := g(); err != nil {~return 0, err~}~return #, nil~}", 0),
+    ("kt", "val x = a +", 1), ("kt", "fun f(a: Int?) = when (a) {~null -> 1~in 1..2, 3 -> #~else -> { h() }~}", 0), ("swift", "guard a { return }", 1), ("swift", "let y = a ? b : c ?? #~if let q = w, case .a(let r) = q { s() } else if t { u() }", 0),
+)
+
+
+@slice_of(f"SELECT o_orderkey, CAST({_shape_case(ERRONEOUS, 2)} AS INT) AS errors FROM orders")
+def syntax_errors(read):
+    """Every order as a source, right or wrong, with the number of its errors."""
+    source = F.translate(F.replace(_shape(ERRONEOUS, 1), F.lit("#"), F.col("o_custkey").cast("string")), "~", "\n")
+    return read("orders").select("o_orderkey", syntax.error_count(source, _shape(ERRONEOUS, 0)).alias("errors"))
+
+
+#: Rewrites: language, source, result, and whether the gate lets it through.
+REWRITES = (
+    ("ts", "const x = q ? a(#) : b ? c : d;", "const x = a(#) : d;", False), ("ts", "const x = q ? a(#) : b;", "const x = a(#);", True), ("ts", "f(p ? q(#) : r);", "f(: r);", False), ("ts", "if (p) { a(#); } else { b(); }", "else { b(); }", False),
+    ("ts", "const x = (1 2; f(#);", "const x = (1 2; f(true);", True), ("ts", "const x = 1 2; f(q(#));", "const x = 1 2; f(true);", True), ("java", "int f() { return p ? a : b ? c : #; }", "int f() { return a : #; }", False), ("python", "x = a if b(#) else c", "x = a if", False),
+    ("kt", "val x = if (p) a else b(#)", "val x = else b(#)", False), ("swift", "guard p, q(#) else { return }", "guard else { return }", False), ("go", "func f() {~if p(#) {~a()~}~}", "func f() {~if {~a()~}~}", False), ("dart", "final a = [if (p) b, c(#)];", "final a = [c(#)];", True),
+)
+
+
+@slice_of(f"SELECT o_orderkey AS path FROM orders WHERE NOT CAST({_shape_case(REWRITES, 3)} AS BOOLEAN)")
+def broken_rewrites(read):
+    """Every order as a rewrite; those that are less well formed than their source."""
+    put = lambda k: F.translate(F.replace(_shape(REWRITES, k), F.lit("#"), F.col("o_custkey").cast("string")), "~", "\n")
+    return syntax.broken(read("orders").select(F.col("o_orderkey").alias("path"), _shape(REWRITES, 0).alias("language"), put(1).alias("before"), put(2).alias("after"))).select("path")
