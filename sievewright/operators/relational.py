@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,15 +94,37 @@ def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
         found = _cut(spark, found.union(new))
 
 
-def _cut(spark, df: DataFrame) -> DataFrame:
-    """df with its lineage cut by checkpoint(), in the folder that spark.checkpoint.dir names; a temporary one where it is unset, as in tests."""
+def _shared(spark) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one where it is unset, as in tests, but on a local master alone."""
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sievewright-"))
-    return df.checkpoint()
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sievewright-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def _cut(spark, df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a table written into the shared folder, which costs one pass; it goes when the process ends."""
+    sc = spark.sparkContext
+    path = f"{_shared(spark).rstrip('/')}/sievewright-{sc.applicationId}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, sc, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(sc, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended; the folder then stays for the cluster's own cleaning
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut: computed once, and kept in the shared folder."""
+    return _cut(df.sparkSession, df)
 
 
 def ancestors(df: DataFrame, path: str, column: str = "directory") -> DataFrame:

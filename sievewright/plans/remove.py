@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions import comments, tokens
 from ..functions.scanner import Unreadable, scan
-from ..operators import agreement, candidates, mentions, report
+from ..operators import agreement, candidates, mentions, relational, report
 from ..sources import checkout
 from ..sources.config import Accessor, Gate
 from . import fold as one
 from . import python_fold, wrappers
 
-_FOLDED = "flag string, path string, before string, after string, reads int, reason string, findings array<struct<line:int,kind:string,reason:string>>"
+_FOLDED = "flag string, path string, before string, after string, reads int, reason string, findings array<struct<line:int,kind:string,reason:string>>, left int, made array<struct<name:string,form:string,value:boolean>>"
 
 
 def pairs(open_candidates: DataFrame, files: DataFrame) -> DataFrame:
@@ -32,19 +32,19 @@ def pairs(open_candidates: DataFrame, files: DataFrame) -> DataFrame:
     return met.select("flag", F.col("name").alias("code_key"), "treatment", "path", checkout.language(F.col("path")).alias("language"), "before")
 
 
-def _one(source: str, key: str, value: bool, language: str, reads: list[Accessor], gates: list[Gate], inert: list[str]) -> tuple[str, int, str | None, list]:
-    """after, reads, reason and findings of one file in a language with braces."""
+def _one(source: str, key: str, value: bool, language: str, reads: list[Accessor], gates: list[Gate], inert: list[str], known: list[one.Known]) -> tuple[str, int, str | None, list, int, list]:
+    """after, reads, reason, findings, uses left and names made of one file in a language with braces."""
     after, unwrapped, lost = source, 0, []
     if gates and language in one.MARKUP:
         after, unwrapped = wrappers.unwrap_gates(source, key, value, gates)
-    done = one.fold(after, key, value, reads, language)
+    done = one.fold(after, key, value, reads, language, known)
     after, n = done.after, done.reads + unwrapped
     if not n:
-        return source, 0, None, done.findings
+        return source, 0, None, done.findings, done.left, []
     if inert:
         after, lost = wrappers.without_calls(after, inert, language, before=source)
     after = comments.tidy(after, key, language in one.MARKUP, language)
-    return after, n, one.refusal(source, after, language), [*done.findings, *((None, "call-removed", x) for x in lost)]
+    return after, n, one.refusal(source, after, language), [*done.findings, *((None, "call-removed", x) for x in lost)], done.left, done.made
 
 
 def _readable(source: str, language: str) -> bool:
@@ -60,6 +60,8 @@ def folded(rows: DataFrame, accessors: Sequence[Accessor], gates: Sequence[Gate]
     """The fold of each pair: after (before where nothing changed), reads (gates among them), reason (why it is refused) and findings.
 
     gates: components of markup that show their children by a flag. inert: functions without effects, whose calls go where the fold made them constant.
+    rows may have `known`, names that stand for the key or for what was served; left counts their uses that stay, and made has the names at the top of
+    the file that stand for a literal now.
     """
     reads, shown, idle = list(accessors), list(gates), list(inert)
 
@@ -67,13 +69,14 @@ def folded(rows: DataFrame, accessors: Sequence[Accessor], gates: Sequence[Gate]
         for part in parts:
             out = []
             for r in part.itertuples(index=False):
-                after, n, reason, findings = r.before, 0, None, []
+                after, n, reason, findings, left, made = r.before, 0, None, [], 0, []
+                known = [one.Known(x["name"], x["member"], x["form"], x["value"]) for x in (getattr(r, "known", None) if getattr(r, "known", None) is not None else [])]
                 try:
                     if r.language in one.FOLDED:
-                        after, n, reason, findings = _one(r.before, r.code_key, bool(r.treatment), r.language, reads, shown, idle)
+                        after, n, reason, findings, left, made = _one(r.before, r.code_key, bool(r.treatment), r.language, reads, shown, idle, known)
                     elif r.language == "python":
-                        done = python_fold.fold(r.before, r.code_key, bool(r.treatment), reads)
-                        after, n = done.after, done.reads
+                        done = python_fold.fold(r.before, r.code_key, bool(r.treatment), reads, known)
+                        after, n, findings, left, made = done.after, done.reads, done.findings, done.left, done.made
                 except (Unreadable, SyntaxError) as e:
                     if _readable(r.before, r.language):
                         after, reason = r.before, f"the rewrite does not scan: {e}"
@@ -81,17 +84,33 @@ def folded(rows: DataFrame, accessors: Sequence[Accessor], gates: Sequence[Gate]
                         findings = [(None, "unreadable", "the file was left: it does not scan")]
                 except (one.Refused, RecursionError) as e:
                     after, reason = r.before, str(e) or "nested too deep"
-                out.append((r.flag, r.path, r.before, after, n, reason, [{"line": a, "kind": b, "reason": c} for a, b, c in findings]))
-            yield pd.DataFrame(out, columns=["flag", "path", "before", "after", "reads", "reason", "findings"])
+                if reason:
+                    made = []
+                out.append((r.flag, r.path, r.before, after, n, reason, [{"line": a, "kind": b, "reason": c} for a, b, c in findings], left, [{"name": a, "form": b, "value": c} for a, b, c in made]))
+            yield pd.DataFrame(out, columns=["flag", "path", "before", "after", "reads", "reason", "findings", "left", "made"])
 
     return rows.mapInPandas(run, _FOLDED)
 
 
-def run(rows: DataFrame, files: DataFrame, accessors: Sequence[Accessor], ignore: Sequence[str] = (), allow: Sequence[str] = (), aliases: dict[str, str] | None = None, known: DataFrame | None = None, handled: DataFrame | None = None, max_prs: int = 0, gates: Sequence[Gate] = (), inert: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """A dry run over candidates and files (path, content as text): tables results, rewrites and findings."""
+def run(rows: DataFrame, files: DataFrame, accessors: Sequence[Accessor], ignore: Sequence[str] = (), allow: Sequence[str] = (), aliases: dict[str, str] | None = None, known: DataFrame | None = None, handled: DataFrame | None = None, max_prs: int = 0, gates: Sequence[Gate] = (), inert: Sequence[str] = (), follow: bool = True, index: DataFrame | None = None) -> dict[str, DataFrame]:
+    """A dry run over candidates and files (path, content as text): tables results, rewrites and findings.
+
+    follow: names that hold the key or became what was served are followed through imports, in scripts and Python, over the whole corpus. index: the symbols
+    of the files where they are stored (`symbols.indexed`).
+    """
     decided = candidates.decide(rows, list(ignore), list(allow), aliases, known, handled)
-    met = pairs(decided.where("action is null"), files)
-    done = folded(met, accessors, gates, inert).persist()
+    open_, done = decided.where("action is null"), None
+    met = pairs(open_, files)
+    if follow:
+        from . import spread, symbols  # they fold by this module
+
+        named = files.withColumn("language", checkout.language(F.col("path"))).where(F.col("language").isin(*spread.FOLLOWED))
+        table = index if index is not None else relational.checkpointed(symbols.symbols(named, list(accessors)))
+        folds, facts, led = spread.spread(open_.select("key", "code_key", "treatment"), met, files, table, accessors, gates, inert)
+        gone = relational.checkpointed(spread.deletable(facts, led, table, folds, files))
+        done = relational.checkpointed(spread.cleared(folds, gone, files, led))
+    else:
+        done = relational.checkpointed(folded(met, accessors, gates, inert))
     kept = agreement.all_or_nothing(done)
     rewrites = kept.where("after != before and reads > 0").select("flag", "path", "before", "after")
     # A file that still names the flag outside comments, or that can't be judged, is reported.
