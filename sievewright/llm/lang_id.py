@@ -80,6 +80,10 @@ def fit(rows: DataFrame, identity: str = "doc_id", label: str = "lang", text: st
     return Model(languages, counts)
 
 
+#: Priors of all hosts up to this size go to every task.
+PRIORS_BYTES = 4 << 20
+
+
 def parent(host: Column) -> Column:
     """The last two labels of a host name with dots; null for one without."""
     return F.when(F.instr(host, ".") > 0, F.substring_index(host, ".", -2))
@@ -137,17 +141,20 @@ def _with_evidence(total: Column, place: Column, right: float, size: int) -> Col
     return F.when(F.coalesce(place, F.lit(0)) > 0, F.transform(total, lambda x, k: x + F.when(k + 1 == place, yes).otherwise(no))).otherwise(total)
 
 
-def identify(rows: DataFrame, model: Model, keep: list[str], host: str, declared: str | None = None, address: str | None = None, text: str = "text") -> DataFrame:
+def identify(rows: DataFrame, model: Model, keep: list[str], host: str, declared: str | None = None, address: str | None = None, text: str = "text", priors_bytes: int = PRIORS_BYTES) -> DataFrame:
     """The kept columns with _sw_language, _sw_probability, _sw_text_language and _sw_rejected. host, declared and address name columns, the latter two of language codes.
 
-    Texts are scored once; the scores are stored with the kept columns, and all evidence is fused by SQL functions.
+    Texts are scored once; the scores are stored with the kept columns, and all evidence is fused by SQL functions. Priors of up to
+    `priors_bytes` are broadcast; more of them are joined by host, frequent hosts dealt out.
     """
     size = len(model.languages)
     given = [(c, r, f"_sw_given_{k}") for k, (c, r) in enumerate(((declared, DECLARED), (address, ADDRESS))) if c]
     asked = rows.select(*dict.fromkeys([*keep, text]), *(F.col(c).cast("string").alias(as_) for c, _, as_ in given), F.col(host).cast("string").alias("_sw_host"))
     table = stored(scored(asked, model, text).select(*keep, *(as_ for _, _, as_ in given), "_sw_host", "_sw_ll"), "scored")
     prior, base = priors(table.select(F.col("_sw_host").alias("host"), _best("_sw_ll").alias("vote")), size)
-    joined = salted(table, prior.select(F.col("host").alias("_sw_host"), F.col("prior").alias("_sw_prior")), ["_sw_host"], "left")
+    prior = prior.select(F.col("host").alias("_sw_host"), F.col("prior").alias("_sw_prior"))
+    few = prior.limit(most := priors_bytes // (8 * size)).count() < most  # then no text has to move to its host's prior
+    joined = table.join(F.broadcast(prior), ["_sw_host"], "left") if few else salted(table, prior, ["_sw_host"], "left")
     whole = F.array(*(F.lit(p) for p in base))
     total = F.zip_with("_sw_ll", F.coalesce("_sw_prior", whole), lambda x, p: x + F.log(p))
     names = F.array(*(F.lit(x) for x in model.languages))

@@ -130,6 +130,15 @@ def test_evidence_moves_the_answer(spark):
     assert [r.address for r in lang_id.page_rows(spark.createDataFrame([(1, "http://x.co.uk/a", "a"), (2, "http://x.mx", "a"), (3, "http://at/x", "a"), (4, "http://x.zz/de/", "a")], "page_id int, url string, html string")).orderBy("page_id").collect()] == ["en", "es", None, "de"]
 
 
+def test_priors_broadcast_or_joined_are_the_same(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = lang_id.fit(docs)
+    plans = [lang_id.identify(docs, model, ["doc_id"], "source", priors_bytes=n) for n in (lang_id.PRIORS_BYTES, 8)]
+    assert "BroadcastHashJoin" in plans[0]._jdf.queryExecution().toString()
+    a, b = (sorted(map(tuple, p.collect())) for p in plans)
+    assert a == b
+
+
 def test_posteriors_by_brute_force(spark):
     """Priors smoothed from corpus to parent domain to host, and the product of all evidence, in plain Python."""
     rnd = random.Random(9)
