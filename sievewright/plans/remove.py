@@ -106,9 +106,7 @@ def run(rows: DataFrame, files: DataFrame, accessors: Sequence[Accessor], ignore
 
         named = files.withColumn("language", checkout.language(F.col("path"))).where(F.col("language").isin(*spread.FOLLOWED))
         table = index if index is not None else relational.checkpointed(symbols.symbols(named, list(accessors)))
-        folds, facts, led = spread.spread(open_.select("key", "code_key", "treatment"), met, files, table, accessors, gates, inert)
-        gone = relational.checkpointed(spread.deletable(facts, led, table, folds, files))
-        done = relational.checkpointed(spread.cleared(folds, gone, files, led))
+        done = spread.followed(open_.select("key", "code_key", "treatment"), met, files, table, accessors, gates, inert)
     else:
         done = relational.checkpointed(folded(met, accessors, gates, inert))
     kept = agreement.all_or_nothing(done)

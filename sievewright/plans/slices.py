@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import keys, text, tokens
 from ..model import CANDIDATES
 from ..operators import agreement, archive, candidates, mentions, passages, relational, report, resolve, syntax
-from ..sources import events
+from ..sources import checkout, events
 from ..sources.config import Accessor
 from ..streaming import archive as streamed
-from . import remove
+from . import remove, spread, symbols
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -771,3 +771,48 @@ def broken_rewrites(read):
     """Every order as a rewrite; those that are less well formed than their source."""
     put = lambda k: F.translate(F.replace(_shape(REWRITES, k), F.lit("#"), F.col("o_custkey").cast("string")), "~", "\n")
     return syntax.broken(read("orders").select(F.col("o_orderkey").alias("path"), _shape(REWRITES, 0).alias("language"), put(1).alias("before"), put(2).alias("after"))).select("path")
+
+
+#: How a file uses another's constant: script, Python, and whether the use is the key of a read (null: it is none). # stands for the constant's number.
+USES = (
+    ("import { KEY# } from '../flags/c#';~f(isEnabled(KEY#));~", "from flags.c# import KEY#~f(isEnabled(KEY#))~", True),
+    ("import { KEY# as K } from '../flags/c#';~log(K.length);~", "from flags.c# import KEY# as K~log(K.upper())~", False),
+    ("import { KEY# } from '../flags/c#';~export const f = (KEY#) => isEnabled(KEY#);~", "from flags.c# import KEY#~def f(KEY#):~    return isEnabled(KEY#)~", None),
+    ("import * as all from '../flags/c#';~f(isEnabled(all.KEY#));~", "import flags.c# as all~f(isEnabled(all.KEY#))~", True),
+)
+
+
+@slice_of(f"""SELECT 'src/o' || o_orderkey || e AS path, 'flags/c' || c_custkey || e AS module, 'KEY' || c_custkey AS name, o_orderkey % 4 <> 1 AS removable
+FROM orders JOIN (SELECT c_custkey, CASE c_custkey % 2 WHEN 0 THEN '.ts' ELSE '.py' END AS e FROM customer) ON o_custkey = c_custkey WHERE o_orderkey % 4 <> 2""")
+def key_references(read):
+    """Customers as modules that declare a key's constant, orders as files that use it: each use, with the module that its name leads to."""
+    ending = F.when(F.col("c_custkey") % 2 == 0, ".ts").otherwise(".py")
+    customers = read("customer").select("c_custkey", ending.alias("ending"))
+    declared = F.when(F.col("ending") == ".ts", "export const KEY# = 'k#';").otherwise("KEY# = 'k#'")
+    modules = customers.select(F.concat(F.lit("flags/c"), "c_custkey", "ending").alias("path"), F.replace(declared, F.lit("#"), F.col("c_custkey").cast("string")).alias("content"))
+    chosen = F.when(F.col("ending") == ".ts", _shape(USES, 0)).otherwise(_shape(USES, 1))
+    readers = read("orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.concat(F.lit("src/o"), "o_orderkey", "ending").alias("path"), F.translate(F.replace(chosen, F.lit("#"), F.col("c_custkey").cast("string")), "~", "\n").alias("content"))
+    files = modules.union(readers).withColumn("language", checkout.language(F.col("path")))
+    found = symbols.key_tables(relational.checkpointed(symbols.symbols(files, [Accessor("isEnabled")])), files)["references"]
+    return found.select("path", "module", "name", "removable")
+
+
+#: The modules of a flag: a key's constant, and wrappers around it. # stands for the flag's number.
+CHAIN = (
+    ("a", "export const KEY# = 'n#';~"), ("b", "import { KEY# } from './a';~export function first#() { return isEnabled(KEY#); }~"), ("c", "import { first# } from './b';~export const second# = () => !first#();~"),
+    ("d", "import { second# } from './c';~export const third#: boolean = second#();~"), ("e", "import { third# } from './d';~export function fourth#(): boolean { return third#; }~"),
+)
+
+
+@slice_of("""SELECT 'c' || c_custkey || '.ts' AS path, CASE WHEN c_nationkey % 2 = 0 THEN 'log(''off'');' ELSE 'log(' || c_custkey || ');' END AS after FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation)
+UNION ALL SELECT 'n' || n_nationkey || '/' || m || '.ts', '' FROM nation, (VALUES ('a'), ('b'), ('c'), ('d'), ('e')) v(m) WHERE n_nationkey IN (SELECT c_nationkey FROM customer)""")
+def wrapper_chain(read):
+    """Nations as flags, each with a constant and four wrappers over five modules; customers as files that call the last. All of it folds, and the modules are left empty."""
+    number = F.col("n_nationkey").cast("string")
+    modules = read("nation").join(read("customer").select(F.col("c_nationkey").alias("n_nationkey")).distinct(), "n_nationkey").select(number.alias("n"), F.explode(F.array(*(F.struct(F.lit(m).alias("m"), F.lit(x).alias("x")) for m, x in CHAIN))).alias("f"))
+    callers = read("customer").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("c"), "c_custkey", F.lit(".ts")).alias("path"), F.concat(F.lit("import { fourth"), number, F.lit(" } from './n"), number, F.lit("/e';\nlog(fourth"), number, F.lit("() ? "), "c_custkey", F.lit(" : 'off');\n")).alias("content"))
+    files = relational.checkpointed(modules.select(F.concat(F.lit("n"), "n", F.lit("/"), "f.m", F.lit(".ts")).alias("path"), F.translate(F.replace(F.col("f.x"), F.lit("#"), F.col("n")), "~", "\n").alias("content")).union(callers))
+    flags = read("nation").select(F.concat(F.lit("n"), number).alias("key"), F.concat(F.lit("n"), number).alias("code_key"), (F.col("n_nationkey") % 2 == 0).alias("treatment"))
+    reads = [Accessor("isEnabled")]
+    table = relational.checkpointed(symbols.symbols(files.withColumn("language", checkout.language(F.col("path"))), reads))
+    return spread.followed(flags, remove.pairs(flags, files), files, table, reads).where("reason is null").select("path", F.trim(F.regexp_replace("after", r"\s+$", "")).alias("after"))

@@ -218,5 +218,12 @@ def cleared(state: DataFrame, gone: DataFrame, files: DataFrame, met: symbols.Re
     return state.join(names.select("flag", "path"), ["flag", "path"], "left_anti").select(_STATE).union(done.select(_STATE))
 
 
+def followed(open_candidates: DataFrame, pairs: DataFrame, files: DataFrame, table: DataFrame, accessors: Sequence[Accessor], gates: Sequence[Gate] = (), inert: Sequence[str] = ()) -> DataFrame:
+    """The folds of all files that candidates (key, code_key, treatment) reach, without the declarations that nothing needs any more."""
+    folds, facts, names = spread(open_candidates, pairs, files, table, accessors, gates, inert)
+    gone = _cut(files.sparkSession, deletable(facts, names, table, folds, files))
+    return _cut(files.sparkSession, cleared(folds, gone, files, names))
+
+
 #: Languages whose names are followed.
 FOLLOWED = (*SCRIPTS, "python")
