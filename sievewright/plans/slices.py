@@ -816,3 +816,20 @@ def wrapper_chain(read):
     reads = [Accessor("isEnabled")]
     table = relational.checkpointed(symbols.symbols(files.withColumn("language", checkout.language(F.col("path"))), reads))
     return spread.followed(flags, remove.pairs(flags, files), files, table, reads).where("reason is null").select("path", F.trim(F.regexp_replace("after", r"\s+$", "")).alias("after"))
+
+
+@slice_of("""WITH o AS (SELECT o_orderkey, o_custkey, o_orderkey % 7 = 0 AS fixed, max(CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey) AS other, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer))
+SELECT 'o' || o_orderkey || '.ts' AS path, 'import { show' || o_custkey || ' } from ''./f/c' || o_custkey || ''';' || chr(10) || 'log(show' || o_custkey || '(' || o_orderkey || CASE WHEN other = 1 THEN ', true' ELSE '' END || '));' AS after FROM o WHERE NOT fixed
+UNION ALL SELECT DISTINCT 'f/c' || o_custkey || '.ts', 'export function show' || o_custkey || '(a: number) { return a; }' FROM o WHERE other = 0""")
+def constant_parameters(read):
+    """Customers as modules with a function, orders as files that call it with a read of a flag, or (every seventh) with a literal that disagrees: both sides of the calls that agree are rewritten."""
+    c, o = F.col("c_custkey").cast("string"), F.col("o_orderkey").cast("string")
+    calls = read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    modules = calls.select(F.concat(F.lit("f/c"), c, F.lit(".ts")).alias("path"), F.concat(F.lit("export function show"), c, F.lit("(a: number, on: boolean) { return on ? a : 0; }\n")).alias("content")).distinct()
+    argument = F.when(F.col("o_orderkey") % 7 == 0, "false").otherwise("isEnabled('k')")
+    callers = calls.select(F.concat(F.lit("o"), o, F.lit(".ts")).alias("path"), F.concat(F.lit("import { show"), c, F.lit(" } from './f/c"), c, F.lit("';\nlog(show"), c, F.lit("("), o, F.lit(", "), argument, F.lit("));\n")).alias("content"))
+    files = relational.checkpointed(modules.union(callers))
+    flags = files.sparkSession.createDataFrame([("k", "k", True)], "key string, code_key string, treatment boolean")
+    reads = [Accessor("isEnabled")]
+    table = relational.checkpointed(symbols.symbols(files.withColumn("language", checkout.language(F.col("path"))), reads))
+    return spread.followed(flags, remove.pairs(flags, files), files, table, reads).where("reason is null").select("path", F.trim(F.regexp_replace("after", r"\s+$", "")).alias("after"))

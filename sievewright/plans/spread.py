@@ -23,7 +23,7 @@ from ..operators import resolve
 from ..operators.relational import _cut
 from ..sources import checkout
 from ..sources.config import Accessor, Gate
-from . import remove, symbols
+from . import parameters, remove, symbols
 from .fold import MARKUP, SCRIPTS, _arguments, _statement_end
 
 _STATE = ["flag", "path", "before", "after", "reads", "reason", "findings", "left"]
@@ -219,8 +219,9 @@ def cleared(state: DataFrame, gone: DataFrame, files: DataFrame, met: symbols.Re
 
 
 def followed(open_candidates: DataFrame, pairs: DataFrame, files: DataFrame, table: DataFrame, accessors: Sequence[Accessor], gates: Sequence[Gate] = (), inert: Sequence[str] = ()) -> DataFrame:
-    """The folds of all files that candidates (key, code_key, treatment) reach, without the declarations that nothing needs any more."""
+    """The folds of all files that candidates (key, code_key, treatment) reach, without the parameters they made constant and the declarations that nothing needs any more."""
     folds, facts, names = spread(open_candidates, pairs, files, table, accessors, gates, inert)
+    folds = parameters.inlined(folds, files, names)
     gone = _cut(files.sparkSession, deletable(facts, names, table, folds, files))
     return _cut(files.sparkSession, cleared(folds, gone, files, names))
 

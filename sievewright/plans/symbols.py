@@ -57,6 +57,13 @@ class Scopes:
         self.spans: list[tuple[int, int, set[str]]] = [(-1, len(tokens), set())]
         #: Places at which a name is bound, imported or exported.
         self.binding: set[int] = set()
+        for k, t in enumerate(tokens):
+            if t.kind == "tag" and t.text == "<":  # names of attributes are no names of the scope
+                x = k + 2
+                while x < len(tokens) and not (tokens[x].kind == "tag" and tokens[x].text in (">", "/>")):
+                    if tokens[x].kind == "id":
+                        self.binding.add(x)
+                    x = self.match.get(x, x) + 1
         for o, c in self.match.items():
             if tokens[o].text == "{":
                 self.spans.append((o, c, set()))
@@ -193,9 +200,19 @@ class Scopes:
         inner = [s for s in self.spans if s[0] < k <= s[1] and t.text in s[2]]
         return bool(inner) and max(inner, key=lambda s: (s[0], -s[1])) is self.spans[0]
 
+    def _opened(self, k: int) -> int:
+        """The place of the innermost bracket around a place; -1 at the top."""
+        return max((o for o, c in self.match.items() if o < k < c), default=-1)
+
     def _around(self, k: int) -> str:
-        best = max((o for o, c in self.match.items() if o < k < c), default=None)
-        return "" if best is None else self.text(best)
+        return self.text(self._opened(k))
+
+    def shorthand(self, k: int) -> bool:
+        """Whether the name at k is both key and value of an object."""
+        if self.text(k - 1) not in ("{", ",") or self.text(k + 1) not in (",", "}"):
+            return False
+        o = self._opened(k)
+        return self.text(o) == "{" and (o == 0 or (self.t[o - 1].kind not in ("tag", "markup") and self.text(o - 1) not in (")", "=>", ";", "{", "}", "else", "try", "finally", "do")))
 
 
 def _top(tokens: Tokens, match: dict[int, int]):
@@ -345,7 +362,7 @@ def used_as(tokens: Tokens, scopes: Scopes, k: int, end: int) -> str:
         return "call" if scopes.match.get(end) == end + 1 and scopes.text(end + 2) not in (".", "?.", "[", "(") else ""
     if after in (".", "?.", "[", "=>", ":") or tokens[end : end + 1] and tokens[end].kind == "tpl" and not tokens[end].gap:
         return "" if after != ":" or before in ("{", ",", "(") else "plain"
-    return "" if before in ("{", ",") and after in (",", "}") and scopes._around(k) == "{" else "plain"
+    return "" if scopes.shorthand(k) else "plain"
 
 
 def constants_of(tokens: Tokens) -> dict[tuple[str, str], bool]:

@@ -137,3 +137,49 @@ def test_a_flag_in_one_file(spark):
     (result,) = out["results"].collect()
     assert result.action == "dry-run" and '-  if (isEnabled("smoke-flag")) {' in result.diff and not [x for x in result.diff.splitlines() if x.startswith("+") and "isEnabled" in x]
     assert out["rewrites"].first().after == 'export function go(): string {\n  return "new";\n}\n'
+
+
+def drop(**k):
+    return {"member": "", "label": None, "position": None, "declared": False, "value": "true", **k}
+
+
+@pytest.mark.parametrize(
+    ("source", "drops", "after"),
+    [
+        ("export function f(a: number, on: boolean) { return on ? a : 3; }\nlog(f(1, true), x.f(2));\n", [drop(name="f", position=1, declared=True), drop(name="f", position=1)], "export function f(a: number) { return a; }\nlog(f(1), x.f(2));\n"),
+        ("function f(on) { if (on) { a(); } const g = (on) => on; }\nf(false);\n", [drop(name="f", position=0, declared=True, value="false"), drop(name="f", position=0, value="false")], "function f() { const g = (on) => on; }\nf();\n"),
+        ("const C = ({ on, q }: { on: boolean; q?: string }) => <p a={on}>{on && q}{f({ on })}</p>;\nconst z = <C on q={r} />;\nconst y = <C q={r} on={true}/>;\n", [drop(name="C", label="on", declared=True), drop(name="C", label="on")], "const C = ({ q }: { q?: string }) => <p a={true}>{q}{f({ on: true })}</p>;\nconst z = <C q={r} />;\nconst y = <C q={r} />;\n"),
+        ("function f(on) { on = 1; }", [drop(name="f", position=0, declared=True)], None), ("function f(on) { g(`${on}`); }", [drop(name="f", position=0, declared=True)], None), ("function f(on) { on(); }", [drop(name="f", position=0, declared=True)], None),
+        ("const C = ({ on }: Props) => on;", [drop(name="C", label="on", declared=True)], None),
+    ],
+)
+def test_parameters_go_from_both_sides(source, drops, after):
+    from sievewright.plans import parameters
+    from sievewright.plans.fold import Refused
+
+    if after is None:
+        with pytest.raises(Refused):
+            parameters.rewritten(source, "tsx", drops)
+    else:
+        assert parameters.rewritten(source, "tsx", drops) == after
+
+
+def test_parameters_are_one_unit(spark):
+    """A function whose own side can't be rewritten keeps its calls; one that is passed on, or that a call tells otherwise, is left."""
+    from sievewright.plans import parameters
+
+    texts = {
+        "ok.ts": "export function ok(on: boolean) { return on ? 1 : 2; }\n", "bad.ts": "export function bad(on: boolean) { on = q; return on; }\n", "sent.ts": "export function sent(on: boolean) { return on; }\n", "mixed.ts": "export function mixed(on: boolean) { return on; }\n",
+        "use.ts": "import { ok } from './ok';\nimport { bad } from './bad';\nimport { sent } from './sent';\nimport { mixed } from './mixed';\nlog(ok(isEnabled('k')), bad(isEnabled('k')), sent(isEnabled('k')), mixed(isEnabled('k')));\n",
+        "other.ts": "import { sent } from './sent';\nimport { mixed } from './mixed';\nimport { ok as fine } from './ok';\nxs.map(sent);\nmixed(false);\nfine(true);\n",
+    }
+    files = spark.createDataFrame(list(texts.items()), "path string, content string")
+    flags = spark.createDataFrame([("k", "k", True)], "key string, code_key string, treatment boolean")
+    table = symbols.symbols(files.selectExpr("path", "'ts' AS language", "content"), READS).cache()
+    assert parameters.read_sites(files.selectExpr("'f' AS flag", "path", "content")).where("kind = 'given'").count() == 6
+    got = {r.path: r.after for r in spread.followed(flags, remove.pairs(flags, files), files, table, READS).collect()}
+    assert got == {
+        "ok.ts": "export function ok() { return 1; }\n", "other.ts": texts["other.ts"].replace("fine(true)", "fine()"),
+        "use.ts": texts["use.ts"].split("log(")[0] + "log(ok(), bad(true), sent(true), mixed(true));\n",
+    }
+    table.unpersist()
