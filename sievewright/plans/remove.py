@@ -21,7 +21,7 @@ from ..sources.config import Accessor, Gate
 from . import fold as one
 from . import python_fold, wrappers
 
-_FOLDED = "flag string, path string, before string, after string, reads int, reason string, findings array<struct<line:int,kind:string,reason:string>>, left int, made array<struct<name:string,form:string,value:boolean>>"
+_FOLDED = "flag string, path string, before string, after string, reads int, reason string, findings array<struct<line:int,kind:string,reason:string>>, left int, made array<struct<name:string,form:string,value:boolean>>, gone array<struct<start:int,end:int>>"
 
 
 def pairs(open_candidates: DataFrame, files: DataFrame) -> DataFrame:
@@ -32,19 +32,19 @@ def pairs(open_candidates: DataFrame, files: DataFrame) -> DataFrame:
     return met.select("flag", F.col("name").alias("code_key"), "treatment", "path", checkout.language(F.col("path")).alias("language"), "before")
 
 
-def _one(source: str, key: str, value: bool, language: str, reads: list[Accessor], gates: list[Gate], inert: list[str], known: list[one.Known]) -> tuple[str, int, str | None, list, int, list]:
-    """after, reads, reason, findings, uses left and names made of one file in a language with braces."""
+def _one(source: str, key: str, value: bool, language: str, reads: list[Accessor], gates: list[Gate], inert: list[str], known: list[one.Known]) -> tuple[str, int, str | None, list, int, list, list]:
+    """after, reads, reason, findings, uses left, names made and stretches gone of one file in a language with braces."""
     after, unwrapped, lost = source, 0, []
     if gates and language in one.MARKUP:
         after, unwrapped = wrappers.unwrap_gates(source, key, value, gates)
     done = one.fold(after, key, value, reads, language, known)
     after, n = done.after, done.reads + unwrapped
     if not n:
-        return source, 0, None, done.findings, done.left, []
+        return source, 0, None, done.findings, done.left, [], []
     if inert:
         after, lost = wrappers.without_calls(after, inert, language, before=source)
     after = comments.tidy(after, key, language in one.MARKUP, language)
-    return after, n, one.refusal(source, after, language), [*done.findings, *((None, "call-removed", x) for x in lost)], done.left, done.made
+    return after, n, one.refusal(source, after, language), [*done.findings, *((None, "call-removed", x) for x in lost)], done.left, done.made, done.gone if not unwrapped else []
 
 
 def _readable(source: str, language: str) -> bool:
@@ -61,7 +61,7 @@ def folded(rows: DataFrame, accessors: Sequence[Accessor], gates: Sequence[Gate]
 
     gates: components of markup that show their children by a flag. inert: functions without effects, whose calls go where the fold made them constant.
     rows may have `known`, names that stand for the key or for what was served; left counts their uses that stay, and made has the names at the top of
-    the file that stand for a literal now.
+    the file that stand for a literal now. gone: the stretches of the source that went, in languages with braces.
     """
     reads, shown, idle = list(accessors), list(gates), list(inert)
 
@@ -69,11 +69,11 @@ def folded(rows: DataFrame, accessors: Sequence[Accessor], gates: Sequence[Gate]
         for part in parts:
             out = []
             for r in part.itertuples(index=False):
-                after, n, reason, findings, left, made = r.before, 0, None, [], 0, []
+                after, n, reason, findings, left, made, gone = r.before, 0, None, [], 0, [], []
                 known = [one.Known(x["name"], x["member"], x["form"], x["value"]) for x in (getattr(r, "known", None) if getattr(r, "known", None) is not None else [])]
                 try:
                     if r.language in one.FOLDED:
-                        after, n, reason, findings, left, made = _one(r.before, r.code_key, bool(r.treatment), r.language, reads, shown, idle, known)
+                        after, n, reason, findings, left, made, gone = _one(r.before, r.code_key, bool(r.treatment), r.language, reads, shown, idle, known)
                     elif r.language == "python":
                         done = python_fold.fold(r.before, r.code_key, bool(r.treatment), reads, known)
                         after, n, findings, left, made = done.after, done.reads, done.findings, done.left, done.made
@@ -85,9 +85,9 @@ def folded(rows: DataFrame, accessors: Sequence[Accessor], gates: Sequence[Gate]
                 except (one.Refused, RecursionError) as e:
                     after, reason = r.before, str(e) or "nested too deep"
                 if reason:
-                    made = []
-                out.append((r.flag, r.path, r.before, after, n, reason, [{"line": a, "kind": b, "reason": c} for a, b, c in findings], left, [{"name": a, "form": b, "value": c} for a, b, c in made]))
-            yield pd.DataFrame(out, columns=["flag", "path", "before", "after", "reads", "reason", "findings", "left", "made"])
+                    made, gone = [], []
+                out.append((r.flag, r.path, r.before, after, n, reason, [{"line": a, "kind": b, "reason": c} for a, b, c in findings], left, [{"name": a, "form": b, "value": c} for a, b, c in made], [{"start": a, "end": b} for a, b in gone]))
+            yield pd.DataFrame(out, columns=["flag", "path", "before", "after", "reads", "reason", "findings", "left", "made", "gone"])
 
     return rows.mapInPandas(run, _FOLDED)
 

@@ -13,7 +13,7 @@ from ..operators import agreement, archive, candidates, mentions, passages, rela
 from ..sources import checkout, events
 from ..sources.config import Accessor
 from ..streaming import archive as streamed
-from . import remove, spread, symbols
+from . import predicted, remove, spread, symbols
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -833,3 +833,27 @@ def constant_parameters(read):
     reads = [Accessor("isEnabled")]
     table = relational.checkpointed(symbols.symbols(files.withColumn("language", checkout.language(F.col("path"))), reads))
     return spread.followed(flags, remove.pairs(flags, files), files, table, reads).where("reason is null").select("path", F.trim(F.regexp_replace("after", r"\s+$", "")).alias("after"))
+
+
+#: Files with a mention beside a read: the file, and the places of the block that goes where the flag served true and false, as the text that begins it and the text it ends with (null: none is predicted).
+GUARDED = (
+    ("if (!isEnabled('k')) { log(KEY, #); return; } f(KEY);", "{ log(KEY", "return; }", None, None),
+    ("if (isEnabled('k')) { a(#); } else { log(KEY); }", "{ log(KEY", "(KEY); }", "{ a(", "#); }"),
+    ("if (q && isEnabled('k')) { log(KEY, #); }", None, None, None, None),
+    ("if ((isEnabled('k'))) { log(KEY, #); } g(KEYS, x.KEY);", None, None, "{ log(KEY", "#); }"),
+)
+
+
+@slice_of(f"""WITH f AS (SELECT o_orderkey, replace({_shape_case(GUARDED, 0)}, '#', CAST(o_custkey AS VARCHAR)) AS t, CASE WHEN o_orderstatus = 'F' THEN {_shape_case(GUARDED, 1)} ELSE {_shape_case(GUARDED, 3)} END AS a,
+replace(CASE WHEN o_orderstatus = 'F' THEN {_shape_case(GUARDED, 2)} ELSE {_shape_case(GUARDED, 4)} END, '#', CAST(o_custkey AS VARCHAR)) AS z FROM orders), s AS (SELECT *, CAST(strpos(t, a) - 1 AS INT) AS s, CAST(strpos(t, z) - 1 + length(z) AS INT) AS e FROM f)
+SELECT o_orderkey, s AS "start", e AS "end", s IS NOT NULL AS kept, len(regexp_extract_all(CASE WHEN s IS NULL THEN t ELSE substr(t, 1, s) || ' ' || substr(t, e + 1) END, '\\bKEY\\b')) AS reported FROM s""")
+def dead_blocks(read):
+    """Every order as a file with a guard: the block that the fold is predicted to delete, whether it did, and how many mentions of a name stand outside it."""
+    before = F.replace(_shape(GUARDED, 0), F.lit("#"), F.col("o_custkey").cast("string"))
+    rows = read("orders").select(F.lit("k").alias("flag"), F.lit("k").alias("code_key"), (F.col("o_orderstatus") == "F").alias("treatment"), F.col("o_orderkey").cast("string").alias("path"), F.lit("ts").alias("language"), before.alias("before"))
+    rows, reads = relational.checkpointed(rows), [Accessor("isEnabled")]
+    found = relational.checkpointed(predicted.spans(rows, reads))
+    lost = predicted.unkept(found, remove.folded(rows, reads)).select("path", F.lit(False).alias("ok"))
+    outside = predicted.reported(rows, found, F.lit("KEY")).groupBy("path").agg(F.count("*").alias("reported"))
+    out = rows.select("path").join(found.drop("flag"), "path", "left").join(lost, "path", "left").join(outside, "path", "left")
+    return out.select(F.col("path").cast("long").alias("o_orderkey"), "start", "end", (F.col("start").isNotNull() & F.coalesce("ok", F.lit(True))).alias("kept"), F.coalesce("reported", F.lit(0)).cast("long").alias("reported"))

@@ -86,11 +86,12 @@ def deletable(facts: DataFrame, names: symbols.Resolved, table: DataFrame, state
     # a name that other flags' keys share, or that stands in a flag with uses left or a refusal, stays
     stuck = state.groupBy("flag").agg(F.bool_or(F.col("reason").isNotNull()).alias("stuck")).where("stuck").select("flag")
     free = _cut(spark, facts.join(stuck, "flag", "left_anti").select("flag", F.col("at").alias("path"), F.col("at").alias("module"), owner.alias("owner"), name.alias("name"), "form", F.col("own"), F.col("of")))
-    led = names.uses.where("at is not null").join(free.select(F.col("module").alias("at"), "own", "of", "owner", F.col("name").alias("_name"), "form").withColumnRenamed("of", "_of"), ["at", "own"])
+    led = names.uses.where("at is not null").join(free.select("flag", F.col("module").alias("at"), "own", F.col("of").alias("_of"), "owner", F.col("name").alias("_name")), ["at", "own"])
     led = led.where("_of = '' OR of = '' OR regexp_extract(of, '^([^.]*)', 1) = _of")
-    whole = F.col("of") == F.col("_of")
-    ok = whole & F.when(F.col("form") == "key", F.col("removable")).when(F.col("form") == "call", F.col("use") == "call").otherwise(F.col("use") == "plain")
-    references = led.select("path", F.col("at").alias("module"), "owner", F.col("_name").alias("name"), F.coalesce(ok, F.lit(False)).alias("removable"))
+    # a use is gone if its file was folded and has none left: replaced, or deleted with a branch around it
+    folded = state.where("reason IS NULL AND left = 0").select("flag", "path", F.lit(True).alias("clean"))
+    led = led.join(folded, ["flag", "path"], "left")
+    references = led.select("path", F.col("at").alias("module"), "owner", F.col("_name").alias("name"), F.coalesce("clean", F.lit(False)).alias("removable"))
     language, judged = checkout.language(F.col("path")), None
     for family, others in ((["python"], SCRIPTS), (SCRIPTS, ["python"])):  # a script names nothing of a Python module
         mine = free.where(language.isin(*family)).select("path", "module", "owner", "name", F.col("flag").alias("key"))

@@ -557,6 +557,36 @@ def symbols(files: DataFrame, accessors: list[Accessor]) -> DataFrame:
     return files.select("path", "language", "content").mapInArrow(run, SYMBOLS)
 
 
+def indexed(files: DataFrame, accessors: list[Accessor], index: str, parsed=None) -> DataFrame:
+    """The symbols of files (path, language, content) by way of an index stored at a path: only contents that it doesn't hold are read.
+
+    The index has a row for each content (digest of language, accessors and text) with its symbols; new ones are appended, so two paths of one content are
+    read once, and a second run over a checkout with one file changed reads one. Contents that no file has any more stay until the index is dropped.
+    parsed: an accumulator that counts the contents read.
+    """
+    spark = files.sparkSession
+    reads, told = list(accessors), repr(sorted(map(repr, accessors)))
+    keyed = files.withColumn("digest", F.sha2(F.concat_ws("\0", F.lit(told), "language", F.coalesce("content", F.lit("\0"))), 256))
+    schema = "digest string, symbols array<struct<kind:string,name:string,member:string,target:string,other:string,removable:boolean,line:int>>"
+    place = spark._jvm.org.apache.hadoop.fs.Path(index)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    held = spark.read.schema(schema).parquet(index) if there else spark.createDataFrame([], schema)
+    new = keyed.join(held.select("digest"), "digest", "left_anti").groupBy("digest").agg(F.min(F.struct("language", "content")).alias("f")).select(F.col("digest").alias("path"), "f.language", "f.content")
+
+    def counted(batches):
+        for batch in batches:
+            if parsed is not None:
+                parsed.add(batch.num_rows)
+            yield batch
+
+    asked = new.mapInArrow(counted, "path string, language string, content string") if parsed is not None else new
+    asked = _cut(spark, asked)
+    rows = symbols(asked, reads).groupBy("path").agg(F.collect_list(F.struct("kind", "name", "member", "target", "other", "removable", "line")).alias("symbols"))
+    asked.select(F.col("path").alias("digest")).join(rows.withColumnRenamed("path", "digest"), "digest", "left").select("digest", F.coalesce("symbols", F.array().cast("array<struct<kind:string,name:string,member:string,target:string,other:string,removable:boolean,line:int>>")).alias("symbols")).write.mode("append").parquet(index)
+    now = spark.read.schema(schema).parquet(index).dropDuplicates(["digest"])
+    return keyed.select("path", "digest").join(now, "digest").select("path", F.inline("symbols"))
+
+
 def module_files(asked: DataFrame, files: DataFrame) -> DataFrame:
     """The file of each module that a file names (path, target): path, target and module. Scripts: relative names with or without ending; Python: dotted names below any directory above the file, the nearest first."""
     parts = F.split("path", "/")

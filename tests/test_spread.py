@@ -183,3 +183,45 @@ def test_parameters_are_one_unit(spark):
         "use.ts": texts["use.ts"].split("log(")[0] + "log(ok(), bad(true), sent(true), mixed(true));\n",
     }
     table.unpersist()
+
+
+@pytest.mark.parametrize(
+    ("language", "source", "value", "blocks"),
+    [
+        ("ts", "if (!isEnabled('k')) { a(); }", True, ["{ a(); }"]), ("ts", "if (isEnabled('k')) { a(); } else { b(); }", True, ["{ b(); }"]), ("ts", "if (isEnabled('k')) { a(); } else if (x) { b(); }", True, []), ("ts", "if (isEnabled('k') && x) { a(); }", False, ["{ a(); }"]), ("ts", "if (isEnabled('k') && x) { a(); }", True, []), ("ts", "if (isEnabled('k')) a(); else b();", False, []),
+        ("ts", "if (isEnabled('z')) { a(); }", False, []), ("java", 'if ((!flags.isEnabled("k"))) { if (isEnabled("k")) { a(); } }', True, ['{ if (isEnabled("k")) { a(); } }']), ("go", 'func f() {\nif !isEnabled("k") {\na()\n}\n}', True, ["{\na()\n}"]), ("kt", 'if (isEnabled("k")) { a() } else { b() }\n', False, ["{ a() }"]),
+    ],
+)
+def test_blocks_are_predicted_and_deleted(language, source, value, blocks):
+    from sievewright.plans import predicted
+
+    found = predicted.dead_blocks(source, "k", value, READS, language)
+    assert [source[a:b] for a, b in found] == blocks
+    gone = fold(source, "k", value, READS, language).gone
+    assert all(any(a <= s and e <= b for a, b in gone) for s, e in found)
+
+
+def test_predictions_are_held_against_what_went(spark):
+    from sievewright.plans import predicted
+
+    spans = spark.createDataFrame([("f", "a", 5, 9), ("f", "a", 20, 30), ("f", "b", 5, 9), ("g", "a", 5, 9)], "flag string, path string, start int, end int")
+    done = spark.createDataFrame([("f", "a", [(0, 10), (20, 29)]), ("f", "b", []), ("g", "a", None)], "flag string, path string, gone array<struct<start:int,end:int>>")
+    assert sorted((r.flag, r.path, r.start) for r in predicted.unkept(spans, done).collect()) == [("f", "a", 20), ("f", "b", 5), ("g", "a", 5)]
+    files = spark.createDataFrame([("f", "a", "KEY KEYS x.KEY(KEY)", "KEY"), ("f", "b", None, "KEY"), ("f", "c", "none", "KEY")], "flag string, path string, before string, code_key string")
+    assert sorted(r.at for r in predicted.mentions(files).collect()) == [0, 11, 15]
+    assert sorted(r.at for r in predicted.reported(files, spans.where("path = 'a' and start = 5").selectExpr("flag", "path", "10 AS start", "15 AS end")).collect()) == [0, 15]
+
+
+def test_only_changed_files_are_read_again(spark, tmp_path):
+    rows = [(f"src/f{k}.ts", "ts", f"export const K{k} = 'k{k}';\n") for k in range(20)] + [("src/same.ts", "ts", "export const K1 = 'k1';\n"), ("p.py", "python", "A = 'a'\n"), ("empty.ts", "ts", ""), ("null.ts", "ts", None), ("bad.ts", "ts", "f(")]
+    make = lambda r: spark.createDataFrame(r, "path string, language string, content string")
+    index, show = str(tmp_path / "index"), lambda df: sorted(map(str, df.select(*[x.split(" ")[0] for x in symbols.SYMBOLS.split(", ")]).collect()))
+    want = show(symbols.symbols(make(rows), READS))
+    for changed, read in ((rows, 24), (rows, 0), ([*rows[1:], ("src/f0.ts", "ts", "export const NEW = 'new';\n")], 1)):
+        counter = spark.sparkContext.accumulator(0)
+        got = show(symbols.indexed(make(changed), READS, index, counter))
+        assert counter.value == read
+        assert got == (want if changed is rows else show(symbols.symbols(make(changed), READS)))
+    counter = spark.sparkContext.accumulator(0)
+    symbols.indexed(make(rows[:3]), accessors("other")[0], index, counter).count()
+    assert counter.value == 3
