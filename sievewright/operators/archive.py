@@ -33,17 +33,70 @@ def by_containment(rows: DataFrame, refs: DataFrame, ancestry: DataFrame) -> tup
     return judged.where("missing is null").drop("missing"), judged.where("missing is not null")
 
 
+def _leapt(rows: DataFrame) -> DataFrame:
+    """rows (sha, jump, d) with each jump doubled; d is how many steps it and what it stands on have."""
+    ahead = rows.select(F.col("sha").alias("jump"), F.col("jump").alias("_jump"), F.col("d").alias("_d"))
+    return rows.join(ahead, "jump", "left").select("sha", F.col("_jump").alias("jump"), (F.col("d") + F.coalesce("_d", F.lit(0))).alias("d"), *(c for c in rows.columns if c not in ("sha", "jump", "d")))
+
+
+def chains(commits: DataFrame) -> DataFrame:
+    """sha, parent (its first), chain and at (its place on it, from the oldest) of each commit of a history (sha, parent, and place of the parent if there is one).
+
+    First parents make a forest. Of the children of a commit, that from which the longest line of first children goes on stays on its chain; so a main line is
+    one chain, and a side branch is one more. Jumps along first parents double twice a round: a history of n commits takes log4(n) rounds for
+    depths and lengths, and as many for chains. A history that goes round is an error.
+    """
+    spark = commits.sparkSession
+    order = F.struct(F.col("place") if "place" in commits.columns else F.lit(0), "parent")
+    first = commits.where("parent is not null").groupBy("sha").agg(F.min(order)["parent"].alias("parent"))
+    every = commits.select("sha").union(commits.select("parent")).where("sha is not null").distinct()
+    tree = _cut(spark, every.join(first, "sha", "left"))
+    most = max(1, tree.count()).bit_length() // 2 + 1
+    rows, step = tree.select("sha", F.col("parent").alias("jump"), F.col("parent").isNotNull().cast("int").alias("d"), F.lit(0).alias("h")), 1
+    for _ in range(most):
+        for _ in range(2):
+            below = rows.where("jump is not null").groupBy("jump").agg(F.max(F.col("h") + step).alias("_h")).withColumnRenamed("jump", "sha")
+            rows, step = _leapt(rows.join(below, "sha", "left").withColumn("h", F.greatest("h", "_h")).drop("_h")), step * 2
+        rows = _cut(spark, rows)
+        if rows.where("jump is not null").isEmpty():
+            break
+    else:
+        raise ValueError("the history goes round")
+    known = tree.join(rows.select("sha", F.col("d").alias("at"), "h"), "sha")
+    heavy = known.where("parent is not null").groupBy("parent").agg(F.max(F.struct("h", "sha"))["sha"].alias("sha")).select("sha", F.lit(True).alias("stays"))
+    known = _cut(spark, known.join(heavy, "sha", "left"))
+    line = known.select("sha", F.coalesce(F.when(F.col("stays"), F.col("parent")), F.col("sha")).alias("chain"))
+    for _ in range(most):
+        for _ in range(2):
+            line = line.join(line.select(F.col("sha").alias("chain"), F.col("chain").alias("_chain")), "chain").select("sha", F.col("_chain").alias("chain"))
+        line = _cut(spark, line)
+        ends = line.select("chain").distinct().join(line.withColumnRenamed("chain", "further"), F.col("chain") == F.col("sha"))
+        if ends.where("further != chain").isEmpty():
+            break
+    return known.select("sha", "parent", "at").join(line, "sha")
+
+
 def ancestry(commits: DataFrame, tips: DataFrame) -> DataFrame:
-    """sha and ancestor for each tip (sha), over commits (sha, parent). Walks from the tips alone, and each round only from commits that are new to a tip."""
-    up = commits.select(F.col("sha").alias("_at"), F.col("parent").alias("_up")).where("_up is not null").distinct()
-    new = tips.select("sha", F.col("sha").alias("ancestor")).distinct()
-    found = new.where("false")
+    """sha and ancestor for each tip (sha), over commits (sha, parent, and place of the parent if there is one).
+
+    A tip reaches a chain up to its highest place reached (`chains`), so rounds go from chain to chain, not from commit to commit; each looks only at the
+    stretch of a chain that is new to a tip.
+    """
+    spark = commits.sparkSession
+    known = _cut(spark, chains(commits))
+    place = lambda name: known.select(F.col("sha").alias(name), F.col("chain").alias(f"{name}_chain"), F.col("at").alias(f"{name}_at"))
+    edges = commits.where("parent is not null").select("sha", "parent").distinct().join(place("sha"), "sha").join(place("parent"), "parent")
+    across = _cut(spark, edges.where("sha_chain != parent_chain").select(F.col("sha_chain").alias("chain"), F.col("sha_at").alias("leaves"), F.col("parent_chain").alias("to"), F.col("parent_at").alias("lands")))
+    reach = fresh = _cut(spark, tips.select("sha").distinct().join(known, "sha").select(F.col("sha").alias("tip"), "chain", F.lit(-1).alias("low"), F.col("at").alias("high")))
     while True:
-        new = new.join(up, F.col("ancestor") == F.col("_at")).select("sha", F.col("_up").alias("ancestor")).distinct().join(found, ["sha", "ancestor"], "left_anti")
-        new = _cut(commits.sparkSession, new)
-        if new.isEmpty():
-            return found
-        found = _cut(commits.sparkSession, found.union(new))
+        met = fresh.join(across, "chain").where("leaves > low AND leaves <= high").groupBy("tip", F.col("to").alias("chain")).agg(F.max("lands").alias("high"))
+        had = reach.groupBy("tip", "chain").agg(F.max("high").alias("low"))
+        fresh = _cut(spark, met.join(had, ["tip", "chain"], "left").select("tip", "chain", F.coalesce("low", F.lit(-1)).alias("low"), "high").where("high > low"))
+        if fresh.isEmpty():
+            break
+        reach = reach.union(fresh)
+    top = reach.groupBy("tip", "chain").agg(F.max("high").alias("high"))
+    return known.join(top, "chain").where("at <= high AND sha != tip").select(F.col("tip").alias("sha"), F.col("sha").alias("ancestor"))
 
 
 def deployed(events: DataFrame, environment: str) -> DataFrame:

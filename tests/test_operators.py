@@ -214,3 +214,44 @@ def test_commands_on_requests(spark):
     found = requests.commanded(said, pulls)
     assert [(r.comment_id, r.action) for r in found.orderBy("comment_id").collect()] == [(1, "rerun"), (2, "recreate"), (3, "not-permitted"), (4, "not-permitted"), (5, "not-a-command"), (6, "not-a-removal"), (7, "not-a-pull-request")]
     assert rows(requests.asked(spark.createDataFrame([("a",), ("b/c",), ("z",)], "key string"), found)) == [("a",), ("b/c",)]
+
+
+def history(n, seed, order=True):
+    """Commits on a main line, with side branches that are merged back, and branches off those."""
+    import random
+
+    rnd, parents, main = random.Random(seed), {0: []}, [0]
+    for k in range(1, n):
+        if rnd.random() < 0.6 or len(main) < 3:
+            side = [x for x in range(max(0, k - 12), k) if x not in main[-40:]]
+            parents[k] = [main[-1], *([rnd.choice(side)] if side and rnd.random() < 0.5 else [])]
+            main.append(k)
+        else:
+            parents[k] = [rnd.randrange(max(0, k - 20), k)]
+    return parents
+
+
+@pytest.mark.parametrize(("n", "places"), [(1, True), (60, True), (60, False), (1500, True)])
+def test_ancestry_goes_from_chain_to_chain(spark, monkeypatch, n, places):
+    parents = history(n, n)
+    rows = [(f"c{k}", f"c{p}", i) for k, ps in parents.items() for i, p in enumerate(ps or [None])]
+    rows = [(a, None if b == "cNone" else b, i) for a, b, i in rows]
+    commits = spark.createDataFrame(rows, "sha string, parent string, place int")
+    tips = [n - 1, n // 2]
+    want = set()
+    for t in tips:
+        seen, todo = set(), [t]
+        while todo:
+            todo += [p for p in parents[todo.pop()] if p not in seen and not seen.add(p)]
+        want |= {(f"c{t}", f"c{x}") for x in seen}
+    cuts, cut = [], archive._cut
+    monkeypatch.setattr(archive, "_cut", lambda s, df: cuts.append(1) or cut(s, df))
+    got = archive.ancestry(commits if places else commits.drop("place"), spark.createDataFrame([(f"c{t}",) for t in tips], "sha string"))
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert not places or len(cuts) <= 24
+
+
+def test_a_history_that_goes_round(spark):
+    commits = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "sha string, parent string")
+    with pytest.raises(ValueError, match="round"):
+        archive.chains(commits)
