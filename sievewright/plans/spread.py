@@ -35,6 +35,23 @@ def facts_of(open_candidates: DataFrame, table: DataFrame) -> DataFrame:
     return table.where("kind = 'declaration'").join(keys, "target").select("flag", F.col("path").alias("at"), F.col("name").alias("own"), F.col("member").alias("of"), F.lit("key").alias("form"), F.lit(None).cast("boolean").alias("value"))
 
 
+def spread_facts(facts: DataFrame, table: DataFrame, uses: DataFrame) -> DataFrame:
+    """facts, and the entries of objects into which an object with such entries is spread, however often; an entry that the object declares itself is its own."""
+    spark = table.sparkSession
+    into = table.where("kind = 'spread'").select("path", F.col("name").alias("into"), F.col("other").alias("name"))
+    led = uses.where("at IS NOT NULL AND of = '' AND member = ''").select("path", "name", "at", "own").distinct()
+    into = _cut(spark, into.join(led, ["path", "name"]).select("at", "own", F.col("path").alias("to"), "into"))
+    own = table.where("kind = 'declaration'").select(F.col("path").alias("to"), F.col("name").alias("into"), F.col("member").alias("of"))
+    fresh = facts
+    while not into.isEmpty():
+        more = fresh.where("of != ''").join(into, ["at", "own"]).join(own, ["to", "into", "of"], "left_anti").select("flag", F.col("to").alias("at"), F.col("into").alias("own"), "of", "form", "value")
+        fresh = _cut(spark, more.join(facts.select("flag", "at", "own", "of"), ["flag", "at", "own", "of"], "left_anti").distinct())
+        if fresh.isEmpty():
+            break
+        facts = _cut(spark, facts.union(fresh))
+    return facts
+
+
 def known_by(facts: DataFrame, uses: DataFrame) -> DataFrame:
     """For each flag and file the names there that lead to a fact: flag, path, known."""
     led = uses.where("at is not null").withColumnRenamed("of", "led")
@@ -55,7 +72,7 @@ def spread(open_candidates: DataFrame, pairs: DataFrame, files: DataFrame, table
     names = symbols.resolved(table, files)
     names = symbols.Resolved(*(_cut(spark, x) for x in names))
     uses = names.uses
-    fresh = facts = _cut(spark, facts_of(open_candidates, table))
+    fresh = facts = _cut(spark, spread_facts(_cut(spark, facts_of(open_candidates, table)), table, uses))
     flags = open_candidates.select(F.col("key").alias("flag"), "code_key", "treatment")
     sources = files.select("path", F.col("content").alias("source"))
     state = None
@@ -82,12 +99,12 @@ def spread(open_candidates: DataFrame, pairs: DataFrame, files: DataFrame, table
 def deletable(facts: DataFrame, names: symbols.Resolved, table: DataFrame, state: DataFrame, files: DataFrame) -> DataFrame:
     """Facts whose declarations can go: flag, path, owner, name."""
     spark = files.sparkSession
-    owner, name = F.when(F.col("of") != "", F.col("own")).otherwise(""), F.when(F.col("of") != "", F.col("of")).otherwise(F.col("own"))
-    # a name that other flags' keys share, or that stands in a flag with uses left or a refusal, stays
+    owner, name = symbols.owner_and_name(F.col("own"), F.col("of"))
+    # what a flag with a refusal reaches stays
     stuck = state.groupBy("flag").agg(F.bool_or(F.col("reason").isNotNull()).alias("stuck")).where("stuck").select("flag")
-    free = _cut(spark, facts.join(stuck, "flag", "left_anti").select("flag", F.col("at").alias("path"), F.col("at").alias("module"), owner.alias("owner"), name.alias("name"), "form", F.col("own"), F.col("of")))
+    free = _cut(spark, facts.join(stuck, "flag", "left_anti").select("flag", F.col("at").alias("path"), F.col("at").alias("module"), owner, name, "form", F.col("own"), F.col("of")))
     led = names.uses.where("at is not null").join(free.select("flag", F.col("module").alias("at"), "own", F.col("of").alias("_of"), "owner", F.col("name").alias("_name")), ["at", "own"])
-    led = led.where("_of = '' OR of = '' OR regexp_extract(of, '^([^.]*)', 1) = _of")
+    led = led.where("_of = '' OR of = '' OR of = _of OR startswith(of, _of || '.') OR startswith(_of, of || '.')")
     # a use is gone if its file was folded and has none left: replaced, or deleted with a branch around it
     folded = state.where("reason IS NULL AND left = 0").select("flag", "path", F.lit(True).alias("clean"))
     led = led.join(folded, ["flag", "path"], "left")
@@ -105,8 +122,7 @@ def deletable(facts: DataFrame, names: symbols.Resolved, table: DataFrame, state
     onward = table.where("kind = 'export' AND target IS NOT NULL AND NOT endswith(path, '.py')").select(F.explode(F.array("name", "other")).alias("own")).union(taken.where("module != at").select("own")).distinct()
     listed = table.where("kind = 'export' AND target IS NULL AND line IS NOT NULL").select("path", F.col("other").alias("own")).distinct()
     gone = free.join(judged.select("path", "owner", "name").distinct(), ["path", "owner", "name"], "left_semi").join(onward, "own", "left_anti").join(listed, ["path", "own"], "left_anti")
-    still = state.where("left > 0").select("flag").distinct()
-    return gone.join(still, "flag", "left_anti").select("flag", "path", "owner", "name", "form").distinct()
+    return gone.select("flag", "path", "owner", "name", "form").distinct()
 
 
 def without_declaration(source: str, language: str, owner: str, name: str) -> str:
@@ -124,23 +140,32 @@ def without_declaration(source: str, language: str, owner: str, name: str) -> st
     tokens, tail = scan(source, language in MARKUP, language)
     match = symbols.matches(tokens)
     said = lambda k: tokens[k].text if 0 <= k < len(tokens) else ""
+    owners = owner.split(".") if owner else []
+
+    def entry(o: int, key: str) -> tuple[int, int] | None:
+        """The stretch of an entry of the object that opens at o, without its comma."""
+        at = o + 1
+        while at < match[o]:
+            end = at
+            while end < match[o] and said(end) != ",":
+                end = match.get(end, end) + 1
+            if said(at) == key or said(at)[1:-1] == key:
+                return at, end
+            at = end + 1
+        return None
+
     for k in symbols._top(tokens, match):
-        if said(k) not in ("const", "function", "enum") or said(k + 1) != (owner or name):
+        if said(k) not in ("const", "function", "enum") or said(k + 1) != (owners or [name])[0]:
             continue
-        if owner:
+        if owners:
             o = next((x for x in range(k + 2, len(tokens)) if said(x) == "{"), None)
-            if o is None:
+            for key in owners[1:]:
+                found = entry(o, key) if o is not None else None
+                o = found[0] + 2 if found and said(found[0] + 2) == "{" else None
+            if o is None or (found := entry(o, name)) is None:
                 return source
-            at = o + 1
-            while at < match[o]:
-                end = at
-                while end < match[o] and said(end) != ",":
-                    end = match.get(end, end) + 1
-                if said(at) == name or said(at)[1:-1] == name:
-                    del tokens[at : end + (said(end) == ",")]
-                    return text(tokens, tail)
-                at = end + 1
-            return source
+            del tokens[found[0] : found[1] + (said(found[1]) == ",")]
+            return text(tokens, tail)
         start, end = k - (said(k - 1) == "export"), match[next(x for x in range(k, len(tokens)) if said(x) == "{")] + 1 if said(k) == "function" else None
         if end is None:
             end = next((x + 1 for x in _statement(tokens, match, k) if said(x) == ";"), None) or _statement_end(tokens, k)

@@ -4,7 +4,7 @@ A scope tree says what binds a name where it stands; only names of the module's
 come from sources by mapInArrow, a file at a time, and meet by joins (`resolved`): a reference's import names a module's
 file, exports lead on from there, and what they end at is a declaration or nothing.
 
-Kinds of rows: declaration (name, member of an object or class; its string in `target`), import (name; `other` in
+Kinds of rows: declaration (name, member of an object or class; its string in `target`), spread (name, an object into which `other` is spread), import (name; `other` in
 the module `target`; `*`: the module itself), export (name, for `other` of this module, or of the module `target`; name `*`: all of that
 one's), reference (name, member; removable: it is the key in a read; other: `call` without arguments, a `plain` value, or neither).
 """
@@ -15,7 +15,7 @@ import ast
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scanner import _OPEN, Token, Tokens, Unreadable, content, scan
@@ -223,12 +223,16 @@ def _top(tokens: Tokens, match: dict[int, int]):
         k = match.get(k, k) + 1
 
 
+#: Members after a name that are read: an object in an object in a module.
+DEEP = 3
+
+
 def references(tokens: Tokens, scopes: Scopes, names: set[str] | None = None):
-    """(place, name, members) of each use of a module's name; members: up to two names after dots. names: only these."""
+    """(place, name, members) of each use of a module's name; members: up to DEEP names after dots. names: only these."""
     for k, t in enumerate(tokens):
         if t.kind == "id" and (names is None or t.text in names) and scopes.of_module(k):
             members, j = [], k
-            while len(members) < 2 and scopes.text(j + 1) == "." and j + 2 < len(tokens) and tokens[j + 2].kind == "id":
+            while len(members) < DEEP and scopes.text(j + 1) == "." and j + 2 < len(tokens) and tokens[j + 2].kind == "id":
                 members.append(tokens[j + 2].text)
                 j += 2
             yield k, t.text, members
@@ -251,17 +255,23 @@ def key_places(tokens: Tokens, accessors: list[Accessor]) -> set[tuple[int, int]
     return found
 
 
-def _entries(tokens: Tokens, o: int, c: int, sign: str) -> list[tuple[str, str, int]]:
-    """Keys of an object or enum whose values are strings."""
-    out, k = [], o + 1
-    while k < c:
+def _entries(tokens: Tokens, match: dict[int, int], o: int, sign: str) -> tuple[list[tuple[str, str, int]], list[str]]:
+    """Keys of an object or enum whose values are strings, those of objects within it after a dot, and the names that it spreads. What stands before a spread may be overridden, so it is no entry."""
+    out, spread, k = [], [], o + 1
+    while k < match[o]:
         key = tokens[k].text if tokens[k].kind == "id" else content(tokens[k].text) if tokens[k].kind == "str" else None
-        if key and k + 2 < c + 1 and tokens[k + 1].text == sign and tokens[k + 2].kind in ("str", "tpl") and tokens[k + 3].text in (",", "}") and (v := content(tokens[k + 2].text)) is not None:
+        if tokens[k].text == "...":
+            out.clear()
+            spread.append(tokens[k + 1].text if tokens[k + 2].text in (",", "}") else "")
+        elif key and tokens[k + 1].text == sign and tokens[k + 2].kind in ("str", "tpl") and tokens[k + 3].text in (",", "}") and (v := content(tokens[k + 2].text)) is not None:
             out.append((key, v, k))
-        while k < c and tokens[k].text != ",":
-            k = matches(tokens[k : c + 1]).get(0, 0) + k + 1 if tokens[k].kind == "sign" and tokens[k].text in _OPEN else k + 1
+        elif key and tokens[k + 1].text == sign and tokens[k + 2].text == "{":
+            inner, more = _entries(tokens, match, k + 2, sign)
+            out += [] if more else [(f"{key}.{name}", v, at) for name, v, at in inner]
+        while k < match[o] and tokens[k].text != ",":
+            k = match.get(k, k) + 1
         k += 1
-    return out
+    return out, spread
 
 
 def of_script(source: str, language: str, accessors: list[Accessor]) -> list[Symbol]:
@@ -335,9 +345,11 @@ def of_script(source: str, language: str, accessors: list[Accessor]) -> list[Sym
             if text(j) == "=" and tokens[j + 1].kind in ("str", "tpl") and (after in (";", "as", "", "export", "const", "import") or "\n" in tokens[j + 2].gap) and (v := content(tokens[j + 1].text)) is not None:
                 out.append(Symbol("declaration", text(k + 1), "", v, None, None, lines[k]))
             elif text(j) == "=" and text(j + 1) == "{":
-                out += [Symbol("declaration", text(k + 1), key, v, None, None, lines[x]) for key, v, x in _entries(tokens, j + 1, match[j + 1], ":")]
+                entries, spread = _entries(tokens, match, j + 1, ":")
+                out += [Symbol("declaration", text(k + 1), key, v, None, None, lines[x]) for key, v, x in entries]
+                out += [Symbol("spread", text(k + 1), "", None, x, None, lines[k]) for x in spread if len(spread) == 1 and x]
         elif word == "enum" and text(k + 2) == "{":
-            out += [Symbol("declaration", text(k + 1), key, v, None, None, lines[x]) for key, v, x in _entries(tokens, k + 2, match[k + 2], "=")]
+            out += [Symbol("declaration", text(k + 1), key, v, None, None, lines[x]) for key, v, x in _entries(tokens, match, k + 2, "=")[0]]
     out += [Symbol("export", name, "", None, name) for name in sorted(exported)]
     places = key_places(tokens, accessors)
     for k, name, members in references(tokens, scopes):
@@ -450,9 +462,9 @@ class PythonScopes(ast.NodeVisitor):
 
 
 def dotted(parents: dict[int, ast.AST], node: ast.Name) -> tuple[ast.expr, list[str]]:
-    """The longest chain of up to two attributes on a name, and its members."""
+    """The longest chain of up to DEEP attributes on a name, and its members."""
     top, members = node, []
-    while len(members) < 2 and isinstance(up := parents.get(id(top)), ast.Attribute) and isinstance(up.ctx, ast.Load):
+    while len(members) < DEEP and isinstance(up := parents.get(id(top)), ast.Attribute) and isinstance(up.ctx, ast.Load):
         members.append(up.attr)
         top = up
     return top, members
@@ -663,18 +675,23 @@ def resolved(table: DataFrame, files: DataFrame) -> Resolved:
     return Resolved(led, taken.join(ends.withColumnRenamed("name", "asked"), ["module", "asked"]))
 
 
+def owner_and_name(own: Column, member: Column) -> list[Column]:
+    """owner and name of a declaration: an entry's object (and the objects in it that hold it) and its key; "" and the constant itself for others."""
+    above = F.regexp_extract(member, r"^(.*)\.[^.]*$", 1)
+    owner = F.when(member == "", "").when(above == "", own).otherwise(F.concat(own, F.lit("."), above))
+    return [owner.alias("owner"), F.when(member == "", own).otherwise(F.regexp_extract(member, r"([^.]*)$", 1)).alias("name")]
+
+
 def key_tables(table: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
     """What `operators.resolve.resolve` takes: declarations (path, module, owner, name, key) and references (path, module, owner, name, removable).
 
     A use of a whole object is one of all its members, and isn't removable.
     """
     constants = table.where("kind = 'declaration'")
-    declarations = constants.select("path", F.col("path").alias("module"), F.when(F.col("member") != "", F.col("name")).otherwise("").alias("owner"), F.when(F.col("member") != "", F.col("member")).otherwise(F.col("name")).alias("name"), F.col("target").alias("key"))
+    declarations = constants.select("path", F.col("path").alias("module"), *owner_and_name(F.col("name"), F.col("member")), F.col("target").alias("key"))
     uses = resolved(table, files).uses.where("at is not null")
     named = constants.select(F.col("path").alias("at"), F.col("name").alias("own"), F.col("member").alias("declared"))
-    met = uses.join(named, ["at", "own"]).withColumn("first", F.regexp_extract("of", r"^([^.]*)", 1))
-    met = met.where("declared = '' OR first = declared OR of = ''")
+    met = uses.join(named, ["at", "own"]).where("declared = '' OR of = '' OR of = declared OR startswith(of, declared || '.') OR startswith(declared, of || '.')")
     sure = F.col("removable") & ((F.col("declared") == "") & (F.col("of") == "") | (F.col("declared") != "") & (F.col("of") == F.col("declared")))
-    bare = F.col("declared") == ""
-    references = met.select("path", F.col("at").alias("module"), F.when(bare, "").otherwise(F.col("own")).alias("owner"), F.when(bare, F.col("own")).otherwise(F.col("declared")).alias("name"), sure.alias("removable"), F.col("name").alias("root"), "member", "line")
+    references = met.select("path", F.col("at").alias("module"), *owner_and_name(F.col("own"), F.col("declared")), sure.alias("removable"), met["name"].alias("root"), "member", "line")
     return {"declarations": declarations, "references": references}

@@ -225,3 +225,25 @@ def test_only_changed_files_are_read_again(spark, tmp_path):
     counter = spark.sparkContext.accumulator(0)
     symbols.indexed(make(rows[:3]), accessors("other")[0], index, counter).count()
     assert counter.value == 3
+
+
+MAPS = {
+    "base.ts": "export const BASE = { x: { y: 'k', z: 'other' }, 'top': 'k' };\n",
+    "map.ts": "import { BASE } from './base';\nexport const MAP = { before: 'k', ...BASE, own: { deep: 'k' } };\n",
+    "index.ts": "export { MAP as Flags } from './map';\n",
+    "use.ts": "import { Flags } from './index';\nimport * as m from './map';\nlog(isEnabled(Flags.x.y), isEnabled(m.MAP.own.deep), isEnabled(Flags.top), isEnabled(Flags.before), isEnabled(Flags.x.z));\n",
+    "solo.ts": "export const SOLO = { a: { lone: 'k', c: 'd' } };\n", "usesolo.ts": "import { SOLO } from './solo';\nlog(isEnabled(SOLO.a.lone), SOLO.a.c);\n",
+    "whole.ts": "export const WHOLE = { a: { b: 'k', c: 'd' } };\n", "usewhole.ts": "import { WHOLE } from './whole';\nlog(isEnabled(WHOLE.a.b), Object.keys(WHOLE.a));\n",
+}
+
+
+def test_maps_are_read_through_spreads_and_levels(spark):
+    files = spark.createDataFrame(list(MAPS.items()), "path string, content string")
+    flags = spark.createDataFrame([("k", "k", True)], "key string, code_key string, treatment boolean")
+    table = symbols.symbols(files.selectExpr("path", "'ts' AS language", "content"), READS).cache()
+    got = {r.path: r.after for r in spread.followed(flags, remove.pairs(flags, files), files, table, READS).collect()}
+    assert got["use.ts"].endswith("log(true, true, true, isEnabled(Flags.before), isEnabled(Flags.x.z));\n")  # what a spread may override is left
+    assert got["usesolo.ts"].endswith("log(true, SOLO.a.c);\n") and got["solo.ts"] == "export const SOLO = { a: { c: 'd' } };\n"
+    assert got["usewhole.ts"].endswith("log(true, Object.keys(WHOLE.a));\n") and got.get("whole.ts", MAPS["whole.ts"]) == MAPS["whole.ts"]
+    assert got.get("base.ts", MAPS["base.ts"]) == MAPS["base.ts"]
+    table.unpersist()
