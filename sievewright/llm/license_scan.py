@@ -48,6 +48,12 @@ PERMISSIVE = frozenset({
     "libpng-2.0", "mit", "mit-0", "ms-pl", "ncsa", "openssl", "php-3.01", "postgresql", "psf-2.0", "python-2.0", "tcl",
     "unicode-3.0", "unicode-dfs-2016", "unlicense", "upl-1.0", "w3c", "wtfpl", "x11", "zlib", "zpl-2.1",
 })
+# Families of licence identifiers, in lower case; an identifier is one of these, or begins with one and a dash.
+FAMILIES = frozenset({
+    "0bsd", "afl", "agpl", "apache", "apsl", "artistic", "beerware", "blueoak", "bsd", "bsl", "busl", "catosl", "cc", "cc0", "cddl", "cecill", "cpal", "cpl", "curl", "ecl", "efl", "elastic",
+    "epl", "eupl", "fsfap", "ftl", "gfdl", "gpl", "hpnd", "icu", "ijg", "ipl", "isc", "lgpl", "libpng", "lppl", "mit", "mpl", "ms", "mulanpsl", "ncsa", "npl", "nposl", "odbl", "ofl", "openssl",
+    "osl", "php", "postgresql", "psf", "python", "qpl", "rpl", "ruby", "sspl", "tcl", "unicode", "unlicense", "upl", "vim", "w3c", "wtfpl", "x11", "zlib", "zpl",
+})
 TAG_WORDS = "spdx license identifier"
 _TAG = re.compile(r"SPDX-License-Identifier\s*:[ \t]*((?:(?!SPDX-License-Identifier)[A-Za-z0-9.+:() \t-])+)", re.IGNORECASE)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
@@ -133,8 +139,13 @@ def evaluate(postfix: list[str]) -> tuple[frozenset[str], bool]:
     return stack.pop()
 
 
+def known(name: str) -> bool:
+    """Whether an identifier is one of a licence, by its family; exceptions after `with` have no label of their own."""
+    return name.removesuffix("+") in FAMILIES or any(name[:k] in FAMILIES for k, c in enumerate(name) if c == "-")
+
+
 class Scanner:
-    """Labels of one text at a time."""
+    """Labels of one text at a time. Texts of any length are read whole, in time that grows with them."""
 
     def __init__(self):
         import ahocorasick
@@ -152,11 +163,15 @@ class Scanner:
         words = alnum_words(text.encode())
         line = f" {b' '.join(words).decode()} "
         base, labels, places, tagged, notices = set(), set(), [], False, 0
+        at = passed = 0  # blanks before a place of the line, counted on from the match before
         for end, (size, values) in self.automaton.iter(line):
             for kind, label in values:
                 if kind == "base":
                     base.add(label)
-                    places.append(line.count(" ", 0, end - size + 1))
+                    start = end - size + 1
+                    passed += line.count(" ", at, start) if start >= at else -line.count(" ", start, at)
+                    at = start
+                    places.append(passed)
                 elif kind == "notice":
                     labels.add(label)
                     notices += 1
@@ -169,6 +184,9 @@ class Scanner:
                 names, free = evaluate(parse(expression))
             except ValueError:
                 continue
+            names = set(filter(known, names))
+            if not names:
+                continue
             expressions.append(" ".join(expression.split()))
             labels |= names
             permissive = free if permissive is None else permissive and free

@@ -10,7 +10,7 @@ Unigrams are summed by word. Words that make up at least HEAD of all, so at most
 most 1 / COMMON words that are common are counted in a square table; every other pair is less than COMMON of all. All
 occurrences of such a pair of broadcast words meet in one task, and all occurrences of any other word, with their
 neighbours, in one task too. It counts them, then scores them, and sends back sums for each document. A partition is made
-for each PART words, so none grows with the corpus.
+for each PART words, but the occurrences of one pair are not split, so the largest task may have COMMON of all pairs and grows with the corpus.
 
 Null and empty texts: no words, null losses and score. Texts of any length are read whole, and an empty table gives no
 rows. doc_id has to be of an integer type. Repeated rows are documents of their own. Labels of one document are

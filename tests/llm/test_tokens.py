@@ -146,6 +146,26 @@ def test_tags_amid_other_text(text, expression):
     assert license_scan.Scanner().scan(text)["expressions"] == expression
 
 
+def test_only_licences_are_labels():
+    scan = license_scan.Scanner().scan
+    assert scan("SPDX-License-Identifier: banana")["labels"] == "" and scan("SPDX-License-Identifier: banana")["score"] == 0
+    got = scan("SPDX-License-Identifier: banana OR GPL-2.0-only WITH Classpath-exception-2.0")
+    assert got["labels"] == "gpl-2.0-only" and got["expressions"]
+    for name in ("MIT", "Apache-2.0", "CC-BY-SA-4.0", "CC0-1.0", "BSD-3-Clause", "LGPL-2.1+", "MS-PL", "0BSD"):
+        assert license_scan.known(name.lower()), name
+    for name in ("banana", "mitre", "mit2", "licenseref-x", "-"):
+        assert not license_scan.known(name), name
+
+
+def test_places_are_counted_in_time_that_grows_with_the_text():
+    import time
+
+    began = time.process_time()
+    got = license_scan.Scanner().scan("mit license gnu general public license cc by " * 30_000)
+    assert (got["n_base"], got["first_word"], got["last_word"], got["n_words"]) == (90_000, 0, 8 * 30_000 - 2, 240_000)
+    assert time.process_time() - began < 20
+
+
 def events(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, message long, seq long, kind string, role string, text string, segment string, last int")
 
