@@ -275,7 +275,7 @@ def test_sql_agrees(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "pages", "embeddings"):
         c.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     df = queries.QUERIES[name](spark, DATA)
     rel = c.execute(queries.ORACLE[name])
