@@ -513,7 +513,9 @@ def unprocessed_files(read):
 @slice_of("SELECT l_partkey AS path, arg_min(l_suppkey, (l_orderkey, l_linenumber)) AS owner FROM lineitem GROUP BY l_partkey")
 def first_owners(read):
     """The supplier of each part's first line."""
-    return agreement.first_owner(read("lineitem").select(F.col("l_partkey").alias("path"), F.struct("l_orderkey", "l_linenumber").alias("seq"), F.col("l_suppkey").alias("owner"))).select("path", "owner")
+    # A part may have two suppliers on one line; the row that stands first in the table's files is the first.
+    at = F.struct("l_orderkey", "l_linenumber", "_metadata.file_path", "_metadata.row_index")
+    return agreement.first_owner(read("lineitem").select(F.col("l_partkey").alias("path"), at.alias("seq"), F.col("l_suppkey").alias("owner"))).select("path", "owner")
 
 
 @slice_of("SELECT l_partkey AS constructor, l_linenumber AS parameter FROM lineitem GROUP BY ALL HAVING bool_and(l_quantity > 5)")
