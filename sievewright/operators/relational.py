@@ -127,6 +127,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return _cut(df.sparkSession, df)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out evenly by keys, for costly work on each row: a small compressed table is read by one task, however many rows it has."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def ancestors(df: DataFrame, path: str, column: str = "directory") -> DataFrame:
     """A row for each directory above a path, the root ("") included."""
     parts = F.split(path, "/")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scanner import Token, Tokens, Unreadable, scan, text
 from ..operators import agreement
-from ..operators.relational import _cut
+from ..operators.relational import _cut, dealt
 from ..sources import checkout
 from . import symbols
 from .fold import MARKUP, SCRIPTS, Refused, _arguments, _literal, _simplify, refusal
@@ -113,7 +113,8 @@ def read_sites(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
     language = checkout.language(F.col("path"))
-    return texts.select("flag", "path", language.alias("language"), "content").where(F.col("content").isNotNull() & language.isin(*SCRIPTS)).mapInArrow(run, SITES)
+    asked = texts.select("flag", "path", language.alias("language"), "content").where(F.col("content").isNotNull() & language.isin(*SCRIPTS))
+    return dealt(asked, "flag", "path").mapInArrow(run, SITES)
 
 
 def rewritten(source: str, language: str, drops: list[dict]) -> str:
@@ -270,7 +271,7 @@ def inlined(state: DataFrame, files: DataFrame, names: symbols.Resolved) -> Data
                         after.append(None)
                 yield pd.DataFrame({"flag": part["flag"], "path": part["path"], "source": part["source"], "after": pd.Series(after, dtype=object), "drops": part["drops"]})
 
-        done = _cut(spark, work.mapInPandas(run, work.select("flag", "path", "source", F.lit(None).cast("string").alias("after"), "drops").schema))
+        done = _cut(spark, dealt(work, "flag", "path").mapInPandas(run, work.select("flag", "path", "source", F.lit(None).cast("string").alias("after"), "drops").schema))
         lost = done.where("after IS NULL").select("flag", F.explode("drops").alias("d")).select("flag", "d.at", "d.own").distinct()
         if lost.isEmpty():
             break

@@ -9,7 +9,7 @@ from __future__ import annotations
 import ast
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +22,10 @@ from . import fold as one
 from . import python_fold, wrappers
 
 _FOLDED = "flag string, path string, before string, after string, reads int, reason string, findings array<struct<line:int,kind:string,reason:string>>, left int, made array<struct<name:string,form:string,value:boolean>>, gone array<struct<start:int,end:int>>"
+_ARROW = pa.schema({
+    **dict.fromkeys(("flag", "path", "before", "after"), pa.string()), "reads": pa.int32(), "reason": pa.string(), "findings": pa.list_(pa.struct({"line": pa.int32(), "kind": pa.string(), "reason": pa.string()})), "left": pa.int32(),
+    "made": pa.list_(pa.struct({"name": pa.string(), "form": pa.string(), "value": pa.bool_()})), "gone": pa.list_(pa.struct({"start": pa.int32(), "end": pa.int32()})),
+})
 
 
 def pairs(open_candidates: DataFrame, files: DataFrame) -> DataFrame:
@@ -65,31 +69,34 @@ def folded(rows: DataFrame, accessors: Sequence[Accessor], gates: Sequence[Gate]
     """
     reads, shown, idle = list(accessors), list(gates), list(inert)
 
-    def run(parts):
-        for part in parts:
+    columns = ["flag", "path", "before", "code_key", "treatment", "language", *(["known"] if "known" in rows.columns else [])]
+
+    def run(batches):
+        for batch in batches:
             out = []
-            for r in part.itertuples(index=False):
-                after, n, reason, findings, left, made, gone = r.before, 0, None, [], 0, [], []
-                known = [one.Known(x["name"], x["member"], x["form"], x["value"]) for x in (getattr(r, "known", None) if getattr(r, "known", None) is not None else [])]
+            for flag, path, before, key, treatment, language, *names in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                after, n, reason, findings, left, made, gone = before, 0, None, [], 0, [], []
+                known = [one.Known(x["name"], x["member"], x["form"], x["value"]) for x in (names[0] if names and names[0] else [])]
                 try:
-                    if r.language in one.FOLDED:
-                        after, n, reason, findings, left, made, gone = _one(r.before, r.code_key, bool(r.treatment), r.language, reads, shown, idle, known)
-                    elif r.language == "python":
-                        done = python_fold.fold(r.before, r.code_key, bool(r.treatment), reads, known)
+                    if language in one.FOLDED:
+                        after, n, reason, findings, left, made, gone = _one(before, key, bool(treatment), language, reads, shown, idle, known)
+                    elif language == "python":
+                        done = python_fold.fold(before, key, bool(treatment), reads, known)
                         after, n, findings, left, made = done.after, done.reads, done.findings, done.left, done.made
                 except (Unreadable, SyntaxError) as e:
-                    if _readable(r.before, r.language):
-                        after, reason = r.before, f"the rewrite does not scan: {e}"
+                    if _readable(before, language):
+                        after, reason = before, f"the rewrite does not scan: {e}"
                     else:
                         findings = [(None, "unreadable", "the file was left: it does not scan")]
                 except (one.Refused, RecursionError) as e:
-                    after, reason = r.before, str(e) or "nested too deep"
+                    after, reason = before, str(e) or "nested too deep"
                 if reason:
                     made, gone = [], []
-                out.append((r.flag, r.path, r.before, after, n, reason, [{"line": a, "kind": b, "reason": c} for a, b, c in findings], left, [{"name": a, "form": b, "value": c} for a, b, c in made], [{"start": a, "end": b} for a, b in gone]))
-            yield pd.DataFrame(out, columns=["flag", "path", "before", "after", "reads", "reason", "findings", "left", "made", "gone"])
+                out.append((flag, path, before, after, n, reason, [{"line": a, "kind": b, "reason": c} for a, b, c in findings], left, [{"name": a, "form": b, "value": c} for a, b, c in made], [{"start": a, "end": b} for a, b in gone]))
+            arrays = zip(*out, strict=True) if out else [()] * len(_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind.type) for x, kind in zip(arrays, _ARROW, strict=True)], schema=_ARROW)
 
-    return rows.mapInPandas(run, _FOLDED)
+    return relational.dealt(rows.select(*columns), "flag", "path").mapInArrow(run, _FOLDED)
 
 
 def run(rows: DataFrame, files: DataFrame, accessors: Sequence[Accessor], ignore: Sequence[str] = (), allow: Sequence[str] = (), aliases: dict[str, str] | None = None, known: DataFrame | None = None, handled: DataFrame | None = None, max_prs: int = 0, gates: Sequence[Gate] = (), inert: Sequence[str] = (), follow: bool = True, index: DataFrame | None = None) -> dict[str, DataFrame]:

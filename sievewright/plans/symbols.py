@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scanner import _OPEN, Token, Tokens, Unreadable, content, scan
-from ..operators.relational import _cut, follow
+from ..operators.relational import _cut, dealt, follow
 from ..sources.config import Accessor
 
 #: Languages whose names are read here.
@@ -379,9 +379,11 @@ def used_as(tokens: Tokens, scopes: Scopes, k: int, end: int) -> str:
 
 def constants_of(tokens: Tokens) -> dict[tuple[str, str], bool]:
     """Names at a module's top that stand for true or false: functions without parameters that only return it (`call`), and constants (`value`)."""
+    said = {"true": True, "false": False}
+    if not any(t.text in said for t in tokens):
+        return {}
     match, out = matches(tokens), {}
     text = lambda k: tokens[k].text if k < len(tokens) else ""
-    said = {"true": True, "false": False}
 
     def typed(k: int) -> int:
         if text(k) != ":":
@@ -566,7 +568,7 @@ def symbols(files: DataFrame, accessors: list[Accessor]) -> DataFrame:
             names = [x.split(" ")[0] for x in SYMBOLS.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
-    return files.select("path", "language", "content").mapInArrow(run, SYMBOLS)
+    return dealt(files.select("path", "language", "content"), "path").mapInArrow(run, SYMBOLS)
 
 
 def indexed(files: DataFrame, accessors: list[Accessor], index: str, parsed=None) -> DataFrame:

@@ -14,8 +14,23 @@ def _files(spark, n):
     return spark.range(n, numPartitions=1).select(F.lit("k").alias("flag"), F.lit("k").alias("code_key"), F.lit(True).alias("treatment"), F.col("id").cast("string").alias("path"), F.lit("ts").alias("language"), source.alias("before"))
 
 
+def test_folds_of_a_table_in_one_part_run_in_many_tasks(spark):
+    done = remove.folded(_files(spark, 400), [Accessor("isEnabled")]).withColumn("task", F.spark_partition_id())
+    assert done.select("task").distinct().count() > 4
+    assert done.where(F.col("after") == F.concat(F.lit("a("), "path", F.lit(");"))).count() == 400
 
 
+def test_predicted_blocks_of_a_table_in_one_part_run_in_many_tasks(spark):
+    found = predicted.spans(_files(spark, 400), [Accessor("isEnabled")]).withColumn("task", F.spark_partition_id())
+    assert found.count() == 400 and found.select("task").distinct().count() > 4
+
+
+def test_a_fold_leaves_remembered_tokens_as_they_were():
+    source = "const v = isEnabled('k') ? a : b;"
+    for _ in range(2):
+        assert fold(source, "k", True, [Accessor("isEnabled")]).after == "const v = a;"
+    assert [t.text for t in scanned(source, language="ts")[0]] == [t.text for t in scan(source)[0]]
+
 
 
 
