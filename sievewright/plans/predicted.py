@@ -72,7 +72,7 @@ def spans(files: DataFrame, accessors: Sequence[Accessor], columns: Sequence[str
                 return
 
     table = F.udtf(Blocks, returnType="start: int, end: int")
-    return files.lateralJoin(table(F.col("before").outer(), F.col("code_key").outer(), F.col("treatment").outer(), F.col("language").outer())).select(*columns, "start", "end")
+    return relational.dealt(files, *columns).lateralJoin(table(F.col("before").outer(), F.col("code_key").outer(), F.col("treatment").outer(), F.col("language").outer())).select(*columns, "start", "end")
 
 
 def unkept(predicted: DataFrame, done: DataFrame) -> DataFrame:
