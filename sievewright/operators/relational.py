@@ -107,8 +107,22 @@ def _shared(spark) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: The largest side of a join that Spark may broadcast by itself once tables are cut, in bytes as they are stored.
+BROADCAST = 1 << 17
+
+
+def _modest(spark) -> None:
+    """Lower the sizes up to which Spark broadcasts. It goes by stored bytes; texts that are alike have many times those in memory, and each join collects its table to the driver."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    for of in (name, name.replace("sql.", "sql.adaptive.")):
+        most = spark.conf.get(of, None) or spark.conf.get(name)
+        if not most.removesuffix("b").lstrip("-").isdigit() or int(most.removesuffix("b")) > BROADCAST:
+            spark.conf.set(of, str(BROADCAST))
+
+
 def _cut(spark, df: DataFrame) -> DataFrame:
     """df with its lineage cut by a table written into the shared folder, which costs one pass; it goes when the process ends."""
+    _modest(spark)
     sc = spark.sparkContext
     path = f"{_shared(spark).rstrip('/')}/sievewright-{sc.applicationId}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -32,6 +32,11 @@ def test_a_fold_leaves_remembered_tokens_as_they_were():
     assert [t.text for t in scanned(source, language="ts")[0]] == [t.text for t in scan(source)[0]]
 
 
+def test_cut_tables_are_not_broadcast_by_their_stored_size(spark):
+    rows = spark.range(200_000).select(F.col("id"), F.repeat(F.lit("same"), 50).alias("text"))
+    a, b = relational.checkpointed(rows), relational.checkpointed(rows.withColumnRenamed("text", "other"))
+    assert "BroadcastHashJoin" not in a.join(b, "id")._jdf.queryExecution().executedPlan().toString()
+
 
 
 
