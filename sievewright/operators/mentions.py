@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokens
-from .relational import closure, first_by
+from .relational import _cut, closure, first_by
 
 #: So many names are searched for in each text, which is cheaper than cutting the text into tokens.
 FEW = 32
@@ -24,8 +24,8 @@ BLOCK = 1000
 
 
 def mention_files(files: DataFrame, names: DataFrame, inside: str = tokens.IDENTIFIER, path: str = "path", content: str = "content") -> DataFrame:
-    """path and name for each file and each name (a table of name) that it mentions as a token; name is null for an unreadable file."""
-    distinct = names.select("name").where(F.col("name").isNotNull()).distinct()
+    """path and name for each file and each name (a table of name) that it mentions as a token; name is null for an unreadable file. An empty name is mentioned nowhere."""
+    distinct = names.select("name").where(F.col("name") != "").distinct()
     text = files.select(path, content).where(F.col(content).isNotNull())
     quoted = F.concat(F.lit(f"(?<![{inside}])\\Q"), F.col("name"), F.lit(f"\\E(?![{inside}])"))
     first = [r.name for r in distinct.limit(FEW + 1).collect()]
@@ -34,13 +34,18 @@ def mention_files(files: DataFrame, names: DataFrame, inside: str = tokens.IDENT
     parts = F.regexp_extract_all("name", F.lit(f"([{inside}]+)"), F.lit(1))
     longest = F.array_max(F.transform(parts, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     keyed = distinct.withColumn("token", longest)
+    keyed = _cut(names.sparkSession, keyed)  # several passes read the names, which may come from all texts
+    kinds = keyed.agg(F.max(F.col("token").isNull()).alias("bare"), F.max(F.col("token") != F.col("name")).alias("several")).first()
     cut = text.select(path, F.explode(tokens.tokens(F.col(content), inside)).alias("token"))
     found = cut.join(keyed.where("token = name"), "token").select(path, "name")
-    met = cut.join(keyed.where("token != name"), "token").select(path, "name").join(text, path)
-    found = found.union(met.where(F.regexp_like(content, quoted)).select(path, "name"))
-    bare = keyed.where("token is null").select("name").toLocalIterator()
-    blocks = iter(lambda: [r.name for r in islice(bare, BLOCK)], [])
-    return found.union(_searched(text, blocks, quoted, path, content)).union(_unread(files, path, content))
+    if kinds.several:
+        met = cut.join(keyed.where("token != name"), "token").select(path, "name").join(text, path)
+        found = found.union(met.where(F.regexp_like(content, quoted)).select(path, "name"))
+    if kinds.bare:
+        bare = keyed.where("token is null").select("name").toLocalIterator()
+        blocks = iter(lambda: [r.name for r in islice(bare, BLOCK)], [])
+        found = found.union(_searched(text, blocks, quoted, path, content))
+    return found.union(_unread(files, path, content))
 
 
 def _searched(text: DataFrame, blocks: Iterable[list[str]], quoted: Column, path: str, content: str) -> DataFrame:
@@ -69,17 +74,26 @@ def with_aliases(names: DataFrame, renames: DataFrame) -> DataFrame:
     return closure(renames.select(F.col("original").alias("src"), F.col("alias").alias("dst")), names.select(F.col("name").alias("node"))).withColumnRenamed("node", "name")
 
 
+def elsewhere(constants: DataFrame, files: DataFrame) -> DataFrame:
+    """constants (path, name) with `elsewhere`: whether another file names it; an unreadable other file counts.
+
+    Of the files that name a constant the first and the last path are kept: one that isn't its own is another's, so no constant meets all of its mentions.
+    """
+    ends = (F.min("path").alias("_lo"), F.max("path").alias("_hi"))
+    named = mention_files(files.where(F.col("content").isNotNull()), constants.select("name")).groupBy("name").agg(*ends)
+    blind = files.where(F.col("content").isNull()).agg(F.min("path").alias("_first"), F.max("path").alias("_last"))
+    other = [F.coalesce(F.col(c) != F.col("path"), F.lit(False)) for c in ("_lo", "_hi", "_first", "_last")]
+    met = constants.join(named, "name", "left").crossJoin(F.broadcast(blind))
+    return met.select(*constants.columns, (other[0] | other[1] | other[2] | other[3]).alias("elsewhere"))
+
+
 def referenced_elsewhere(constants: DataFrame, files: DataFrame) -> DataFrame:
     """Constants (path, name) that another file names; an unreadable other file counts."""
-    found = mention_files(files, constants.select("name"))
-    named = constants.join(found.withColumnRenamed("path", "other"), "name").where("other != path").select("path", "name")
-    unread = found.where("name is null").select(F.col("path").alias("other"))
-    blind = constants.join(unread, F.col("other") != F.col("path"), "left_semi").select("path", "name")
-    return named.union(blind).distinct()
+    return elsewhere(constants, files).where("elsewhere").select("path", "name").distinct()
 
 
 def unnamed_elsewhere(constants: DataFrame, files: DataFrame) -> DataFrame:
-    return constants.join(referenced_elsewhere(constants, files), ["path", "name"], "left_anti")
+    return elsewhere(constants, files).where("not elsewhere").drop("elsewhere")
 
 
 def unprocessed(references: DataFrame, skipped: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def resolve(declarations: DataFrame, references: DataFrame, files: DataFrame) ->
     proven = references.groupBy(F.col("path").alias("other"), *NAME).agg(F.bool_and(F.coalesce("removable", F.lit(False))).alias("_ok"))
     judged = named.join(proven, ["other", *NAME], "left").groupBy("path", *NAME).agg(F.bool_and(F.coalesce("_ok", F.lit(False))).alias("_all"))
     own = references.groupBy("path", *NAME).agg(F.bool_and(F.coalesce("removable", F.lit(False))).alias("_own"))
-    unread = mentions.where("name is null").select(F.lit(1).alias("_one")).limit(1).count() > 0
+    unread = not files.where(F.col("content").isNull()).isEmpty()
     rows = lone.join(judged, ["path", *NAME], "left").join(own, ["path", *NAME], "left")
     ok = F.coalesce("_all", F.lit(True)) & F.coalesce("_own", F.lit(True)) & F.lit(not unread)
     rows = rows.withColumn("_free", ok)

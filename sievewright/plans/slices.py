@@ -387,8 +387,7 @@ def named_elsewhere(read):
     """The first word of each document as its constant, and whether another document names it."""
     files = read("documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
     constants = files.select("path", F.regexp_extract("content", "[A-Za-z0-9_]+", 0).alias("name"))
-    yes = mentions.referenced_elsewhere(constants, files).withColumn("elsewhere", F.lit(True))
-    return yes.union(mentions.unnamed_elsewhere(constants, files).withColumn("elsewhere", F.lit(False)))
+    return mentions.elsewhere(constants, files)
 
 
 @slice_of(f"""WITH t AS (SELECT doc_id AS other, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS w FROM documents),

@@ -38,6 +38,21 @@ def test_cut_tables_are_not_broadcast_by_their_stored_size(spark):
     assert "BroadcastHashJoin" not in a.join(b, "id")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_constant_that_many_files_begin_with_meets_its_ends_alone(spark):
+    rows = [(k, "The x") for k in range(3)] + [(7, "lone word"), (8, "")]
+    files = spark.createDataFrame(rows, "path long, content string")
+    constants = files.select("path", F.regexp_extract("content", "[A-Za-z0-9_]+", 0).alias("name"))
+    got = {r.path: r.elsewhere for r in mentions.elsewhere(constants, files).collect()}
+    assert got == {0: True, 1: True, 2: True, 7: False, 8: False}
+    unread = files.union(spark.createDataFrame([(9, None)], "path long, content string"))
+    assert all(r.elsewhere for r in mentions.elsewhere(constants, unread).collect())
+
+
+def test_an_empty_name_is_mentioned_nowhere(spark):
+    files = spark.createDataFrame([(1, ""), (2, "a b")], "path long, content string")
+    declared = files.select("path", F.lit("m").alias("module"), F.lit("").alias("owner"), F.when(F.col("path") == 1, "").otherwise("a").alias("name"), F.lit("k").alias("key"))
+    out = resolve.resolve(declared, declared.select("path", "module", "owner", "name", F.lit(True).alias("removable")), files)
+    assert sorted(r.path for r in out["deletable"].collect()) == [1, 2]
 
 
 def test_the_first_owner_of_a_tie_is_that_of_the_first_row(spark, tmp_path):
