@@ -601,11 +601,16 @@ def indexed(files: DataFrame, accessors: list[Accessor], index: str, parsed=None
     return keyed.select("path", "digest").join(now, "digest").select("path", F.inline("symbols"))
 
 
-def module_files(asked: DataFrame, files: DataFrame) -> DataFrame:
-    """The file of each module that a file names (path, target): path, target and module. Scripts: relative names with or without ending; Python: dotted names below any directory above the file, the nearest first."""
-    parts = F.split("path", "/")
+def _from_where(asked: DataFrame) -> DataFrame:
+    """asked (path, target) with what a module's name is read by: the file's directory (with its last slash) and whether it is Python."""
+    return asked.select("path", "target", F.regexp_replace("path", r"[^/]*$", "").alias("directory"), F.endswith("path", F.lit(".py")).alias("python"))
+
+
+def tried_modules(asked: DataFrame) -> DataFrame:
+    """Files that a module's name may stand for (directory, python, target, rank, module), the first existing one counts. Files of one directory that name a module alike ask once."""
+    asked = _from_where(asked).select("directory", "python", "target").distinct()
+    parts = F.split("directory", "/")
     up = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    is_python = F.endswith("path", F.lit(".py"))
     dots = F.length(F.regexp_extract("target", r"^(\.*)", 1))
     named = F.replace(F.regexp_replace("target", r"^\.+", ""), F.lit("."), F.lit("/"))
     below = lambda d, name: F.when(F.size(d) == 0, name).otherwise(F.concat_ws("/", F.array_join(d, "/"), name))
@@ -614,13 +619,20 @@ def module_files(asked: DataFrame, files: DataFrame) -> DataFrame:
     python = F.flatten(F.transform(roots, lambda d: F.array(F.concat(below(d, named), F.lit(".py")), F.concat(below(d, named), F.lit("/__init__.py")))))
     steps = F.split("target", "/")
     climbed = F.aggregate(steps, up, lambda at, s: F.when(s == ".", at).when(s == "..", F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0)))).otherwise(F.concat(at, F.array(s))))
-    plain = F.array_join(climbed, "/")
+    asked = asked.withColumn("plain", F.when(~F.col("python") & F.startswith("target", F.lit(".")), F.array_join(climbed, "/")))  # a column, as it is asked many times
+    plain = F.col("plain")
     endings = [".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js"]
     script = F.array(plain, *(F.concat(plain, F.lit(e)) for e in endings), *(F.concat(F.regexp_replace(plain, r"\.[mc]?jsx?$", ""), F.lit(e)) for e in (".ts", ".tsx")))
-    tried = F.when(is_python, python).when(F.startswith("target", F.lit(".")), script)
-    rows = asked.select("path", "target").where("target is not null").distinct().select("path", "target", F.posexplode(tried).alias("rank", "module"))
-    met = rows.join(files.select(F.col("path").alias("module")).distinct(), "module")
-    return met.groupBy("path", "target").agg(F.min_by("module", "rank").alias("module"))
+    tried = F.when(F.col("python"), python).when(F.startswith("target", F.lit(".")), script)
+    return asked.select("directory", "python", "target", F.posexplode(tried).alias("rank", "module"))
+
+
+def module_files(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """The file of each module that a file names (path, target): path, target and module. Scripts: relative names with or without ending; Python: dotted names below any directory above the file, the nearest first."""
+    asked = asked.select("path", "target").where("target is not null").distinct()
+    met = tried_modules(asked).join(files.select(F.col("path").alias("module")).distinct(), "module")
+    found = met.groupBy("directory", "python", "target").agg(F.min_by("module", "rank").alias("module"))
+    return _from_where(asked).join(found, ["directory", "python", "target"]).select("path", "target", "module")
 
 
 def providers(table: DataFrame, modules: DataFrame) -> DataFrame:

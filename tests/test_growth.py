@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions.scanner import scan, scanned
 from sievewright.operators import mentions, relational, resolve
-from sievewright.plans import predicted, remove, slices
+from sievewright.plans import predicted, remove, slices, symbols
 from sievewright.plans.fold import fold
 from sievewright.sources.config import Accessor
 
@@ -64,3 +64,15 @@ def test_the_first_owner_of_a_tie_is_that_of_the_first_row(spark, tmp_path):
     with duckdb.connect() as c:
         c.execute(f"set threads = 1; create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
         assert got == sorted(c.execute(slices.ORACLE["first_owners"]).fetchall()) == [(5, 9), (6, 8)]
+
+
+def test_files_of_one_directory_look_for_a_module_once(spark):
+    """What may stand for a module's name is listed by directory, not by file, and means the same for each file."""
+    asked = [(f"src/o{k}{e}", t) for k in range(50) for e, t in ((".ts", "../flags/c"), (".py", "flags.c"))] + [("/a.ts", "./b"), ("a.ts", "./b"), ("src/deep/x.ts", "../o1"), ("src/deep/x.py", "..flags.c"), ("src/o1.ts", "bare"), ("src/o2.ts", None)]
+    files = [(p,) for p in ("flags/c.ts", "flags/c/index.ts", "flags/c.py", "src/flags/c.py", "/b.ts", "b.js", "src/o1.ts")]
+    asked, files = spark.createDataFrame(asked, "path string, target string"), spark.createDataFrame(files, "path string")
+    got = {(r.path, r.target): r.module for r in symbols.module_files(asked, files).collect()}
+    want = {(f"src/o{k}{e}", t): m for k in range(50) for e, t, m in ((".ts", "../flags/c", "flags/c.ts"), (".py", "flags.c", "src/flags/c.py"))}
+    assert got == want | {("/a.ts", "./b"): "/b.ts", ("a.ts", "./b"): "b.js", ("src/deep/x.ts", "../o1"): "src/o1.ts", ("src/deep/x.py", "..flags.c"): "src/flags/c.py"}
+    listed = symbols.tried_modules(asked.where("target is not null")).groupBy("directory", "python", "target", "rank").count()
+    assert listed.where("count > 1").isEmpty() and listed.where("directory = 'src/' AND NOT python AND target = '../flags/c'").count() == 11
