@@ -344,6 +344,35 @@ def test_a_seed_that_fills_the_rows(spark, monkeypatch):
     assert got == {(700, 200, 30, 140), (1400, 200, 30, 140)}
 
 
+@pytest.mark.parametrize("rows", [200_000, 300])
+def test_equal_runs_beside_many_fragments_are_all_found(spark, monkeypatch, rows):
+    """Of passages of 50 words and more beside many earlier fragments every one is found, and of all words in runs of 50 that an earlier document has every one is in a passage."""
+    monkeypatch.setattr(passage_dedup, "ROWS", rows)
+    rnd = random.Random(5)
+    texts, last, planted = [], [], []
+    for size in (50, 51, 54, 58, 58, 58, 58, 64, 64, 64, 70, 80):
+        whole = fresh_words(rnd, size)
+        for _ in range(40):
+            n = rnd.randrange(45, 49)
+            a = rnd.randrange(size - n + 1)
+            texts.append(fresh_words(rnd, rnd.randrange(30)) + whole[a : a + n] + fresh_words(rnd, rnd.randrange(5, 30)))
+        last += [fresh_words(rnd, 60) + whole + fresh_words(rnd, 20), fresh_words(rnd, 10) + whole + fresh_words(rnd, 60)]
+    rnd.shuffle(texts)
+    planted = list(range(len(texts) + 1, len(texts) + len(last), 2))
+    texts += last + corpus_with_repeats(rnd, 200)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    inside = [set() for _ in texts]
+    for r in passage_dedup.passages(docs).collect():
+        assert r.ref_doc_id < r.doc_id
+        inside[r.doc_id].update(range(r.start, r.end))
+    seen, lost = set(), 0
+    for k, words in enumerate(texts):
+        runs = [tuple(words[i : i + 50]) for i in range(len(words) - 49)]
+        lost += len({i + j for i, w in enumerate(runs) if w in seen for j in range(50)} - inside[k])
+        seen.update(runs)
+    assert lost == 0 and all(inside[k] for k in planted)
+
+
 def test_repeated_doc_ids_have_the_least_text(spark):
     rnd = random.Random(14)
     whole = fresh_words(rnd, 70)
