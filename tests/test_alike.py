@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sievewright.plans import remove
+from sievewright.plans import remove, slices
 from sievewright.plans.alike import alike
 from sievewright.plans.fold import Known, Refused
 from sievewright.sources.config import Accessor
@@ -90,3 +90,11 @@ def test_rows_of_alike_files_have_their_own_stretches_and_findings(spark):
         after, n, reason, findings, left, made, gone = _plain(r.before, "k", True)
         assert (r.flag, r.after, r.reads, r.reason, r.left) == ("k", after, n, reason, left) and n and made and gone
         assert ([tuple(x) for x in r.findings], [tuple(x) for x in r.made], [tuple(x) for x in r.gone]) == (findings, made, gone)
+
+
+def test_each_shape_is_folded_twice_at_most_for_each_value():
+    fold, calls = _counted()
+    for k in range(3200):
+        before, on, off = (x.replace("#", str(k * 11)) for x in slices.SHAPES[k % len(slices.SHAPES)])
+        assert fold(before, "k", k % 3 == 0, "ts", ())[0] == (on if k % 3 == 0 else off)
+    assert len(calls) == 2 * 2 * len(slices.SHAPES)
