@@ -23,14 +23,15 @@ FEW = 32
 BLOCK = 1000
 
 
-def mention_files(files: DataFrame, names: DataFrame, inside: str = tokens.IDENTIFIER, path: str = "path", content: str = "content") -> DataFrame:
-    """path and name for each file and each name (a table of name) that it mentions as a token; name is null for an unreadable file. An empty name is mentioned nowhere."""
+def mention_files(files: DataFrame, names: DataFrame, inside: str = tokens.IDENTIFIER, path: str = "path", content: str = "content", texts: bool = False) -> DataFrame:
+    """path and name for each file and each name (a table of name) that it mentions as a token; name is null for an unreadable file. An empty name is mentioned nowhere. texts: the content too."""
     distinct = names.select("name").where(F.col("name") != "").distinct()
     text = files.select(path, content).where(F.col(content).isNotNull())
     quoted = F.concat(F.lit(f"(?<![{inside}])\\Q"), F.col("name"), F.lit(f"\\E(?![{inside}])"))
     first = [r.name for r in distinct.limit(FEW + 1).collect()]
     if len(first) <= FEW:
-        return _searched(text, [first], quoted, path, content).union(_unread(files, path, content))
+        found = _searched(text, [first], quoted, path, content)
+        return found.unionByName(_unread(files, path, content), allowMissingColumns=True) if texts else found.drop(content).union(_unread(files, path, content))
     parts = F.regexp_extract_all("name", F.lit(f"([{inside}]+)"), F.lit(1))
     longest = F.array_max(F.transform(parts, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     keyed = distinct.withColumn("token", longest)
@@ -44,16 +45,18 @@ def mention_files(files: DataFrame, names: DataFrame, inside: str = tokens.IDENT
     if kinds.bare:
         bare = keyed.where("token is null").select("name").toLocalIterator()
         blocks = iter(lambda: [r.name for r in islice(bare, BLOCK)], [])
-        found = found.union(_searched(text, blocks, quoted, path, content))
-    return found.union(_unread(files, path, content))
+        found = found.union(_searched(text, blocks, quoted, path, content).drop(content))
+    if texts:
+        found = found.join(text, path)
+    return found.unionByName(_unread(files, path, content), allowMissingColumns=texts)
 
 
 def _searched(text: DataFrame, blocks: Iterable[list[str]], quoted: Column, path: str, content: str) -> DataFrame:
-    """path and name of each name of the blocks in each text."""
-    out = text.select(path, F.lit(None).cast("string").alias("name")).where("false")
+    """path, name and content of each name of the blocks in each text."""
+    out = text.select(path, F.lit(None).cast("string").alias("name"), content).where("false")
     for names in blocks:
         hits = F.filter(F.array(*map(F.lit, names)).cast("array<string>"), lambda n: F.contains(F.col(content), n))
-        out = out.union(text.select(path, content, F.explode(hits).alias("name")).where(F.regexp_like(content, quoted)).select(path, "name"))
+        out = out.union(text.select(path, content, F.explode(hits).alias("name")).where(F.regexp_like(content, quoted)).select(path, "name", content))
     return out
 
 

@@ -120,6 +120,23 @@ def _modest(spark) -> None:
             spark.conf.set(of, str(BROADCAST))
 
 
+#: The largest part of a join's smaller side that is held by its keys instead of sorted, in bytes as they are shuffled.
+HASHED = 64 << 20
+
+
+@contextlib.contextmanager
+def hashed(spark):
+    """Joins that run within keep the smaller side of each part by its keys, where all parts are small; sorting long keys on both sides costs several times that. The setting is as before in the end."""
+    name = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    before = spark.conf.get(name)
+    if before in ("0", "0b"):
+        spark.conf.set(name, f"{HASHED}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _cut(spark, df: DataFrame) -> DataFrame:
     """df with its lineage cut by a table written into the shared folder, which costs one pass; it goes when the process ends."""
     _modest(spark)
@@ -141,6 +158,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return _cut(df.sparkSession, df)
 
 
+#: So many rows go to every task of a join.
+FEW_ROWS = 1000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, sent to every task of a join if it has few rows: Spark doesn't know the size of a table made in the driver, and would deal out the other side by keys of which there are few."""
+    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
+
+
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """df dealt out evenly by keys, for costly work on each row: a small compressed table is read by one task, however many rows it has."""
     spark = df.sparkSession

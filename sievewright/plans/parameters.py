@@ -11,16 +11,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scanner import Token, Tokens, Unreadable, scan, text
-from ..operators import agreement
 from ..operators.relational import _cut, dealt
 from ..sources import checkout
+from ..sources.config import Accessor
 from . import symbols
+from .alike import rows_alike
 from .fold import MARKUP, SCRIPTS, Refused, _arguments, _literal, _simplify, refusal
 
 SITES = "flag string, path string, kind string, name string, member string, position int, label string, value string"
@@ -97,15 +97,67 @@ def sites(source: str, language: str) -> list[tuple[str, str, str, int | None, s
     return out
 
 
+def tally(source: str, language: str) -> list[tuple[bool, str, str, int, int, int, list[tuple[int | None, str | None, int, str | None]]]]:
+    """The sites of a source, summed: (function, name, member, calls, elements, others, places) of each name. places: position, label, how often it is given, and the one value that all calls here give it.
+
+    function: a function of the source's own, whose places are its parameters. One that can't be read has no sites, as a fold of it is refused anyway.
+    """
+    try:
+        found = sites(source, language)
+    except (Unreadable, IndexError, KeyError, RecursionError):
+        return []
+    functions, uses = {}, {}
+    for kind, name, member, position, label, value in found:
+        if kind in ("parameter", "property"):
+            functions.setdefault(name, []).append((None if kind == "property" else position, label, 0, None))
+            continue
+        counts, places = uses.setdefault((name, member), ({"call": 0, "element": 0, "other": 0}, {}))
+        if kind == "given":
+            n, agreed = places.get((position, label), (0, value))
+            places[position, label] = n + 1, agreed if agreed == value else None
+        else:
+            counts[kind] += 1
+    out = [(True, name, "", 0, 0, 0, places) for name, places in functions.items()]
+    return out + [(False, *names, *counts.values(), [(*place, *told) for place, told in places.items()]) for names, (counts, places) in uses.items()]
+
+
+_SYMBOL = "array<struct<kind:string,name:string,member:string,target:string,other:string,removable:boolean,line:int>>"
+TALLY = "array<struct<function:boolean,name:string,member:string,calls:int,elements:int,others:int,places:array<struct<position:int,label:string,n:int,value:string>>>>"
+
+
+def read(files: DataFrame, accessors: Sequence[Accessor]) -> DataFrame:
+    """The symbols and the sites of files (path, language, content), a row for each file: path, symbols, sites. A file is read once for both."""
+    reads = list(accessors)
+
+    def script(source: str, language: str) -> tuple[list, list]:
+        return symbols.read_one(source, language, reads), tally(source, language)
+
+    def run(batches):
+        alike = rows_alike(script, MARKUP, map(repr, reads))
+        for batch in batches:
+            both = []
+            for language, source in zip(*(symbols.values(batch.column(c)) for c in ("language", "content")), strict=True):
+                both.append(alike(language, (), source) if language in SCRIPTS and source is not None else (symbols.read_one(source, language, reads), []))
+            found, held = zip(*both, strict=True) if both else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), symbols.column(found, symbols.ARROW), symbols.column(held, ARROW)], names=["path", "symbols", "sites"])
+
+    return dealt(files.select("path", "language", "content"), "path").mapInArrow(run, f"path string, symbols {_SYMBOL}, sites {TALLY}")
+
+
+_PLACES = pa.list_(pa.struct({"position": pa.int32(), "label": pa.string(), "n": pa.int32(), "value": pa.string()}))
+ARROW = pa.list_(pa.struct({"function": pa.bool_(), "name": pa.string(), "member": pa.string(), "calls": pa.int32(), "elements": pa.int32(), "others": pa.int32(), "places": _PLACES}))
+
+
 def read_sites(texts: DataFrame) -> DataFrame:
-    """The sites of texts (flag, path, content); one that can't be read has none, as a fold of it is refused anyway."""
+    """The sites of texts (flag, path, content), a row each; one that can't be read has none."""
 
     def run(batches):
+        read = rows_alike(sites, MARKUP)
         for batch in batches:
             rows = []
             for flag, path, language, source in zip(*(batch.column(c).to_pylist() for c in ("flag", "path", "language", "content")), strict=True):
                 try:
-                    rows += [(flag, path, *x) for x in sites(source, language)]
+                    rows += [(flag, path, *x) for x in read(language, (), source)]
                 except (Unreadable, IndexError, KeyError, RecursionError):
                     continue
             kinds = [pa.string()] * 5 + [pa.int32(), pa.string(), pa.string()]
@@ -117,6 +169,13 @@ def read_sites(texts: DataFrame) -> DataFrame:
     return dealt(asked, "flag", "path").mapInArrow(run, SITES)
 
 
+def _rewritten(source: str, *told: object) -> str:
+    """`rewritten` by three words of each drop (name, member, label), the language and the rest of each (position, whether by label, value, declared)."""
+    *words, language, rest = told
+    drops = [{"name": words[3 * n], "member": words[3 * n + 1], "label": words[3 * n + 2] if labelled else None, "position": position, "value": value, "declared": declared} for n, (position, labelled, value, declared) in enumerate(rest)]
+    return rewritten(source, language, drops)
+
+
 def rewritten(source: str, language: str, drops: list[dict]) -> str:
     """A source without parameters (declared: they are the file's own functions') and arguments. Raises Refused if one side of it can't be."""
     tokens, tail = scan(source, language in MARKUP, language)
@@ -207,77 +266,74 @@ def rewritten(source: str, language: str, drops: list[dict]) -> str:
     return after
 
 
-def _agreed(given: DataFrame, keys: list[str]) -> DataFrame:
-    rows = given.withColumn("literal", F.coalesce(F.col("value").isin("true", "false"), F.lit(False)))
-    return agreement.constant_arguments(rows, keys)
-
-
-def inlined(state: DataFrame, files: DataFrame, names: symbols.Resolved) -> DataFrame:
-    """The folds (as `spread.spread` gives them) without the parameters that they made constant, on both sides."""
+def inlined(state: DataFrame, files: DataFrame, names: symbols.Resolved, held: DataFrame | None = None) -> DataFrame:
+    """The folds (as `spread.spread` gives them, with the sites of what was rewritten) without the parameters that they made constant, on both sides. held: path and sites of the files, where they are read already (`read`)."""
     spark = files.sparkSession
-    changed = state.where("reason IS NULL AND after != before").select("flag", "path", F.col("after").alias("content"))
-    changed = _cut(spark, changed)
+    plain = state.drop("sites")
+    changed = state.where("reason IS NULL AND after != before")
     if changed.isEmpty():
-        return state
-    lead = names.uses.where("at is not null").select("path", "name", "member", "at", "own", F.col("of").alias("_of")).distinct()
+        return plain
+    if held is None:
+        held = _cut(spark, read(files.withColumn("language", checkout.language(F.col("path"))), []))
+    held = held.select("path", F.inline("sites"))
+    site = ["path", "name", "member", "calls", "elements", "others", "places"]
+    sited = held.where("NOT function").select(F.lit(None).cast("string").alias("flag"), *site).union(changed.select("flag", "path", F.inline("sites")).where("NOT function").select("flag", *site))
+    placed = _cut(spark, symbols.led_by(sited, names.imports, names.ends).where("at IS NOT NULL AND of = ''").drop("of"))  # sites with the function that they are of
+    now, old = placed.where("flag IS NOT NULL"), placed.where("flag IS NULL").drop("flag")
+    touched = _cut(spark, now.where(F.exists("places", lambda p: p["value"].isin("true", "false"))).select("flag", "at", "own").distinct())
+    if touched.isEmpty():
+        return plain
+    # for a flag the sites of these functions as they were, and whether the flag rewrote their file
+    hot = old.join(touched, ["at", "own"]).join(changed.select("flag", "path", F.lit(True).alias("stale")), ["flag", "path"], "left")
+    every = _cut(spark, hot).withColumn("was", F.lit(True)).unionByName(now.withColumns({"stale": F.lit(None).cast("boolean"), "was": F.lit(False)}))
+    is_now = F.col("stale").isNull()
+    said = F.when(F.col("p.value").isin("true", "false"), F.col("p.value") == "true")  # as strings would be sorted to find the smallest
+    given = every.select("flag", "at", "own", "stale", "was", F.explode("places").alias("p")).select("flag", "at", "own", "p.position", "p.label", "p.n", said.alias("value"), is_now.alias("is_now"), "was")
 
-    def placed(rows: DataFrame) -> DataFrame:
-        """Sites with the function they are of: at and own."""
-        return rows.join(lead, ["path", "name", "member"]).where("_of = ''").drop("_of")
+    def agreed(among: Column) -> Column:
+        """The literal that all of these rows give, else null."""
+        value = F.when(among, F.col("value"))
+        return F.when((F.min(value) == F.max(value)) & (F.count(value) == F.count_if(among)), F.min(value))
 
-    now = _cut(spark, placed(read_sites(changed)))
-    touched = now.where("kind = 'given' AND value IN ('true', 'false')").select("flag", "at", "own").distinct()
-    if touched.isEmpty():
-        return state
-    # files that name one of these functions, as they were and, for the flag, as they are
-    near = lead.join(touched.select("at", "own").distinct(), ["at", "own"], "left_semi").select("path").union(touched.select(F.col("at").alias("path"))).distinct()
-    old_texts = files.join(near, "path", "left_semi").select(F.lit(None).cast("string").alias("flag"), "path", "content")
-    old_sites = _cut(spark, read_sites(old_texts).drop("flag"))
-    old = placed(old_sites)
-    rest = old.join(touched, ["at", "own"]).join(changed.select("flag", "path"), ["flag", "path"], "left_anti")
-    every = _cut(spark, rest.unionByName(now.join(touched, ["flag", "at", "own"], "left_semi")))
     place = ["at", "own", "position", "label"]
-    fresh = _agreed(every.where("kind = 'given'"), ["flag", *place])
-    was = _agreed(old.where("kind = 'given'"), place)
-    calls = every.where("kind IN ('call', 'element')").groupBy("flag", "at", "own").agg(F.count_if(F.col("kind") == "call").alias("calls"), F.count_if(F.col("kind") == "element").alias("elements"))
-    counts = every.where("kind = 'given'").groupBy("flag", *place).agg(F.count("*").alias("n"))
-    params = old_sites.where("kind IN ('parameter', 'property')").select(F.col("path").alias("at"), F.col("name").alias("own"), "position", "label").distinct()
-    safe = lambda a, b: (a["position"].eqNullSafe(b["position"])) & (a["label"].eqNullSafe(b["label"])) & (a["at"] == b["at"]) & (a["own"] == b["own"])
-    drops = fresh.join(was, safe(fresh, was), "left_anti")
-    counts = counts.withColumnsRenamed({"flag": "_f", "at": "_a", "own": "_o", "position": "_p", "label": "_l"})
-    drops = drops.join(counts, (drops["flag"] == F.col("_f")) & (drops["at"] == F.col("_a")) & (drops["own"] == F.col("_o")) & drops["position"].eqNullSafe(F.col("_p")) & drops["label"].eqNullSafe(F.col("_l"))).drop("_f", "_a", "_o", "_p", "_l")
+    drops = given.groupBy("flag", *place).agg(agreed(F.col("is_now")).alias("value"), agreed(F.col("was")).alias("before"), F.sum(F.when(F.col("is_now"), F.col("n"))).alias("n")).where("value IS NOT NULL AND before IS NULL")
+    calls = every.where(is_now).groupBy("flag", "at", "own").agg(*(F.sum(c).alias(c) for c in ("calls", "elements", "others"))).where("others = 0")
     drops = drops.join(calls, ["flag", "at", "own"]).where((F.col("position").isNotNull() & (F.col("n") == F.col("calls")) & (F.col("elements") == 0)) | (F.col("label").isNotNull() & (F.col("n") == F.col("elements")) & (F.col("calls") == 0)))
-    drops = drops.join(every.where("kind = 'other'").select("flag", "at", "own").distinct(), ["flag", "at", "own"], "left_anti")
-    drops = drops.join(params.withColumnsRenamed({"at": "_a", "own": "_o", "position": "_p", "label": "_l"}), (drops["at"] == F.col("_a")) & (drops["own"] == F.col("_o")) & drops["position"].eqNullSafe(F.col("_p")) & drops["label"].eqNullSafe(F.col("_l")), "left_semi")
-    drops = drops.groupBy("flag", "at", "own").agg(F.max(F.struct(F.coalesce("position", F.lit(-1)).alias("p"), "position", "label", "value")).alias("d")).select("flag", "at", "own", "d.position", "d.label", "d.value")  # one of a function at a time
+    params = held.where("function").select(F.col("path").alias("at"), F.col("name").alias("own"), F.explode("places").alias("p")).select("at", "own", "p.position", "p.label").distinct()
+    drops = drops.join(params, (drops["at"] == params["at"]) & (drops["own"] == params["own"]) & drops["position"].eqNullSafe(params["position"]) & drops["label"].eqNullSafe(params["label"]), "left_semi")
+    drops = drops.withColumn("value", F.col("value").cast("string")).groupBy("flag", "at", "own").agg(F.max(F.struct(F.coalesce("position", F.lit(-1)).alias("p"), "position", "label", "value")).alias("d")).select("flag", "at", "own", "d.position", "d.label", "d.value")  # one of a function at a time
     drops = _cut(spark, drops)
     texts = state.where("reason IS NULL").select("flag", "path", F.col("after").alias("now"))
     for attempt in (0, 1):
         if drops.isEmpty():
-            return state
-        callers = drops.join(every.where("kind IN ('call', 'element')").select("flag", "at", "own", "path", "name", "member").distinct(), ["flag", "at", "own"])
+            return plain
+        callers = drops.join(every.where(is_now & (F.col("calls") + F.col("elements") > 0)).select("flag", "at", "own", "path", "name", "member"), ["flag", "at", "own"])
         entry = lambda name, member, declared: F.struct("at", "own", name.alias("name"), member.alias("member"), "position", "label", "value", F.lit(declared).alias("declared"))
         both = callers.select("flag", "path", entry(F.col("name"), F.col("member"), False).alias("d")).union(drops.select("flag", F.col("at").alias("path"), entry(F.col("own"), F.lit(""), True).alias("d")))
         work = both.groupBy("flag", "path").agg(F.collect_set("d").alias("drops")).join(texts, ["flag", "path"], "left").join(files.select("path", F.col("content").alias("source")), "path")
         work = work.select("flag", "path", checkout.language(F.col("path")).alias("language"), F.coalesce("now", "source").alias("now"), "source", "drops")
 
-        def run(parts):
-            for part in parts:
+        def run(batches):
+            rewrite = rows_alike(_rewritten, MARKUP)
+            for batch in batches:
                 after = []
-                for r in part.itertuples(index=False):
+                for source, language, drops in zip(*(symbols.values(batch.column(c)) for c in ("now", "language")), batch.column("drops").to_pylist(), strict=True):
+                    drops.sort(key=lambda d: (not d["declared"], d["name"], d["member"], d["label"] or ""))
+                    words = [x for d in drops for x in (d["name"], d["member"], d["label"] or "")]
+                    rest = tuple((d["position"], d["label"] is not None, d["value"], d["declared"]) for d in drops)
                     try:
-                        after.append(rewritten(r.now, r.language, list(r.drops)))
+                        after.append(rewrite(language, (rest,), source, *words))
                     except (Refused, Unreadable, IndexError, KeyError, StopIteration, RecursionError):
                         after.append(None)
-                yield pd.DataFrame({"flag": part["flag"], "path": part["path"], "source": part["source"], "after": pd.Series(after, dtype=object), "drops": part["drops"]})
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("flag", "path", "source", "drops")), pa.array(after, pa.string())], names=["flag", "path", "source", "drops", "after"])
 
-        done = _cut(spark, dealt(work, "flag", "path").mapInPandas(run, work.select("flag", "path", "source", F.lit(None).cast("string").alias("after"), "drops").schema))
+        done = _cut(spark, dealt(work, "flag", "path").mapInArrow(run, work.select("flag", "path", "source", "drops", F.lit(None).cast("string").alias("after")).schema))
         lost = done.where("after IS NULL").select("flag", F.explode("drops").alias("d")).select("flag", "d.at", "d.own").distinct()
         if lost.isEmpty():
             break
         drops = _cut(spark, drops.join(lost, ["flag", "at", "own"], "left_anti"))  # neither side of these
     else:
-        return state
+        return plain
     new = done.select("flag", "path", F.col("source").alias("_source"), F.col("after").alias("_after"))
-    joined = state.join(new, ["flag", "path"], "full")
+    joined = plain.join(new, ["flag", "path"], "full")
     return _cut(spark, joined.select("flag", "path", F.coalesce("before", "_source").alias("before"), F.coalesce("_after", "after").alias("after"), F.greatest(F.coalesce("reads", F.lit(0)), F.when(F.col("_after").isNotNull(), 1).otherwise(0)).alias("reads"), "reason", F.coalesce("findings", F.array().cast("array<struct<line:int,kind:string,reason:string>>")).alias("findings"), F.coalesce("left", F.lit(0)).alias("left")))

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Sequence
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import comments, tokens
 from ..functions.scanner import Unreadable, scan
@@ -20,7 +20,7 @@ from ..operators import agreement, candidates, mentions, relational, report
 from ..sources import checkout
 from ..sources.config import Accessor, Gate
 from . import fold as one
-from . import python_fold, wrappers
+from . import parameters, python_fold, symbols, wrappers
 from .alike import alike
 
 _FOLDED = "flag string, path string, before string, after string, reads int, reason string, findings array<struct<line:int,kind:string,reason:string>>, left int, made array<struct<name:string,form:string,value:boolean>>, gone array<struct<start:int,end:int>>"
@@ -32,10 +32,9 @@ _ARROW = pa.schema({
 
 def pairs(open_candidates: DataFrame, files: DataFrame) -> DataFrame:
     """flag, key, treatment, path, language and before for each file (path, content as text) that names the flag's spelling as a token."""
-    found = mentions.mention_files(files, open_candidates.select(F.col("code_key").alias("name")), tokens.KEY)
-    named = found.where("name is not null").join(open_candidates.select(F.col("code_key").alias("name"), F.col("key").alias("flag"), "treatment"), "name")
-    met = named.join(files.select("path", F.col("content").alias("before")), "path")
-    return met.select("flag", F.col("name").alias("code_key"), "treatment", "path", checkout.language(F.col("path")).alias("language"), "before")
+    found = mentions.mention_files(files, open_candidates.select(F.col("code_key").alias("name")), tokens.KEY, texts=True)
+    met = found.where("name is not null").join(relational.small(open_candidates.select(F.col("code_key").alias("name"), F.col("key").alias("flag"), "treatment")), "name")
+    return met.select("flag", F.col("name").alias("code_key"), "treatment", "path", checkout.language(F.col("path")).alias("language"), F.col("content").alias("before"))
 
 
 def _one(source: str, key: str, value: bool, language: str, reads: list[Accessor], gates: list[Gate], inert: list[str], known: list[one.Known]) -> tuple[str, int, str | None, list, int, list, list]:
@@ -62,39 +61,34 @@ def _readable(source: str, language: str) -> bool:
     return True
 
 
-def _column(values: Sequence, kind: pa.DataType) -> pa.Array:
-    """Values as a column; lists of tuples become lists of structs without a dict for each."""
-    if not pa.types.is_list(kind):
-        return pa.array(values, kind)
-    flat = [x for v in values for x in v]
-    fields = [pa.array(x, f.type) for x, f in zip(zip(*flat, strict=True) if flat else [()] * kind.value_type.num_fields, kind.value_type, strict=True)]
-    offsets = pa.array(accumulate(map(len, values), initial=0), pa.int32())
-    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, fields=list(kind.value_type)), type=kind)
-
-
-def folded(rows: DataFrame, accessors: Sequence[Accessor], gates: Sequence[Gate] = (), inert: Sequence[str] = ()) -> DataFrame:
+def folded(rows: DataFrame, accessors: Sequence[Accessor], gates: Sequence[Gate] = (), inert: Sequence[str] = (), keep: Sequence[str] = (), sites: bool = False) -> DataFrame:
     """The fold of each pair: after (before where nothing changed), reads (gates among them), reason (why it is refused) and findings.
 
     gates: components of markup that show their children by a flag. inert: functions without effects, whose calls go where the fold made them constant.
     rows may have `known`, names that stand for the key or for what was served; left counts their uses that stay, and made has the names at the top of
-    the file that stand for a literal now. gone: the stretches of the source that went, in languages with braces.
+    the file that stand for a literal now. gone: the stretches of the source that went, in languages with braces. keep: columns of rows that are handed on.
+    sites: `parameters.tally` of what was rewritten too, in scripts; of all results where rows' `source` is kept.
     """
     reads, shown, idle = list(accessors), list(gates), list(inert)
 
     columns = ["flag", "path", "before", "code_key", "treatment", "language", *(["known"] if "known" in rows.columns else [])]
 
     def run(batches):
-        braced = lambda source, key, value, language, known: _one(source, key, value, language, reads, shown, idle, known)
+        def braced(source, key, value, language, known):
+            done = _one(source, key, value, language, reads, shown, idle, known)
+            return (*done, parameters.tally(done[0], language) if sites and language in one.SCRIPTS and not done[2] and ("source" in keep or done[0] != source) else [])
+
         if not idle:  # calls without effects are told apart by their numbers too
-            braced = alike(braced)
+            braced = alike(braced, [*map(repr, reads), *map(repr, shown)])
         for batch in batches:
             out = []
-            for before, key, treatment, language, *names in zip(*(batch.column(c).to_pylist() for c in columns[2:]), strict=True):
-                after, n, reason, findings, left, made, gone = before, 0, None, [], 0, [], []
+            told = [batch.column(c).to_pylist() if c == "known" else symbols.values(batch.column(c)) for c in columns[2:]]
+            for before, key, treatment, language, *names in zip(*told, strict=True):
+                after, n, reason, findings, left, made, gone, sited = before, 0, None, [], 0, [], [], []
                 known = tuple(one.Known(x["name"], x["member"], x["form"], x["value"]) for x in (names[0] if names and names[0] else ()))
                 try:
                     if language in one.FOLDED:
-                        after, n, reason, findings, left, made, gone = braced(before, key, bool(treatment), language, known)
+                        after, n, reason, findings, left, made, gone, sited = braced(before, key, bool(treatment), language, known)
                     elif language == "python":
                         done = python_fold.fold(before, key, bool(treatment), reads, known)
                         after, n, findings, left, made = done.after, done.reads, done.findings, done.left, done.made
@@ -106,13 +100,16 @@ def folded(rows: DataFrame, accessors: Sequence[Accessor], gates: Sequence[Gate]
                 except (one.Refused, RecursionError) as e:
                     after, reason = before, str(e) or "nested too deep"
                 if reason:
-                    made, gone = [], []
-                out.append((after, n, reason, findings, left, made, gone))
-            made = dict(zip(_ARROW.names[3:], zip(*out, strict=True) if out else [()] * 7, strict=True))
+                    made, gone, sited = [], [], []
+                out.append((after, n, reason, findings, left, made, gone, sited))
+            made = dict(zip([*_ARROW.names[3:], "sites"], zip(*out, strict=True) if out else [()] * 8, strict=True))
             kept = {c: batch.column(c).cast(pa.string()) for c in columns[:3]}
-            yield pa.RecordBatch.from_arrays([kept[x.name] if x.name in kept else _column(made[x.name], x.type) for x in _ARROW], schema=_ARROW)
+            handed = {c: batch.column(c) for c in keep} | ({"sites": symbols.column(made["sites"], parameters.ARROW)} if sites else {})
+            columns_ = [kept[x.name] if x.name in kept else symbols.column(made[x.name], x.type) for x in _ARROW]
+            yield pa.RecordBatch.from_arrays([*columns_, *handed.values()], schema=pa.schema([*_ARROW, *(pa.field(c, x.type) for c, x in handed.items())]))
 
-    return relational.dealt(rows.select(*columns), "flag", "path").mapInArrow(run, _FOLDED)
+    schema = StructType([*StructType.fromDDL(_FOLDED), *(rows.schema[c] for c in keep), *StructType.fromDDL(f"sites {parameters.TALLY}" if sites else "")])
+    return relational.dealt(rows.select(*columns, *keep), "flag", "path").mapInArrow(run, schema)
 
 
 def run(rows: DataFrame, files: DataFrame, accessors: Sequence[Accessor], ignore: Sequence[str] = (), allow: Sequence[str] = (), aliases: dict[str, str] | None = None, known: DataFrame | None = None, handled: DataFrame | None = None, max_prs: int = 0, gates: Sequence[Gate] = (), inert: Sequence[str] = (), follow: bool = True, index: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -125,11 +122,14 @@ def run(rows: DataFrame, files: DataFrame, accessors: Sequence[Accessor], ignore
     open_, done = decided.where("action is null"), None
     met = pairs(open_, files)
     if follow:
-        from . import spread, symbols  # they fold by this module
+        from . import spread  # it folds by this module
 
         named = files.withColumn("language", checkout.language(F.col("path"))).where(F.col("language").isin(*spread.FOLLOWED))
-        table = index if index is not None else relational.checkpointed(symbols.symbols(named, list(accessors)))
-        done = spread.followed(open_.select("key", "code_key", "treatment"), met, files, table, accessors, gates, inert)
+        table, held = index, None
+        if index is None:
+            held = relational.checkpointed(parameters.read(named, list(accessors)))
+            table = held.select("path", F.inline("symbols"))
+        done = spread.followed(open_.select("key", "code_key", "treatment"), met, files, table, accessors, gates, inert, held)
     else:
         done = relational.checkpointed(folded(met, accessors, gates, inert))
     kept = agreement.all_or_nothing(done)

@@ -13,7 +13,7 @@ from ..operators import agreement, archive, candidates, mentions, passages, rela
 from ..sources import checkout, events
 from ..sources.config import Accessor
 from ..streaming import archive as streamed
-from . import predicted, remove, spread, symbols
+from . import parameters, predicted, remove, spread, symbols
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -832,8 +832,8 @@ def constant_parameters(read):
     files = relational.checkpointed(modules.union(callers))
     flags = files.sparkSession.createDataFrame([("k", "k", True)], "key string, code_key string, treatment boolean")
     reads = [Accessor("isEnabled")]
-    table = relational.checkpointed(symbols.symbols(files.withColumn("language", checkout.language(F.col("path"))), reads))
-    return spread.followed(flags, remove.pairs(flags, files), files, table, reads).where("reason is null").select("path", F.trim(F.regexp_replace("after", r"\s+$", "")).alias("after"))
+    held = relational.checkpointed(parameters.read(files.withColumn("language", checkout.language(F.col("path"))), reads))
+    return spread.followed(flags, remove.pairs(flags, files), files, held.select("path", F.inline("symbols")), reads, held=held).where("reason is null").select("path", F.trim(F.regexp_replace("after", r"\s+$", "")).alias("after"))
 
 
 #: Files with a mention beside a read: the file, and the places of the block that goes where the flag served true and false, as the text that begins it and the text it ends with (null: none is predicted).

@@ -20,24 +20,27 @@ from pyspark.sql import functions as F
 
 from ..functions.scanner import Token, Unreadable, scan, text
 from ..operators import resolve
-from ..operators.relational import _cut
+from ..operators.relational import _cut, hashed, small
 from ..sources import checkout
 from ..sources.config import Accessor, Gate
 from . import parameters, remove, symbols
 from .fold import MARKUP, SCRIPTS, _arguments, _statement_end
 
 _STATE = ["flag", "path", "before", "after", "reads", "reason", "findings", "left"]
+_SITED = [*_STATE, "sites"]
 
 
 def facts_of(open_candidates: DataFrame, table: DataFrame) -> DataFrame:
     """Constants that hold a candidate's key: flag, at, own, of, form and value."""
-    keys = open_candidates.select(F.col("key").alias("flag"), F.col("code_key").alias("target"))
+    keys = small(open_candidates.select(F.col("key").alias("flag"), F.col("code_key").alias("target")))
     return table.where("kind = 'declaration'").join(keys, "target").select("flag", F.col("path").alias("at"), F.col("name").alias("own"), F.col("member").alias("of"), F.lit("key").alias("form"), F.lit(None).cast("boolean").alias("value"))
 
 
 def spread_facts(facts: DataFrame, table: DataFrame, uses: DataFrame) -> DataFrame:
     """facts, and the entries of objects into which an object with such entries is spread, however often; an entry that the object declares itself is its own."""
     spark = table.sparkSession
+    if table.where("kind = 'spread'").isEmpty():
+        return facts
     into = table.where("kind = 'spread'").select("path", F.col("name").alias("into"), F.col("other").alias("name"))
     led = uses.where("at IS NOT NULL AND of = '' AND member = ''").select("path", "name", "at", "own").distinct()
     into = _cut(spark, into.join(led, ["path", "name"]).select("at", "own", F.col("path").alias("to"), "into"))
@@ -63,19 +66,34 @@ def known_by(facts: DataFrame, uses: DataFrame) -> DataFrame:
     return met.groupBy("flag", "path").agg(F.collect_set(F.struct("name", member.alias("member"), "form", "value")).alias("known"))
 
 
+def made_by(done: DataFrame) -> DataFrame:
+    """The facts that folds made."""
+    made = done.where("reason is null").select("flag", F.col("path").alias("at"), F.explode("made").alias("m"))
+    return made.select("flag", "at", F.col("m.name").alias("own"), F.lit("").alias("of"), F.col("m.form").alias("form"), F.col("m.value").alias("value"))
+
+
 def spread(open_candidates: DataFrame, pairs: DataFrame, files: DataFrame, table: DataFrame, accessors: Sequence[Accessor], gates: Sequence[Gate] = (), inert: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, symbols.Resolved]:
-    """The folds of all files that a flag reaches (flag, path, before, after, reads, reason, findings, left), the facts met, and what names lead to.
+    """The folds of all files that a flag reaches (flag, path, before, after, reads, reason, findings, left, sites), the facts met, and what names lead to.
 
     pairs: flag, code_key, treatment, path, language, before. table: `symbols.symbols` of the files.
     """
     spark = files.sparkSession
     names = symbols.resolved(table, files)
-    names = symbols.Resolved(*(_cut(spark, x) for x in names))
-    uses = names.uses
-    fresh = facts = _cut(spark, spread_facts(_cut(spark, facts_of(open_candidates, table)), table, uses))
-    flags = open_candidates.select(F.col("key").alias("flag"), "code_key", "treatment")
+    fresh = facts = _cut(spark, facts_of(open_candidates, table))
+    flags = small(open_candidates.select(F.col("key").alias("flag"), "code_key", "treatment"))
     sources = files.select("path", F.col("content").alias("source"))
     state = None
+    if fresh.isEmpty():  # no name leads to a fact yet
+        done = _cut(spark, remove.folded(pairs, accessors, gates, inert, sites=True).drop("gone"))
+        state = done.select(_SITED)
+        fresh = _cut(spark, made_by(done))
+        if fresh.isEmpty():
+            return state, facts, names
+        facts = _cut(spark, facts.union(fresh))
+    names = names._replace(uses=_cut(spark, names.uses))  # many rows, and no round has asked for them before
+    uses = names.uses
+    if state is None:
+        fresh = facts = spread_facts(facts, table, uses)
     while True:
         named = known_by(fresh, uses)
         asked = pairs.select("flag", "path").union(named.select("flag", "path")).distinct() if state is None else named.select("flag", "path")
@@ -84,13 +102,11 @@ def spread(open_candidates: DataFrame, pairs: DataFrame, files: DataFrame, table
             work = work.join(state.select("flag", "path", F.col("after").alias("so_far"), F.col("before").alias("first"), F.col("reads").alias("had"), F.col("reason").alias("why"), F.col("findings").alias("found"), F.col("left").alias("stay")), ["flag", "path"], "left").where("why is null")
         else:
             work = work.withColumns({"so_far": F.lit(None).cast("string"), "had": F.lit(0), "found": F.array().cast("array<struct<line:int,kind:string,reason:string>>"), "stay": F.lit(0)})
-        work = _cut(spark, work.select("flag", "code_key", "treatment", "path", checkout.language(F.col("path")).alias("language"), F.coalesce("so_far", "source").alias("before"), "source", "known", "had", "found", "stay"))
-        done = _cut(spark, remove.folded(work, accessors, gates, inert))
-        kept = work.select("flag", "path", "source", "had", "found", "stay")
-        new = done.join(kept, ["flag", "path"]).select("flag", "path", F.col("source").alias("before"), "after", (F.col("reads") + F.coalesce("had", F.lit(0))).alias("reads"), "reason", F.concat(F.coalesce("found", F.array().cast("array<struct<line:int,kind:string,reason:string>>")), "findings").alias("findings"), (F.col("left") + F.coalesce("stay", F.lit(0))).alias("left"))
-        state = _cut(spark, new if state is None else state.join(new.select("flag", "path"), ["flag", "path"], "left_anti").select(_STATE).union(new.select(_STATE)))
-        made = done.where("reason is null").select("flag", F.col("path").alias("at"), F.explode("made").alias("m")).select("flag", "at", F.col("m.name").alias("own"), F.lit("").alias("of"), F.col("m.form").alias("form"), F.col("m.value").alias("value"))
-        fresh = _cut(spark, made.join(facts.select("flag", "at", "own", "of"), ["flag", "at", "own", "of"], "left_anti"))
+        work = work.select("flag", "code_key", "treatment", "path", checkout.language(F.col("path")).alias("language"), F.coalesce("so_far", "source").alias("before"), "source", "known", "had", "found", "stay")
+        done = _cut(spark, remove.folded(work, accessors, gates, inert, keep=("source", "had", "found", "stay"), sites=True).drop("gone"))
+        new = done.select("flag", "path", F.col("source").alias("before"), "after", (F.col("reads") + F.coalesce("had", F.lit(0))).alias("reads"), "reason", F.concat(F.coalesce("found", F.array().cast("array<struct<line:int,kind:string,reason:string>>")), "findings").alias("findings"), (F.col("left") + F.coalesce("stay", F.lit(0))).alias("left"), "sites")
+        state = _cut(spark, new if state is None else state.join(new.select("flag", "path"), ["flag", "path"], "left_anti").select(_SITED).union(new.select(_SITED)))
+        fresh = _cut(spark, made_by(done).join(facts.select("flag", "at", "own", "of"), ["flag", "at", "own", "of"], "left_anti"))
         if fresh.isEmpty():
             return state, facts, names
         facts = _cut(spark, facts.union(fresh))
@@ -244,12 +260,15 @@ def cleared(state: DataFrame, gone: DataFrame, files: DataFrame, met: symbols.Re
     return state.join(names.select("flag", "path"), ["flag", "path"], "left_anti").select(_STATE).union(done.select(_STATE))
 
 
-def followed(open_candidates: DataFrame, pairs: DataFrame, files: DataFrame, table: DataFrame, accessors: Sequence[Accessor], gates: Sequence[Gate] = (), inert: Sequence[str] = ()) -> DataFrame:
-    """The folds of all files that candidates (key, code_key, treatment) reach, without the parameters they made constant and the declarations that nothing needs any more."""
-    folds, facts, names = spread(open_candidates, pairs, files, table, accessors, gates, inert)
-    folds = parameters.inlined(folds, files, names)
-    gone = _cut(files.sparkSession, deletable(facts, names, table, folds, files))
-    return _cut(files.sparkSession, cleared(folds, gone, files, names))
+def followed(open_candidates: DataFrame, pairs: DataFrame, files: DataFrame, table: DataFrame, accessors: Sequence[Accessor], gates: Sequence[Gate] = (), inert: Sequence[str] = (), held: DataFrame | None = None) -> DataFrame:
+    """The folds of all files that candidates (key, code_key, treatment) reach, without the parameters they made constant and the declarations that nothing needs any more. held: `parameters.read` of the files, where the symbols in table come from it."""
+    with hashed(files.sparkSession):
+        folds, facts, names = spread(open_candidates, pairs, files, table, accessors, gates, inert)
+        folds = parameters.inlined(folds, files, names, held)
+        if facts.isEmpty():  # no declaration holds a key or became what was served
+            return folds
+        gone = _cut(files.sparkSession, deletable(facts, names, table, folds, files))
+        return folds if gone.isEmpty() else _cut(files.sparkSession, cleared(folds, gone, files, names))
 
 
 #: Languages whose names are followed.

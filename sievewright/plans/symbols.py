@@ -12,6 +12,8 @@ one's), reference (name, member; removable: it is the key in a read; other: `cal
 from __future__ import annotations
 
 import ast
+from collections.abc import Sequence
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.scanner import _OPEN, Token, Tokens, Unreadable, content, scan
 from ..operators.relational import _cut, dealt, follow
 from ..sources.config import Accessor
+from .alike import rows_alike
 
 #: Languages whose names are read here.
 READ = ("ts", "tsx", "js", "python")
@@ -549,20 +552,45 @@ def python_constants(source: str) -> dict[tuple[str, str], bool]:
 # -- tables
 
 
+#: The symbols of a file, as Arrow has them.
+ARROW = pa.list_(pa.struct({**dict.fromkeys(Symbol._fields, pa.string()), "removable": pa.bool_(), "line": pa.int32()}))
+
+
+def column(values: Sequence, kind: pa.DataType) -> pa.Array:
+    """Values as a column; lists of tuples become lists of structs without a dict for each."""
+    if not pa.types.is_list(kind):
+        return pa.array(values, kind)
+    flat = [x for v in values for x in v]
+    fields = [column(x, f.type) for x, f in zip(zip(*flat, strict=True) if flat else [()] * kind.value_type.num_fields, kind.value_type, strict=True)]
+    offsets = pa.array(accumulate(map(len, values), initial=0), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, fields=list(kind.value_type)), type=kind)
+
+
+def values(column: pa.Array) -> list:
+    """A column of strings or booleans as a list, in a fraction of the time of to_pylist."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def read_one(source: str | None, language: str, accessors: list[Accessor]) -> list[Symbol]:
+    """The symbols of a source; one that can't be read has one of kind unreadable."""
+    try:
+        if source is None:
+            raise Unreadable("no text")
+        return of_python(source, accessors) if language == "python" else of_script(source, language, accessors) if language in READ else []
+    except (Unreadable, SyntaxError, ValueError, RecursionError, IndexError):
+        return [Symbol("unreadable", "")]
+
+
 def symbols(files: DataFrame, accessors: list[Accessor]) -> DataFrame:
     """The symbols of files (path, language, content), a row each; a file that can't be read has one of kind unreadable."""
     reads = list(accessors)
 
     def run(batches):
+        script = rows_alike(lambda source, language: read_one(source, language, reads), _JSX, map(repr, reads))
         for batch in batches:
             rows = []
-            for path, language, source in zip(*(batch.column(c).to_pylist() for c in ("path", "language", "content")), strict=True):
-                try:
-                    if source is None:
-                        raise Unreadable("no text")
-                    found = of_python(source, reads) if language == "python" else of_script(source, language, reads) if language in READ else []
-                except (Unreadable, SyntaxError, ValueError, RecursionError, IndexError):
-                    found = [Symbol("unreadable", "")]
+            for path, language, source in zip(*(values(batch.column(c)) for c in ("path", "language", "content")), strict=True):
+                found = read_one(source, language, reads) if source is None or language == "python" or language not in READ else script(language, (), source)
                 rows += [(path, *s) for s in found]
             kinds = [pa.string()] * 6 + [pa.bool_(), pa.int32()]
             names = [x.split(" ")[0] for x in SYMBOLS.split(", ")]
@@ -602,8 +630,8 @@ def indexed(files: DataFrame, accessors: list[Accessor], index: str, parsed=None
 
 
 def _from_where(asked: DataFrame) -> DataFrame:
-    """asked (path, target) with what a module's name is read by: the file's directory (with its last slash) and whether it is Python."""
-    return asked.select("path", "target", F.regexp_replace("path", r"[^/]*$", "").alias("directory"), F.endswith("path", F.lit(".py")).alias("python"))
+    """asked (path, target, more) with what a module's name is read by: the file's directory (with its last slash) and whether it is Python."""
+    return asked.withColumns({"directory": F.regexp_replace("path", r"[^/]*$", ""), "python": F.endswith("path", F.lit(".py"))})
 
 
 def tried_modules(asked: DataFrame) -> DataFrame:
@@ -629,17 +657,24 @@ def tried_modules(asked: DataFrame) -> DataFrame:
 
 def module_files(asked: DataFrame, files: DataFrame) -> DataFrame:
     """The file of each module that a file names (path, target): path, target and module. Scripts: relative names with or without ending; Python: dotted names below any directory above the file, the nearest first."""
-    asked = asked.select("path", "target").where("target is not null").distinct()
-    met = tried_modules(asked).join(files.select(F.col("path").alias("module")).distinct(), "module")
-    found = met.groupBy("directory", "python", "target").agg(F.min_by("module", "rank").alias("module"))
-    return _from_where(asked).join(found, ["directory", "python", "target"]).select("path", "target", "module")
+    return linked(asked.select("path", "target").distinct(), files).where("module is not null")
 
 
-def providers(table: DataFrame, modules: DataFrame) -> DataFrame:
-    """For each exported name (module, name): where its chain of exports and imports ends (at, own). Names renamed on the way are followed; reach doubles each round. Chains that go round, or whose module isn't known, are left out."""
-    spark = table.sparkSession
-    exports = table.where("kind = 'export'").join(modules, ["path", "target"], "left").select("path", "name", "other", "target", "module")
-    imports = table.where("kind = 'import'").join(modules, ["path", "target"]).select("path", F.col("name").alias("other"), F.col("module").alias("to"), F.col("other").alias("to_name"))
+def linked(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """rows (path, target, more) with the file of the module that each names, null where none is known."""
+    named = rows.where("target is not null")
+    found = _cut(rows.sparkSession, tried_modules(named).join(files.select(F.col("path").alias("module")).distinct(), "module"))
+    if not found.groupBy("directory", "python", "target").count().where("count > 1").isEmpty():  # else there is nothing to sort for it
+        found = found.groupBy("directory", "python", "target").agg(F.min_by("module", "rank").alias("module"))
+    led = _from_where(named).join(found.drop("rank"), ["directory", "python", "target"], "left").select(*rows.columns, "module")
+    return led.union(rows.where("target is null").withColumn("module", F.lit(None).cast("string")))
+
+
+def providers(links: DataFrame) -> DataFrame:
+    """For each exported name (module, name): where its chain of exports and imports (`linked`) ends (at, own). Names renamed on the way are followed; reach doubles each round. Chains that go round, or whose module isn't known, are left out."""
+    spark = links.sparkSession
+    exports = links.where("kind = 'export'").select("path", "name", "other", "target", "module")
+    imports = links.where("kind = 'import' AND module IS NOT NULL").select("path", F.col("name").alias("other"), F.col("module").alias("to"), F.col("other").alias("to_name"))
     named = exports.where("name != '*' AND (target IS NULL OR module IS NOT NULL)")
     step = named.join(imports, ["path", "other"], "left")
     node = lambda m, name: F.concat(m, F.lit("\n"), name)
@@ -663,10 +698,12 @@ def providers(table: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 class Resolved(NamedTuple):
-    """uses: references (path, name, member, removable, line, use) with what they name: at (the declaring file) and own, of (the name there and the members used on it); null at for names that lead nowhere known. taken: names that files import (path, name), the module they name it from (module, asked), and where it is declared (at, own)."""
+    """uses: references (path, name, member, removable, line, use) with what they name: at (the declaring file) and own, of (the name there and the members used on it); null at for names that lead nowhere known. taken: names that files import (path, name), the module they name it from (module, asked), and where it is declared (at, own). imports: names that files import, with that, and `*` for a module itself. ends: `providers`."""
 
     uses: DataFrame
     taken: DataFrame
+    imports: DataFrame
+    ends: DataFrame
 
 
 def resolved(table: DataFrame, files: DataFrame) -> Resolved:
@@ -674,19 +711,34 @@ def resolved(table: DataFrame, files: DataFrame) -> Resolved:
 
     A name that a module imports is followed to where it is declared; any other is the module's own. A member of a module's name is that module's export.
     """
-    modules = module_files(table.where("kind in ('import', 'export')"), files)
-    modules = _cut(table.sparkSession, modules)
-    ends = _cut(table.sparkSession, providers(table, modules))
-    imports = table.where("kind = 'import'").join(modules, ["path", "target"], "left").select("path", "name", F.col("other").alias("imported"), "module").groupBy("path", "name").agg(F.min("imported").alias("imported"), F.min("module").alias("module"), F.count("*").alias("n"))
-    uses = table.where("kind = 'reference'").select("path", "name", "member", "removable", "line", F.col("other").alias("use")).join(imports, ["path", "name"], "left")
-    first, rest = F.regexp_extract("member", r"^([^.]*)", 1), F.regexp_extract("member", r"^[^.]*\.?(.*)$", 1)
+    spark = table.sparkSession
+    links = _cut(spark, linked(table.where("kind in ('import', 'export')").select("path", "kind", "name", "target", "other"), files))
+    ends = _cut(spark, providers(links))
+    imports = links.where("kind = 'import'").select("path", "name", F.col("other").alias("imported"), "module")
+    if not imports.groupBy("path", "name").count().where("count > 1").isEmpty():  # else there is nothing to sort for it
+        imports = imports.groupBy("path", "name").agg(F.min("imported").alias("imported"), F.min("module").alias("module"))
+    # an import leads where it leads for all of its uses; one whose module isn't known has a key of its own, so such imports don't meet in one task
+    imports = imports.withColumn("_module", F.coalesce("module", F.concat(F.lit("\n"), "path")))
+    imports = _cut(spark, imports.join(ends.select(F.col("module").alias("_module"), F.col("name").alias("imported"), "at", "own"), ["_module", "imported"], "left").drop("_module"))
+    uses = table.where("kind = 'reference'").select("path", "name", "member", "removable", "line", F.col("other").alias("use"))
+    taken = links.where("kind = 'import' AND other != '*' AND module IS NOT NULL").select("path", "name", "module", F.col("other").alias("asked"))
+    return Resolved(led_by(uses, imports, ends), taken.join(ends.withColumnRenamed("name", "asked"), ["module", "asked"]), imports, ends)
+
+
+def led_by(uses: DataFrame, imports: DataFrame, ends: DataFrame) -> DataFrame:
+    """uses (path, name, member, more) with what they name: at, own and of."""
+    told = uses.columns
+    met = uses.join(imports.withColumn("_taken", F.lit(True)), ["path", "name"], "left")
+    here = F.col("_taken").isNull()
+    led = met.select(*told, F.when(here, F.col("path")).otherwise(F.col("at")).alias("at"), F.when(here, F.col("name")).otherwise(F.col("own")).alias("own"), F.col("member").alias("of"), "imported", "module")
+    if imports.where("imported = '*'").isEmpty():
+        return led.drop("imported", "module")
+    # the module itself has no name of its own, a member of it is its export
+    led = _cut(uses.sparkSession, led)
     space = F.coalesce(F.col("imported") == "*", F.lit(False))
-    uses = uses.withColumns({"asked": F.when(space, first).otherwise(F.col("imported")), "of": F.when(space, rest).otherwise(F.col("member"))})  # the module itself has no name of its own
-    met = uses.join(ends.withColumnRenamed("name", "asked"), ["module", "asked"], "left")
-    here = F.col("imported").isNull() & F.col("n").isNull()
-    led = met.select("path", "name", "member", "removable", "line", "use", F.when(here, F.col("path")).otherwise(F.col("at")).alias("at"), F.when(here, F.col("name")).otherwise(F.col("own")).alias("own"), "of")
-    taken = table.where("kind = 'import' AND other != '*'").join(modules, ["path", "target"]).select("path", "name", "module", F.col("other").alias("asked"))
-    return Resolved(led, taken.join(ends.withColumnRenamed("name", "asked"), ["module", "asked"]))
+    first, rest = F.regexp_extract("member", r"^([^.]*)", 1), F.regexp_extract("member", r"^[^.]*\.?(.*)$", 1)
+    within = led.where(space).select(*told, F.coalesce("module", F.concat(F.lit("\n"), "path")).alias("module"), first.alias("asked"), rest.alias("of")).join(ends.withColumnRenamed("name", "asked"), ["module", "asked"], "left")
+    return led.where(~space).drop("imported", "module").unionByName(within.select(*told, "at", "own", "of"))
 
 
 def owner_and_name(own: Column, member: Column) -> list[Column]:
